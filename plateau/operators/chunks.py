@@ -182,3 +182,30 @@ def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> D
         .withColumn("top", F.col("base") + F.sum("cnt").over(inside))
         .select(*keys, value, "cnt", (F.col("top") - (F.col("cnt") - 1) / 2.0).alias("avg_rank"))
     )
+
+
+def global_rank(df: DataFrame, value: str, tie: list[str], out: str, descending: bool = True) -> DataFrame:
+    """Ordinal rank 1..n over the whole table without sorting it in one task.
+
+    Only the per-bin row counts are ordered globally; rows are ordered in bins.
+    """
+    v = F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")) if descending else F.lit(float("inf")))
+    d = df.withColumn("__v", -v if descending else v)
+    finite_v = F.when(F.abs("__v") < float("inf"), F.col("__v"))
+    d = d.withColumn("__bin", F.coalesce(_value_bin(finite_v), F.lit(2**62)))
+    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    base = d.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__bin").orderBy("__v", *tie)
+    return d.join(base, "__bin").withColumn(out, (F.col("__base") + F.row_number().over(inside)).cast("long")).drop("__bin", "__v", "__base")
+
+
+def numbered_per_key(df: DataFrame, keys: list[str], order: list, limit: int, out: str = "position") -> DataFrame:
+    """First ``limit`` rows per key: a salted top-k, then the top-k of the tops."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(32))
+    inner = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    outer = Window.partitionBy(*keys).orderBy(*order)
+    return (
+        df.withColumn("__salt", salt).withColumn("__p", F.row_number().over(inner)).where(F.col("__p") <= limit)
+        .withColumn(out, F.row_number().over(outer)).where(F.col(out) <= limit).drop("__salt", "__p")
+    )
