@@ -70,6 +70,21 @@ def reasons(pairs, sep: str = "|") -> Column:
     return F.when(F.size(arr) > 0, F.array_join(arr, sep))
 
 
+def sql_literal(value, kind: str | None = None) -> str:
+    """A Python value as Spark SQL text."""
+    if value is None:
+        text = "NULL"
+    elif isinstance(value, bool):
+        text = str(value).lower()
+    elif isinstance(value, float):
+        text = f"{value!r}D"
+    elif isinstance(value, int):
+        text = str(value) if abs(value) < 2**31 else f"{value}L"
+    else:
+        text = "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"CAST({text} AS {kind})" if kind else text
+
+
 def expand(df: DataFrame, rows: list[dict], types: dict[str, str] | None = None) -> DataFrame:
     """Every row once per parameter row.
 
@@ -78,13 +93,9 @@ def expand(df: DataFrame, rows: list[dict], types: dict[str, str] | None = None)
     """
     types = types or {}
     structs = [
-        F.struct(*[
-            (F.lit(v).cast(types[k]) if k in types else F.lit(v)).alias(k)
-            for k, v in row.items()
-        ])
-        for row in rows
+        "named_struct(" + ", ".join(f"'{k}', {sql_literal(v, types.get(k))}" for k, v in row.items()) + ")" for row in rows
     ]
-    return df.select("*", F.inline(F.array(*structs)))
+    return df.selectExpr("*", f"inline(array({', '.join(structs)}))")
 
 
 def long_of(c) -> Column:

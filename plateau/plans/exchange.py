@@ -32,11 +32,11 @@ CTES.update({
         AND NOT (is_pre_listing OR regexp_matches(symbol, 'TEST|PRE|PERPTEST'))""",
     "probes": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, 'P' || l_partkey || 'USDT' AS symbol, l_discount AS range_width_pct,
         CAST(l_quantity AS BIGINT) AS cell_number_requested, l_linenumber AS leverage_requested, 5.0::DOUBLE AS init_margin_requested, l_tax AS stop_loss_mult,
-        CASE WHEN l_linenumber = 7 THEN NULL ELSE round(l_extendedprice / 5000, 4) END AS investment_min, l_returnflag <> 'R' AS validate_ok, l_linestatus = 'O' AS feasible_exchange,
+        CASE WHEN l_linenumber = 7 THEN NULL ELSE floor(l_extendedprice / 5) / 1000 END AS investment_min, l_returnflag <> 'R' AS validate_ok, l_linestatus = 'O' AS feasible_exchange,
         CASE WHEN l_returnflag = 'N' THEN NULL WHEN l_discount = 0 THEN 'ERR' ELSE 'FGRID_CHECK_CODE_UNSPECIFIED' END AS check_code,
         CASE WHEN l_linenumber = 7 THEN NULL ELSE 200 END AS status_code, CASE WHEN l_linenumber = 7 THEN NULL ELSE 0 END AS ret_code, l_quantity < 40 AS margin_inside,
-        CASE WHEN l_linenumber = 7 THEN false ELSE round(l_extendedprice / 5000, 4) <= 5 END AS five_ok,
-        CASE WHEN l_linenumber = 7 THEN 'investment_min_missing' WHEN round(l_extendedprice / 5000, 4) <= 5 THEN NULL ELSE 'min_investment_gt_5usdt' END AS blocker_reason,
+        CASE WHEN l_linenumber = 7 THEN false ELSE floor(l_extendedprice / 5) / 1000 <= 5 END AS five_ok,
+        CASE WHEN l_linenumber = 7 THEN 'investment_min_missing' WHEN floor(l_extendedprice / 5) / 1000 <= 5 THEN NULL ELSE 'min_investment_gt_5usdt' END AS blocker_reason,
         'r/' || l_suppkey AS raw_path FROM lineitem""",
 })
 
@@ -72,7 +72,7 @@ def universe(s, d):
 def probes(s, d):
     """lineitem rows as validated grid configurations."""
     seven = F.col("l_linenumber") == 7
-    inv = F.round(F.col("l_extendedprice") / 5000, 4)
+    inv = F.floor(F.col("l_extendedprice") / 5) / 1000
     return B.table(s, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("USDT")).alias("symbol"), F.col("l_discount").alias("range_width_pct"),
@@ -167,16 +167,17 @@ def _unnest(name, values):
 
 
 _mil = lambda v: str(round(float(v) * 1000))
-CTES["configs"] = f"""SELECT symbol, CAST(round(last_price * 100) AS BIGINT) AS px, tick_cents AS tk, w, c, v, m, q FROM instruments CROSS JOIN {_unnest('w', [_mil(x) for x in CONFIG_GRID_FAST['width']])}
+CTES["configs"] = f"""SELECT 'S' || s_suppkey AS symbol, CAST(round(s_acctbal * 100) AS BIGINT) + 200000 AS px, 5 AS tk, w, c, v, m, q FROM supplier CROSS JOIN {_unnest('w', [_mil(x) for x in CONFIG_GRID_FAST['width']])}
     CROSS JOIN {_unnest('c', [str(x) for x in CONFIG_GRID_FAST['cells']])} CROSS JOIN {_unnest('v', [str(x) for x in CONFIG_GRID_FAST['leverage']])}
     CROSS JOIN {_unnest('m', CONFIG_GRID_FAST['margin'])} CROSS JOIN {_unnest('q', [_mil(x) for x in CONFIG_GRID_FAST['sl']])}"""
 # last * (1 - w/2) in units of 1/2000 cent; stop additionally in 1/1000
-_PRICES = """((px * (2000 - w)) // (tk * 2000)) * tk / 100.0 AS min_price, (-((-px * (2000 + w)) // (tk * 2000))) * tk / 100.0 AS max_price,
+_PRICES = """((px * (2000 - w)) // (tk * 2000)) * tk / 100.0 AS min_price, ((px * (2000 + w) + tk * 2000 - 1) // (tk * 2000)) * tk / 100.0 AS max_price,
     ((px * (2000 - w) * q) // (tk * 2000000)) * tk / 100.0 AS stop_loss_price"""
 CONFIG = "symbol range_width_pct:f cell_number_requested:i leverage_requested:i init_margin_requested:f stop_loss_mult:f min_price:f max_price:f stop_loss_price:f"
 query("candidate_configs", CONFIG, f"""SELECT symbol, w / 1000.0 AS range_width_pct, c AS cell_number_requested, v AS leverage_requested, m AS init_margin_requested, q / 1000.0 AS stop_loss_mult, {_PRICES} FROM configs""")(
-    lambda s, d: K.candidate_configs(instruments(s, d)))
-query("tick_rounding", "symbol down:f up:f", """SELECT symbol, (px // tk) * tk / 100.0 AS down, (-(-px // tk)) * tk / 100.0 AS up FROM (SELECT symbol, CAST(round(last_price * 100) AS BIGINT) AS px, tick_cents AS tk FROM instruments)""")(
+    lambda s, d: K.candidate_configs(B.table(s, d, "supplier").select(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), (F.round(F.col("s_acctbal"), 2).cast(K.PRICE) + 2000).cast(K.PRICE).alias("lastPrice"), F.lit("0.05").alias("tickSize"))))
+query("tick_rounding", "symbol down:f up:f", """SELECT symbol, (px // tk) * tk / 100.0 AS down, ((px + tk - 1) // tk) * tk / 100.0 AS up FROM (SELECT symbol, CAST(round(last_price * 100) AS BIGINT) AS px, tick_cents AS tk FROM instruments)""")(
     lambda s, d: instruments(s, d).select("symbol", *[f(F.col("lastPrice").cast(K.PRICE), F.col("tickSize").cast(K.PRICE)).alias(n) for n, f in (
         ("down", K.round_down_to_tick), ("up", K.round_up_to_tick))]))
 _SWEEP = ", ".join(f"({i}, '{n}', {_mil(w)}, {c}, {0 if lev == 'high' else lev}, {_mil(q)})" for i, (n, w, c, lev, q) in enumerate(SWEEP_PROFILES))
@@ -185,7 +186,7 @@ query("min_sweep_configs", "symbol profile_name range_width_pct:f cell_number_re
     SELECT symbol, name AS profile_name, w / 1000.0 AS range_width_pct, c AS cell_number_requested, v AS leverage_requested, q / 1000.0 AS stop_loss_mult, {_PRICES} FROM (
     SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY o) AS k FROM (SELECT *, row_number() OVER (PARTITION BY symbol, w, c, v, q ORDER BY o) AS r FROM (
     SELECT symbol, CAST(round(last_price * 100) AS BIGINT) AS px, tick_cents AS tk, o, name, w, c, CASE WHEN lev = 0 THEN top ELSE lev END AS v, q FROM (
-    SELECT *, coalesce(list_max(list_filter([{', '.join(str(x) for x in LEVERAGE_LADDER)}], x -> x <= max_leverage)), 1) AS top FROM instruments)
+    SELECT *, coalesce(list_max(list_filter([{', '.join(str(x) for x in LEVERAGE_LADDER)}], lambda x: x <= max_leverage)), 1) AS top FROM instruments)
     CROSS JOIN (VALUES {_SWEEP}, {_LADDER}) AS t(o, name, w, c, lev, q) WHERE name NOT LIKE 'ladder%' OR lev <= top)) WHERE r = 1) WHERE k <= 8""")(
     lambda s, d: K.min_sweep_configs(instruments(s, d), cap=8))
 
@@ -276,7 +277,7 @@ def _batch(s, d):
     envelope_valid AND l_returnflag <> 'R' AND coalesce(investment_min <= 5, false) AS target_init_margin_inside_validate_range,
     (l_extendedprice * 1.1 - l_extendedprice * 0.9) * 100.0 / (l_extendedprice * 0.9) AS requested_range_width_pct,
     (l_extendedprice - l_extendedprice * 0.8) * 100.0 / l_extendedprice AS requested_stop_loss_distance_from_last_pct FROM (
-    SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, 'P' || l_partkey || 'USDT' AS symbol, CASE WHEN l_linenumber <> 7 THEN round(l_extendedprice / 5000, 4) END AS investment_min,
+    SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, 'P' || l_partkey || 'USDT' AS symbol, CASE WHEN l_linenumber <> 7 THEN floor(l_extendedprice / 5) / 1000 END AS investment_min,
     l_linestatus = 'O' OR l_returnflag <> 'R' AS envelope_valid, (l_linestatus = 'O' OR l_returnflag <> 'R') AND l_returnflag <> 'R' AND l_discount <> 0.05 AS validate_ok FROM lineitem))""")
 def _validate(s, d):
     """Responses written from lineitem: R rows carry a failed code, F rows of them contradicting codes."""
@@ -284,7 +285,7 @@ def _validate(s, d):
     failed = F.col("l_returnflag") == "R"
     rng = lambda lo, hi: F.struct(lo.cast("string").alias("from"), hi.cast("string").alias("to"))
     px = F.col("l_extendedprice")
-    inv = F.when(F.col("l_linenumber") != 7, F.round(px / 5000, 4))
+    inv = F.when(F.col("l_linenumber") != 7, F.floor(px / 5) / 1000)
     result = F.struct(
         F.lit("FGRID_CHECK_CODE_UNSPECIFIED").alias("check_code"), F.when(F.col("l_discount") == 0.05, "param error").otherwise("").alias("debug_msg"),
         rng(inv, F.lit(1000)).alias("investment"), rng(F.lit(2), F.lit(45)).alias("cell_number"), rng(F.lit(1), F.lit(5)).alias("leverage"))
