@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from plateau.plans import exchange, market, research  # noqa: F401
+from plateau.plans import exchange, labels, market, research  # noqa: F401
 from plateau.plans.registry import ORACLES, QUERIES  # noqa: F401
