@@ -221,7 +221,7 @@ _GRID = "SELECT DISTINCT range_action_event_id, future_horizon_minutes, grid_cel
 CTES["cost"] = f"""SELECT *, (gl - el) * 10000 AS net_long, (gs - es) * 10000 AS net_short, gl - el > 0 AS be_long, gs - es > 0 AS be_short, (gl - el) / gl AS eff_long, (gs - es) / gs AS eff_short FROM (
     SELECT *, r - 1 AS gl, (r - 1) / r AS gs, fi + fo * r + slip + slip * r AS el, fi + fo / r + slip + slip / r AS es FROM (
     SELECT x.*, scenario, slip, CASE WHEN maker_in THEN maker_fee_rate ELSE taker_fee_rate END AS fi, CASE WHEN maker_out THEN maker_fee_rate ELSE taker_fee_rate END AS fo FROM ({_GRID}) x JOIN fees USING (symbol) CROSS JOIN scenarios))"""
-_c01 = lambda e: f"least(greatest({e}, 0), 1)"
+_c01 = lambda e: f"CASE WHEN ({e}) IS NOT NULL THEN least(greatest({e}, 0), 1) END"
 CTES["comp"] = f"""SELECT *, survival / h AS survival_ratio, 1 - survival / h AS exit_risk, 1 / (1 + locked / 1440) AS turnover_score, complete_score * (1 - amb) AS quality FROM (
     SELECT *, future_horizon_minutes::DOUBLE AS h, CASE WHEN ok THEN 1.0 ELSE least({_c01('future_coverage_minutes / future_horizon_minutes::DOUBLE')}, 0.999) END AS complete_score,
     CASE WHEN ok THEN greatest(CASE WHEN first_exit_ambiguous_bool THEN 1 ELSE 0 END, CASE WHEN first_sl_ambiguous_bool THEN 1 ELSE 0 END) END AS amb,

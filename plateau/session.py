@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return existing
 
 
+def new_path(spark: SparkSession, label: str = "plateau") -> str:
+    """A fresh folder name below the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame that several later joins read, and read it back.
 
@@ -39,6 +44,6 @@ def materialize(df: DataFrame) -> DataFrame:
     optimizer real sizes for its own broadcast decisions.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plateau-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
