@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plateau.functions.exprs import bad_ohlc_outcome, finite, floor_to, reasons, sha_id
+from plateau.functions.exprs import bad_ohlc_outcome, expand, floor_to, reasons, sha_id
 from plateau.operators.chunks import previous_row
 from plateau.operators.rangejoin import horizon_bin, interval_join, widen_bins
 from plateau.params import (
@@ -39,15 +39,8 @@ def check_parameters(horizons, grids, buffers) -> None:
 # --------------------------------------------------------------------------
 # projections
 
-def grid_levels(low: Column, high: Column, n: int) -> Column:
-    """n + 1 geometric levels with exact end points."""
-    ratio = F.pow(high / low, F.lit(1.0 / n))
-    inner = [low * F.pow(ratio, F.lit(float(i))) for i in range(1, n)]
-    return F.array(low, *inner, high)
-
-
 def grid_levels_of(low: Column, high: Column, n: Column) -> Column:
-    """The same levels for a cell number held in a column."""
+    """n + 1 geometric levels with exact end points; n may be a column."""
     ratio = F.pow(high / low, F.lit(1.0) / n)
     return F.transform(
         F.sequence(F.lit(0), n),
@@ -62,40 +55,47 @@ def grid_interval_columns(df: DataFrame, low: str = "range_low", high: str = "ra
                      (F.col(n) + 1).alias("grid_price_level_count"), F.col(n).alias("grid_interval_count"))
 
 
-def stop_columns(df: DataFrame, buffer: Column) -> dict[str, Column]:
-    """Stop-loss proxy of an event for one buffer."""
-    low, high = F.col("range_low"), F.col("range_high")
-    height = high - low
-    positive = lambda c: finite(c) & (c > 0)
-    good_range = finite(low) & finite(high) & (low > 0) & (high > low)
-    ratio = F.col("range_height_atr_14").cast("double") if "range_height_atr_14" in df.columns else F.lit(None).cast("double")
-    derived = F.when(positive(ratio) & (height > 0), height / ratio)
-    direct = F.coalesce(*[F.when(positive(F.col(c).cast("double")), F.col(c).cast("double")) for c in ("atr_14", "atr_14_abs") if c in df.columns],
-                        F.lit(None).cast("double"))
-    atr = F.coalesce(direct, derived)
-    good_buffer = finite(buffer) & (buffer >= 0)
-    ok = good_range & positive(atr) & good_buffer
-    apart = F.abs(direct - derived) > F.greatest(F.greatest(F.abs(direct), F.abs(derived)) * 1e-6, F.lit(1e-12))
-    reason = (
-        F.when(~good_range, "invalid_range").when(~positive(atr), "missing_or_invalid_atr").when(~good_buffer, "invalid_sl_atr_buffer")
-        .when(F.coalesce(apart, F.lit(False)), "direct_derived_atr_mismatch").otherwise("")
-    )
-    keep = lambda c: F.when(ok, c)
-    lower, upper = low - buffer * atr, high + buffer * atr
-    return {
-        "atr_14_abs_used": keep(atr), "atr_rel_14_used": keep(atr / low * 100),
-        "atr_value_source": F.when(~ok, "missing_or_invalid").when(direct.isNotNull(), "direct_event_atr_14").otherwise("derived_range_height_over_ratio"),
-        "lower_sl_price": keep(lower), "upper_sl_price": keep(upper),
-        "sl_distance_lower_abs": keep(low - lower), "sl_distance_upper_abs": keep(upper - high),
-        "sl_distance_lower_pct": keep((low - lower) / low * 100), "sl_distance_upper_pct": keep((upper - high) / high * 100),
-        "sl_proxy_valid_bool": ok, "sl_proxy_invalid_reason": reason,
-    }
+def with_atr(df: DataFrame) -> DataFrame:
+    """``__direct`` (given), ``__derived`` (height over ratio) and the ATR used, each positive or NULL."""
+    has = set(df.columns)
+    given = [f"if({_positive(f'CAST({c} AS DOUBLE)')}, CAST({c} AS DOUBLE), NULL)" for c in ("atr_14", "atr_14_abs") if c in has]
+    ratio = "CAST(range_height_atr_14 AS DOUBLE)" if "range_height_atr_14" in has else "CAST(NULL AS DOUBLE)"
+    return df.selectExpr(
+        "*", f"coalesce({', '.join([*given, 'CAST(NULL AS DOUBLE)'])}) AS __direct",
+        f"if({_positive(ratio)} AND range_high > range_low, (range_high - range_low) / {ratio}, NULL) AS __derived",
+        f"{_finite('range_low')} AND {_finite('range_high')} AND coalesce(range_low > 0 AND range_high > range_low, false) AS __good_range",
+    ).selectExpr("*", "coalesce(__direct, __derived) AS __atr")
+
+
+def _finite(x: str) -> str:
+    return f"coalesce(NOT isnan({x}) AND abs({x}) < double('infinity'), false)"
+
+
+def _positive(x: str) -> str:
+    return f"({_finite(x)} AND coalesce({x} > 0, false))"
+
+
+def with_stops(df: DataFrame, buffer: str) -> DataFrame:
+    """Stop-loss proxy columns of an event for one buffer (a column name or literal)."""
+    d = with_atr(df).selectExpr("*", f"__good_range AND {_positive('__atr')} AND {_finite(buffer)} AND {buffer} >= 0 AS sl_proxy_valid_bool")
+    d = d.selectExpr(
+        "*", f"if(sl_proxy_valid_bool, range_low - {buffer} * __atr, NULL) AS lower_sl_price",
+        f"if(sl_proxy_valid_bool, range_high + {buffer} * __atr, NULL) AS upper_sl_price")
+    apart = "abs(__direct - __derived) > greatest(greatest(abs(__direct), abs(__derived)) * 1e-6, 1e-12)"
+    made = ("__direct", "__derived", "__atr", "__good_range")
+    return d.selectExpr(
+        *[c for c in d.columns if c not in made],
+        "if(sl_proxy_valid_bool, __atr, NULL) AS atr_14_abs_used", "if(sl_proxy_valid_bool, __atr / range_low * 100, NULL) AS atr_rel_14_used",
+        "CASE WHEN NOT sl_proxy_valid_bool THEN 'missing_or_invalid' WHEN __direct IS NOT NULL THEN 'direct_event_atr_14' ELSE 'derived_range_height_over_ratio' END AS atr_value_source",
+        "range_low - lower_sl_price AS sl_distance_lower_abs", "upper_sl_price - range_high AS sl_distance_upper_abs",
+        "(range_low - lower_sl_price) / range_low * 100 AS sl_distance_lower_pct", "(upper_sl_price - range_high) / range_high * 100 AS sl_distance_upper_pct",
+        f"CASE WHEN NOT __good_range THEN 'invalid_range' WHEN NOT {_positive('__atr')} THEN 'missing_or_invalid_atr' WHEN NOT sl_proxy_valid_bool THEN 'invalid_sl_atr_buffer' "
+        f"WHEN coalesce({apart}, false) THEN 'direct_derived_atr_mismatch' ELSE '' END AS sl_proxy_invalid_reason")
 
 
 def sl_proxy(events: DataFrame, buffers=SL_BUFFERS) -> DataFrame:
     """events x buffers with the stop columns."""
-    d = events.withColumn("sl_atr_buffer", F.explode(F.array(*[F.lit(float(b)) for b in buffers])))
-    return d.select("*", *[c.alias(n) for n, c in stop_columns(d, F.col("sl_atr_buffer")).items()])
+    return with_stops(expand(events, [{"sl_atr_buffer": float(b)} for b in buffers]), "sl_atr_buffer")
 
 
 def causal_times(events: DataFrame, step_ms: int) -> DataFrame:
@@ -130,44 +130,34 @@ def future_bars(bars: DataFrame, step_ms: int) -> DataFrame:
     return kept.withColumn("kept", F.lit(True)).unionByName(extra.withColumn("kept", F.lit(False)))
 
 
+RANKED = {"a": "x_a", "b": "x_b", "lo": "low", "hi": "high"}  # "lo" counts levels strictly below
+
+
 def with_ranks(pairs: DataFrame, grids) -> DataFrame:
-    """Per grid, how many levels lie at or below (``le``) or below (``lt``) a price, in constant time.
+    """Per grid, how many levels lie at or below (or strictly below) a price, in constant time.
 
     The logarithm gives the position up to rounding; one comparison with each
     stored neighbour makes it exact.  The steps are separate projections so that
     each is evaluated once per pair.
     """
-    move = F.col("prev_open_time_ms") >= F.col("entry_time_ms")
-    prev, cur = F.when(move, F.col("prev_close")).otherwise(F.col("close")), F.col("close")
-    priced = pairs.select("*", move.alias("moved"), F.least(prev, cur).alias("x_a"), F.greatest(prev, cur).alias("x_b"))
-    logs = priced.select("*", *[F.ln(F.col(c) / F.col("range_low")).alias(f"ln_{x}") for x, c in RANKED.items()])
-    guesses = logs.select("*", *[
-        F.greatest(F.lit(0), F.least(F.lit(n + 1), F.floor(F.col(f"ln_{x}") / F.col(f"lr_{n}")).cast("int") + 1)).alias(f"g_{x}_{n}")
-        for n in grids for x in RANKED])
+    priced = pairs.selectExpr("*", "coalesce(prev_open_time_ms >= entry_time_ms, false) AS moved").selectExpr(
+        "*", "least(if(moved, prev_close, close), close) AS x_a", "greatest(if(moved, prev_close, close), close) AS x_b")
+    guesses = priced.selectExpr("*", *[f"ln({c} / range_low) AS ln_{x}" for x, c in RANKED.items()]).selectExpr(
+        "*", *[f"greatest(0, least({n + 1}, CAST(floor(ln_{x} / lr_{n}) AS INT) + 1)) AS g_{x}_{n}" for n in grids for x in RANKED])
     out = []
     for n in grids:
         for x, c in RANKED.items():
-            g, levels = F.col(f"g_{x}_{n}"), F.col(f"levels_{n}")
-            above, at = F.get(levels, g), F.get(levels, g - 1)
-            price = F.col(c)
-            low = (above < price, at >= price) if x == "lo" else (above <= price, at > price)
-            step = F.when(F.coalesce(low[0], F.lit(False)), 1).when(F.coalesce(low[1], F.lit(False)), -1).otherwise(0)
-            out.append((g + step).alias(f"r_{x}_{n}"))
+            g = f"g_{x}_{n}"
+            up, down = ("<", ">=") if x == "lo" else ("<=", ">")
+            out.append(f"{g} + CASE WHEN coalesce(get(levels_{n}, {g}) {up} {c}, false) THEN 1 WHEN coalesce(get(levels_{n}, {g} - 1) {down} {c}, false) THEN -1 ELSE 0 END AS r_{x}_{n}")
     keep = [c for c in pairs.columns if not c.startswith(("levels_", "lr_"))]
-    return guesses.select(*keep, "moved", "x_a", "x_b", *out)
+    return guesses.selectExpr(*keep, "moved", "x_a", "x_b", *out)
 
 
-RANKED = {"a": "x_a", "b": "x_b", "lo": "low", "hi": "high"}  # "lo" counts levels strictly below
-
-
-def _mask(lo: Column, hi: Column, word: int) -> Column:
-    """Bits lo..hi-1 of the word'th group of levels."""
-    base = word * WORD
-    a = F.greatest(F.lit(0), F.least(F.lit(WORD), lo - base))
-    b = F.greatest(F.lit(0), F.least(F.lit(WORD), hi - base))
-    one = F.lit(1).cast("long")
-    ones = lambda k: F.call_function("shiftleft", one, k) - 1
-    return F.when(hi > lo, ones(b).bitwiseAND(F.bitwise_not(ones(a)))).otherwise(F.lit(0).cast("long"))
+def _mask(lo: str, hi: str, word: int) -> str:
+    """Bits lo..hi-1 of the word'th group of levels, as SQL."""
+    ones = lambda r: f"(shiftleft(1L, greatest(0, least({WORD}, {r} - {word * WORD}))) - 1L)"
+    return f"if({hi} > {lo}, {ones(hi)} & ~{ones(lo)}, 0L)"
 
 
 def _words(n: int) -> int:
@@ -176,79 +166,66 @@ def _words(n: int) -> int:
 
 def event_windows(events: DataFrame, step_ms: int, grids, buffers) -> DataFrame:
     """Event side of the pass: entry, range, stops per buffer and levels per grid."""
-    e = events.select(
-        "range_action_event_id", "symbol", "entry_time_ms", "range_low", "range_high",
-        F.coalesce(F.col("range_mid"), (F.col("range_low") + F.col("range_high")) / 2).alias("range_mid"),
-        *[c for c in ("range_height_atr_14", "atr_14", "atr_14_abs") if c in events.columns],
-    )
+    e = with_atr(events.selectExpr(
+        "range_action_event_id", "symbol", "entry_time_ms", "range_low", "range_high", "coalesce(range_mid, (range_low + range_high) / 2) AS range_mid",
+        *[c for c in ("range_height_atr_14", "atr_14", "atr_14_abs") if c in events.columns]))
+    ok = f"__good_range AND {_positive('__atr')}"
     stops = []
     for i, b in enumerate(buffers):
-        cols = stop_columns(e, F.lit(float(b)))
-        stops += [cols["lower_sl_price"].alias(f"stop_lo_{i}"), cols["upper_sl_price"].alias(f"stop_hi_{i}")]
-    lo, hi = F.col("range_low"), F.col("range_high")
-    return e.select(
-        "range_action_event_id", "symbol", "entry_time_ms", "range_low", "range_high", "range_mid", *stops,
-        *[grid_levels(lo, hi, n).alias(f"levels_{n}") for n in grids],
-        *[(F.ln(hi / lo) / n).alias(f"lr_{n}") for n in grids],
-    )
+        stops += [f"if({ok}, range_low - {float(b)}D * __atr, NULL) AS stop_lo_{i}", f"if({ok}, range_high + {float(b)}D * __atr, NULL) AS stop_hi_{i}"]
+    levels = []
+    for n in grids:
+        inner = ", ".join(f"range_low * pow(pow(range_high / range_low, {1.0 / n!r}D), {float(i)}D)" for i in range(1, n))
+        levels += [f"array(range_low, {inner}, range_high) AS levels_{n}", f"ln(range_high / range_low) / {n} AS lr_{n}"]
+    return e.selectExpr("range_action_event_id", "symbol", "entry_time_ms", "range_low", "range_high", "range_mid", *stops, *levels)
 
 
 SUM, MIN, MAX, OR = "sum", "min", "max", "bit_or"
 
 
-def _pass_columns(step_ms: int, grids, buffers) -> list[tuple[str, str, Column]]:
-    """(name, combining aggregate, per-pair value) of everything measured on bars."""
-    t, h, lo, c = (F.col(x) for x in ("open_time_ms", "high", "low", "close"))
-    kept = F.col("kept")
-    flag = lambda cond: F.when(cond, 1).otherwise(0).cast("long")
-    when_kept = lambda cond, v: F.when(kept & cond, v)
-    on_grid = F.pmod(t - F.col("entry_time_ms"), F.lit(step_ms)) == 0
-    rl, rh, mid = F.col("range_low"), F.col("range_high"), F.col("range_mid")
-    paired = kept & F.col("moved")
-    a, b = F.col("x_a"), F.col("x_b")
+def _pass_columns(step_ms: int, grids, buffers) -> list[tuple[str, str, str]]:
+    """(name, combining aggregate, per-pair SQL) of everything measured on bars."""
+    flag = lambda cond: f"CAST({cond} AS BIGINT)"
+    when = lambda cond, v: f"if(kept AND {cond}, {v}, NULL)"
+    on_grid = f"pmod(open_time_ms - entry_time_ms, {step_ms}L) = 0"
+    paired = "kept AND moved"
     out = [
-        ("raw_rows", SUM, flag(F.lit(True))), ("grid_rows", SUM, flag(on_grid)), ("grid_times", SUM, flag(on_grid & kept)),
-        ("bad_rows", SUM, flag(F.col("is_bad"))), ("zero_rows", SUM, flag(F.coalesce(F.col("volume") <= 0, F.lit(False)))),
-        ("inside", SUM, flag(kept & (h <= rh) & (lo >= rl))),
-        ("upper_touches", SUM, flag(kept & (h >= rh))), ("lower_touches", SUM, flag(kept & (lo <= rl))),
-        ("mid_crosses", SUM, flag(paired & (a < mid) & (b >= mid))),
-        ("top", MAX, when_kept(F.lit(True), h)), ("bottom", MIN, when_kept(F.lit(True), lo)),
-        ("mid_distance", MAX, when_kept(F.lit(True), F.abs(c - mid))),
-        ("up_ms", MIN, when_kept(h > rh, t)), ("down_ms", MIN, when_kept(lo < rl, t)),
-        ("first_ms", MIN, when_kept(F.lit(True), t)),
+        ("raw_rows", SUM, "1L"), ("grid_rows", SUM, flag(on_grid)), ("grid_times", SUM, flag(f"{on_grid} AND kept")),
+        ("bad_rows", SUM, flag("is_bad")), ("zero_rows", SUM, flag("coalesce(volume <= 0, false)")),
+        ("inside", SUM, flag("coalesce(kept AND high <= range_high AND low >= range_low, false)")),
+        ("upper_touches", SUM, flag("coalesce(kept AND high >= range_high, false)")), ("lower_touches", SUM, flag("coalesce(kept AND low <= range_low, false)")),
+        ("mid_crosses", SUM, flag(f"coalesce({paired} AND x_a < range_mid AND x_b >= range_mid, false)")),
+        ("top", MAX, when("true", "high")), ("bottom", MIN, when("true", "low")), ("mid_distance", MAX, when("true", "abs(close - range_mid)")),
+        ("up_ms", MIN, when("high > range_high", "open_time_ms")), ("down_ms", MIN, when("low < range_low", "open_time_ms")), ("first_ms", MIN, when("true", "open_time_ms")),
     ]
     for i, _ in enumerate(buffers):
-        out += [(f"stop_up_{i}", MIN, when_kept(h >= F.col(f"stop_hi_{i}"), t)), (f"stop_down_{i}", MIN, when_kept(lo <= F.col(f"stop_lo_{i}"), t))]
+        out += [(f"stop_up_{i}", MIN, when(f"high >= stop_hi_{i}", "open_time_ms")), (f"stop_down_{i}", MIN, when(f"low <= stop_lo_{i}", "open_time_ms"))]
     for n in grids:
-        inner = lambda r, n=n: F.greatest(F.lit(0), F.least(F.lit(n - 1), r - 1))
-        ra, rb, t_lo, t_hi = (F.col(f"r_{x}_{n}") for x in RANKED)
-        count = lambda cond, v: F.when(cond, v).otherwise(0).cast("long")
+        ra, rb, t_lo, t_hi = (f"r_{x}_{n}" for x in RANKED)
+        inner = lambda r, n=n: f"greatest(0, least({n - 1}, {r} - 1))"
+        count = lambda cond, v: f"CAST(coalesce(if({cond}, {v}, 0), 0) AS BIGINT)"
         out += [
-            (f"cross_{n}", SUM, count(paired, rb - ra)), (f"cross_in_{n}", SUM, count(paired, inner(rb) - inner(ra))),
-            (f"touch_{n}", SUM, count(kept, t_hi - t_lo)), (f"touch_in_{n}", SUM, count(kept, inner(t_hi) - inner(t_lo))),
+            (f"cross_{n}", SUM, count(paired, f"{rb} - {ra}")), (f"cross_in_{n}", SUM, count(paired, f"{inner(rb)} - {inner(ra)}")),
+            (f"touch_{n}", SUM, count("kept", f"{t_hi} - {t_lo}")), (f"touch_in_{n}", SUM, count("kept", f"{inner(t_hi)} - {inner(t_lo)}")),
         ]
-        out += [(f"seen_{n}_{w}", OR, F.when(kept, _mask(t_lo, t_hi, w))) for w in range(_words(n))]
+        out += [(f"seen_{n}_{w}", OR, f"if(kept, {_mask(t_lo, t_hi, w)}, NULL)") for w in range(_words(n))]
     return out
 
 
-_AGG = {SUM: F.sum, MIN: F.min, MAX: F.max, OR: F.bit_or}
-
-
 def bar_pass(events: DataFrame, bars: DataFrame, step_ms: int, horizons, grids, buffers) -> DataFrame:
     """Everything measured on bars, per (event, horizon); windows without bars are absent."""
     width = max(horizons) * step_ms
     pairs = interval_join(event_windows(events, step_ms, grids, buffers), future_bars(bars, step_ms), ["symbol"], "entry_time_ms", width, "open_time_ms")
-    pairs = with_ranks(pairs, grids)
     cols = _pass_columns(step_ms, grids, buffers)
     key = ["range_action_event_id"]
+    bins = " ".join(f"WHEN open_time_ms - entry_time_ms < {h * step_ms}L THEN {h}" for h in sorted(horizons))
+    merged = [F.expr(f"{how}({n})").alias(n) for n, how, _ in cols]
     binned = (
-        pairs.select(*key, horizon_bin(F.col("open_time_ms") - F.col("entry_time_ms"), horizons, step_ms).alias("bin"),
-                     *[c.alias(n) for n, _, c in cols], F.when(F.col("kept"), F.col("close")).alias("kept_close"))
-        .groupBy(*key, "bin")
-        .agg(*[_AGG[how](n).alias(n) for n, how, _ in cols], F.min_by("kept_close", "first_ms").alias("first_close"))
+        with_ranks(pairs, grids)
+        .selectExpr(*key, f"CASE {bins} END AS bin", *[f"{c} AS {n}" for n, _, c in cols], "if(kept, close, NULL) AS kept_close")
+        .groupBy(*key, "bin").agg(*merged, F.min_by("kept_close", "first_ms").alias("first_close"))
     )
-    aggs = [_AGG[how](n).alias(n) for n, how, _ in cols]
-    return widen_bins(binned, key, horizons, [*aggs, F.min_by("first_close", "first_ms").alias("first_close")])
+    return widen_bins(binned, key, horizons, [*merged, F.min_by("first_close", "first_ms").alias("first_close")])
 
 
 def funding_pass(events: DataFrame, funding: DataFrame, step_ms: int, horizons) -> DataFrame:
@@ -317,31 +294,23 @@ def event_horizon_outcomes(events: DataFrame, bars: DataFrame, marks: DataFrame,
         .join(with_funding, "symbol", "left")
     )
     d = window_diagnostics(d)
-    ok = F.col("future_data_complete_bool")
-    claim = lambda c: F.when(ok, c)
-    rl, rh, mid = F.col("range_low"), F.col("range_high"), F.coalesce(F.col("range_mid"), (F.col("range_low") + F.col("range_high")) / 2)
-    entry, h = F.col("entry_time_ms"), F.col("future_horizon_minutes")
-    side, when, both = first_of(F.col("up_ms"), F.col("down_ms"), "up", "down")
-    fn = F.coalesce(F.col("funding_n"), F.lit(0).cast("long"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    first = F.col("first_close")
-    deviation = F.greatest(F.col("mark_hi") - first, first - F.col("mark_lo")) / first * 100
-    return d.select(
-        "*", (entry + h * F.lit(step_ms).cast("long")).alias("outcome_end_exclusive_ms"),
-        claim(side).alias("first_exit_side"), claim(both).alias("first_exit_ambiguous_bool"), claim(when).alias("first_exit_time_ms"),
-        claim(((when - entry) / step_ms).cast("long")).alias("minutes_to_first_exit"),
-        claim(F.col("inside")).alias("time_inside_range_minutes"), claim(F.col("inside")).alias("inside_range_candle_count"),
-        claim(F.col("inside") / h).alias("inside_range_ratio"),
-        claim(F.greatest(F.lit(0.0), (F.col("top") - rh) / rh * 100)).alias("max_high_above_range_pct"),
-        claim(F.greatest(F.lit(0.0), (rl - F.col("bottom")) / rl * 100)).alias("max_low_below_range_pct"),
-        claim(F.col("mid_distance") / mid * 100).alias("max_close_distance_from_mid_pct"),
-        claim(F.col("mid_crosses")).alias("future_midline_cross_count"),
-        claim(F.col("upper_touches")).alias("future_upper_zone_touch_count"), claim(F.col("lower_touches")).alias("future_lower_zone_touch_count"),
-        fn.alias("funding_rows_in_horizon"), zero("funding_s").alias("funding_rate_sum"), zero("funding_a").alias("funding_rate_abs_sum"),
-        F.coalesce(F.try_divide(F.col("funding_s"), F.col("funding_n")), F.lit(0.0)).alias("funding_rate_mean"),
-        F.when(F.col("has_funding").isNull(), "missing_file").when(fn == 0, "no_overlap").otherwise("ok").alias("funding_source_status"),
-        F.coalesce(F.col("mark_n"), F.lit(0).cast("long")).alias("mark_price_future_rows_available"),
-        claim(F.coalesce(deviation, F.lit(0.0))).alias("mark_price_max_deviation_from_last_pct"),
+    claim = lambda v, name: f"if(future_data_complete_bool, {v}, NULL) AS {name}"
+    side = ("CASE WHEN up_ms = down_ms THEN 'ambiguous_both' WHEN up_ms IS NULL AND down_ms IS NULL THEN 'none' "
+            "WHEN down_ms IS NULL OR up_ms < down_ms THEN 'up' ELSE 'down' END")
+    h = "future_horizon_minutes"
+    deviation = "coalesce(greatest(mark_hi - first_close, first_close - mark_lo) / first_close * 100, 0D)"
+    return d.selectExpr(
+        "*", f"entry_time_ms + {h} * {step_ms}L AS outcome_end_exclusive_ms",
+        claim(side, "first_exit_side"), claim("coalesce(up_ms = down_ms, false)", "first_exit_ambiguous_bool"), claim("least(up_ms, down_ms)", "first_exit_time_ms"),
+        claim(f"(least(up_ms, down_ms) - entry_time_ms) div {step_ms}L", "minutes_to_first_exit"),
+        claim("inside", "time_inside_range_minutes"), claim("inside", "inside_range_candle_count"), claim(f"inside / {h}", "inside_range_ratio"),
+        claim("greatest(0D, (top - range_high) / range_high * 100)", "max_high_above_range_pct"), claim("greatest(0D, (range_low - bottom) / range_low * 100)", "max_low_below_range_pct"),
+        claim("mid_distance / coalesce(range_mid, (range_low + range_high) / 2) * 100", "max_close_distance_from_mid_pct"),
+        claim("mid_crosses", "future_midline_cross_count"), claim("upper_touches", "future_upper_zone_touch_count"), claim("lower_touches", "future_lower_zone_touch_count"),
+        "coalesce(funding_n, 0L) AS funding_rows_in_horizon", "coalesce(funding_s, 0D) AS funding_rate_sum", "coalesce(funding_a, 0D) AS funding_rate_abs_sum",
+        "coalesce(try_divide(funding_s, funding_n), 0D) AS funding_rate_mean",
+        "CASE WHEN has_funding IS NULL THEN 'missing_file' WHEN coalesce(funding_n, 0L) = 0 THEN 'no_overlap' ELSE 'ok' END AS funding_source_status",
+        "coalesce(mark_n, 0L) AS mark_price_future_rows_available", claim(deviation, "mark_price_max_deviation_from_last_pct"),
     )
 
 
@@ -351,23 +320,18 @@ def build_outcomes(events: DataFrame, bars: DataFrame, marks: DataFrame, funding
     check_parameters(horizons, grids, buffers)
     timed = causal_times(events, step_ms)
     d = event_horizon_outcomes(timed, bars, marks, funding, step_ms, horizons, grids, buffers)
-    per_buffer = []
-    for i, b in enumerate(buffers):
-        per_buffer.append(F.struct(
-            F.lit(float(b)).alias("sl_atr_buffer"), F.lit(buffer_token(b)).alias("__token"),
-            F.col(f"stop_up_{i}").alias("__up"), F.col(f"stop_down_{i}").alias("__down")))
+    per_buffer = [
+        f"named_struct('sl_atr_buffer', {float(b)}D, '__token', '{buffer_token(b)}', '__up', stop_up_{i}, '__down', stop_down_{i})" for i, b in enumerate(buffers)]
     per_grid = []
     for n in grids:
-        masks = [F.bit_count(F.coalesce(F.col(f"seen_{n}_{w}"), F.lit(0).cast("long"))) for w in range(_words(n))]
-        per_grid.append(F.struct(
-            F.lit(n).alias("grid_cell_number"), sum(masks[1:], masks[0]).cast("long").alias("__seen"),
-            *[F.col(f"{c}_{n}").alias(f"__{c}") for c in ("cross", "cross_in", "touch", "touch_in")]))
+        seen = " + ".join(f"bit_count(coalesce(seen_{n}_{w}, 0L))" for w in range(_words(n)))
+        per_grid.append(f"named_struct('grid_cell_number', {n}, '__seen', CAST({seen} AS BIGINT), " + ", ".join(f"'__{c}', {c}_{n}" for c in ("cross", "cross_in", "touch", "touch_in")) + ")")
     measured = [c for c in d.columns if c.startswith(("stop_up_", "stop_down_", "seen_", "cross_", "touch_"))]
-    d = d.select("*", F.inline(F.array(*per_grid))).select("*", F.inline(F.array(*per_buffer))).drop(*measured)
+    d = d.selectExpr("*", f"inline(array({', '.join(per_grid)}))").selectExpr("*", f"inline(array({', '.join(per_buffer)}))").drop(*measured)
     side, when, both = first_of(F.col("__up"), F.col("__down"), "upper", "lower")
-    d = d.select("*", side.alias("__side"), when.alias("__when"), both.alias("__both"),
-                 *[c.alias(n) for n, c in stop_columns(d, F.col("sl_atr_buffer")).items()],
-                 grid_levels_of(F.col("range_low"), F.col("range_high"), F.col("grid_cell_number")).alias("grid_levels"))
+    d = with_stops(d, "sl_atr_buffer").select(
+        "*", side.alias("__side"), when.alias("__when"), both.alias("__both"),
+        grid_levels_of(F.col("range_low"), F.col("range_high"), F.col("grid_cell_number")).alias("grid_levels"))
     d = grid_interval_columns(d)
     ok, h = F.col("future_data_complete_bool"), F.col("future_horizon_minutes")
     claim = lambda c: F.when(ok, c)
