@@ -23,7 +23,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("plateau-bench")
         .config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "12g").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     from plateau.operators import events as E, outcomes as O, quality as Q, ranges as R, scores as S, splits as W

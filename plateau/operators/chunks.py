@@ -80,23 +80,33 @@ def previous_row(df: DataFrame, keys: list[str], time_col: str, chunk_ms: int, c
     return d.drop("__prev", "__before", "__chunk")
 
 
-def sessionize(df: DataFrame, keys: list[str], time_col: str, gap_ms: int, chunk_ms: int, out: str = "session_start_ms") -> DataFrame:
-    """Session start of each row; a session ends where the next row is more than ``gap_ms`` later."""
-    d = previous_row(df, keys, time_col, chunk_ms, [time_col])
-    t, p = F.col(time_col), F.col(f"prev_{time_col}")
-    d = d.withColumn("__start", F.when(p.isNull() | (t - p > gap_ms), t))
-    d = d.withColumn("__chunk", floor_to(t, chunk_ms))
+def sessionize(df: DataFrame, keys: list[str], time_col: str, gap_ms, chunk_ms: int, out: str = "session_start_ms") -> DataFrame:
+    """Session start of each row; a session ends where the next row is more than ``gap_ms`` later.
+
+    ``gap_ms`` may be a column that is constant per key.  Breaks inside a chunk
+    are found there; each chunk then learns from one row per chunk in which
+    session its head continues.  The chunk summary reads keys and times only.
+    """
+    gap = gap_ms if isinstance(gap_ms, Column) else F.lit(gap_ms).cast("long")
+    t = F.col(time_col)
     inside = Window.partitionBy(*keys, "__chunk").orderBy(time_col)  # RANGE frame: ties share the start
-    per_key = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        d.groupBy(*keys, "__chunk").agg(F.max("__start").alias("__m"))
-        .select(*keys, "__chunk", F.max("__m").over(per_key).alias("__carry"))
-    )
+
+    def local(d: DataFrame) -> DataFrame:
+        d = d.withColumn("__chunk", floor_to(t, chunk_ms))
+        return d.withColumn("__break", F.when(t - F.lag(time_col).over(inside) > gap, t))
+
+    heads = local(df).groupBy(*keys, "__chunk").agg(
+        F.min(time_col).alias("__first"), F.max(time_col).alias("__last"), F.max("__break").alias("__inner"), F.max(gap).alias("__gap"))
+    per_key = Window.partitionBy(*keys).orderBy("__chunk")
+    before = F.lag("__last").over(per_key)
+    heads = heads.withColumn("__fresh", F.when(before.isNull() | (F.col("__first") - before > F.col("__gap")), F.col("__first")))
+    known = F.max(F.coalesce("__inner", "__fresh")).over(per_key.rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.select(*keys, "__chunk", F.coalesce("__fresh", known).alias("__head"))
     return (
-        d.withColumn("__local", F.max("__start").over(inside))
-        .join(carried, [*keys, "__chunk"], "left")
-        .withColumn(out, F.coalesce("__local", "__carry"))
-        .drop("__local", "__carry", "__start", "__chunk", f"prev_{time_col}")
+        local(df).withColumn("__local", F.max("__break").over(inside))
+        .join(heads, [*keys, "__chunk"])
+        .withColumn(out, F.coalesce("__local", "__head"))
+        .drop("__local", "__head", "__break", "__chunk")
     )
 
 

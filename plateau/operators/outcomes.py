@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plateau.functions.exprs import bad_ohlc_outcome, expand, floor_to, reasons, sha_id
-from plateau.operators.chunks import previous_row
 from plateau.operators.rangejoin import horizon_bin, interval_join, widen_bins
 from plateau.params import (
     EVENT_SEMANTICS, GRID_COUNTS, GRID_SEMANTICS, HORIZONS, LEVELS_SERIALIZATION, OUTCOME_SEMANTICS,
@@ -120,14 +119,28 @@ def causal_times(events: DataFrame, step_ms: int) -> DataFrame:
 # one pass over the bars
 
 def future_bars(bars: DataFrame, step_ms: int) -> DataFrame:
-    """Bars with the previous kept close; of equal times the first in value order is kept."""
+    """Bars with the previous kept close; of equal times the first in value order is kept.
+
+    One shuffle by (symbol, chunk) serves both windows; only the last kept bar of
+    each chunk crosses into the next.
+    """
     order = ["open", "high", "low", "close", "volume"]
-    inside = Window.partitionBy("symbol", "open_time_ms").orderBy(*order)  # copies of one instant
-    rows = bars.select("symbol", "open_time_ms", *order, bad_ohlc_outcome().alias("is_bad")).withColumn("__r", F.row_number().over(inside))
-    kept = previous_row(rows.where(F.col("__r") == 1).drop("__r"), ["symbol"], "open_time_ms", CHUNK_BARS * step_ms, ["open_time_ms", "close"])
-    extra = rows.where(F.col("__r") > 1).select(
-        *[c for c in rows.columns if c != "__r"], F.lit(None).cast("long").alias("prev_open_time_ms"), F.lit(None).cast("double").alias("prev_close"))
-    return kept.withColumn("kept", F.lit(True)).unionByName(extra.withColumn("kept", F.lit(False)))
+    rows = (
+        bars.select("symbol", "open_time_ms", *order, bad_ohlc_outcome().alias("is_bad"))
+        .withColumn("__chunk", floor_to(F.col("open_time_ms"), CHUNK_BARS * step_ms)).repartition("symbol", "__chunk"))
+    copies = Window.partitionBy("symbol", "__chunk", "open_time_ms").orderBy(*order)
+    inside = Window.partitionBy("symbol", "__chunk").orderBy("open_time_ms", *order)
+    this = F.when(F.col("kept"), F.struct("open_time_ms", "close"))
+    rows = rows.withColumn("kept", F.row_number().over(copies) == 1)
+    per_symbol = Window.partitionBy("symbol").orderBy("__chunk")
+    tails = rows.groupBy("symbol", "__chunk").agg(F.max(this).alias("__tail")).select(
+        "symbol", "__chunk", F.lag("__tail").over(per_symbol).alias("__before"))
+    prev = F.last(this, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        rows.withColumn("__prev", prev).join(tails, ["symbol", "__chunk"], "left")
+        .withColumn("__prev", F.coalesce("__prev", "__before"))
+        .select("symbol", "open_time_ms", *order, "is_bad", "kept", F.col("__prev.open_time_ms").alias("prev_open_time_ms"), F.col("__prev.close").alias("prev_close"))
+    )
 
 
 RANKED = {"a": "x_a", "b": "x_b", "lo": "low", "hi": "high"}  # "lo" counts levels strictly below

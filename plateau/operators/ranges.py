@@ -16,6 +16,7 @@ from plateau.functions.exprs import (
 )
 from plateau.operators.chunks import number_rows, with_halo
 from plateau.params import DETECTION_DEFAULTS, PROFILES
+from plateau.session import materialize
 
 ATR_SHORT, ATR_LONG = 14, 60
 
@@ -395,7 +396,7 @@ def detect_candidates(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad
     rows = prepared_rows(bars, step_ms, max(lookbacks) + 1)
     windows = with_geometry(window_stats(rows, lookbacks).where("full"), cfg).where(structural_reason(step_ms).isNull())
     passes = [all_of([~F.coalesce(c, F.lit(False)) for _, c in early_rejections(p, cfg) + trend_rejections(p)]) for p in profiles]
-    windows = windows.where(any_of(passes))
+    windows = materialize(windows.where(any_of(passes)))  # read by the touch join and by the result
     touched = touch_counts(windows, rows, lookbacks) if core == "join" else touch_counts_arrow(windows, rows, lookbacks, cfg)
     scored = windows.join(touched, ["symbol", "lookback_minutes", "rn"])
     checks = early_rejections(None, cfg) + touch_rejections() + trend_rejections(None)
@@ -413,10 +414,9 @@ def rejection_funnel(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad_
     profiles = _resolve(profiles)
     prows = _profile_rows(profiles)
     rows = prepared_rows(bars, step_ms, max(lookbacks) + 1)
-    every = window_stats(rows, lookbacks)
-    full = with_geometry(every.where("full"), cfg).withColumn("structural", structural_reason(step_ms))
+    every = with_geometry(window_stats(rows, lookbacks), cfg).withColumn("structural", F.when(F.col("full"), structural_reason(step_ms)).otherwise("short"))
     early_ok = any_of([all_of([~F.coalesce(c, F.lit(False)) for _, c in early_rejections(p, cfg)]) for p in profiles])
-    deep = F.col("structural").isNull() & early_ok
+    deep = F.coalesce(F.col("structural").isNull() & early_ok, F.lit(False))
 
     def first_reason(pairs):
         expr = F.when(F.col("structural").isNotNull(), F.col("structural"))
@@ -424,7 +424,7 @@ def rejection_funnel(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad_
             expr = expr.when(F.coalesce(cond, F.lit(False)), F.lit(name))
         return expr
 
-    survivors = full.where(deep)
+    survivors = materialize(every.where(deep))  # the few windows that need their bars
     touched = touch_counts(survivors, rows, lookbacks)
     joined = expand(survivors.join(touched, ["symbol", "lookback_minutes", "rn"]), prows)
     checks = early_rejections(None, cfg) + touch_rejections() + trend_rejections(None)
@@ -432,14 +432,12 @@ def rejection_funnel(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad_
     low_score = (F.col("p_min_range_quality_score") != 0) & (F.col("range_quality_score") < F.col("p_min_range_quality_score"))
     late = late.select("symbol", "profile_name", "lookback_minutes",
                        F.coalesce("reason", F.when(low_score, "quality_score"), F.lit("pass")).alias("reason"))
-    shallow = expand(full.where(~deep), prows).select(
+    shallow = expand(every.where(~deep), prows).select(
         "symbol", "profile_name", "lookback_minutes", first_reason(early_rejections(None, cfg)).alias("reason"))
-    short = expand(every.where(~F.col("full")), [{"profile_name": r["profile_name"]} for r in prows]).select(
-        "symbol", "profile_name", "lookback_minutes", F.lit("short").alias("reason"))
     n = lambda r: F.count_if(F.col("reason") == r)
     positions = F.count_if(F.col("reason") != "short")
     return (
-        late.unionByName(shallow).unionByName(short)
+        late.unionByName(shallow)
         .groupBy("symbol", "profile_name", "lookback_minutes")
         .agg(
             positions.alias("total_window_positions"),

@@ -51,42 +51,45 @@ def fold_table(labelled: DataFrame, profile: dict) -> DataFrame:
         val_end.alias("validation_end_ms"), test.alias("test_start_ms"), (test + days("test_days")).alias("test_end_ms"))
 
 
-def event_dispositions(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
-    """Every (fold, event) with its role or the reason it has none."""
-    profile = FOLD_PROFILES[profile_name]
+def _placed(events: DataFrame, profile: dict, legacy_signal_end: bool) -> DataFrame:
+    """Every (fold, event) with ``role`` where it may be used, else ``reason``."""
     labelled = labelled_events(events, profile, legacy_signal_end)
     folds = fold_table(labelled, profile)
     bounds = F.struct(*[c for c in folds.columns if c != "fold"])
-    packed = folds.agg(F.array_sort(F.collect_list(bounds)).alias("folds"))  # one row per fold of the whole period
+    packed = folds.agg(F.array_sort(F.collect_list(bounds)).alias("folds"))  # one entry per fold of the whole period
     d = labelled.crossJoin(packed).select(*labelled.columns, F.inline("folds"))
-    t = F.col("signal_time_ms")
-    c = F.col
-    role = (
-        F.when((t >= c("train_start_ms")) & (t < c("train_end_ms")), "train")
-        .when((t >= c("validation_start_ms")) & (t < c("validation_end_ms")), "validation")
-        .when((t >= c("test_start_ms")) & (t < c("test_end_ms")), "test"))
-    role_end = F.when(role == "train", c("train_end_ms")).when(role == "validation", c("validation_end_ms")).otherwise(c("test_end_ms"))
-    reason = (
-        F.when(~c("usable"), "incomplete_max_horizon")
-        .when((t < c("train_start_ms")) | (t >= c("test_end_ms")), "outside_fold_window")
-        .when((t >= c("train_end_ms")) & (t < c("validation_start_ms")), "purge_gap")
-        .when((t >= c("validation_end_ms")) & (t < c("test_start_ms")), "embargo_gap")
-        .when(role.isNull(), "unassigned")
-        .when(c("outcome_end_ms") > role_end, F.concat(role, F.lit("_horizon_boundary"))))
-    d = d.withColumn("role", F.when(reason.isNull(), role)).withColumn("__reason", reason)
+    return d.selectExpr(
+        "*", "CASE WHEN signal_time_ms >= train_start_ms AND signal_time_ms < train_end_ms THEN 'train' "
+        "WHEN signal_time_ms >= validation_start_ms AND signal_time_ms < validation_end_ms THEN 'validation' "
+        "WHEN signal_time_ms >= test_start_ms AND signal_time_ms < test_end_ms THEN 'test' END AS __role",
+    ).selectExpr(
+        "*", "CASE WHEN NOT usable THEN 'incomplete_max_horizon' WHEN signal_time_ms < train_start_ms OR signal_time_ms >= test_end_ms THEN 'outside_fold_window' "
+        "WHEN signal_time_ms >= train_end_ms AND signal_time_ms < validation_start_ms THEN 'purge_gap' "
+        "WHEN signal_time_ms >= validation_end_ms AND signal_time_ms < test_start_ms THEN 'embargo_gap' WHEN __role IS NULL THEN 'unassigned' "
+        "WHEN outcome_end_ms > CASE __role WHEN 'train' THEN train_end_ms WHEN 'validation' THEN validation_end_ms ELSE test_end_ms END "
+        "THEN concat(__role, '_horizon_boundary') END AS reason",
+    ).selectExpr("* EXCEPT (__role)", "if(reason IS NULL, __role, NULL) AS role")
+
+
+def _with_crossing(placed: DataFrame) -> DataFrame:
+    """Marks regimes that would sit in more than one role of a fold."""
     crossing = (
-        d.where(c("role").isNotNull()).groupBy("fold_id", "range_regime_id").agg(F.count_distinct("role").alias("n"))
-        .where("n > 1").select("fold_id", "range_regime_id", F.lit(True).alias("__crosses")))
-    d = salted_join(d, crossing, ["fold_id", "range_regime_id"], "left")
-    final = F.coalesce(c("__reason"), F.when(c("__crosses"), "cross_role_regime_excluded"), F.concat(c("role"), F.lit("_assigned")))
-    return d.withColumn("disposition", final).drop("__reason", "__crosses")
+        placed.where("role IS NOT NULL").groupBy("fold_id", "range_regime_id").agg(F.min("role").alias("a"), F.max("role").alias("b"))
+        .where("a <> b").select("fold_id", "range_regime_id", F.lit(True).alias("crosses")))
+    return salted_join(placed, crossing, ["fold_id", "range_regime_id"], "left")
+
+
+def event_dispositions(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
+    """Every (fold, event) with its role or the reason it has none."""
+    d = _with_crossing(_placed(events, FOLD_PROFILES[profile_name], legacy_signal_end))
+    return d.withColumn("disposition", F.expr("coalesce(reason, if(crosses, 'cross_role_regime_excluded', NULL), concat(role, '_assigned'))")).drop("reason", "crosses")
 
 
 def build_splits(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
     """Assigned rows with the bounds of their fold."""
     p = FOLD_PROFILES[profile_name]
-    d = event_dispositions(events, profile_name, legacy_signal_end).where(F.col("disposition").endswith("_assigned"))
-    return d.select(
+    usable = _placed(events, p, legacy_signal_end).where("role IS NOT NULL")  # the others never need the regime test
+    return _with_crossing(usable).where("crosses IS NULL").select(
         "fold_id", "role", "range_action_event_id", "range_regime_id", "signal_time_ms", "outcome_end_ms", "symbol", "train_start_ms", "train_end_ms",
         "validation_start_ms", "validation_end_ms", "test_start_ms", "test_end_ms", F.lit(p["purge_minutes"]).alias("purge_minutes"),
         F.lit(p["embargo_minutes"]).alias("embargo_minutes"), F.lit(profile_name).alias("walk_forward_scope"))
