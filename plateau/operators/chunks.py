@@ -27,6 +27,15 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def with_one_row(df: DataFrame, one_row: DataFrame, condition=None) -> DataFrame:
+    """Attach a frame of exactly one row (a global aggregate) to every row.
+
+    The explicit broadcast is of one row by construction; without it a plan
+    lacking statistics could pair partitions instead.
+    """
+    return df.join(F.broadcast(one_row), condition if condition is not None else F.lit(True))
+
+
 def number_rows(df: DataFrame, keys: list[str], time_col: str, chunk_ms: int, order: list[str], out: str = "rn") -> DataFrame:
     """Zero-based position of each row in its key group, in a total order.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plateau.functions.exprs import all_of
-from plateau.operators.chunks import salted_join
+from plateau.operators.chunks import salted_join, with_one_row
 from plateau.params import DAY_MS, FOLD_PROFILES, MINUTE_MS
 
 DISPOSITIONS = (
@@ -57,7 +57,7 @@ def _placed(events: DataFrame, profile: dict, legacy_signal_end: bool) -> DataFr
     folds = fold_table(labelled, profile)
     bounds = F.struct(*[c for c in folds.columns if c != "fold"])
     packed = folds.agg(F.array_sort(F.collect_list(bounds)).alias("folds"))  # one entry per fold of the whole period
-    d = labelled.crossJoin(packed).select(*labelled.columns, F.inline("folds"))
+    d = with_one_row(labelled, packed).select(*labelled.columns, F.inline("folds"))
     return d.selectExpr(
         "*", "CASE WHEN signal_time_ms >= train_start_ms AND signal_time_ms < train_end_ms THEN 'train' "
         "WHEN signal_time_ms >= validation_start_ms AND signal_time_ms < validation_end_ms THEN 'validation' "

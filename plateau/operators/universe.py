@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plateau.functions.exprs import any_of, floor_div, floor_to, num_or
-from plateau.operators.chunks import global_rank, numbered_per_key
+from plateau.operators.chunks import global_rank, numbered_per_key, with_one_row
 from plateau.params import BYTES_PER_ROW, CHECK_UNSPECIFIED, DAY_MS, LIQUIDITY_TIERS, MINUTE_MS, TEST_MARKERS
 
 
@@ -193,7 +193,7 @@ def download_manifest(universe: DataFrame, feasible: DataFrame, days: int, max_s
     start = end - days * DAY_MS + step_ms
     good = feasible.where(F.coalesce("min_investment_feasible_at_5usdt", F.lit(False))).select("symbol").distinct().withColumn("__ok", F.lit(True))
     some = good.limit(1).select(F.lit(True).alias("__any"))
-    d = universe.join(good, "symbol", "left").join(some, F.lit(True), "left")  # zero or one row
+    d = universe.join(good, "symbol", "left").join(F.broadcast(some), F.lit(True), "left")  # zero or one row
     d = d.where(F.col("__ok").isNotNull() | F.col("__any").isNull()).orderBy(F.col("turnover24h").desc(), "symbol").limit(max_symbols)
     launch = F.coalesce("launchTime", F.lit(0)).cast("long")
     first = F.when(launch != 0, F.greatest(F.lit(start).cast("long"), launch)).otherwise(F.lit(start).cast("long"))
@@ -214,4 +214,4 @@ def first_symbols(df: DataFrame, n: int) -> DataFrame:
 def first_days(events: DataFrame, days: int, time_col: str = "signal_time_ms") -> DataFrame:
     """Events of the first n days after the earliest one."""
     start = events.agg(F.min(time_col).alias("__t0"))  # one row
-    return events.join(start, F.col(time_col) < F.col("__t0") + days * DAY_MS).drop("__t0")
+    return with_one_row(events, start, F.col(time_col) < F.col("__t0") + days * DAY_MS).drop("__t0")

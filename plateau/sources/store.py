@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plateau.functions.exprs import canonical_decimal_text, reasons
-from plateau.operators.chunks import numbered_per_key
+from plateau.operators.chunks import numbered_per_key, with_one_row
 from plateau.session import materialize, prepare
 
 DEC = T.DecimalType(38, 18)
@@ -140,13 +140,13 @@ def read_replay_slice(instruments: DataFrame, trade: DataFrame, mark: DataFrame,
         on_grid = F.count_if(F.pmod(F.col("open_time_ms") - start_ms, F.lit(step_ms)) == 0)
         stats = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("open_time_ms").alias("t"), on_grid.alias("g"))
         ok = F.when((F.col("n") == need) & (F.col("t") == need) & (F.col("g") == need), True).otherwise(F.raise_error(F.lit(error)).cast("boolean"))
-        return rows.join(stats.select(ok.alias("__ok")), F.col("__ok")).drop("__ok")
+        return with_one_row(rows, stats.select(ok.alias("__ok")), F.col("__ok")).drop("__ok")
 
     single = one.agg(F.count(F.lit(1)).alias("n")).select(
         F.when(F.col("n") == 1, True).otherwise(F.raise_error(F.lit("instrument_snapshot_match_invalid")).cast("boolean")).alias("__ok"))
     marks = complete(mark, "incomplete_mark_coverage")
     return {
-        "instrument": one.join(single, F.col("__ok")).drop("__ok"),
+        "instrument": with_one_row(one, single, F.col("__ok")).drop("__ok"),
         "trade": complete(trade, "incomplete_trade_coverage"), "mark": marks,
         "funding": required_funding_with_mark(scan_candles(funding, [symbol], start_ms, end_ms, "funding_time_ms"), marks),
     }
