@@ -293,8 +293,11 @@ CTES["melted"] = _MELT
 query("component_summary", "component mean:f min:f max:f", """SELECT component, avg(v) AS mean, min(v) AS min, max(v) AS max FROM melted GROUP BY 1 UNION ALL SELECT 'ex_post_data_quality_score', avg(quality), min(quality), max(quality) FROM comp
     UNION ALL SELECT 'ex_post_grid_activity_score', avg(activity), min(activity), max(activity) FROM scored WHERE weight_set = 'balanced_v2' UNION ALL SELECT 'ex_post_fee_viability_score', avg(viability), min(viability), max(viability) FROM scored WHERE weight_set = 'balanced_v2'""")(
     lambda s, d: S.component_summary(scored(s, d)))
+CTES["score_names"] = "SELECT 'ex_post_' || k || '_score_v3_' || weight_set AS component FROM weights CROSS JOIN (SELECT unnest(['combined_probe', 'event_quality', 'sl_probe', 'grid_probe']) AS k)"
 CTES["ranked"] = "SELECT component, outcome_id, v, rank() OVER (PARTITION BY component ORDER BY v) + (count(*) OVER (PARTITION BY component, v) - 1) / 2.0 AS rk FROM melted WHERE v IS NOT NULL"
-query("score_correlations", "a b pearson:f spearman:f", "SELECT x.component AS a, y.component AS b, corr(x.v, y.v) AS pearson, corr(x.rk, y.rk) AS spearman FROM ranked x JOIN ranked y USING (outcome_id) GROUP BY 1, 2")(
+query("score_correlations", "a b pearson:f spearman:f", """SELECT p.a, p.b, c.pearson, c.spearman FROM (SELECT x.component AS a, y.component AS b FROM score_names x CROSS JOIN score_names y) p
+    LEFT JOIN (SELECT x.component AS a, y.component AS b, corr(x.v, y.v) AS pearson, corr(x.rk, y.rk) AS spearman FROM ranked x JOIN ranked y USING (outcome_id) GROUP BY 1, 2) c ON c.a = p.a AND c.b = p.b""")(  # every pair, also without data
+
     lambda s, d: S.correlations(scored(s, d)))
 query("high_correlation_pairs", "a b abs_spearman:f", """SELECT * FROM (SELECT x.component AS a, y.component AS b, abs(corr(x.rk, y.rk)) AS abs_spearman FROM ranked x JOIN ranked y USING (outcome_id)
     WHERE x.component < y.component AND x.component LIKE '%combined%' AND y.component LIKE '%combined%' GROUP BY 1, 2) WHERE abs_spearman >= 0.9""")(
