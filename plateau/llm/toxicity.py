@@ -248,9 +248,10 @@ def _assemble(t) -> Model:
     return Model(table, alpha.astype(np.float32), back.astype(np.float32), 1e-5)
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _fit_logistic(x: np.ndarray, y: np.ndarray, toxic_share: float, ridge: float = 1e-2) -> np.ndarray:
+    """Ridge logistic regression; rows weigh so that the classes have their share among all labelled rows."""
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    w = np.where(y == 1, toxic_share / y.sum(), (1 - toxic_share) / (1 - y).sum()) * len(y)
     b = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
@@ -263,19 +264,25 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarr
     return b
 
 
-def labelled_sample(labels: DataFrame, column: str, max_rows: int) -> DataFrame:
-    """(doc_id, label): at most max_rows a class of the rows that may be learnt from, by a hash of the id."""
-    rows = (
+def learnable(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of the rows that may be learnt from."""
+    return (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{column}`").cast("int").alias("label"))
         .where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).where(~base.held_out(F.col("doc_id")))
     )
+
+
+def bounded_sample(rows: DataFrame, column: str, max_rows: int) -> DataFrame:
+    """At most max_rows a class, by a hash of the id."""
     parts = [rows.where(F.col("label") == y).orderBy(F.xxhash64(F.lit(column), "doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
     return base.materialize(parts[0].union(parts[1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_calibration: int = 1500) -> Model:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = labelled_sample(labels, "toxic", max_rows + max_calibration)
+    labelled = learnable(labels, "toxic")
+    toxic_share = labelled.agg(F.avg("label")).first()[0] or 0.0
+    sample = bounded_sample(labelled, "toxic", max_rows + max_calibration)
     # the last fifth of the hash range calibrates: rows the models never see
     calibrates = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0
     learn, check = sample.where(~calibrates), sample.where(calibrates)
@@ -304,7 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_calibrat
     got = _with_scores(rows, model).select("row.label", "mean_difference", "peak_difference", "log_length").limit(4 * max_calibration).toPandas()
     y = got["label"].to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
-        model.weights = _fit_logistic(got.drop(columns="label").to_numpy(), y)
+        model.weights = _fit_logistic(got.drop(columns="label").to_numpy(), y, toxic_share)
     return model
 
 
