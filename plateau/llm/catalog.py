@@ -1,7 +1,7 @@
 """Queries of this subpackage and the SQL that checks them where SQL can say the same."""
 
-from plateau.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, token_store, toxicity
+from plateau.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, quality, token_store, toxicity, warc
 
-MODULES = (quality, toxicity, decontaminate, near_dedup, token_store, mixing, exact_dedup)
+MODULES = (quality, toxicity, decontaminate, html_text, near_dedup, warc, token_store, mixing, exact_dedup)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
