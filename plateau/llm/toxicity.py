@@ -165,8 +165,8 @@ class Model:
 
     def differences(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
-        if not words:
-            return np.empty(0)
+        if not words or not self.alpha.size:
+            return np.zeros(len(words))
         pos, lens, keys = grams(words, ORDER)
         inner = pos >= 1
         p = np.full((2, len(pos)), self.floor)
