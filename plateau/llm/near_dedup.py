@@ -4,15 +4,19 @@ Every permutation of the shingle hashes gives two signature values, its minimum
 and its maximum, so ``evaluations`` hash passes fill 2 * evaluations slots; each
 slot agrees between two sets with probability equal to their Jaccard similarity.
 Bands of ``rows`` slots make candidate buckets; candidates are confirmed on the
-full sets.
+full sets.  Before, a parity sketch refuses most that are no links: it holds for
+each of ``SKETCH_BITS`` classes of hashes whether the set has an odd number of
+them, so two sketches differ in at most as many bits as the sets have unlike
+members.  More differing bits than the threshold lets unlike members exist is a
+proof, so the sketch never loses a link.
 
 Distinct sets are handled once: rows with equal sets share a class (keyed by a
 128-bit digest of the set), so copies never meet each other.  Within a bucket
 links are looked for from one leader to the other members, not between all
-pairs; buckets whose members are then still in different components go on, with
-another leader per round, among one representative per (bucket, component)
-first, and at last every remaining pair of different components in a bucket is
-confirmed, so no link that a bucket shows is lost.
+pairs; buckets whose members are then still in different components go on with
+another leader per round.  At last the members outside a bucket's largest
+component are compared, by sketch, with the members of other components there
+and confirmed, so no link that a bucket shows is lost.
 
 Defined cases.  A text without words (or null) has the empty set and is linked
 with nothing.  Fewer words than a shingle: the whole sequence is the one
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 
 from plateau.llm import base
 
-_SET = "n_shingles BIGINT, set_key BINARY, signature ARRAY<BIGINT>"
+_SET = "n_shingles BIGINT, set_key BINARY, buckets ARRAY<BIGINT>, sketch ARRAY<BIGINT>"
+SKETCH_BITS = 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,38 +64,52 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band over the minima and maxima of the permutations."""
-    evaluations = -(-bands * rows // 2)
+def signature(shingles: np.ndarray, slots: int) -> np.ndarray:
+    """Minimum and maximum of every permutation, minima first."""
+    evaluations = -(-slots // 2)
     seeds = _mix(np.arange(1, 2 * evaluations + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    slots = np.empty(2 * evaluations, np.uint64)
-    for e in range(evaluations):
-        # a bijection of 64-bit values, so that minimum and maximum are of one permutation
-        x = (shingles ^ seeds[2 * e]) * (seeds[2 * e + 1] | np.uint64(1))
-        x ^= x >> np.uint64(31)
+    xor, mul = seeds[:evaluations, None], seeds[evaluations:, None] | np.uint64(1)
+    low, high = np.full(evaluations, 2**64 - 1, np.uint64), np.zeros(evaluations, np.uint64)
+    for at in range(0, len(shingles), 512):  # a block of a size that stays in the processor's cache
+        # bijections of 64-bit values, so that minimum and maximum are of one permutation
+        x = (shingles[None, at : at + 512] ^ xor) * mul
+        x ^= x >> np.uint64(32)
         x *= np.uint64(0x9FB21C651E98DF25)
-        slots[2 * e], slots[2 * e + 1] = x.min(), x.max()
-    # a permutation's minimum and maximum go to different bands
-    order = np.concatenate([np.arange(0, 2 * evaluations, 2), np.arange(1, 2 * evaluations, 2)])[: bands * rows]
-    table = slots[order].reshape(bands, rows)
+        np.minimum(low, x.min(1), out=low)
+        np.maximum(high, x.max(1), out=high)
+    return np.concatenate([low, high])[:slots]
+
+
+def bucket_keys(slots: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key per band of the signature."""
+    table = slots.reshape(bands, rows)
     key = np.arange(bands, dtype=np.uint64) + np.uint64(1)
     for r in range(rows):
         key = _mix(key * np.uint64(0xBF58476D1CE4E5B9) + table[:, r])
     return key
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((_mix(shingles) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.frombuffer(np.packbits(odd.astype(np.uint8)).tobytes(), np.int64)
+
+
 def _sets(words: int, bands: int, rows: int):
     def run(batches):
         for b in batches:
-            size, keys, sigs = [], [], []
+            size, keys, buckets, sketches = [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), words)
                 size.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(band_keys(s, bands, rows).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["row", "n_shingles", "set_key", "signature"]
-            )
+                if len(s):
+                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    buckets.append(bucket_keys(signature(s, bands * rows), bands, rows).view(np.int64))
+                    sketches.append(parity_sketch(s))
+                else:
+                    for x in (keys, buckets, sketches):
+                        x.append(None)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (buckets, sketches)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), *lists], ["row", "n_shingles", "set_key", "buckets", "sketch"])
 
     return run
 
@@ -100,9 +119,9 @@ def _hash_lists(words: int):
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["set_key", "members"]
-            )
+            sets = [shingle_set(t.as_py(), words).tobytes() for t in b.column(1)]
+            own = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(own, pa.binary())], ["set_key", "members", "own"])
 
     return run
 
@@ -122,6 +141,23 @@ def _confirm(percent: int):
     return run
 
 
+def _with_sets(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """a, b and both whole sets, made again from the texts of the classes that have a candidate."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    some = classes.select("node", "set_key").join(wanted, "node", "left_semi")
+    sets = (
+        some.join(texts.select("doc_id", "text"), F.col("node") == F.col("doc_id")).select(F.struct("node", "set_key").alias("row"), "text")
+        .mapInArrow(_hash_lists(words), "set_key struct<node: bigint, set_key: binary>, members binary, own binary")
+        # a document may have rows with other texts
+        .where("set_key.set_key = own").select(F.col("set_key.node").alias("node"), "members").distinct()
+    )
+    sets = base.materialize(sets)
+    return (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
+    )
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): connected components of edges (a, b); root is the least node.
 
@@ -151,7 +187,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 26, rows: int = 5, leader_rounds: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 8, leader_rounds: int = 3) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     percent: documents are linked with 100 * |A & B| >= percent * |A | B|.
@@ -159,65 +195,53 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     1 - (1 - s^rows)^bands.
     """
     packed = base.packed(docs, [], doc_id=F.col("doc_id").cast("bigint"), text=F.col("text").cast("string"))
-    spark = docs.sparkSession
     texts = packed.select(F.struct("doc_id").alias("row"), "text")
-    rows_out = base.materialize(texts.mapInArrow(_sets(words, bands, rows), base.schema_of(texts, _SET)).select("row.doc_id", "n_shingles", "set_key", "signature"))
+    rows_out = base.materialize(texts.mapInArrow(_sets(words, bands, rows), base.schema_of(texts, _SET)).select("row.doc_id", "n_shingles", "set_key", "buckets", "sketch"))
     # A class is a distinct set; its node is the least doc_id that has it.
     with_set = rows_out.where("set_key is not null and doc_id is not null")
     classes = base.materialize(
-        with_set.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+        with_set.groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(d) for c, d in (("n_shingles", "n"), ("buckets", "buckets"), ("sketch", "sketch"))])
     )
     # A class in a bucket of its own has no candidate there.
-    slots = classes.select("node", "n", F.posexplode("signature").alias("band", "bucket"))
+    slots = classes.select(F.struct("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)]).alias("c"), F.posexplode("buckets").alias("band", "bucket"))
     shared = slots.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "bucket")
-    slots = base.materialize(slots.join(shared, ["band", "bucket"]).select(F.xxhash64("band", "bucket").alias("bucket"), "node", "n"))
-    wanted = slots.select("node").distinct()
-    # Whole sets of the classes that share a bucket, from their first document's text.
-    members = base.materialize(
-        classes.join(wanted, "node", "left_semi").select("node", F.col("set_key"))
-        .join(packed.select("doc_id", "text"), F.col("node") == F.col("doc_id")).select(F.struct("node", "set_key").alias("row"), "text")
-        .mapInArrow(_hash_lists(words), "set_key struct<node: bigint, set_key: binary>, members binary")
-        .select(F.col("set_key.node").alias("node"), F.col("set_key.set_key").alias("set_key"), "members")
-        .join(classes.select("node", "set_key"), ["node", "set_key"], "left_semi")
-        .dropDuplicates(["node", "set_key"]).select("node", "members")
-    )
+    slots = base.materialize(slots.join(shared, ["band", "bucket"]).select(F.xxhash64("band", "bucket").alias("bucket"), "c"))
+    # u unlike members of sets of n and m: similar enough where (100 + percent) * u <= (100 - percent) * (n + m)
+    differing = " + ".join(f"bit_count(x.c.s{i} ^ y.c.s{i})" for i in range(SKETCH_BITS // 64))
+    alike = f"100 * least(x.c.n, y.c.n) >= {percent} * greatest(x.c.n, y.c.n) and {100 + percent} * ({differing}) <= {100 - percent} * (x.c.n + y.c.n)"
     links, tried, roots = None, None, None
     for turn in range(leader_rounds + 1):
-        here = slots if roots is None else (
-            slots.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        here = slots.select("bucket", "c", F.col("c.node").alias("root")) if roots is None else (
+            slots.join(roots, F.col("c.node") == F.col("node"), "left").select("bucket", "c", F.coalesce("root", "c.node").alias("root"))
         )
         if roots is not None:
             # Only buckets that still hold more than one component go on.
-            open_buckets = here.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-            here = base.materialize(here.join(open_buckets, "bucket"))
+            still_open = here.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
+            here = base.materialize(here.join(still_open, "bucket"))
         if turn < leader_rounds:
-            salt = F.xxhash64(F.lit(turn), "bucket", "node")
-            leader = here.groupBy("bucket").agg(F.min_by(F.struct("node", "n", *([] if roots is None else ["root"])), F.struct(salt, F.col("node"))).alias("l"))
-            pairs = here.join(leader, "bucket").where("node <> l.node")
-            if roots is not None:
-                pairs = pairs.where("root <> l.root")
-            pairs = pairs.select("node", "n", F.col("l.node").alias("other"), F.col("l.n").alias("m"))
+            # The leader is drawn by a hash of bucket and turn, so a document meets other leaders in other bands.
+            one = here.groupBy("bucket").agg(F.min_by(F.struct("c", "root"), F.struct(F.xxhash64(F.lit(turn), "bucket", "c.node"), F.col("c.node"))).alias("l"))
+            others = one.select("bucket", F.col("l.c").alias("c"), F.col("l.root").alias("root"))
+            unlike = "x.root <> y.root"
         else:
-            left, right = here.alias("x"), here.alias("y")
-            pairs = left.join(right, F.expr("x.bucket = y.bucket and x.node < y.node and x.root <> y.root and 100 * least(x.n, y.n) >= %d * greatest(x.n, y.n)" % percent))
-            pairs = pairs.select(F.col("x.node").alias("node"), F.col("x.n").alias("n"), F.col("y.node").alias("other"), F.col("y.n").alias("m"))
+            # Members outside the largest component of a bucket meet those of other components.
+            largest = here.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("most"))
+            here = here.join(largest, "bucket").select("bucket", "c", "root", (F.col("root") == F.col("most.root")).alias("main"))
+            others = here.where("not main")
+            unlike = "x.root <> y.root and (x.main or x.c.node < y.c.node)"
         pairs = (
-            pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-            .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            here.alias("x").join(others.alias("y"), F.expr(f"x.bucket = y.bucket and {unlike} and {alike}"))
+            .select(F.expr("least(x.c.node, y.c.node)").alias("a"), F.expr("greatest(x.c.node, y.c.node)").alias("b")).distinct()
         )
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = base.materialize(pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        both = (
-            pairs.join(members.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
-            .join(members.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
-        )
-        found = base.materialize(both.mapInArrow(_confirm(percent), "a bigint, b bigint"))
-        links = found if links is None else base.materialize(links.union(found))
-        roots = components(links)
         if turn and pairs.isEmpty():
             break
+        found = base.materialize(_with_sets(pairs, classes, packed, words).mapInArrow(_confirm(percent), "a bigint, b bigint"))
+        links = found if links is None else base.materialize(links.union(found))
+        roots = components(links)
     # A document that has several rows ties their classes together.
     rows_by_id = with_set.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node", "set_key", "n_shingles")
     final = base.materialize(
