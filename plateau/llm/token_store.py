@@ -41,8 +41,9 @@ from plateau.llm import base
 MAGIC = b"PTS1"
 #: Texts in the dictionary's sample, and bytes taken of each.
 DICTIONARY_TEXTS, DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 * 1024
-#: Words kept in a worker's cache; a word takes some 150 bytes.
-CACHE_WORDS = 400_000
+#: Words kept in a worker's cache; a word takes some 200 bytes.
+CACHE_WORDS = 1_000_000
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 MANIFEST = "file STRING, first_id BIGINT, has_id BOOLEAN, first_text_key STRING, n_docs BIGINT, n_tokens BIGINT, bytes BIGINT"
 
 _encoders: dict[str, "Encoder"] = {}
@@ -75,18 +76,36 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Words and their ids.  ASCII marks after a letter or digit are a piece of their own to the splitter, so words that differ in them share their stem."""
+        stems, wanted = [], set()
+        for w in new:
+            stem = w.rstrip(_MARKS)
+            if len(stem) == len(w) or not stem or b"<|" in w or not stem[-1:].isalnum() and not stem.decode()[-1].isalpha():
+                stem = w
+            stems.append(stem)
+            if stem not in self.cache:
+                wanted.add(stem)
+            if len(stem) < len(w) and w[len(stem) :] not in self.cache:
+                wanted.add(w[len(stem) :])
+        some = list(wanted)
+        ids = dict(zip(some, self._encode([w.decode() for w in some]), strict=True))
+        of = lambda w: ids[w] if w in ids else self.cache[w]
+        ids.update({w: of(s) if len(s) == len(w) else of(s) + of(w[len(s) :]) for w, s in zip(new, stems, strict=True)})
+        return ids
+
     def batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._encode(texts)
         split = [_words(t) for t in texts]
         new = list({w for words in split for w in words if w not in self.cache})
-        extra = dict(zip(new, self._encode([w.decode() for w in new]), strict=True))
+        extra = self._words(new)
         if len(self.cache) + len(extra) <= CACHE_WORDS:
             self.cache.update(extra)
             return [b"".join(map(self.cache.__getitem__, words)) for words in split]
         both = _Either(self.cache, extra)
         out = [b"".join(map(both.__getitem__, words)) for words in split]
-        for w in new[: max(0, CACHE_WORDS - len(self.cache))]:
+        for w in list(extra)[: max(0, CACHE_WORDS - len(self.cache))]:
             self.cache[w] = extra[w]
         return out
 
