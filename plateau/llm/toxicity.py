@@ -130,7 +130,7 @@ class GramTable:
     """key -> row number, by open addressing over whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2.5).bit_length())
+        self.bits = max(4, int(len(keys) * 1.4).bit_length())
         self.mask = np.int64((1 << self.bits) - 1)
         self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         left, slot = np.arange(len(keys)), self._slot(keys)
@@ -219,33 +219,32 @@ def _discounted(counts: np.ndarray, context: np.ndarray, n_rows: int):
     return share, np.where(total > 0, d * kinds / np.maximum(total, 1e-9), 1.0)
 
 
-def _assemble(t) -> Model:
-    """Kneser-Ney weights from the collected gram counts (pandas, bounded by the labelled sample)."""
-    t = t.sort_values("key", ignore_index=True)
-    table = GramTable(t["key"].to_numpy().view(np.uint64))
-    context = table.find(t["context"].to_numpy().view(np.uint64))
-    k, n = t["k"].to_numpy(), len(t)
-    alpha, back = np.zeros((2, n)), np.ones((2, n))
+def _assemble(t: pa.Table) -> Model:
+    """Kneser-Ney weights from the collected gram counts, which the labelled sample bounds."""
+    col = {c: t[c].to_numpy() for c in t.column_names}
+    table = GramTable(col["key"].view(np.uint64))
+    # row 0 of sums one longer stands for "no context" and for a context outside the table
+    context = table.find(col["context"].view(np.uint64)) + 1
+    n = len(context)
+    alpha, back = np.zeros((2, n), np.float32), np.ones((2, n), np.float32)
     for order in range(1, ORDER + 1):
-        at = np.flatnonzero(k == order)
+        at = np.flatnonzero(col["k"] == order)
         if not len(at):
             continue
-        # context row 0 of a table one longer stands for "no context" and for a context outside the table
-        c = context[at].astype(np.int64) + 1
-        raw = np.stack([t["ordinary"].to_numpy()[at], t["toxic"].to_numpy()[at]])
-        if order <= SHARED:
-            counts = np.stack([t["left_all"].to_numpy()[at]] * 2)
-        elif order < ORDER:
-            counts = np.stack([t["left_ordinary"].to_numpy()[at], t["left_toxic"].to_numpy()[at]])
-            counts = np.where(counts > 0, counts, raw)  # a gram at a word's start has nothing before it
-        else:
-            counts = raw
-        for y in (0, 1):
-            share, rest = _discounted(counts[y].astype(float), c, n + 1)
+        c = context[at]
+        for y, name in enumerate(("ordinary", "toxic")):
+            if order <= SHARED:
+                counts = col["left_all"][at]
+            elif order < ORDER:
+                counts = col[f"left_{name}"][at]
+                counts = np.where(counts > 0, counts, col[name][at])  # a gram at a word's start has nothing before it
+            else:
+                counts = col[name][at]
+            share, rest = _discounted(counts.astype(np.float64), c, n + 1)
             alpha[y, at] = share
-            seen = np.flatnonzero(np.bincount(c, minlength=n + 1)[1:] > 0)
-            back[y, seen] = rest[1:][seen]
-    return Model(table, alpha.astype(np.float32), back.astype(np.float32), 1e-5)
+            seen = np.unique(c[c > 0])
+            back[y, seen - 1] = rest[seen]
+    return Model(table, alpha, back, 1e-5)
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, toxic_share: float, ridge: float = 1e-2) -> np.ndarray:
@@ -278,7 +277,7 @@ def bounded_sample(rows: DataFrame, column: str, max_rows: int) -> DataFrame:
     return base.materialize(parts[0].union(parts[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_calibration: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_calibration: int = 1000) -> Model:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labelled = learnable(labels, "toxic")
     toxic_share = labelled.agg(F.avg("label")).first()[0] or 0.0
@@ -300,9 +299,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_calibrat
     )
     known = (
         counted.where("toxic + ordinary > 0").join(left, F.col("key") == F.col("s"), "left")
-        .select("key", "context", "k", "toxic", "ordinary", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("left_all", "left_toxic", "left_ordinary")])
+        .select("key", "context", F.col("k").cast("tinyint").alias("k"), *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("toxic", "ordinary", "left_all", "left_toxic", "left_ordinary")])
     )
-    model = _assemble(known.toPandas())
+    model = _assemble(known.toArrow())
     # at most 2 * max_calibration rows of three numbers
     rows = (
         texts.join(F.broadcast(check.withColumnRenamed("doc_id", "l_id")), F.col("doc_id") == F.col("l_id"))
