@@ -132,9 +132,9 @@ def first_k_per_key(df: DataFrame, keys: list[str], time_col: str, chunk_ms: int
 
 
 def _value_bin(v: Column) -> Column:
-    """Order-preserving bin of a double: 2**16 bins per octave, mirrored below zero."""
+    """Order-preserving bin of a double: 2**16 bins per octave, mirrored below zero; NaN is above everything."""
     octave = F.floor((F.log2(F.abs(v)) + 1100.0) * 65536.0)
-    return F.when(v > 0, octave).when(v < 0, -octave).otherwise(F.lit(0)).cast("long")
+    return F.when(F.isnan(v), F.lit(2**62)).when(v > 0, octave).when(v < 0, -octave).otherwise(F.lit(0)).cast("long")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:

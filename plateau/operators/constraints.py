@@ -48,22 +48,20 @@ def _config(width, cells, leverage, margin, sl) -> dict:
 _MULT = {"m_low": "decimal(12,8)", "m_high": "decimal(12,8)", "m_stop": "decimal(12,8)"}
 
 
-def candidate_configs(symbols: DataFrame, stage: str = "fast", max_configs: int | None = None) -> DataFrame:
+def candidate_configs(symbols: DataFrame, stage: str = "fast") -> DataFrame:
     """symbol x width x cells x leverage x margin x stop, in crossing order.
 
-    ``symbols`` needs symbol, lastPrice and tickSize; ``max_configs`` keeps the first ones.
+    ``symbols`` needs symbol, lastPrice and tickSize.
     """
     grid = {"fast": CONFIG_GRID_FAST, "full": CONFIG_GRID_FULL}[stage]
     rows = [
         _config(w, c, lev, m, s)
         for w in grid["width"] for c in grid["cells"] for lev in grid["leverage"] for m in grid["margin"] for s in grid["sl"]
     ]
-    if max_configs:
-        rows = rows[:max_configs]
     return _priced(expand(symbols.select("symbol", "lastPrice", "tickSize"), rows, _MULT))
 
 
-def min_sweep_configs(symbols: DataFrame, cap: int = 12, absolute_cap: int = 24) -> DataFrame:
+def min_sweep_configs(symbols: DataFrame) -> DataFrame:
     """Named profiles plus the leverage ladder up to the symbol's maximum, without repeats.
 
     ``symbols`` additionally needs maxLeverage.
@@ -81,8 +79,7 @@ def min_sweep_configs(symbols: DataFrame, cap: int = 12, absolute_cap: int = 24)
     d = d.withColumn("leverage_requested", F.when(F.col("lev") == 0, F.col("top_leverage")).otherwise(F.col("lev"))).drop("lev", "top_leverage")
     same = ["symbol", "range_width_pct", "cell_number_requested", "leverage_requested", "stop_loss_mult"]
     once = numbered_per_key(d, same, ["profile_order"], 1).drop("position")
-    kept = numbered_per_key(once, ["symbol"], ["profile_order"], min(cap, absolute_cap)).drop("position")
-    return _priced(kept)
+    return _priced(once)
 
 
 # --------------------------------------------------------------------------

@@ -69,7 +69,7 @@ def prepared_rows(bars: DataFrame, step_ms: int, reach: int, chunk_bars: int = 4
     """Numbered, cleaned bars in halo blocks that allow frames of ``reach`` rows."""
     reach = max(reach, ATR_LONG) + 1
     block_rows = max(chunk_bars, 2 * reach)
-    order = ["open_time_ms", "open", "high", "low", "close", "volume"]
+    order = ["open_time_ms", "open", "high", "low", "close", "volume", "turnover"]
     turnover = F.col("turnover") if "turnover" in bars.columns else F.lit(0.0)
     numbered = number_rows(
         bars.select("symbol", "open_time_ms", "open", "high", "low", "close", "volume", turnover.alias("turnover")),

@@ -51,13 +51,20 @@ def fold_table(labelled: DataFrame, profile: dict) -> DataFrame:
         val_end.alias("validation_end_ms"), test.alias("test_start_ms"), (test + days("test_days")).alias("test_end_ms"))
 
 
-def _placed(events: DataFrame, profile: dict, legacy_signal_end: bool) -> DataFrame:
-    """Every (fold, event) with ``role`` where it may be used, else ``reason``."""
+def _placed(events: DataFrame, profile: dict, legacy_signal_end: bool, inside_only: bool = False) -> DataFrame:
+    """(fold, event) with ``role`` where it may be used, else ``reason``.
+
+    ``inside_only`` leaves out the pairs whose event is unusable or outside the fold, before they are made.
+    """
     labelled = labelled_events(events, profile, legacy_signal_end)
     folds = fold_table(labelled, profile)
     bounds = F.struct(*[c for c in folds.columns if c != "fold"])
     packed = folds.agg(F.array_sort(F.collect_list(bounds)).alias("folds"))  # one entry per fold of the whole period
-    d = with_one_row(labelled, packed).select(*labelled.columns, F.inline("folds"))
+    d = with_one_row(labelled, packed)
+    if inside_only:
+        t = F.col("signal_time_ms")
+        d = d.where("usable").withColumn("folds", F.filter("folds", lambda f: (f["train_start_ms"] <= t) & (t < f["test_end_ms"])))
+    d = d.select(*labelled.columns, F.inline("folds"))
     return d.selectExpr(
         "*", "CASE WHEN signal_time_ms >= train_start_ms AND signal_time_ms < train_end_ms THEN 'train' "
         "WHEN signal_time_ms >= validation_start_ms AND signal_time_ms < validation_end_ms THEN 'validation' "
@@ -88,22 +95,45 @@ def event_dispositions(events: DataFrame, profile_name: str = "long_history", le
 def build_splits(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
     """Assigned rows with the bounds of their fold."""
     p = FOLD_PROFILES[profile_name]
-    usable = _placed(events, p, legacy_signal_end).where("role IS NOT NULL")  # the others never need the regime test
+    usable = _placed(events, p, legacy_signal_end, inside_only=True).where("role IS NOT NULL")  # the others never need the regime test
     return _with_crossing(usable).where("crosses IS NULL").select(
         "fold_id", "role", "range_action_event_id", "range_regime_id", "signal_time_ms", "outcome_end_ms", "symbol", "train_start_ms", "train_end_ms",
         "validation_start_ms", "validation_end_ms", "test_start_ms", "test_end_ms", F.lit(p["purge_minutes"]).alias("purge_minutes"),
         F.lit(p["embargo_minutes"]).alias("embargo_minutes"), F.lit(profile_name).alias("walk_forward_scope"))
 
 
-def reason_summary(dispositions: DataFrame) -> DataFrame:
-    return dispositions.groupBy("fold_id", F.col("disposition").alias("exclusion_or_assignment_reason")).agg(F.count_distinct("range_action_event_id").alias("event_count"))
-
+def disposition_counts(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
+    """Events per fold and disposition, without a pair for an event that is outside a fold or unusable.
 
-def fold_summary(dispositions: DataFrame) -> DataFrame:
+    Unusable events count alike in every fold; those outside are what the others leave of all events.
+    """
+    p = FOLD_PROFILES[profile_name]
+    inside = _with_crossing(_placed(events, p, legacy_signal_end, inside_only=True)).withColumn(
+        "disposition", F.expr("coalesce(reason, if(crosses, 'cross_role_regime_excluded', NULL), concat(role, '_assigned'))"))
+    labelled = labelled_events(events, p, legacy_signal_end)
+    bounds = [c for c in fold_table(labelled, p).columns if c != "fold"]
+    ids = lambda c: F.count_distinct("range_action_event_id").alias(c)
+    made = inside.groupBy(*bounds, "disposition").agg(ids("event_count"))
+    totals = labelled.agg(ids("every"), F.count_distinct(F.when(~F.col("usable"), F.col("range_action_event_id"))).alias("unusable"))
+    per_fold = with_one_row(fold_table(labelled, p).select(*bounds), totals).join(
+        inside.groupBy("fold_id").agg(ids("inside")), "fold_id", "left").na.fill(0, ["inside"])
+    rest = F.inline(F.array(
+        F.struct(F.lit("incomplete_max_horizon").alias("disposition"), F.col("unusable").alias("event_count")),
+        F.struct(F.lit("outside_fold_window").alias("disposition"), (F.col("every") - F.col("unusable") - F.col("inside")).alias("event_count"))))
+    return made.unionByName(per_fold.select(*bounds, rest)).where("event_count > 0")
+
+
+def reason_summary(counts: DataFrame) -> DataFrame:
+    return counts.select("fold_id", F.col("disposition").alias("exclusion_or_assignment_reason"), "event_count")
+
+
+def fold_summary(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
     """Counts of every disposition per fold; they must add up to the source events."""
-    n = lambda r: F.count_if(F.col("disposition") == r)
-    d = dispositions.groupBy("fold_id", "train_start_ms", "train_end_ms", "validation_start_ms", "validation_end_ms", "test_start_ms", "test_end_ms").agg(
-        F.count_distinct("range_action_event_id").alias("source_event_count"), *[n(r).alias(f"{r}_count") for r in DISPOSITIONS])
+    n = lambda r: F.coalesce(F.sum(F.when(F.col("disposition") == r, F.col("event_count"))), F.lit(0)).cast("long")
+    counts = disposition_counts(events, profile_name, legacy_signal_end)
+    d = counts.groupBy(*[c for c in counts.columns if c not in ("disposition", "event_count")]).agg(*[n(r).alias(f"{r}_count") for r in DISPOSITIONS])
+    source = labelled_events(events, FOLD_PROFILES[profile_name], legacy_signal_end).agg(F.count_distinct("range_action_event_id").alias("source_event_count"))
+    d = with_one_row(d, source)
     total = sum((F.col(f"{r}_count") for r in DISPOSITIONS[1:]), F.col(f"{DISPOSITIONS[0]}_count"))
     delta = total - F.col("source_event_count")
     return d.select("*", delta.alias("coverage_reconciliation_delta"), ((delta == 0) & (F.col("unassigned_count") == 0)).alias("coverage_reconciliation_ok"))

@@ -184,21 +184,28 @@ def estimate_rows(df: DataFrame, step_ms: int, days: int | None = None) -> DataF
         total.alias("estimated_total_rows"), (total * BYTES_PER_ROW).alias("estimated_bytes"), (total * BYTES_PER_ROW / 1e9).alias("estimated_gb"))
 
 
+def _feasible_symbols(feasible: DataFrame) -> DataFrame:
+    return feasible.where(F.coalesce("min_investment_feasible_at_5usdt", F.lit(False))).select("symbol").distinct()
+
+
+def blocked_symbols(universe: DataFrame, feasible: DataFrame) -> DataFrame:
+    """Symbols of the universe that no probe found feasible."""
+    return universe.select("symbol", "turnover24h").join(_feasible_symbols(feasible), "symbol", "left_anti").withColumn(
+        "trading_feasibility_status", F.lit("blocked_by_min_investment"))
+
+
 def download_manifest(universe: DataFrame, feasible: DataFrame, days: int, max_symbols: int, max_gb: float, now_ms: int, step_ms: int = MINUTE_MS) -> DataFrame:
     """Top feasible symbols by turnover with their windows; fails above the size cap.
 
-    Without any feasible symbol the whole universe is taken and marked as blocked.
+    Without any feasible symbol the manifest is empty; ``blocked_symbols`` lists what is left out.
     """
     end = closed_cutoff(now_ms, step_ms)
     start = end - days * DAY_MS + step_ms
-    good = feasible.where(F.coalesce("min_investment_feasible_at_5usdt", F.lit(False))).select("symbol").distinct().withColumn("__ok", F.lit(True))
-    some = good.limit(1).select(F.lit(True).alias("__any"))
-    d = universe.join(good, "symbol", "left").join(F.broadcast(some), F.lit(True), "left")  # zero or one row
-    d = d.where(F.col("__ok").isNotNull() | F.col("__any").isNull()).orderBy(F.col("turnover24h").desc(), "symbol").limit(max_symbols)
+    d = universe.join(_feasible_symbols(feasible), "symbol", "left_semi").orderBy(F.col("turnover24h").desc(), "symbol").limit(max_symbols)
     launch = F.coalesce("launchTime", F.lit(0)).cast("long")
     first = F.when(launch != 0, F.greatest(F.lit(start).cast("long"), launch)).otherwise(F.lit(start).cast("long"))
     d = d.select(
-        "symbol", F.when(F.col("__any").isNull(), "blocked_by_min_investment").otherwise("validated_5usdt_feasible").alias("trading_feasibility_status"),
+        "symbol", F.lit("validated_5usdt_feasible").alias("trading_feasibility_status"),
         floor_to(first, step_ms).alias("start_ms"), F.lit(end).cast("long").alias("end_ms"), F.lit(days).alias("days_requested"))
     d = estimate_rows(d, step_ms, days)
     total = F.sum("estimated_gb").over(Window.partitionBy(F.lit(1)))  # at most max_symbols rows

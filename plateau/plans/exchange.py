@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plateau.operators import constraints as K
 from plateau.operators import universe as U
-from plateau.params import CONFIG_GRID_FAST, INVESTMENT_THRESHOLDS, LEVERAGE_LADDER, SWEEP_PROFILES
+from plateau.params import CONFIG_GRID_FAST, CONFIG_GRID_FULL, INVESTMENT_THRESHOLDS, LEVERAGE_LADDER, SWEEP_PROFILES
 from plateau.plans.market import DAY0, HOUR, NOW
 from plateau.plans.registry import CTES, query, stage
 from plateau.sources import bars as B
@@ -167,16 +167,21 @@ def _unnest(name, values):
 
 
 _mil = lambda v: str(round(float(v) * 1000))
-CTES["configs"] = f"""SELECT 'S' || s_suppkey AS symbol, CAST(round(s_acctbal * 100) AS BIGINT) + 200000 AS px, 5 AS tk, w, c, v, m, q FROM supplier CROSS JOIN {_unnest('w', [_mil(x) for x in CONFIG_GRID_FAST['width']])}
-    CROSS JOIN {_unnest('c', [str(x) for x in CONFIG_GRID_FAST['cells']])} CROSS JOIN {_unnest('v', [str(x) for x in CONFIG_GRID_FAST['leverage']])}
-    CROSS JOIN {_unnest('m', CONFIG_GRID_FAST['margin'])} CROSS JOIN {_unnest('q', [_mil(x) for x in CONFIG_GRID_FAST['sl']])}"""
+def _config_rows(grid):
+    return f"""SELECT 'S' || s_suppkey AS symbol, CAST(round(s_acctbal * 100) AS BIGINT) + 200000 AS px, 5 AS tk, w, c, v, m, q FROM supplier CROSS JOIN {_unnest('w', [_mil(x) for x in grid['width']])}
+    CROSS JOIN {_unnest('c', [str(x) for x in grid['cells']])} CROSS JOIN {_unnest('v', [str(x) for x in grid['leverage']])}
+    CROSS JOIN {_unnest('m', grid['margin'])} CROSS JOIN {_unnest('q', [_mil(x) for x in grid['sl']])}"""
+
+
+CTES["configs"], CTES["configs_full"] = _config_rows(CONFIG_GRID_FAST), _config_rows(CONFIG_GRID_FULL)
 # last * (1 - w/2) in units of 1/2000 cent; stop additionally in 1/1000
 _PRICES = """((px * (2000 - w)) // (tk * 2000)) * tk / 100.0 AS min_price, ((px * (2000 + w) + tk * 2000 - 1) // (tk * 2000)) * tk / 100.0 AS max_price,
     ((px * (2000 - w) * q) // (tk * 2000000)) * tk / 100.0 AS stop_loss_price"""
 CONFIG = "symbol range_width_pct:f cell_number_requested:i leverage_requested:i init_margin_requested:f stop_loss_mult:f min_price:f max_price:f stop_loss_price:f"
-query("candidate_configs", CONFIG, f"""SELECT symbol, w / 1000.0 AS range_width_pct, c AS cell_number_requested, v AS leverage_requested, m AS init_margin_requested, q / 1000.0 AS stop_loss_mult, {_PRICES} FROM configs""")(
-    lambda s, d: K.candidate_configs(B.table(s, d, "supplier").select(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), (F.round(F.col("s_acctbal"), 2).cast(K.PRICE) + 2000).cast(K.PRICE).alias("lastPrice"), F.lit("0.05").alias("tickSize"))))
+for _name, _stage, _rows in (("candidate_configs", "fast", "configs"), ("candidate_configs_full", "full", "configs_full")):
+    query(_name, CONFIG, f"""SELECT symbol, w / 1000.0 AS range_width_pct, c AS cell_number_requested, v AS leverage_requested, m AS init_margin_requested, q / 1000.0 AS stop_loss_mult, {_PRICES} FROM {_rows}""")(
+        lambda s, d, stage=_stage: K.candidate_configs(B.table(s, d, "supplier").select(
+            F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), (F.round(F.col("s_acctbal"), 2).cast(K.PRICE) + 2000).cast(K.PRICE).alias("lastPrice"), F.lit("0.05").alias("tickSize")), stage))
 query("tick_rounding", "symbol down:f up:f", """SELECT symbol, (px // tk) * tk / 100.0 AS down, ((px + tk - 1) // tk) * tk / 100.0 AS up FROM (SELECT symbol, CAST(round(last_price * 100) AS BIGINT) AS px, tick_cents AS tk FROM instruments)""")(
     lambda s, d: instruments(s, d).select("symbol", *[f(F.col("lastPrice").cast(K.PRICE), F.col("tickSize").cast(K.PRICE)).alias(n) for n, f in (
         ("down", K.round_down_to_tick), ("up", K.round_up_to_tick))]))
@@ -184,11 +189,11 @@ _SWEEP = ", ".join(f"({i}, '{n}', {_mil(w)}, {c}, {0 if lev == 'high' else lev},
 _LADDER = ", ".join(f"({len(SWEEP_PROFILES) + j}, 'ladder_lev_{v}', 50, 2, {v}, 950)" for j, v in enumerate(LEVERAGE_LADDER))
 query("min_sweep_configs", "symbol profile_name range_width_pct:f cell_number_requested:i leverage_requested:i stop_loss_mult:f min_price:f max_price:f stop_loss_price:f", f"""
     SELECT symbol, name AS profile_name, w / 1000.0 AS range_width_pct, c AS cell_number_requested, v AS leverage_requested, q / 1000.0 AS stop_loss_mult, {_PRICES} FROM (
-    SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY o) AS k FROM (SELECT *, row_number() OVER (PARTITION BY symbol, w, c, v, q ORDER BY o) AS r FROM (
+    SELECT *, row_number() OVER (PARTITION BY symbol, w, c, v, q ORDER BY o) AS r FROM (
     SELECT symbol, CAST(round(last_price * 100) AS BIGINT) AS px, tick_cents AS tk, o, name, w, c, CASE WHEN lev = 0 THEN top ELSE lev END AS v, q FROM (
     SELECT *, coalesce(list_max(list_filter([{', '.join(str(x) for x in LEVERAGE_LADDER)}], lambda x: x <= max_leverage)), 1) AS top FROM instruments)
-    CROSS JOIN (VALUES {_SWEEP}, {_LADDER}) AS t(o, name, w, c, lev, q) WHERE name NOT LIKE 'ladder%' OR lev <= top)) WHERE r = 1) WHERE k <= 8""")(
-    lambda s, d: K.min_sweep_configs(instruments(s, d), cap=8))
+    CROSS JOIN (VALUES {_SWEEP}, {_LADDER}) AS t(o, name, w, c, lev, q) WHERE name NOT LIKE 'ladder%' OR lev <= top)) WHERE r = 1""")(
+    lambda s, d: K.min_sweep_configs(instruments(s, d)))
 
 
 # --- pages and audits -------------------------------------------------------------
@@ -249,6 +254,10 @@ query("download_manifest", "symbol trading_feasibility_status start_ms:i end_ms:
     lambda s, d: U.download_manifest(universe(s, d), probes(s, d), 30, 40, 10.0, NOW))
 
 
+query("blocked_symbols", "symbol trading_feasibility_status", """SELECT symbol, 'blocked_by_min_investment' AS trading_feasibility_status FROM universe
+    WHERE symbol NOT IN (SELECT symbol FROM probes WHERE five_ok)""")(lambda s, d: U.blocked_symbols(universe(s, d), probes(s, d)))
+
+
 @query("batch_audit", "symbol instrument_contract_ok closed_candle_cutoff_ok trade_kline_coverage_ok mark_kline_coverage_ok trade_mark_timestamp_sets_equal_bool "
        "funding_pagination_range_covered_bool funding_interval_consistent_bool funding_mark_boundary_join_ok batch_audit_ok", """
     SELECT *, trade_kline_coverage_ok AND mark_kline_coverage_ok AND trade_mark_timestamp_sets_equal_bool AND funding_mark_boundary_join_ok AS batch_audit_ok FROM (

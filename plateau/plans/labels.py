@@ -348,10 +348,10 @@ query("walk_forward_splits", "fold_id role range_action_event_id range_regime_id
     SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, role, id AS range_action_event_id, reg AS range_regime_id, t AS signal_time_ms, fin AS outcome_end_ms, tr1 AS train_end_ms, va0 AS validation_start_ms, te1 AS test_end_ms FROM disposed WHERE disposition LIKE '%assigned' AND disposition <> 'unassigned'""")(
     lambda s, d: W.build_splits(wf_events(s, d)))
 query("fold_reason_summary", "fold_id exclusion_or_assignment_reason event_count:i", "SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, disposition AS exclusion_or_assignment_reason, count(*) AS event_count FROM disposed GROUP BY 1, 2")(
-    lambda s, d: W.reason_summary(dispositions(s, d)))
+    lambda s, d: W.reason_summary(W.disposition_counts(wf_events(s, d), "long_history")))
 _CNT = ", ".join(f"count(*) FILTER (WHERE disposition = '{r}') AS {r}_count" for r in W.DISPOSITIONS)
 query("fold_summary", "fold_id source_event_count:i " + " ".join(f"{r}_count:i" for r in W.DISPOSITIONS) + " coverage_reconciliation_delta:i coverage_reconciliation_ok", f"""
-    SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, count(*) AS source_event_count, {_CNT}, 0 AS coverage_reconciliation_delta, true AS coverage_reconciliation_ok FROM disposed GROUP BY 1""")(lambda s, d: W.fold_summary(dispositions(s, d)))
+    SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, count(*) AS source_event_count, {_CNT}, 0 AS coverage_reconciliation_delta, true AS coverage_reconciliation_ok FROM disposed GROUP BY 1""")(lambda s, d: W.fold_summary(wf_events(s, d), "long_history"))
 query("regime_roles", "fold_id range_regime_id roles", """SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, reg AS range_regime_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM placed WHERE role IS NOT NULL
     GROUP BY 1, 2 HAVING count(DISTINCT role) > 1""")(
     lambda s, d: W.regime_roles(dispositions(s, d).withColumn("role", F.when(F.col("signal_time_ms").between(F.col("train_start_ms"), F.col("train_end_ms") - 1), "train").when(

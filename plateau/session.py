@@ -18,7 +18,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the setting is absent (local tests).
+    Where the setting is absent, a temporary folder serves local masters; on a
+    cluster executors would each write to a disk of their own, so that fails.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     existing = getattr(spark, "_plateau_dir", None)
     if existing is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         existing = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark._plateau_dir = existing
     return existing

@@ -257,7 +257,7 @@ def canonical_row_text(df: DataFrame) -> Column:
     for f in sorted(df.schema.fields, key=lambda f: f.name):
         c = F.col(f.name)
         text = canonical_decimal_text(c) if isinstance(f.dataType, T.DecimalType) else c.cast("string")
-        fields.append(F.coalesce(text, F.lit("null")).alias(f.name))
+        fields.append(F.struct(c.isNull().alias("absent"), F.coalesce(text, F.lit("")).alias("text")).alias(f.name))  # NULL is not a text
     return F.to_json(F.struct(*fields))
 
 

@@ -143,7 +143,7 @@ def test_walk_forward_reconciles_and_uses_the_persisted_end(spark):
     day = 86_400_000
     rows = [(f"e{i}", f"r{i}", "S", i * day, 2880, True, i * day + STEP + 2880 * STEP) for i in range(90)]
     events = spark.createDataFrame(rows, "range_action_event_id string, range_regime_id string, symbol string, signal_time_ms long, future_horizon_minutes int, future_data_complete_bool boolean, outcome_end_exclusive_ms long")
-    summary = W.fold_summary(W.event_dispositions(events, "prototype_90d")).collect()
+    summary = W.fold_summary(events, "prototype_90d").collect()
     assert summary and all(r.coverage_reconciliation_ok and r.source_event_count == 90 for r in summary)
     splits = W.build_splits(events, "prototype_90d")
     assert W.leakage_audit(splits).count() == 0
