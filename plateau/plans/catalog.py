@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plateau.operators import events as E
 from plateau.operators import ranges as R
-from plateau.plans import exchange, flows, labels, market, research  # noqa: F401
+from plateau.plans import exchange, flows, labels, market, research, strictness  # noqa: F401
 from plateau.plans.market import HOUR
 from plateau.plans.registry import ORACLES, QUERIES  # noqa: F401
 from plateau.session import materialize, prepare
