@@ -162,18 +162,23 @@ WIDE_BPS = 500.0
 CTES["ev_rows"] = f"SELECT *, {_CL('(current_close * 0.05::DOUBLE)')} AS range_cluster_id FROM cand"
 CTES["ev_lag"] = "SELECT *, lag(signal_time_ms) OVER (PARTITION BY symbol, profile_name, lookback_minutes, range_cluster_id ORDER BY signal_time_ms) AS prev FROM ev_rows"
 CTES["ev_island"] = f"""SELECT *, max(CASE WHEN prev IS NULL OR signal_time_ms - prev > {HOUR} THEN signal_time_ms END) OVER (PARTITION BY symbol, profile_name, lookback_minutes, range_cluster_id ORDER BY signal_time_ms) AS first_ms FROM ev_lag"""
-CTES["ev_starts"] = f"""SELECT symbol, profile_name, lookback_minutes, range_cluster_id, first_ms, count(*) AS n, max(signal_time_ms) AS last_ms, CAST(floor(least(lookback_minutes / 4.0, 120)) AS BIGINT) AS wait
-    FROM ev_island GROUP BY 1, 2, 3, 4, 5"""
-CTES["ev_taken"] = f"""SELECT symbol, profile_name, lookback_minutes, range_cluster_id, wait, min(first_ms) AS t FROM ev_starts GROUP BY 1, 2, 3, 4, 5
-    UNION ALL SELECT symbol, profile_name, lookback_minutes, range_cluster_id, wait, nxt FROM (SELECT a.*, (SELECT min(x.first_ms) FROM ev_starts x WHERE x.symbol = a.symbol AND x.profile_name = a.profile_name
-    AND x.lookback_minutes = a.lookback_minutes AND x.range_cluster_id = a.range_cluster_id AND x.first_ms >= a.t + a.wait * {HOUR} AND x.first_ms > a.t) AS nxt FROM ev_taken a) WHERE nxt IS NOT NULL"""
+FIXED_WAIT = 3
+#: cooldown mode: suffix of its CTEs and the wait in bars
+COOLDOWNS = {"lookback_fraction": ("", "CAST(floor(least(lookback_minutes / 4.0, 120)) AS BIGINT)"), "fixed": ("_fixed", str(FIXED_WAIT)), "none": ("_none", "0")}
+for _suffix, _wait in COOLDOWNS.values():
+    CTES[f"ev_starts{_suffix}"] = f"""SELECT symbol, profile_name, lookback_minutes, range_cluster_id, first_ms, count(*) AS n, max(signal_time_ms) AS last_ms, {_wait} AS wait
+        FROM ev_island GROUP BY 1, 2, 3, 4, 5"""
+    CTES[f"ev_taken{_suffix}"] = f"""SELECT symbol, profile_name, lookback_minutes, range_cluster_id, wait, min(first_ms) AS t FROM ev_starts{_suffix} GROUP BY 1, 2, 3, 4, 5
+        UNION ALL SELECT symbol, profile_name, lookback_minutes, range_cluster_id, wait, nxt FROM (SELECT a.*, (SELECT min(x.first_ms) FROM ev_starts{_suffix} x WHERE x.symbol = a.symbol AND x.profile_name = a.profile_name
+        AND x.lookback_minutes = a.lookback_minutes AND x.range_cluster_id = a.range_cluster_id AND x.first_ms >= a.t + a.wait * {HOUR} AND x.first_ms > a.t) AS nxt FROM ev_taken{_suffix} a) WHERE nxt IS NOT NULL"""
 query("event_cluster_ids", "candidate_id range_cluster_id", "SELECT * FROM ev_rows")(lambda s, d: E.event_cluster_ids(candidates(s, d), WIDE_BPS))
-query("coalesce_events", "range_event_id symbol profile_name lookback_minutes:i range_cluster_id first_seen_time_ms:i last_seen_time_ms:i raw_candidates_in_cluster:i cluster_duration_minutes:i cooldown_minutes:i event_mode candidate_id", f"""
-    SELECT substr(sha256(concat_ws('|', s.symbol, s.profile_name, s.lookback_minutes, s.range_cluster_id, s.first_ms)), 1, 32) AS range_event_id, s.symbol, s.profile_name, s.lookback_minutes, s.range_cluster_id,
-    first_ms AS first_seen_time_ms, last_ms AS last_seen_time_ms, n AS raw_candidates_in_cluster, (last_ms - first_ms) // {HOUR} + 1 AS cluster_duration_minutes, s.wait AS cooldown_minutes,
-    CASE WHEN s.wait > 0 THEN 'rising_edge_cooldown' ELSE 'rising_edge' END AS event_mode, s.symbol || ':' || s.profile_name || ':' || first_ms || ':' || s.lookback_minutes AS candidate_id
-    FROM ev_starts s JOIN ev_taken t ON s.symbol = t.symbol AND s.profile_name = t.profile_name AND s.lookback_minutes = t.lookback_minutes AND s.range_cluster_id = t.range_cluster_id AND s.first_ms = t.t""")(
-    lambda s, d: E.coalesce_events(candidates(s, d), HOUR, WIDE_BPS))
+for _mode, (_suffix, _) in COOLDOWNS.items():
+    query(f"coalesce_events{_suffix}", "range_event_id symbol profile_name lookback_minutes:i range_cluster_id first_seen_time_ms:i last_seen_time_ms:i raw_candidates_in_cluster:i cluster_duration_minutes:i cooldown_minutes:i event_mode candidate_id", f"""
+        SELECT substr(sha256(concat_ws('|', s.symbol, s.profile_name, s.lookback_minutes, s.range_cluster_id, s.first_ms)), 1, 32) AS range_event_id, s.symbol, s.profile_name, s.lookback_minutes, s.range_cluster_id,
+        first_ms AS first_seen_time_ms, last_ms AS last_seen_time_ms, n AS raw_candidates_in_cluster, (last_ms - first_ms) // {HOUR} + 1 AS cluster_duration_minutes, s.wait AS cooldown_minutes,
+        CASE WHEN s.wait > 0 THEN 'rising_edge_cooldown' ELSE 'rising_edge' END AS event_mode, s.symbol || ':' || s.profile_name || ':' || first_ms || ':' || s.lookback_minutes AS candidate_id
+        FROM ev_starts{_suffix} s JOIN ev_taken{_suffix} t ON s.symbol = t.symbol AND s.profile_name = t.profile_name AND s.lookback_minutes = t.lookback_minutes AND s.range_cluster_id = t.range_cluster_id AND s.first_ms = t.t""")(
+        lambda s, d, mode=_mode: E.coalesce_events(candidates(s, d), HOUR, WIDE_BPS, mode=mode, fixed=FIXED_WAIT))
 
 # --- regimes --------------------------------------------------------------------
 CTES["mem0"] = f"SELECT *, {_CL('greatest(current_close * 0.0025::DOUBLE, coalesce(atr_14, 0) * 0.1::DOUBLE, 1e-12)')} AS range_cluster_id FROM cand"
