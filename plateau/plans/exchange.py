@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plateau.operators import constraints as K
 from plateau.operators import universe as U
-from plateau.params import CONFIG_GRID_FAST, CONFIG_GRID_FULL, INVESTMENT_THRESHOLDS, LEVERAGE_LADDER, SWEEP_PROFILES
+from plateau.params import CANDIDATE_KEY, CONFIG_GRID_FAST, CONFIG_GRID_FULL, INVESTMENT_THRESHOLDS, LEVERAGE_LADDER, SWEEP_PROFILES
 from plateau.plans.market import DAY0, HOUR, NOW
 from plateau.plans.registry import CTES, query, stage
 from plateau.sources import bars as B
@@ -135,11 +135,19 @@ query("constraint_outcome_counts", "symbols_tested:i symbols_feasible:i symbols_
     SELECT count(DISTINCT symbol) AS symbols_tested, count(DISTINCT symbol) FILTER (WHERE validate_ok AND feasible_exchange AND check_code = 'FGRID_CHECK_CODE_UNSPECIFIED' AND blocker_reason IS NULL) AS symbols_feasible,
     count(DISTINCT symbol) FILTER (WHERE {_OK3} AND blocker_reason IS NULL AND margin_inside AND five_ok) AS symbols_within_budget FROM probes)""")(
     lambda s, d: K.outcome_counts(probes(s, d)))
-query("append_constraints", "symbol range_width_pct:f cell_number_requested:i investment_min:f l_orderkey:i", f"""
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, range_width_pct, cell_number_requested, leverage_requested, stop_loss_mult ORDER BY l_orderkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r FROM probes) WHERE r = 1""")(
-    lambda s, d: S.latest_per_key(K.prune(probes(s, d)).unionByName(probes(s, d).where("investment_min IS NULL")),
-                                  ["symbol", "range_width_pct", "cell_number_requested", "leverage_requested", "stop_loss_mult"],
-                                  [F.col("l_orderkey").desc(), F.col("l_suppkey").desc(), F.col("l_extendedprice").desc()]))
+CTES["appended"] = """SELECT *, row_number() OVER (PARTITION BY symbol, range_width_pct, cell_number_requested, leverage_requested, init_margin_requested, stop_loss_mult
+    ORDER BY batch DESC, l_orderkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r FROM (
+    SELECT *, 5.0 AS init_margin_requested, 0 AS batch FROM probes WHERE l_suppkey % 3 <> 0 UNION ALL SELECT * REPLACE (investment_min + 1 AS investment_min), 5.0 AS init_margin_requested, 1 AS batch FROM probes WHERE l_linenumber <= 3)"""
+
+
+@query("append_constraints", "symbol range_width_pct:f cell_number_requested:i investment_min:f l_orderkey:i min_price:f", "SELECT *, CAST(NULL AS DOUBLE) AS min_price FROM appended WHERE r = 1")
+def _append(s, d):
+    """Two batches of probes that overlap on the eight candidate keys; the price keys are missing in both."""
+    first = probes(s, d).where("l_suppkey % 3 <> 0")
+    second = probes(s, d).where("l_linenumber <= 3").withColumn("investment_min", F.col("investment_min") + 1)
+    return S.append_constraints(first, second, list(CANDIDATE_KEY), ["l_orderkey", "l_suppkey", "l_extendedprice"])
+
+
 query("resume_candidates", PROBE, "SELECT * FROM probes p WHERE NOT EXISTS (SELECT 1 FROM eligible_probes e WHERE e.symbol = p.symbol AND e.cell_number_requested = p.cell_number_requested AND e.range_width_pct = p.range_width_pct)")(
     lambda s, d: K.already_done(probes(s, d), U.eligible_constraints(probes(s, d)), ("symbol", "cell_number_requested", "range_width_pct")))
 

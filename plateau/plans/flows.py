@@ -20,7 +20,7 @@ def _upsert(s, d):
     path, b = new_path(s, "bars"), bars(s, d)
     hour = F.call_function("div", F.col("open_time_ms"), F.lit(HOUR).cast("long"))
     again = hour % 4 != 0
-    newest = [F.col("fetched_at_ms").desc()]
+    newest = ["fetched_at_ms"]
     first = b.withColumn("close", F.when(again, -1.0).otherwise(F.col("close"))).withColumn("fetched_at_ms", F.lit(1).cast("long"))
     S.upsert_partitions(first, path, ["symbol", "open_time_ms"], newest)
     S.upsert_partitions(b.where(again).withColumn("fetched_at_ms", F.lit(2).cast("long")), path, ["symbol", "open_time_ms"], newest)

@@ -10,6 +10,7 @@ from plateau.operators import paths as P
 from plateau.operators import quality as Q
 from plateau.operators import universe as U
 from plateau.plans.registry import CTES, query, stage
+from plateau.session import new_path
 from plateau.sources import bars as B
 from plateau.sources import pages as G
 from plateau.sources import store as S
@@ -255,8 +256,14 @@ def store_rows(df, kind):
                      F.lit(True).alias("closed_bool"), *prov)
 
 
-query("read_dataset_filtered", "symbol open_time_ms:i open:f close:f", f"SELECT * FROM bars WHERE symbol = 'error' AND open_time_ms >= {DAY0 + 100 * HOUR}")(
-    lambda s, d: S.unique_or_fail(S.scan_candles(store_rows(bars(s, d), "trade_kline_1m"), ["error"], DAY0 + 100 * HOUR, None), ["symbol", "open_time_ms"]))
+@query("read_dataset_filtered", "symbol open_time_ms:i open:f close:f year:i", f"SELECT *, year(make_timestamp(open_time_ms * 1000)) AS year FROM bars WHERE symbol = 'error' AND open_time_ms >= {DAY0 + 100 * HOUR}")
+def _read_dataset(s, d):
+    """Bars written as a partitioned dataset and read back with a symbol and a time bound."""
+    path = new_path(s, "store")
+    S.write_dataset(store_rows(bars(s, d), "trade_kline_1m"), path, "trade_kline_1m")
+    return S.read_dataset(s, path, "trade_kline_1m", "error", DAY0 + 100 * HOUR)
+
+
 query("store_key_audit", "symbol open_time_ms:i row_count:i variant_count:i conflict", """
     SELECT symbol, open_time_ms, count(*) AS row_count, count(DISTINCT open) AS variant_count, count(DISTINCT open) > 1 AS conflict FROM tick_bars GROUP BY 1, 2 HAVING count(*) > 1""")(
     lambda s, d: S.key_audit(tick_bars(s, d), ["symbol", "open_time_ms"]))
@@ -385,7 +392,7 @@ query("symbol_difference", "symbol", "SELECT DISTINCT p_brand AS symbol FROM par
 query("distinct_keys", "symbol day:i", "SELECT DISTINCT symbol, ms // 86400000 AS day FROM ticks")(
     lambda s, d: B.event_rows(s, d).select("symbol", X.floor_div(F.col("ms"), 86_400_000).alias("day")).distinct())
 query("keep_latest_per_key", "user_id:i event_id:i value:f", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")(
-    lambda s, d: S.latest_per_key(B.event_rows(s, d).select("user_id", "event_id", "value", "ms", "order_key"), ["user_id"], [F.col("order_key").desc()]))
+    lambda s, d: S.latest_per_key(B.event_rows(s, d).select("user_id", "event_id", "value", "ms", "order_key"), ["user_id"], ["order_key"]))
 query("first_symbols", "symbol open_time_ms:i close:f", "SELECT * FROM bars WHERE symbol IN (SELECT DISTINCT symbol FROM bars ORDER BY 1 LIMIT 2)")(
     lambda s, d: U.first_symbols(bars(s, d), 2))
 query("symbols_in_manifest", "symbol open_time_ms:i close:f", "SELECT * FROM bars WHERE symbol IN (SELECT symbol FROM quality_odd WHERE bad_ohlc > 390)")(

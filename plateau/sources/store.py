@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plateau.functions.exprs import canonical_decimal_text, reasons
-from plateau.operators.chunks import numbered_per_key, with_one_row
+from plateau.operators.chunks import with_one_row
 from plateau.session import materialize, prepare
 
 DEC = T.DecimalType(38, 18)
@@ -61,10 +61,21 @@ def scan_candles(df: DataFrame, symbols: list[str] | None, start_ms: int | None,
 
 def read_dataset(spark: SparkSession, root: str, kind: str, symbol: str | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """Filtered read of one dataset; a key stored twice fails the job."""
-    df = prepare(spark).read.schema(SCHEMAS[kind]).parquet(f"{root}/{kind}")
+    stored = SCHEMAS[kind] if kind == "instrument_snapshot" else T.StructType([*SCHEMAS[kind].fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
+    df = prepare(spark).read.schema(stored).parquet(f"{root}/{kind}")
     return unique_or_fail(scan_candles(df, [symbol] if symbol else None, start_ms, end_ms, TIME[kind]), KEYS[kind])
 
 
+def write_dataset(df: DataFrame, root: str, kind: str) -> None:
+    """Rows of one dataset, partitioned as :func:`read_dataset` prunes them and sorted inside the files."""
+    if kind == "instrument_snapshot":
+        df.sortWithinPartitions(*KEYS[kind]).write.mode("append").parquet(f"{root}/{kind}")
+        return
+    parts = ["symbol", "year", "month"]
+    rows = partition_columns(df, TIME[kind])
+    rows.sortWithinPartitions(*parts, TIME[kind]).write.mode("append").partitionBy(*parts).parquet(f"{root}/{kind}")
+
+
 def key_audit(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys stored more than once, and whether their rows differ."""
     rest = [c for c in df.columns if c not in keys]
@@ -155,12 +166,19 @@ def read_replay_slice(instruments: DataFrame, trade: DataFrame, mark: DataFrame,
 # --------------------------------------------------------------------------
 # writing
 
-def latest_per_key(df: DataFrame, keys: list[str], newest_first: list) -> DataFrame:
-    """One row per key, the newest in a stated total order."""
-    return numbered_per_key(df, keys, newest_first, 1).drop("position")
+def latest_per_key(df: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
+    """One row per key: the greatest in ``newest``, then in the other columns by name, so that the choice is total.
+
+    One shuffle with map-side combine; a key with many rows sends one row per task.
+    """
+    rest = sorted(f.name for f in df.schema.fields if f.name not in {*keys, *newest} and isinstance(f.dataType, T.AtomicType))
+    order = F.struct(*newest, *rest)
+    others = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("__row"))
+    return best.select(*[F.col(c) if c in keys else F.col("__row").getField(c).alias(c) for c in df.columns])
 
 
-def upsert_partitions(new: DataFrame, root: str, keys: list[str], newest_first: list, time_col: str = "open_time_ms") -> None:
+def upsert_partitions(new: DataFrame, root: str, keys: list[str], newest: list[str], time_col: str = "open_time_ms") -> None:
     """Merge new rows into ``symbol/year/month`` partitions, rewriting only those it touches.
 
     The merged rows are staged before the overwrite, as they are read from the
@@ -176,7 +194,7 @@ def upsert_partitions(new: DataFrame, root: str, keys: list[str], newest_first:
     if fs.exists(jvm_path):
         old = spark.read.option("mergeSchema", "true").parquet(root).join(touched, parts, "left_semi")
         merged = incoming.unionByName(old, allowMissingColumns=True)
-    staged = materialize(latest_per_key(merged, keys, newest_first))
+    staged = materialize(latest_per_key(merged, keys, newest))
     (staged.repartition(*parts, F.pmod(F.xxhash64(*keys), F.lit(8))).sortWithinPartitions(*parts, *[k for k in keys if k not in parts])
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(root))
 
@@ -188,20 +206,20 @@ def write_candidates(df: DataFrame, root: str) -> None:
     """Upsert of candidates, events or regimes, keyed by the most specific id present."""
     key = next(c for c in CANDIDATE_IDS if c in df.columns)
     time_col = "signal_time_ms" if "signal_time_ms" in df.columns else "first_seen_time_ms"
-    upsert_partitions(df, root, [key], [F.col(time_col).desc()], time_col)
+    upsert_partitions(df, root, [key], [time_col], time_col)
 
 
 def write_outcomes(df: DataFrame, root: str) -> None:
-    upsert_partitions(df, root, ["outcome_id"], [F.col("signal_time_ms").desc(), F.col("outcome_match_key")], "signal_time_ms")
+    upsert_partitions(df, root, ["outcome_id"], ["signal_time_ms"], "signal_time_ms")
 
 
-def append_constraints(existing: DataFrame, incoming: DataFrame, keys, order: str) -> DataFrame:
-    """Append, NULL-fill missing key columns, keep the last row per key."""
-    both = existing.unionByName(incoming, allowMissingColumns=True)
+def append_constraints(existing: DataFrame, incoming: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
+    """Append, NULL-fill missing key columns, keep the last row per key; incoming rows come after existing ones."""
+    both = existing.withColumn("__batch", F.lit(0)).unionByName(incoming.withColumn("__batch", F.lit(1)), allowMissingColumns=True)
     for k in keys:
         if k not in both.columns:
             both = both.withColumn(k, F.lit(None).cast("string"))
-    return latest_per_key(both, list(keys), [F.col(order).desc()])
+    return latest_per_key(both, list(keys), ["__batch", *newest]).drop("__batch")
 
 
 # --------------------------------------------------------------------------
