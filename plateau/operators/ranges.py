@@ -393,7 +393,7 @@ def detect_candidates(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad
     """
     cfg = {**DETECTION_DEFAULTS, **(cfg or {})}
     profiles = _resolve(profiles)
-    rows = prepared_rows(bars, step_ms, max(lookbacks) + 1)
+    rows = materialize(prepared_rows(bars, step_ms, max(lookbacks) + 1))  # numbered once; windows and touches both read it
     windows = with_geometry(window_stats(rows, lookbacks).where("full"), cfg).where(structural_reason(step_ms).isNull())
     passes = [all_of([~F.coalesce(c, F.lit(False)) for _, c in early_rejections(p, cfg) + trend_rejections(p)]) for p in profiles]
     windows = materialize(windows.where(any_of(passes)))  # read by the touch join and by the result
@@ -413,7 +413,7 @@ def rejection_funnel(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad_
     cfg = {**DETECTION_DEFAULTS, **(cfg or {})}
     profiles = _resolve(profiles)
     prows = _profile_rows(profiles)
-    rows = prepared_rows(bars, step_ms, max(lookbacks) + 1)
+    rows = materialize(prepared_rows(bars, step_ms, max(lookbacks) + 1))  # numbered once; windows and touches both read it
     every = with_geometry(window_stats(rows, lookbacks), cfg).withColumn("structural", F.when(F.col("full"), structural_reason(step_ms)).otherwise("short"))
     early_ok = any_of([all_of([~F.coalesce(c, F.lit(False)) for _, c in early_rejections(p, cfg)]) for p in profiles])
     deep = F.coalesce(F.col("structural").isNull() & early_ok, F.lit(False))
