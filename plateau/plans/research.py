@@ -9,17 +9,20 @@ from plateau.operators import events as E
 from plateau.operators import ranges as R
 from plateau.operators import reports as V
 from plateau.operators import universe as U
-from plateau.params import EVENT_SEMANTICS, PROFILES
-from plateau.plans.market import HOUR, bars
+from plateau.operators.chunks import number_rows
+from plateau.params import DAY_MS, EVENT_SEMANTICS, PROFILES
+from plateau.params import LOOKBACKS as PUBLISHED_LOOKBACKS
+from plateau.plans.market import DAY0, HOUR, bars
 from plateau.plans.registry import CTES, query, stage
+from plateau.sources import bars as B
 
 LOOKBACKS = (6, 12, 24)
 
 
 # --- windows -----------------------------------------------------------------
-def _windows_sql(source: str) -> str:
+def _windows_sql(source: str, lookbacks=LOOKBACKS) -> str:
     parts = []
-    for n in LOOKBACKS:
+    for n in lookbacks:
         w, r = f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW", f"ROWS BETWEEN {n - 2} PRECEDING AND CURRENT ROW"
         over, ret = f"OVER (PARTITION BY symbol ORDER BY rn {w})", f"OVER (PARTITION BY symbol ORDER BY rn {r})"
         lag = f"OVER (PARTITION BY symbol ORDER BY rn)"
@@ -30,7 +33,7 @@ def _windows_sql(source: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _window_ctes(p: str, source: str) -> dict[str, str]:
+def _window_ctes(p: str, source: str, lookbacks=LOOKBACKS) -> dict[str, str]:
     """Rows, true range, ATR, windows, geometry and touches over one bar source."""
     return {
         f"{p}rows": f"""SELECT *, row_number() OVER w - 1 AS rn, lag(close) OVER w AS prev_close, open_time_ms - lag(open_time_ms) OVER w AS step,
@@ -39,12 +42,12 @@ def _window_ctes(p: str, source: str) -> dict[str, str]:
             ELSE greatest(high - low, abs(high - prev_close), abs(low - prev_close)) END AS tr, CASE WHEN close > 0 AND prev_close > 0 THEN ln(close) - ln(prev_close) END AS ret FROM {p}rows""",
         f"{p}atr": f"""SELECT *, CASE WHEN count(tr) OVER (PARTITION BY symbol ORDER BY rn ROWS 13 PRECEDING) = 14 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY rn ROWS 13 PRECEDING) END AS atr_14,
             CASE WHEN count(tr) OVER (PARTITION BY symbol ORDER BY rn ROWS 59 PRECEDING) = 60 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY rn ROWS 59 PRECEDING) END AS atr_60 FROM {p}tr""",
-        f"{p}win": f"SELECT * FROM ({_windows_sql(p + 'atr')}) WHERE rn >= lookback_minutes - 1",
+        f"{p}win": f"SELECT * FROM ({_windows_sql(p + 'atr', lookbacks)}) WHERE rn >= lookback_minutes - 1",
         f"{p}geo": f"""SELECT *, range_high - range_low AS range_height_abs, (range_high - range_low) / close AS range_height_pct,
             CASE WHEN range_high > range_low THEN (close - range_low) / (range_high - range_low) END AS position, range_low + 0.5 * (range_high - range_low) AS range_mid,
             range_low + 0.2::DOUBLE * (range_high - range_low) AS lower_edge, range_high - 0.2::DOUBLE * (range_high - range_low) AS upper_edge, abs((close - first_close) / first_close) AS slope_pct,
             CASE WHEN atr_14 <> 0 THEN (range_high - range_low) / atr_14 END AS range_height_atr_14, CASE WHEN atr_60 <> 0 THEN (range_high - range_low) / atr_60 END AS range_height_atr_60,
-            CASE WHEN open_time_ms - first_ts <> (lookback_minutes - 1) * {HOUR} THEN 'missing_window' WHEN dup_steps > 0 THEN 'duplicate_timestamp' WHEN irregular_steps > 0 THEN 'missing_window'
+            CASE WHEN open_time_ms - first_ts <> (lookback_minutes - 1) * {HOUR}::BIGINT THEN 'missing_window' WHEN dup_steps > 0 THEN 'duplicate_timestamp' WHEN irregular_steps > 0 THEN 'missing_window'
             WHEN bad_count > 0 THEN 'bad_ohlc_window' END AS structural FROM {p}win""",
         f"{p}touch": f"""SELECT g.symbol, g.lookback_minutes, g.rn, count(*) FILTER (WHERE b.low <= lower_edge) AS touches_lower_zone, count(*) FILTER (WHERE b.high >= upper_edge) AS touches_upper_zone,
             count(*) FILTER (WHERE b.rn > g.rn - g.lookback_minutes + 1 AND ((b.prev_close < range_mid AND b.close > range_mid) OR (b.prev_close > range_mid AND b.close < range_mid))) AS midline_crosses,
@@ -138,6 +141,35 @@ query("run_metrics", "profile_name symbols_processed:i candles_scanned:i total_w
     SELECT *, raw_candidate_pass_count * 10000.0 / candles_scanned AS candidates_per_10k_candles FROM (SELECT profile_name, {_SUMS}, (SELECT count(*) FROM bars) AS candles_scanned,
     (SELECT count(DISTINCT symbol) FROM bars) AS symbols_processed FROM funnel GROUP BY 1)""")(lambda s, d: R.run_metrics(funnel(s, d), bars(s, d)))
 
+# --- the published lookbacks and profiles, on bars of one tick each ----------------
+CTES["dense"] = f"""SELECT symbol, {DAY0} + rn * {HOUR} AS open_time_ms, coalesce(before, price) AS open, greatest(coalesce(before, price), price) AS high, least(coalesce(before, price), price) AS low,
+    price AS close, 1.0::DOUBLE AS volume, price AS turnover FROM (SELECT *, row_number() OVER w - 1 AS rn, lag(price) OVER w AS before FROM (
+    SELECT symbol, ts, event_id, 1000.0::DOUBLE + value % 10 AS price FROM ticks) WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id))"""
+CTES.update(_window_ctes("d_", "dense", PUBLISHED_LOOKBACKS))
+CTES["dense_judged"] = _judged_sql("d_", ", ".join(f"'{p}'" for p in PROFILES))
+
+
+@stage("dense_bars")
+def dense(s, d):
+    """Every event as a bar from the last price to its own, an hour apart: without gaps, and as many as there are events."""
+    ticks = B.event_rows(s, d).select("symbol", "ms", "order_key", (F.lit(1000.0) + F.col("value") % 10).alias("price"))
+    rows = number_rows(ticks, ["symbol"], "ms", DAY_MS, ["ms", "order_key"]).select("symbol", "rn", "price")
+    last = rows.select("symbol", (F.col("rn") + 1).alias("rn"), F.col("price").alias("before"))
+    before = F.coalesce("before", "price")
+    return rows.join(last, ["symbol", "rn"], "left").select(
+        "symbol", (F.lit(DAY0).cast("long") + F.col("rn") * HOUR).alias("open_time_ms"), before.alias("open"), F.greatest(before, "price").alias("high"),
+        F.least(before, "price").alias("low"), F.col("price").alias("close"), F.lit(1.0).alias("volume"), F.col("price").alias("turnover"))
+
+
+query("dense_bars", "symbol open_time_ms:i open:f high:f low:f close:f", "SELECT * FROM dense")(dense)
+query("detect_published_lists", "candidate_id profile_name lookback_minutes:i touches_lower_zone:i touches_upper_zone:i midline_crosses:i range_quality_score:f", """
+    SELECT symbol || ':' || profile_name || ':' || open_time_ms || ':' || lookback_minutes AS candidate_id, *, score AS range_quality_score FROM dense_judged WHERE reason = 'pass'""")(
+    lambda s, d: R.detect_candidates(dense(s, d), HOUR, PUBLISHED_LOOKBACKS, tuple(PROFILES), core="arrow"))
+query("rejection_funnel_published_lists", "symbol " + FUNNEL, f"""SELECT symbol, profile_name, lookback_minutes, count(*) AS total_window_positions, 0 AS insufficient_history_rejection_count, {_RC},
+    count(*) FILTER (WHERE reason = 'pass') AS raw_candidate_pass_count FROM dense_judged GROUP BY 1, 2, 3""")(
+    # a history shorter than a lookback gives no position
+    lambda s, d: R.rejection_funnel(dense(s, d), HOUR, PUBLISHED_LOOKBACKS, tuple(PROFILES)).where("total_window_positions > 0"))
+
 # bars lowered so that some prices are not positive: the bad-candle branch of the funnel
 CTES["low_bars"] = "SELECT symbol, open_time_ms, open - 1003 AS open, high - 1003 AS high, low - 1003 AS low, close - 1003 AS close, volume, turnover FROM bars"
 CTES.update(_window_ctes("y_", "low_bars"))
