@@ -50,6 +50,12 @@ def main() -> None:
     funding = timed("funding", lambda: B.funding(spark, d))
     timed("detect_gaps", lambda: Q.detect_gaps(bars, HOUR, FIRST, LAST))
     cand = timed("range_candidates", lambda: R.detect_candidates(bars, HOUR, lookbacks))
+    from plateau.params import LOOKBACKS
+    from plateau.plans.research import dense as dense_bars
+
+    # one bar an event, seven published lookbacks: grows with the scale factor
+    dense = timed("dense_bars", lambda: dense_bars(spark, d))
+    timed("dense_candidates", lambda: R.detect_candidates(dense, HOUR, LOOKBACKS))
     timed("rejection_funnel", lambda: R.rejection_funnel(bars, HOUR, lookbacks, ("broad_diagnostic", "balanced_research")))
     timed("coalesce_events", lambda: E.coalesce_events(cand, HOUR))
     members = timed("regime_members", lambda: E.actionable_members(cand, HOUR))

@@ -279,14 +279,23 @@ def touch_counts(windows: DataFrame, rows: DataFrame, lookbacks) -> DataFrame:
     )
 
 
+#: Windows that a block evaluates at once: arrays of this many windows stay in the processor's cache.
+SLICE = 256
+
+
 def touch_counts_arrow(windows: DataFrame, rows: DataFrame, lookbacks, cfg: dict) -> DataFrame:
     """Same result as :func:`touch_counts`, one Arrow batch per halo block.
 
     Cheaper for long lookbacks, where the range join would form L pairs per window.
+    Every row carries the set of its lookbacks that are wanted, so a block
+    evaluates the given windows only, in slices of bounded size.
     """
     schema = ("symbol string, lookback_minutes int, rn long, touches_lower_zone long, touches_upper_zone long, "
               "midline_crosses long, last_lower_rn long, last_upper_rn long")
     lower, upper, lbs = cfg["lower_zone_pct"], cfg["upper_zone_pct"], tuple(lookbacks)
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(lbs) for x in (n, 1 << i)]), F.col("lookback_minutes"))
+    wanted = windows.groupBy("symbol", "rn").agg(F.bit_or(bit).alias("wanted"))
+
     def touches_of_block(pdf):
         """Vectorised touch counts of one block (at most two block lengths of rows)."""
         import numpy as np
@@ -294,34 +303,35 @@ def touch_counts_arrow(windows: DataFrame, rows: DataFrame, lookbacks, cfg: dict
 
         pdf = pdf.sort_values("rn")
         low, high, close = (pdf[c].to_numpy(float) for c in ("low", "high", "close"))
-        rn, core = pdf["rn"].to_numpy(), pdf["core"].to_numpy()
+        rn, mask = pdf["rn"].to_numpy(), np.where(pdf["core"].to_numpy(bool), pdf["wanted"].fillna(0).to_numpy(np.int64), 0)
         view, out = np.lib.stride_tricks.sliding_window_view, []
-        for n in lbs:
+        for i, n in enumerate(lbs):
             if len(pdf) < n:
                 continue
-            ends = np.flatnonzero(core[n - 1:])
-            lows, highs, closes = (view(a, n)[ends] for a in (low, high, close))
-            bottom, top = lows.min(axis=1), highs.max(axis=1)
-            span = top - bottom
-            below = lows <= (bottom + lower * span)[:, None]
-            above = highs >= (top - upper * span)[:, None]
-            side = np.sign(closes - (bottom + 0.5 * span)[:, None])
-            out.append(pd.DataFrame({
-                "symbol": pdf["symbol"].iloc[0], "lookback_minutes": n, "rn": rn[n - 1:][ends],
-                "touches_lower_zone": below.sum(axis=1), "touches_upper_zone": above.sum(axis=1),
-                "midline_crosses": (side[:, 1:] * side[:, :-1] < 0).sum(axis=1),
-                "last_lower_rn": rn[n - 1:][ends] - below[:, ::-1].argmax(axis=1),
-                "last_upper_rn": rn[n - 1:][ends] - above[:, ::-1].argmax(axis=1),
-            }))
+            chosen = np.flatnonzero(mask[n - 1:] >> i & 1)
+            for at in range(0, len(chosen), SLICE):
+                ends = chosen[at:at + SLICE]
+                lows, highs, closes = (view(a, n)[ends] for a in (low, high, close))
+                bottom, top = lows.min(axis=1), highs.max(axis=1)
+                span = top - bottom
+                below = lows <= (bottom + lower * span)[:, None]
+                above = highs >= (top - upper * span)[:, None]
+                side = np.sign(closes - (bottom + 0.5 * span)[:, None])
+                last = rn[n - 1:][ends]
+                out.append(pd.DataFrame({
+                    "symbol": pdf["symbol"].iloc[0], "lookback_minutes": n, "rn": last,
+                    "touches_lower_zone": below.sum(axis=1), "touches_upper_zone": above.sum(axis=1),
+                    "midline_crosses": (side[:, 1:] * side[:, :-1] < 0).sum(axis=1),
+                    "last_lower_rn": last - below[:, ::-1].argmax(axis=1), "last_upper_rn": last - above[:, ::-1].argmax(axis=1),
+                }))
         cols = ["symbol", "lookback_minutes", "rn", "touches_lower_zone", "touches_upper_zone",
                 "midline_crosses", "last_lower_rn", "last_upper_rn"]
         return pd.concat(out)[cols] if out else pd.DataFrame(columns=cols)
 
-    counted = (
-        rows.select("symbol", "blk", "core", "rn", "low", "high", "close").groupBy("symbol", "blk")
-        .applyInPandas(touches_of_block, schema)
+    return (
+        rows.select("symbol", "blk", "core", "rn", "low", "high", "close").join(wanted, ["symbol", "rn"], "left")
+        .groupBy("symbol", "blk").applyInPandas(touches_of_block, schema)
     )
-    return counted.join(windows.select("symbol", "lookback_minutes", "rn"), ["symbol", "lookback_minutes", "rn"], "left_semi")
 
 
 def quality_score_columns(df: DataFrame) -> DataFrame:
@@ -386,7 +396,7 @@ def _candidate_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def detect_candidates(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad_diagnostic",), cfg: dict | None = None, core: str = "join") -> DataFrame:
+def detect_candidates(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad_diagnostic",), cfg: dict | None = None, core: str = "arrow") -> DataFrame:
     """Range candidates over all symbols, lookbacks and profiles.
 
     Slope and ATR tests run before the touch join: they commute for the output.
@@ -425,7 +435,7 @@ def rejection_funnel(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad_
         return expr
 
     survivors = materialize(every.where(deep))  # the few windows that need their bars
-    touched = touch_counts(survivors, rows, lookbacks)
+    touched = touch_counts_arrow(survivors, rows, lookbacks, cfg)
     joined = expand(survivors.join(touched, ["symbol", "lookback_minutes", "rn"]), prows)
     checks = early_rejections(None, cfg) + touch_rejections() + trend_rejections(None)
     late = quality_score_columns(_candidate_columns(joined.withColumn("reason", first_reason(checks))))

@@ -120,7 +120,7 @@ def candidates(s, d):
     return R.detect_candidates(bars(s, d), HOUR, LOOKBACKS)
 
 
-query("detect_range_candidates", CANDIDATE, "SELECT * FROM cand")(lambda s, d: R.detect_candidates(bars(s, d), HOUR, LOOKBACKS))
+query("detect_range_candidates", CANDIDATE, "SELECT * FROM cand")(lambda s, d: R.detect_candidates(bars(s, d), HOUR, LOOKBACKS, core="join"))
 query("detect_range_candidates_arrow", CANDIDATE, "SELECT * FROM cand")(lambda s, d: R.detect_candidates(bars(s, d), HOUR, LOOKBACKS, core="arrow"))
 query("detect_many_profiles", "candidate_id profile_name range_quality_score:f", """SELECT symbol || ':' || profile_name || ':' || open_time_ms || ':' || lookback_minutes AS candidate_id, profile_name, score AS range_quality_score
     FROM judged WHERE reason = 'pass'""")(lambda s, d: R.detect_candidates(bars(s, d), HOUR, LOOKBACKS, ("broad_diagnostic", "balanced_research", "strict_research")))
