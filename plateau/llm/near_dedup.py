@@ -159,35 +159,44 @@ def _with_sets(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: in
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): connected components of edges (a, b); root is the least node.
+    """(node, root): connected components of edges (a, b); root is the least node, and has no row of its own.
 
     Alternating large-star and small-star steps; every step is a grouping with
-    map-side minima and one join, and is written, so a lost executor costs one step.
+    map-side minima and one join, and every round is written, so a lost executor
+    costs one round.
     """
     e = base.materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     )
     for _ in range(rounds):
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo"), F.col("hi")))
+        # stars: every upper node has one lower node, and that is no upper node itself
+        several = e.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hi")
+        if several.union(e.select("lo").join(e.select("hi"), F.col("lo") == F.col("hi"), "left_semi")).isEmpty():
+            return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = base.materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(low, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
-            .where("hi <> lo").distinct()
-        )
-        new = base.materialize(small)
-        a = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        b = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        e = new
-        if tuple(a) == tuple(b):
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-
-
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, leader_rounds: int = 3) -> DataFrame:
+        small = large.join(low, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
+        e = base.materialize(small.where("hi <> lo").distinct())
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots after further links: only links between different components are looked at again."""
+    if roots is None:
+        return components(links)
+    a, b = (roots.select(F.col("node").alias(f"{x}_node"), F.col("root").alias(f"{x}_root")) for x in "ab")
+    between = (
+        links.join(a, F.col("a") == F.col("a_node"), "left").join(b, F.col("b") == F.col("b_node"), "left")
+        .select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    )
+    new = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return base.materialize(moved.union(new.select("old", "new")))
+
+
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, leader_rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     percent: documents are linked with 100 * |A & B| >= percent * |A | B|.
@@ -209,7 +218,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     # u unlike members of sets of n and m: similar enough where (100 + percent) * u <= (100 - percent) * (n + m)
     differing = " + ".join(f"bit_count(x.c.s{i} ^ y.c.s{i})" for i in range(SKETCH_BITS // 64))
     alike = f"100 * least(x.c.n, y.c.n) >= {percent} * greatest(x.c.n, y.c.n) and {100 + percent} * ({differing}) <= {100 - percent} * (x.c.n + y.c.n)"
-    links, tried, roots = None, None, None
+    tried, roots = None, None
     for turn in range(leader_rounds + 1):
         here = slots.select("bucket", "c", F.col("c.node").alias("root")) if roots is None else (
             slots.join(roots, F.col("c.node") == F.col("node"), "left").select("bucket", "c", F.coalesce("root", "c.node").alias("root"))
@@ -238,10 +247,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
         pairs = base.materialize(pairs)
         tried = pairs if tried is None else tried.union(pairs)
         if turn and pairs.isEmpty():
-            break
+            continue  # leaders may have no candidate where other members of a bucket have
         found = base.materialize(_with_sets(pairs, classes, packed, words).mapInArrow(_confirm(percent), "a bigint, b bigint"))
-        links = found if links is None else base.materialize(links.union(found))
-        roots = components(links)
+        roots = _joined_roots(roots, found)
     # A document that has several rows ties their classes together.
     rows_by_id = with_set.join(classes.select("set_key", "node"), "set_key").select("doc_id", "node", "set_key", "n_shingles")
     final = base.materialize(
