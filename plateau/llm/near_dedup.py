@@ -211,10 +211,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     classes = base.materialize(
         with_set.groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(d) for c, d in (("n_shingles", "n"), ("buckets", "buckets"), ("sketch", "sketch"))])
     )
-    # A class in a bucket of its own has no candidate there.
-    slots = classes.select(F.struct("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)]).alias("c"), F.posexplode("buckets").alias("band", "bucket"))
-    shared = slots.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "bucket")
-    slots = base.materialize(slots.join(shared, ["band", "bucket"]).select(F.xxhash64("band", "bucket").alias("bucket"), "c"))
+    # A class in a bucket of its own has no candidate there; only bucket and node are shuffled to find out.
+    placed = classes.select("node", F.posexplode("buckets").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
+    sketches = classes.select(F.struct("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)]).alias("c"))
+    slots = base.materialize(placed.join(shared, "bucket").join(sketches, F.col("node") == F.col("c.node")).select("bucket", "c"))
     # u unlike members of sets of n and m: similar enough where (100 + percent) * u <= (100 - percent) * (n + m)
     differing = " + ".join(f"bit_count(x.c.s{i} ^ y.c.s{i})" for i in range(SKETCH_BITS // 64))
     alike = f"100 * least(x.c.n, y.c.n) >= {percent} * greatest(x.c.n, y.c.n) and {100 + percent} * ({differing}) <= {100 - percent} * (x.c.n + y.c.n)"
