@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from plateau.llm import base
 
+
 class _Spaces(dict):
     """Translation of everything but letters and digits into a space, filled as characters come."""
 
@@ -35,7 +36,6 @@ class _Spaces(dict):
 
 
 _TO_SPACE = _Spaces()
-_MATCH = "matches array<struct<item_id: bigint, passage: int, start: bigint, end: bigint, edits: int, chars: int>>"
 
 
 def normal(text: str | None) -> str:
