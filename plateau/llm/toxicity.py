@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from plateau.llm import base
 
 ORDER, SHARED = 6, 2
-PIECE, FLUSH = 64, 400_000
+PIECE, FLUSH = 64, 250_000
 PEAK = 25.0  # an expression's difference counts up to e^25 to 1
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,8 +193,8 @@ class Model:
         if len(cache) + len(new) > FLUSH:
             cache.clear()
             new = list({w for words in split for w in words})
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
             cache.update(zip(part, np.clip(self.differences(part), -PEAK, PEAK).tolist(), strict=True))
         out = np.zeros((len(split), 3))
         for i, words in enumerate(split):
