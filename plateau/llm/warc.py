@@ -99,7 +99,7 @@ def parse_record(member: bytes) -> dict:
 def _write(folder: str):
     def run(batches):
         name = f"{folder}/captures-{uuid.uuid4().hex}"
-        archive = index = None
+        archive = index = notice = refers_to = None
         at = index_at = start = 0
         lines: list[list] = []
 
@@ -113,7 +113,11 @@ def _write(folder: str):
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _DIRECTORY_ARROW, strict=True)], schema=_DIRECTORY_ARROW)
 
         for b in batches:
-            for key, page_id, url, html, digest, refers_to, is_revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, page_id, url, html, digest, first_id, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part == 0:
+                    notice, refers_to = (key, page_id, digest), first_id
+                    continue
+                is_revisit = (key, page_id, digest) == notice
                 if archive is None:
                     fs, path = base.open_fs(name)
                     archive, index = (fs.open_output_stream(f"{path}.{x}", compression=None) for x in ("warc.gz", "idx"))
@@ -142,12 +146,17 @@ def write_archive(pages: DataFrame, folder: str, min_revisit: int = 100) -> Data
         rows.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and first_id is not null").select(F.col("digest").alias("f_digest"), "first_id")
     )
-    # the right side has one row a payload, so the skew join can split a payload with many captures
-    judged = rows.hint("merge").join(firsts, F.col("digest") == F.col("f_digest"), "left").select(
-        url_key(F.col("url")).alias("key"), "page_id", "url", "html", "digest", "first_id",
-        (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("is_revisit"),
+    # Which captures are revisits is found without their payloads; the right side has one row a payload, so the skew join can split it.
+    named = rows.withColumn("key", url_key(F.col("url")))
+    revisits = base.materialize(
+        named.select("key", "page_id", "digest").hint("merge").join(firsts, F.col("digest") == F.col("f_digest"))
+        .where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("key", "page_id", "digest", "first_id").distinct()
     )
-    placed = judged.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # A revisit's notice sorts right before its capture, so payloads are shuffled once.
+    nothing = F.lit(None).cast("string")
+    notices = revisits.select("key", "page_id", nothing.alias("url"), nothing.alias("html"), "digest", "first_id", F.lit(0).alias("part"))
+    captures = named.select("key", "page_id", "url", "html", "digest", F.lit(None).cast("bigint").alias("first_id"), F.lit(1).alias("part"))
+    placed = captures.unionByName(notices).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "digest", "part")
     return base.materialize(placed.mapInArrow(_write(folder), DIRECTORY))
 
 
