@@ -152,6 +152,45 @@ def test_line_dedup_matches_brute_force(spark):
     assert sorted(tuple(r) for r in got) == line_brute(rows, 4, 50)
 
 
+def whole_run_brute(rows, window, min_words):
+    """Lines of every run, of any length, that holds a window and stood earlier (in its own text: ended before it)."""
+    units = {i: [x.strip(" ") for x in t.split("\n") if x.strip(" ")] for i, t, *_ in rows}
+
+    def holds(run):
+        return len(run) >= window or sum(len(words_of(x)) for x in run) >= min_words
+
+    gone = defaultdict(set)
+    for i, mine in units.items():
+        for j, other in units.items():
+            for s in range(len(mine)):
+                for at in range(len(other)) if j < i else range(s) if j == i else ():
+                    n = 0
+                    while s + n < len(mine) and at + n < (len(other) if j < i else s) and mine[s + n] == other[at + n]:
+                        n += 1
+                    if holds(mine[s : s + n]):
+                        gone[i] |= set(range(s, s + n))
+    out = []
+    for i, t, *_ in rows:
+        kept, k = [], -1
+        for x in t.split("\n"):
+            k += bool(x.strip(" "))
+            if not x.strip(" ") or k not in gone[i]:
+                kept.append(x)
+        out.append((i, "\n".join(kept), len(gone[i])))
+    return sorted(out)
+
+
+def test_line_dedup_of_whole_runs_leaves_no_tail(spark):
+    para, half = odd.prose(60, 4), odd.prose(40, 5)
+    few = [odd.prose(3, k) for k in range(12)]
+    texts = [[para, half, "tail"], ["new", para, half, "tail"], [para, half, "other"], [*few, para, "tail"], ["x", *few[3:], para, "tail"], [half, few[1], few[2], "end"], ["y", half, few[1], few[2], "end"],
+             [para, "b", para, "b", "c"], ["same", half] * 4 + ["same"], [half, "q", odd.prose(10, 9), "r"], ["z", half, "q", odd.prose(10, 9), "r", "s"]]
+    rows = [(i, "\n".join(t), "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(odd.documents(spark, rows), keep=["doc_id"], whole=True).select("doc_id", "text", "n_removed").collect()}
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got.values()) == whole_run_brute(rows, 4, 50)
+    assert (got[1].text, got[2].text, got[4].text) == ("new", "other", "x")
+
+
 def test_line_dedup_odd_rows_keep_their_columns(spark):
     docs = odd.documents(spark)
     out = line_dedup.dedup_lines(docs)
