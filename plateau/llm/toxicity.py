@@ -277,14 +277,20 @@ def bounded_sample(rows: DataFrame, column: str, max_rows: int) -> DataFrame:
     return base.materialize(parts[0].union(parts[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_calibration: int = 1000) -> Model:
+def samples(labelled: DataFrame, max_rows: int, max_calibration: int) -> tuple[DataFrame, DataFrame]:
+    """Rows to learn from and rows to calibrate on, each with its own bound a class.
+
+    A fifth of the rows, by hash, calibrates: rows the models never see.
+    """
+    calibrates = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0
+    return bounded_sample(labelled.where(~calibrates), "toxic", max_rows), bounded_sample(labelled.where(calibrates), "toxic", max_calibration)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_calibration: int = 1500) -> Model:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labelled = learnable(labels, "toxic")
     toxic_share = labelled.agg(F.avg("label")).first()[0] or 0.0
-    sample = bounded_sample(labelled, "toxic", max_rows + max_calibration)
-    # the last fifth of the hash range calibrates: rows the models never see
-    calibrates = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) == 0
-    learn, check = sample.where(~calibrates), sample.where(calibrates)
+    learn, check = samples(labelled, max_rows, max_calibration)
     words = (
         texts.join(F.broadcast(learn.withColumnRenamed("doc_id", "l_id")), F.col("doc_id") == F.col("l_id"), "left")
         .select("text", "label").mapInArrow(_count_words, "word string, n bigint, toxic bigint, ordinary bigint")

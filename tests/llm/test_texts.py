@@ -1,5 +1,6 @@
 """Scores, decontamination and HTML text against brute force and held-out accuracy."""
 
+import inspect
 import itertools
 import random
 import zlib
@@ -51,6 +52,16 @@ def test_toxicity_without_labels_or_documents_scores_nothing_toxic(spark):
     assert toxicity.drop_toxic(odd.documents(spark, []), odd.labels(spark, [(1, 1, 1), (2, 1, 0)])).collect() == []
 
 
+def test_toxicity_learns_from_as_many_rows_as_its_bounds_say(spark):
+    bounds = {k: p.default for k, p in inspect.signature(toxicity.train).parameters.items() if p.default is not p.empty}
+    assert bounds == {"max_rows": 5000, "max_calibration": 1500}
+    labels = toxicity.learnable(spark.range(40_000).selectExpr("id as doc_id", "1 as quality", "id % 2 as toxic"), "toxic")
+    learn, check = toxicity.samples(labels, **bounds)
+    assert {r.label: r["count"] for r in learn.groupBy("label").count().collect()} == {0: 5000, 1: 5000}
+    assert {r.label: r["count"] for r in check.groupBy("label").count().collect()} == {0: 1500, 1: 1500}
+    assert learn.join(check, "doc_id").count() == 0
+
+
 def test_held_out_labels_do_not_move_a_score(spark):
     rows, labels = labelled(120, 2)
     docs = odd.documents(spark, rows)
