@@ -52,6 +52,10 @@ _BAD_WORDS = set(
 _GOOD_WORDS = set("article content post entry story main body text".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ANY_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: Classes that clip or turn, and hide nothing.
+_CLIPS = re.compile(r"(?:overflow|backface)[\w-]*?hidden", re.I)
 _ENDS = re.compile(r"[.!?…。]")
 
 #: Fixed weights of the block classifier (log odds of content).
@@ -79,13 +83,31 @@ def _role(name: str, attributes: str) -> int:
         return -1
     good = name in _GOOD_TAGS
     if attributes and name not in ("html", "body"):
-        words = {w.lower() for m in _ATTR.finditer(attributes) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")}
+        words = {w.lower() for m in _ATTR.finditer(attributes) for w in _WORDS.findall(_CLIPS.sub(" ", m[2] or m[3] or m[4] or ""))}
         if words & _BAD_WORDS and not (name in _HEADINGS and words & _BAD_WORDS <= {"header"}) and not good:
             return -1
         good = good or bool(words & _GOOD_WORDS)
     return 1 if good else 0
 
 
+def _hides(attributes: str) -> bool:
+    """An attribute named hidden, aria-hidden that is true, or a style that says display: none or visibility: hidden last."""
+    seen = {}
+    for m in _ANY_ATTR.finditer(attributes):
+        seen.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in seen or seen.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    said, firm = {}, set()
+    for declaration in _COMMENT.sub(" ", unescape(seen.get("style", ""))).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        name, (value, important, _) = name.strip(), value.partition("!")
+        if important or name not in firm:
+            said[name] = value.strip()
+        if important:
+            firm.add(name)
+    return said.get("display") == "none" or said.get("visibility") == "hidden"
+
+
 def blocks(page: str) -> list[tuple[str, _Element, int, bool]]:
     """(text, element, characters inside links, any words) of every block with text."""
     out, parts, linked = [], [], 0
@@ -143,7 +165,7 @@ def blocks(page: str) -> list[tuple[str, _Element, int, bool]]:
                 top = top.block.parent
         serial += 1
         low = (attributes or "").lower()
-        hidden = name in _HIDDEN or bool(low) and (re.search(r"display\s*:\s*none|\bhidden\b(?!\s*[-\w])|aria-hidden\s*=\s*[\"']?true", low) is not None)
+        hidden = name in _HIDDEN or ("hidden" in low or "style" in low) and _hides(attributes)
         if low.endswith("/") and name in ("svg", "math"):
             continue
         top = _Element(name, top, serial, _role(name, attributes), hidden)

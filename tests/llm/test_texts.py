@@ -182,6 +182,16 @@ def test_article_text_of_a_page():
     assert html_text.extract("No markup at all, only a sentence &lt;here&gt;.") == "No markup at all, only a sentence <here>."
 
 
+def test_only_what_hides_an_element_hides_it():
+    text = "A paragraph of text, quite long enough to be the article of this page."
+    for shown in ('style="overflow:hidden"', 'class="overflow-hidden"', 'class="md:overflow-x-hidden u-overflowHidden"', 'aria-hidden="false"', "aria-hidden=false", 'title="the hidden door"',
+                  'data-state="hidden"', "data-hidden", 'style="x-display:none"', 'style="/* display:none */ color:red"', 'style="display:none;display:block"', "title='display:none'"):
+        assert html_text.extract(f"<body><div {shown}><p>{text}</p></div></body>") == text, shown
+    for hidden in ("hidden", 'hidden=""', "HIDDEN class=a", "id=a hidden", 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display : none"', "style='VISIBILITY:hidden'", "style=display:none",
+                   'style="display:none !important;display:block"', 'style="display&#58;none"'):
+        assert html_text.extract(f"<body><p>{text}</p><div {hidden}><p>Not shown to any reader, long enough to be text otherwise.</p></div></body>") == text, hidden
+
+
 def test_html_of_odd_pages(spark):
     long = "<article>" + "<p>A paragraph of text, quite long enough.</p>" * 20000 + "</article>"
     rows = [(1, "http://a", None), (2, None, ""), (3, "u", PAGE), (3, "u", PAGE), (None, None, "<p"), (4, "u", "<div " * 2000 + "x"), (5, "u", long), (6, "u", "<p title=\"a>b\">Text & more.</p>")]
