@@ -122,12 +122,15 @@ class _Either(dict):
 
 
 def _words(text: str) -> list[bytes]:
-    """Pieces between ASCII white space, A-Z lower-cased as the normalizer does anyway, so that more words meet in the cache.
+    """Pieces between ASCII white space, those of ASCII alone lower-cased as the normalizer does anyway, so that more words meet in the cache.
 
+    Other pieces keep their case: the normalizer composes before it lower-cases, and some capitals compose with a mark only when small.
     Added tokens are looked for before the normalizer, so a text that may hold one keeps its case.
     """
     raw = text.encode()
-    return (raw if b"<|" in raw else raw.lower()).split()
+    if b"<|" in raw:
+        return raw.split()
+    return raw.lower().split() if raw.isascii() else [w.lower() if w.isascii() else w for w in raw.split()]
 
 
 def _texts(column: pa.Array) -> list[str]:

@@ -78,6 +78,13 @@ def test_word_wise_encoding_is_that_of_whole_texts():
         token_store.CACHE_WORDS = limit
 
 
+def test_capitals_that_compose_only_when_small_keep_their_marks():
+    enc = token_store.Encoder(token_store.default_tokenizer())
+    for pair in ("J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"):
+        for t in (pair, f"a{pair}b Plain {pair}.", f"{pair.lower()} {pair}"):
+            assert np.frombuffer(enc.batch([t])[0], enc.dtype).tolist() + [2] == reference_ids(t), t
+
+
 def test_shards_round_trip_in_document_order(spark):
     rows = odd.ROWS + [(200 + k, t, "s") for k, t in enumerate(TRICKY)] + [(300 + k, odd.prose(50, k), "s") for k in range(60)]
     manifest, dictionary = token_store.write_tokens(odd.documents(spark, rows), base.new_path(spark, "tokens"))
