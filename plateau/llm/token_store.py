@@ -26,6 +26,7 @@ An empty table makes no shard.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -43,6 +44,8 @@ MAGIC = b"PTS1"
 DICTIONARY_TEXTS, DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 * 1024
 #: Words kept in a worker's cache; a word takes some 200 bytes.
 CACHE_WORDS = 1_000_000
+#: UTF-8 of U+0308, U+030A, U+030C, U+0331, and of U+0344, which is U+0308 and one more.
+_LOOSE_MARKS = re.compile(rb"\xcc[\x88\x8a\x8c\xb1]|\xcd\x84")
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 MANIFEST = "file STRING, first_id BIGINT, has_id BOOLEAN, first_text_key STRING, n_docs BIGINT, n_tokens BIGINT, bytes BIGINT"
 
@@ -122,15 +125,18 @@ class _Either(dict):
 
 
 def _words(text: str) -> list[bytes]:
-    """Pieces between ASCII white space, those of ASCII alone lower-cased as the normalizer does anyway, so that more words meet in the cache.
+    """Pieces between ASCII white space, A-Z lower-cased as the normalizer does anyway, so that more words meet in the cache.
 
-    Other pieces keep their case: the normalizer composes before it lower-cases, and some capitals compose with a mark only when small.
+    The normalizer composes before it lower-cases, and five capitals (H, J, T, W, Y) compose with a mark only when small: where a
+    text holds such a mark by itself, its words beyond ASCII keep their case.
     Added tokens are looked for before the normalizer, so a text that may hold one keeps its case.
     """
     raw = text.encode()
     if b"<|" in raw:
         return raw.split()
-    return raw.lower().split() if raw.isascii() else [w.lower() if w.isascii() else w for w in raw.split()]
+    if (b"\xcc" in raw or b"\xcd" in raw) and _LOOSE_MARKS.search(raw):
+        return [w.lower() if w.isascii() else w for w in raw.split()]
+    return raw.lower().split()
 
 
 def _texts(column: pa.Array) -> list[str]:

@@ -81,7 +81,8 @@ def test_word_wise_encoding_is_that_of_whole_texts():
 def test_capitals_that_compose_only_when_small_keep_their_marks():
     enc = token_store.Encoder(token_store.default_tokenizer())
     for pair in ("J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"):
-        for t in (pair, f"a{pair}b Plain {pair}.", f"{pair.lower()} {pair}"):
+        below, both = pair[0] + "\u0323" + pair[1], "\u00c9T\u0344 \u00c9COLE J\u0344"
+        for t in (pair, f"a{pair}b Plain {pair}.", f"{pair.lower()} {pair}", f"{below} X\u00c9{below}", both):
             assert np.frombuffer(enc.batch([t])[0], enc.dtype).tolist() + [2] == reference_ids(t), t
 
 
