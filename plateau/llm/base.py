@@ -13,14 +13,15 @@ from plateau.session import materialize, new_path, prepare  # noqa: F401
 
 #: A word: a longest run of characters other than the ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Rows in one Arrow batch; texts can be long, so batches are short.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch; texts can be long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
     """UTC, and Arrow batches short enough for long texts."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(BATCH_ROWS):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) != str(value):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
     return prepare(spark)
 
 
@@ -66,6 +67,17 @@ def make_dir(uri: str) -> str:
     return uri
 
 
+def spread(rows: DataFrame, size: str, *order: str, target: int = 32 << 20) -> DataFrame:
+    """Rows that stand for stored bytes, dealt to as many tasks as those bytes ask for.
+
+    A table of places is small however much it stands for, so its own size must not decide; a stated number of partitions is
+    not coalesced.  ``size`` names the column with the bytes.
+    """
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    wanted = max(-(-int(found["bytes"]) // target), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(max(1, min(found["n"], wanted)), *order)
+
+
 def read_range(fs: pafs.FileSystem, path: str, offset: int, length: int) -> bytes:
     with fs.open_input_file(path) as f:
         return f.read_at(length, offset)

@@ -20,7 +20,10 @@ vocabulary with word ends; ``by_words=False`` encodes whole texts instead.
 
 Defined cases.  A null or empty text is the end id alone.  Rows without doc_id
 come first.  Rows that repeat a doc_id are separate documents in order of text.
-An empty table makes no shard.
+An empty table makes no shard.  A sample of fewer than 16 documents or 8 KB of
+ids, or one that the library can draw nothing from, gives the empty dictionary:
+frames are then compressed without one, and the shards carry its hash all the same.
+A very long text is one frame; an Arrow batch is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,7 @@ DICTIONARY_TEXTS, DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 * 1
 CACHE_WORDS = 1_000_000
 #: UTF-8 of U+0308, U+030A, U+030C, U+0331, and of U+0344, which is U+0308 and one more.
 _LOOSE_MARKS = re.compile(rb"\xcc[\x88\x8a\x8c\xb1]|\xcd\x84")
+_LETTERS = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 MANIFEST = "file STRING, first_id BIGINT, has_id BOOLEAN, first_text_key STRING, n_docs BIGINT, n_tokens BIGINT, bytes BIGINT"
 
@@ -77,53 +82,49 @@ class Encoder:
         return _encoders[key]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.dtype.char, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Words and their ids.  ASCII marks after a letter or digit are a piece of their own to the splitter, so words that differ in them share their stem."""
-        stems, wanted = [], set()
+        marked, wanted = [], set()
         for w in new:
+            last = w[-1]
+            if last in _LETTERS or last >= 128:
+                wanted.add(w)
+                continue
             stem = w.rstrip(_MARKS)
             if len(stem) == len(w) or not stem or b"<|" in w or not stem[-1:].isalnum() and not stem.decode()[-1].isalpha():
-                stem = w
-            stems.append(stem)
-            if stem not in self.cache:
-                wanted.add(stem)
-            if len(stem) < len(w) and w[len(stem) :] not in self.cache:
-                wanted.add(w[len(stem) :])
+                wanted.add(w)
+                continue
+            marked.append((w, stem))
+            wanted.update(x for x in (stem, w[len(stem) :]) if x not in self.cache)
         some = list(wanted)
         ids = dict(zip(some, self._encode([w.decode() for w in some]), strict=True))
         of = lambda w: ids[w] if w in ids else self.cache[w]
-        ids.update({w: of(s) if len(s) == len(w) else of(s) + of(w[len(s) :]) for w, s in zip(new, stems, strict=True)})
+        ids.update([(w, of(stem) + of(w[len(stem) :])) for w, stem in marked])
         return ids
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._encode(texts)
-        split = [_words(t) for t in texts]
-        new = list({w for words in split for w in words if w not in self.cache})
-        extra = self._words(new)
-        if len(self.cache) + len(extra) <= CACHE_WORDS:
-            self.cache.update(extra)
-            return [b"".join(map(self.cache.__getitem__, words)) for words in split]
-        both = _Either(self.cache, extra)
-        out = [b"".join(map(both.__getitem__, words)) for words in split]
-        for w in list(extra)[: max(0, CACHE_WORDS - len(self.cache))]:
-            self.cache[w] = extra[w]
+        out, open_texts, new = [], [], set()
+        for i, t in enumerate(texts):
+            words = _words(t)
+            ids = list(map(self.cache.get, words))
+            if None in ids:
+                new.update([w for w, x in zip(words, ids, strict=True) if x is None])
+                open_texts.append((i, words, ids))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        extra = self._words(list(new))
+        for i, words, ids in open_texts:
+            out[i] = b"".join([extra[w] if x is None else x for w, x in zip(words, ids, strict=True)])
+        room = CACHE_WORDS - len(self.cache)
+        self.cache.update(extra if len(extra) <= room else list(extra.items())[: max(0, room)])
         return out
 
 
-class _Either(dict):
-    """Words of this batch, then the cache."""
-
-    def __init__(self, cache, extra):
-        super().__init__(extra)
-        self.cache = cache
-
-    def __missing__(self, word):
-        return self.cache[word]
-
-
 def _words(text: str) -> list[bytes]:
     """Pieces between ASCII white space, A-Z lower-cased as the normalizer does anyway, so that more words meet in the cache.
 
@@ -300,7 +301,7 @@ def _read(dictionary: bytes):
 
 def read_digests(manifest: DataFrame, dictionary: bytes) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the shards themselves."""
-    files = manifest.select("file", "start").repartition(F.col("file"))
+    files = base.spread(manifest, "bytes", "start", "file").select("file", "start")
     return files.mapInArrow(_read(dictionary), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -198,7 +198,7 @@ def read_captures(directory: DataFrame) -> DataFrame:
                     ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
                 )
 
-    blocks = directory.repartition(F.col("archive"), F.col("offset"))
+    blocks = base.spread(directory, "bytes", "archive", "offset")
     return blocks.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import odd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plateau.llm import base, mixing, token_store, warc
@@ -51,6 +52,18 @@ def test_index_lookup_reads_the_captures_of_a_key(spark, monkeypatch):
     assert warc.write_archive(pages(spark, []), base.new_path(spark, "warc")).count() == 0
 
 
+def test_stored_bytes_decide_how_many_tasks_read_them(spark):
+    rows = spark.range(400).selectExpr("id as at", "id * 0 + 1000000L as bytes")
+    out = base.spread(rows, "bytes", "at", target=4_000_000)
+    sizes = out.mapInArrow(lambda batches: (b for b in [__import__("pyarrow").RecordBatch.from_pydict({"n": [sum(map(len, batches))]})]), "n bigint").collect()
+    assert len([r.n for r in sizes if r.n]) >= 90 and sum(r.n for r in sizes) == 400
+    directory = warc.write_archive(pages(spark, [(i, f"http://h{i}.example/", "x" * 500) for i in range(200)]).repartition(8), base.new_path(spark, "warc"))
+    blocks = directory.count()
+    parts = base.spread(directory, "bytes", "archive", "offset").withColumn("p", F.spark_partition_id())
+    assert parts.select("p").distinct().count() >= min(blocks, 4)
+    assert base.spread(rows.where("at < 0"), "bytes", "at").collect() == []
+
+
 def test_a_damaged_record_is_noticed():
     record = warc._record(1, "http://a/", b"x" * 200, hashlib.sha256(b"y").hexdigest(), None, False)
     with pytest.raises(ValueError):
