@@ -15,6 +15,7 @@ from plateau.functions.exprs import (
     all_of, any_of, bad_ohlc_range, clip, expand, finite, finite_or_null, floor_div, iso_utc,
 )
 from plateau.operators.chunks import number_rows, with_halo
+from plateau.operators.spans import Touches
 from plateau.params import DETECTION_DEFAULTS, PROFILES
 from plateau.session import materialize
 
@@ -279,16 +280,12 @@ def touch_counts(windows: DataFrame, rows: DataFrame, lookbacks) -> DataFrame:
     )
 
 
-#: Windows that a block evaluates at once: arrays of this many windows stay in the processor's cache.
-SLICE = 256
-
-
 def touch_counts_arrow(windows: DataFrame, rows: DataFrame, lookbacks, cfg: dict) -> DataFrame:
     """Same result as :func:`touch_counts`, one Arrow batch per halo block.
 
-    Cheaper for long lookbacks, where the range join would form L pairs per window.
-    Every row carries the set of its lookbacks that are wanted, so a block
-    evaluates the given windows only, in slices of bounded size.
+    The range join forms L pairs per window; here a block is indexed once
+    (:mod:`plateau.operators.spans`) and every wanted window takes O(log block) steps,
+    whatever its lookback.  Every row carries the set of its lookbacks that are wanted.
     """
     schema = ("symbol string, lookback_minutes int, rn long, touches_lower_zone long, touches_upper_zone long, "
               "midline_crosses long, last_lower_rn long, last_upper_rn long")
@@ -304,26 +301,19 @@ def touch_counts_arrow(windows: DataFrame, rows: DataFrame, lookbacks, cfg: dict
         pdf = pdf.sort_values("rn")
         low, high, close = (pdf[c].to_numpy(float) for c in ("low", "high", "close"))
         rn, mask = pdf["rn"].to_numpy(), np.where(pdf["core"].to_numpy(bool), pdf["wanted"].fillna(0).to_numpy(np.int64), 0)
-        view, out = np.lib.stride_tricks.sliding_window_view, []
+        out, index = [], None
         for i, n in enumerate(lbs):
-            if len(pdf) < n:
+            end = np.flatnonzero(mask >> i & 1)
+            end = end[end >= n - 1]
+            if not len(end):
                 continue
-            chosen = np.flatnonzero(mask[n - 1:] >> i & 1)
-            for at in range(0, len(chosen), SLICE):
-                ends = chosen[at:at + SLICE]
-                lows, highs, closes = (view(a, n)[ends] for a in (low, high, close))
-                bottom, top = lows.min(axis=1), highs.max(axis=1)
-                span = top - bottom
-                below = lows <= (bottom + lower * span)[:, None]
-                above = highs >= (top - upper * span)[:, None]
-                side = np.sign(closes - (bottom + 0.5 * span)[:, None])
-                last = rn[n - 1:][ends]
-                out.append(pd.DataFrame({
-                    "symbol": pdf["symbol"].iloc[0], "lookback_minutes": n, "rn": last,
-                    "touches_lower_zone": below.sum(axis=1), "touches_upper_zone": above.sum(axis=1),
-                    "midline_crosses": (side[:, 1:] * side[:, :-1] < 0).sum(axis=1),
-                    "last_lower_rn": last - below[:, ::-1].argmax(axis=1), "last_upper_rn": last - above[:, ::-1].argmax(axis=1),
-                }))
+            index = index or Touches(low, high, close)
+            found = index.of(end, n, lower, upper)
+            out.append(pd.DataFrame({
+                "symbol": pdf["symbol"].iloc[0], "lookback_minutes": n, "rn": rn[end],
+                **{c: found[c] for c in ("touches_lower_zone", "touches_upper_zone", "midline_crosses")},
+                "last_lower_rn": rn[found["last_lower"]], "last_upper_rn": rn[found["last_upper"]],
+            }))
         cols = ["symbol", "lookback_minutes", "rn", "touches_lower_zone", "touches_upper_zone",
                 "midline_crosses", "last_lower_rn", "last_upper_rn"]
         return pd.concat(out)[cols] if out else pd.DataFrame(columns=cols)

@@ -205,15 +205,6 @@ def test_global_rank(spark):
     assert got == want
 
 
-def test_cooldown_of_one_long_stretch_is_one_pass(spark):
-    """60 000 starts of one key, all closer than the cooldown: every tenth is kept."""
-    from plateau.operators.events import _apart
-
-    starts = spark.range(60_000).selectExpr("'S' as symbol", "id * 2 as first_seen_time_ms", "id * 2 as last_seen_time_ms", "1L as raw_candidates_in_cluster", "20L as __wait", "0L as __stretch")
-    got = starts.coalesce(1).sortWithinPartitions("first_seen_time_ms").mapInArrow(_apart, starts.schema)
-    assert got.count() == 6_000 and got.where("first_seen_time_ms % 20 <> 0").count() == 0
-
-
 def test_nan_is_the_greatest_value_of_quantiles_and_ranks(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, -5.0, 0.5, float("nan"), 7.0)], "v double")
     (q,) = K.exact_quantiles(df, [], ["v"], {"median": ("median", 0.5), "p99": ("nearest", 0.99), "p0": ("nearest", 0.0)}).collect()
