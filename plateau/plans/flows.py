@@ -11,6 +11,7 @@ from plateau.plans.research import candidates, members
 from plateau.session import new_path
 from plateau.sources import bars as B
 from plateau.sources import store as S
+from plateau.streaming import stateful as W
 from plateau.streaming import streams as T
 
 
@@ -74,3 +75,38 @@ def _stream_regimes(s, d):
     return _run(stream, s, "stream-regimes")
 
 
+
+
+def _stopped_and_resumed(s, parts, make, label: str):
+    """A stream over the first part of its input, stopped, and resumed from its checkpoint when the rest has come; (output, checkpoint)."""
+    path, out = new_path(s, label + "-in"), new_path(s, label)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        stream = make(s.readStream.schema(part.schema).parquet(path))
+        q = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return s.read.schema(stream.schema).parquet(out), out + "-state"
+
+
+def _early_and_late(rows, *key):
+    """Most rows, and an eighth of all by hash that comes when the others have been given out."""
+    late = F.pmod(F.xxhash64(*key), F.lit(8)) == 0
+    return rows.where(~late), rows.where(late)
+
+
+@query("streaming_bars_complete", BAR, "SELECT * FROM bars")
+def _stream_bars_complete(s, d):
+    """Closed bars, late rows and the bars still open together are all bars."""
+    t = B.table(s, d, "events")
+    digits = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    key = F.concat(digits(F.unix_micros(F.col("ts").cast("timestamp")) + F.lit(2**62), 20), digits(F.col("event_id"), 20))
+    rows = t.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), (F.lit(1000.0) + F.col("value")).alias("price"), key.alias("order_key"))
+    got, state = _stopped_and_resumed(s, _early_and_late(rows, "order_key"), lambda x: W.bars_with_late_rows(x, HOUR), "stream-bars-complete")
+    return W.merged_bars(got.unionByName(W.open_bars(s, state)))
+
+
+@query("streaming_regimes_complete", "symbol profile_name range_cluster_id first_seen_time_ms:i last_seen_time_ms:i raw_candidates_in_regime:i", "SELECT * FROM regimes")
+def _stream_regimes_complete(s, d):
+    rows = members(s, d).select("symbol", "profile_name", "range_cluster_id", F.timestamp_millis("signal_time_ms").alias("ts"))
+    got, state = _stopped_and_resumed(s, _early_and_late(rows, "symbol", "range_cluster_id", "ts"), lambda x: W.sessions_with_late_rows(x, 5 * HOUR), "stream-regimes-complete")
+    return W.merged_sessions(got.unionByName(W.open_sessions(s, state)), 5 * HOUR)
