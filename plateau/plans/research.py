@@ -322,14 +322,17 @@ query("density_summary", DENSITY, f"""
 _V = E.calibration_variants()
 CTES["variants"] = "SELECT * FROM (VALUES " + ", ".join(f"('{v['profile_variant']}', {v['v_mid']}, {v['v_touch']}, {v['v_atr']})" for v in _V) + ") AS t(profile_variant, v_mid, v_touch, v_atr)"
 CTES["calibrated"] = """SELECT * FROM actions CROSS JOIN variants WHERE midline_crosses >= v_mid AND min_touches_lower_zone >= v_touch AND min_touches_upper_zone >= v_touch AND range_height_atr_14 >= v_atr"""
+#: Hourly bars give few candidates an event; so low a bar lets some variants pass.
+COMPRESSION = 1.2
 query("calibration_filter", "profile_variant range_action_event_id", "SELECT * FROM calibrated")(lambda s, d: E.calibration_filter(actions(s, d)))
 query("density_calibration", "profile_variant raw_candidates_total:i actionable_events_total:i raw_to_actionable_compression_ratio:f actionable_events_per_symbol_day_avg:f actionable_events_per_symbol_day_p50:f "
-      "actionable_events_per_symbol_day_p90:f symbols_with_actionable_events:i pass_density_gate", f"""
+      "actionable_events_per_symbol_day_p90:f symbols_with_actionable_events:i lookbacks_with_actionable_events:i pass_density_gate", f"""
     SELECT profile_variant, coalesce(raw, 0) AS raw_candidates_total, coalesce(n, 0) AS actionable_events_total, coalesce(raw / n::DOUBLE, 0) AS raw_to_actionable_compression_ratio, coalesce(a, 0) AS actionable_events_per_symbol_day_avg,
-    coalesce(p50, 0) AS actionable_events_per_symbol_day_p50, coalesce(p90, 0) AS actionable_events_per_symbol_day_p90, coalesce(sy, 0) AS symbols_with_actionable_events, false AS pass_density_gate FROM variants
-    LEFT JOIN (SELECT profile_variant, sum(raw_candidates_in_regime) AS raw, count(*) AS n, count(DISTINCT symbol) AS sy FROM calibrated GROUP BY 1) USING (profile_variant)
-    LEFT JOIN (SELECT profile_variant, avg(per_day) AS a, {_NEAR(0.5, 'per_day')} AS p50, {_NEAR(0.9, 'per_day')} AS p90 FROM (SELECT profile_variant, symbol, decision_time_ms // 86400000 AS day, count(*) AS per_day FROM calibrated GROUP BY 1, 2, 3) GROUP BY 1) USING (profile_variant)""")(
-    lambda s, d: E.density_calibration(actions(s, d)))
+    coalesce(p50, 0) AS actionable_events_per_symbol_day_p50, coalesce(p90, 0) AS actionable_events_per_symbol_day_p90, coalesce(sy, 0) AS symbols_with_actionable_events, coalesce(lb, 0) AS lookbacks_with_actionable_events,
+    coalesce(n > 0 AND raw / n::DOUBLE >= {COMPRESSION} AND p50 BETWEEN 1 AND 50 AND p90 <= 100 AND p99 <= 200, false) AS pass_density_gate FROM variants
+    LEFT JOIN (SELECT profile_variant, sum(raw_candidates_in_regime) AS raw, count(*) AS n, count(DISTINCT symbol) AS sy, count(DISTINCT best_lookback_minutes) AS lb FROM calibrated GROUP BY 1) USING (profile_variant)
+    LEFT JOIN (SELECT profile_variant, avg(per_day) AS a, {_NEAR(0.5, 'per_day')} AS p50, {_NEAR(0.9, 'per_day')} AS p90, {_NEAR(0.99, 'per_day')} AS p99 FROM (SELECT profile_variant, symbol, decision_time_ms // 86400000 AS day, count(*) AS per_day FROM calibrated GROUP BY 1, 2, 3) GROUP BY 1) USING (profile_variant)""")(
+    lambda s, d: E.density_calibration(actions(s, d), compression=COMPRESSION))
 
 
 @query("density_gate", "profile_name blockers acceptance_density_status recommended_profile", """
