@@ -12,6 +12,7 @@ from plateau.operators import universe as U
 from plateau.plans.registry import CTES, query, stage
 from plateau.session import new_path
 from plateau.sources import bars as B
+from plateau.sources import page_files as PF
 from plateau.sources import pages as G
 from plateau.sources import store as S
 
@@ -347,6 +348,27 @@ query("candle_page_rejects", "symbol reject_reason row_count:i", "SELECT symbol,
     lambda s, d: G.candles_from_pages(_candle_pages(s, d, ("open", "high", "low", "close")))[1].groupBy("symbol", "reject_reason").agg(F.count(F.lit(1)).alias("row_count")))
 
 
+def _page_folder(s, d):
+    """The bars' pages as files, one folder a symbol."""
+    folder = new_path(s, "pages")
+    pages = _candle_pages(s, d, ("open", "high", "low", "close", "volume", "turnover")).withColumn("symbol", F.get_json_object("body", "$.result.symbol"))
+    PF.write_pages(pages, folder, "kline")
+    return folder
+
+
+query("candles_from_page_files", PAGE_BAR, "SELECT *, 'linear' AS category, 'kline' AS source FROM bars")(
+    lambda s, d: G.candles_from_pages(PF.read_pages(s, _page_folder(s, d)).where("endpoint = 'kline'"))[0])
+
+
+@query("candles_from_page_stream", PAGE_BAR, "SELECT *, 'linear' AS category, 'kline' AS source FROM bars")
+def _page_stream(s, d):
+    out = new_path(s, "page-stream")
+    rows = G.candles_from_pages(PF.stream_pages(s, _page_folder(s, d)))[0]
+    q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.schema(rows.schema).parquet(out)
+
+
 @query("funding_from_pages", "symbol category funding_time_ms:i funding_rate:f9 source", "SELECT symbol, 'linear' AS category, funding_time_ms, funding_rate, 'funding-history' AS source FROM funding")
 def _funding_pages(s, d):
     f = funding(s, d)
