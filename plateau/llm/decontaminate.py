@@ -2,7 +2,7 @@
 
 Texts and items are compared as lower-case words joined by single spaces.  An
 item is cut at words into passages of at most ``passage_chars``; a passage of m
-characters may differ by k = m * error_percent / 100 edits (at least 1).  Cut
+characters may differ by k = m * error_percent / 100 edits (at least 1; none below ``min_chars``).  Cut
 into k + 1 pieces, at least one piece of it stands unchanged in any text that
 holds it within k edits: all pieces of a block of items are found in one pass
 with an Aho-Corasick automaton, and every hit is verified around its place with
@@ -12,9 +12,14 @@ The benchmark is a stated query set that goes to the tasks in blocks of at most
 ``block_chars`` characters, so what is broadcast has a bound whatever the size
 of the benchmark; documents are read once for each block.
 
-Defined cases.  Null and empty texts match nothing; items (or passages) shorter
-than ``min_chars`` after normalising are never matched, since any text may hold
-them by chance.  Repeated items: each reports.  Rows that repeat a doc_id each
+Every place of a passage is reported, left to right: where the distance stays
+within the budget for a stretch of ends, the least one counts; places of one
+passage do not overlap.
+
+Defined cases.  Null and empty texts match nothing.  Passages shorter than
+``min_chars`` after normalising, so short items too, have no error budget: they
+match word for word, at word bounds, whatever their length (an item of one
+common word is found in every text that holds it).  Items without a letter or digit match nothing.  Repeated items: each reports.  Rows that repeat a doc_id each
 report.  Documents and matches are whole texts; nothing is cut.
 """
 
@@ -42,7 +47,7 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().translate(_TO_SPACE).split())
 
 
-def passages(text: str, passage_chars: int, min_chars: int) -> list[str]:
+def passages(text: str, passage_chars: int) -> list[str]:
     """An item's words in runs of near-equal length."""
     words = normal(text).split()
     total = sum(map(len, words)) + max(0, len(words) - 1)
@@ -56,7 +61,7 @@ def passages(text: str, passage_chars: int, min_chars: int) -> list[str]:
             run, done, size = [], done + size, 0
     if run:
         out.append(" ".join(run))
-    return [p for p in out if len(p) >= min_chars]
+    return out
 
 
 def pieces(m: int, k: int) -> list[tuple[int, int]]:
@@ -72,12 +77,11 @@ def _masks(pattern: str) -> dict[str, int]:
     return out
 
 
-def myers(masks: dict[str, int], m: int, text: str, anywhere: bool = True) -> tuple[int, int]:
-    """(least edits, end): the pattern against a part of text ending at ``end``; anywhere=False: from the text's start."""
+def distances(masks: dict[str, int], m: int, text: str, anywhere: bool = True):
+    """Least edits between the pattern and a part of text ending at 1, 2, …; anywhere=False: from the text's start."""
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
-    best, end = m, 0
-    for j, c in enumerate(text, 1):
+    for c in text:
         eq = masks.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -91,11 +95,32 @@ def myers(masks: dict[str, int], m: int, text: str, anywhere: bool = True) -> tu
         mh = mh << 1 & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
+        yield score
+
+
+def myers(masks: dict[str, int], m: int, text: str, anywhere: bool = True) -> tuple[int, int]:
+    """(least edits, first end with so few)."""
+    best, end = m, 0
+    for j, score in enumerate(distances(masks, m, text, anywhere), 1):
         if score < best:
             best, end = score, j
     return best, end
 
 
+def low_ends(masks: dict[str, int], m: int, k: int, text: str) -> list[tuple[int, int]]:
+    """(edits, end) of every stretch of ends within k edits: its least, the first of equals."""
+    out: list[tuple[int, int]] = []
+    inside = False
+    for j, score in enumerate(distances(masks, m, text), 1):
+        if score <= k:
+            if not inside or score < out[-1][0]:
+                out[len(out) - inside :] = [(score, j)]
+            inside = True
+        else:
+            inside = False
+    return out
+
+
 class Matcher:
     """All passages of a block of items, ready for one pass over texts."""
 
@@ -104,8 +129,8 @@ class Matcher:
 
         self.passages, found = [], {}
         for item_id, text in items:
-            for nth, p in enumerate(passages(text, passage_chars, min_chars)):
-                k = max(1, len(p) * error_percent // 100)
+            for nth, p in enumerate(passages(text, passage_chars)):
+                k = max(1, len(p) * error_percent // 100) if len(p) >= min_chars else 0
                 at = len(self.passages)
                 self.passages.append((item_id, nth, len(p), k, _masks(p), _masks(p[::-1])))
                 for lo, hi in pieces(len(p), k):
@@ -131,23 +156,25 @@ class Matcher:
             item_id, nth, m, k, masks, backward = self.passages[at]
             starts.sort()
             done, i = 0, 0
+            if not k:  # word for word, and whole words
+                for lo in starts:
+                    if lo >= done and t[lo - 1 : lo] in ("", " ") and t[lo + m : lo + m + 1] in ("", " "):
+                        out.append((item_id, nth, lo, lo + m, 0, m))
+                        done = lo + m
+                continue
             while i < len(starts):
-                # hits whose windows overlap are verified in one window
+                # hits whose windows overlap are verified in one window, however long
                 j = i
-                while j + 1 < len(starts) and starts[j + 1] <= starts[j] + m and starts[j + 1] <= starts[i] + 4 * m:
+                while j + 1 < len(starts) and starts[j + 1] - k <= starts[j] + m + k:
                     j += 1
-                lo, hi = max(done, starts[i] - k), starts[j] + m + k
-                if hi > lo:
-                    window = t[lo:hi]
-                    edits, end = myers(masks, m, window)
-                    if edits <= k:
-                        # where it starts: the same pattern backwards from its end
-                        _, back = myers(backward, m, window[:end][::-1], anywhere=False)
+                lo = max(0, starts[i] - k)
+                window = t[lo : starts[j] + m + k]
+                for edits, end in low_ends(masks, m, k, window):
+                    # where it starts: the same pattern backwards from its end
+                    _, back = myers(backward, m, window[max(0, end - m - k) : end][::-1], anywhere=False)
+                    if lo + end - back >= done:
                         out.append((item_id, nth, lo + end - back, lo + end, edits, m))
                         done = lo + end
-                        while i < len(starts) and starts[i] + m - k <= done:
-                            i += 1
-                        continue
                 i = j + 1
         return sorted(out)
 

@@ -138,10 +138,46 @@ def test_every_passage_within_its_budget_is_found():
             p[at : at + r.choice((0, 1))] = r.choice(("", "q", "zz"))
         doc = odd.prose(30, trial) + " " + "".join(p) + " " + odd.prose(30, trial + 500)
         plain = decontaminate.normal(doc)
-        want = {(i, n) for i, t in items for n, u in enumerate(decontaminate.passages(t, 160, 60)) if edits(u, plain) <= max(1, len(u) * 5 // 100)}
+        want = {(i, n) for i, t in items for n, u in enumerate(decontaminate.passages(t, 160)) if edits(u, plain) <= max(1, len(u) * 5 // 100)}
         assert {(x[0], x[1]) for x in m.matches(doc)} == want
         for x in m.matches(doc):
-            assert edits(decontaminate.passages(dict(items)[x[0]], 160, 60)[x[1]], plain[x[2] : x[3]]) == x[4]
+            assert edits(decontaminate.passages(dict(items)[x[0]], 160)[x[1]], plain[x[2] : x[3]]) == x[4]
+
+
+def places(pattern, text, k):
+    """Every place by plain dynamic programming: the least of each stretch of ends within k, left to right and disjoint."""
+    col, ends = list(range(len(pattern) + 1)), []
+    for c in text:
+        new = [0]
+        for i, p in enumerate(pattern, 1):
+            new.append(min(col[i - 1] + (p != c), col[i] + 1, new[i - 1] + 1))
+        col = new
+        ends.append(col[-1])
+    out, j = [], 0
+    while j < len(ends):
+        if ends[j] <= k:
+            stop = j
+            while stop < len(ends) and ends[stop] <= k:
+                stop += 1
+            out.append((min(ends[j:stop]), j + ends[j:stop].index(min(ends[j:stop])) + 1))
+            j = stop
+        else:
+            j += 1
+    return out
+
+
+def test_every_place_of_an_item_is_found_whatever_stands_beside_it():
+    item = decontaminate.normal(odd.prose(20, 77))[:115].strip()
+    changed = item[:20] + "zz" + item[22:60] + "q" + item[61:90] + item[91:]
+    short, word = "what is the capital of peru", "yes"
+    m = decontaminate.Matcher([(1, item), (2, short), (3, word), (4, "?!"), (5, "")], 5, 160, 60)
+    k = len(item) * 5 // 100
+    for text in (f"{changed} {item}", f"{item} {changed} {item}", f"{item}{item}", f"x {item[5:]} {item} and {changed}", item[: len(item) // 2] + " " + item):
+        got = [(e, end) for i, _, _, end, e, _ in m.matches(text) if i == 1]
+        assert got == places(item, decontaminate.normal(text), k), text
+    found = m.matches(f"Yes: what is the CAPITAL of Peru? eyes; what is the capital of peruvian yes. {short} {short}")
+    assert [(i, e) for i, _, _, _, e, _ in found] == [(2, 0)] * 3 + [(3, 0)] * 2
+    assert m.matches(short[:-1]) == [] and m.matches("eyes yesterday") == []
 
 
 def test_decontamination_of_odd_rows_in_blocks(spark):
