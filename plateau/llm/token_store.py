@@ -47,7 +47,7 @@ MAGIC = b"PTS1"
 #: Texts in the dictionary's sample, and bytes taken of each.
 DICTIONARY_TEXTS, DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 * 1024
 #: Words kept in a worker's cache; a word takes some 200 bytes.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: UTF-8 of U+0308, U+030A, U+030C, U+0331, and of U+0344, which is U+0308 and one more.
 _LOOSE_MARKS = re.compile(rb"\xcc[\x88\x8a\x8c\xb1]|\xcd\x84")
 _LETTERS = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
