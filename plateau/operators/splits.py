@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plateau.functions.exprs import all_of
+from plateau.functions.exprs import all_of, floor_div
 from plateau.operators.chunks import salted_join, with_one_row
 from plateau.params import DAY_MS, FOLD_PROFILES, MINUTE_MS
 
@@ -34,93 +34,150 @@ def labelled_events(events: DataFrame, profile: dict, legacy_signal_end: bool =
     return d.select(*keys, "symbol", F.coalesce(usable, F.lit(False)).alias("usable"), end.alias("outcome_end_ms")).distinct()
 
 
+def _lengths(profile: dict) -> dict[str, int]:
+    """Lengths of a profile in milliseconds, and the offsets of its borders from the end of training."""
+    ms = {k: profile[f"{k}_days"] * DAY_MS for k in ("min_train", "validation", "test", "step")}
+    ms |= {k: profile[f"{k}_minutes"] * MINUTE_MS for k in ("purge", "embargo")}
+    ms["validation_end"] = ms["purge"] + ms["validation"]
+    ms["test_start"] = ms["validation_end"] + ms["embargo"]
+    ms["test_end"] = ms["test_start"] + ms["test"]
+    return ms
+
+
+def _layout(labelled: DataFrame, profile: dict) -> DataFrame:
+    """One row: start of all training, end of the first training part, number of folds (0 without a usable event)."""
+    ms = _lengths(profile)
+    span = labelled.where("usable").agg(F.min("signal_time_ms").alias("train_start_ms"), F.max("signal_time_ms").alias("__last"))
+    first = F.col("train_start_ms") + F.lit(ms["min_train"]).cast("long")
+    room = F.col("__last") - F.lit(ms["test_end"]).cast("long") - first
+    return span.select("train_start_ms", first.alias("__first"), F.when(room >= 0, floor_div(room, ms["step"]) + 1).otherwise(0).cast("long").alias("__n"))
+
+
+def _fold_columns(fold: Column, profile: dict) -> list[Column]:
+    """Id and bounds of a fold from its number; folds are evenly stepped."""
+    ms = _lengths(profile)
+    end = F.col("__first") + fold * F.lit(ms["step"]).cast("long")
+    at = lambda k: end + F.lit(ms[k]).cast("long")
+    return [
+        F.format_string("wf_%03d", fold).alias("fold_id"), F.col("train_start_ms"), end.alias("train_end_ms"), at("purge").alias("validation_start_ms"),
+        at("validation_end").alias("validation_end_ms"), at("test_start").alias("test_start_ms"), at("test_end").alias("test_end_ms")]
+
+
 def fold_table(labelled: DataFrame, profile: dict) -> DataFrame:
     """Fold bounds from the first and last usable event; a handful of rows."""
-    days = lambda k: F.lit(profile[k] * DAY_MS).cast("long")
-    gap = lambda k: F.lit(profile[k] * MINUTE_MS).cast("long")
-    span = labelled.where("usable").agg(F.min("signal_time_ms").alias("train_start_ms"), F.max("signal_time_ms").alias("__last"))
-    first = F.col("train_start_ms") + days("min_train_days")
-    tail = gap("purge_minutes") + days("validation_days") + days("test_days") + gap("embargo_minutes")
-    cursors = F.when(first + tail <= F.col("__last"), F.sequence(first, F.col("__last") - tail, days("step_days")))
-    d = span.select("train_start_ms", F.posexplode(cursors).alias("fold", "train_end_ms"))
-    val = F.col("train_end_ms") + gap("purge_minutes")
-    val_end = val + days("validation_days")
-    test = val_end + gap("embargo_minutes")
-    return d.select(
-        "fold", F.format_string("wf_%03d", "fold").alias("fold_id"), "train_start_ms", "train_end_ms", val.alias("validation_start_ms"),
-        val_end.alias("validation_end_ms"), test.alias("test_start_ms"), (test + days("test_days")).alias("test_end_ms"))
-
-
-def _placed(events: DataFrame, profile: dict, legacy_signal_end: bool, inside_only: bool = False) -> DataFrame:
-    """(fold, event) with ``role`` where it may be used, else ``reason``.
-
-    ``inside_only`` leaves out the pairs whose event is unusable or outside the fold, before they are made.
+    d = _layout(labelled, profile).where("__n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__fold"))
+    return d.select(F.col("__fold").cast("int").alias("fold"), *_fold_columns(F.col("__fold"), profile))
+
+
+def _spans(labelled: DataFrame, profile: dict) -> DataFrame:
+    """Each event with ``spans``: ranges of fold numbers that share one disposition, before regimes are looked at.
+
+    Fold k ends its training at first + k * step, so the folds in which a time lies
+    in a given part are those between two floor divisions, and the folds whose part
+    ends late enough for the outcome start at a third one.  At most nine ranges an
+    event cover all folds, whatever their number.
     """
-    labelled = labelled_events(events, profile, legacy_signal_end)
-    folds = fold_table(labelled, profile)
-    bounds = F.struct(*[c for c in folds.columns if c != "fold"])
-    packed = folds.agg(F.array_sort(F.collect_list(bounds)).alias("folds"))  # one entry per fold of the whole period
-    d = with_one_row(labelled, packed)
-    if inside_only:
-        t = F.col("signal_time_ms")
-        d = d.where("usable").withColumn("folds", F.filter("folds", lambda f: (f["train_start_ms"] <= t) & (t < f["test_end_ms"])))
-    d = d.select(*labelled.columns, F.inline("folds"))
-    return d.selectExpr(
-        "*", "CASE WHEN signal_time_ms >= train_start_ms AND signal_time_ms < train_end_ms THEN 'train' "
-        "WHEN signal_time_ms >= validation_start_ms AND signal_time_ms < validation_end_ms THEN 'validation' "
-        "WHEN signal_time_ms >= test_start_ms AND signal_time_ms < test_end_ms THEN 'test' END AS __role",
-    ).selectExpr(
-        "*", "CASE WHEN NOT usable THEN 'incomplete_max_horizon' WHEN signal_time_ms < train_start_ms OR signal_time_ms >= test_end_ms THEN 'outside_fold_window' "
-        "WHEN signal_time_ms >= train_end_ms AND signal_time_ms < validation_start_ms THEN 'purge_gap' "
-        "WHEN signal_time_ms >= validation_end_ms AND signal_time_ms < test_start_ms THEN 'embargo_gap' WHEN __role IS NULL THEN 'unassigned' "
-        "WHEN outcome_end_ms > CASE __role WHEN 'train' THEN train_end_ms WHEN 'validation' THEN validation_end_ms ELSE test_end_ms END "
-        "THEN concat(__role, '_horizon_boundary') END AS reason",
-    ).selectExpr("* EXCEPT (__role)", "if(reason IS NULL, __role, NULL) AS role")
-
-
-def _with_crossing(placed: DataFrame) -> DataFrame:
-    """Marks regimes that would sit in more than one role of a fold."""
-    crossing = (
-        placed.where("role IS NOT NULL").groupBy("fold_id", "range_regime_id").agg(F.min("role").alias("a"), F.max("role").alias("b"))
-        .where("a <> b").select("fold_id", "range_regime_id", F.lit(True).alias("crosses")))
-    return salted_join(placed, crossing, ["fold_id", "range_regime_id"], "left")
+    ms = _lengths(profile)
+    step = ms["step"]
+    t = F.col("signal_time_ms") - F.col("__first")
+    end = F.coalesce("outcome_end_ms", "signal_time_ms") - F.col("__first")  # an unknown end crosses no border
+    last_after = lambda border: floor_div(t - F.lit(border).cast("long"), step)  # noqa: E731  last fold whose border is at or before t
+    first_fit = lambda border: -floor_div(F.lit(border).cast("long") - end, step)  # noqa: E731  first fold whose border is not before the end
+    top = F.col("__n") - 1
+    null = F.lit(None).cast("string")
+
+    def span(lo, hi, role, disposition):
+        return F.struct(F.greatest(lo, F.lit(0).cast("long")).alias("lo"), F.least(hi, top).alias("hi"), role.alias("role"), F.lit(disposition).alias("disposition"))
+
+    d = with_one_row(labelled, _layout(labelled, profile)).where("__n > 0")
+    d = d.withColumns({
+        "__train": last_after(0), "__purge": last_after(ms["purge"]), "__val": last_after(ms["validation_end"]),
+        "__embargo": last_after(ms["test_start"]), "__test": last_after(ms["test_end"]),
+        "__fit_train": first_fit(0), "__fit_validation": first_fit(ms["validation_end"]), "__fit_test": first_fit(ms["test_end"])})
+    c = F.col
+    parts = [span(F.lit(0), c("__test"), null, "outside_fold_window"), span(c("__embargo") + 1, c("__val"), null, "embargo_gap"),
+             span(c("__purge") + 1, c("__train"), null, "purge_gap")]
+    for role, lo, hi in (("train", c("__train") + 1, top), ("validation", c("__val") + 1, c("__purge")), ("test", c("__test") + 1, c("__embargo"))):
+        fit = c(f"__fit_{role}")
+        parts.append(span(lo, F.least(hi, fit - 1), null, f"{role}_horizon_boundary"))
+        parts.append(span(F.greatest(lo, fit), hi, F.lit(role), f"{role}_assigned"))
+    whole = F.array(span(F.lit(0), top, null, "incomplete_max_horizon"))
+    spans = F.filter(F.array(*parts), lambda s: s["lo"] <= s["hi"])
+    return d.withColumn("spans", F.when(c("usable"), spans).otherwise(whole)).select(*labelled.columns, "train_start_ms", "__first", "__n", "spans")
+
+
+def _crossing_folds(spanned: DataFrame) -> DataFrame:
+    """Regimes with the folds in which they would sit in more than one role (``crossing``).
+
+    A regime sends its distinct (role, first fold, last fold) only, so a hot one stays small.
+    """
+    roles = spanned.select("range_regime_id", F.inline("spans")).where("role IS NOT NULL").groupBy("range_regime_id").agg(
+        F.collect_set(F.struct("role", "lo", "hi")).alias("held"))
+    later = "array_distinct(flatten(transform(filter(held, s -> s.role <> 'train'), s -> sequence(s.lo, s.hi))))"  # two roles never meet in training alone
+    crossing = f"filter({later}, f -> size(array_distinct(transform(filter(held, s -> s.lo <= f AND f <= s.hi), s -> s.role))) > 1)"
+    return roles.select("range_regime_id", F.expr(f"array_sort({crossing})").alias("crossing")).where("size(crossing) > 0")
+
+
+def _disposed(events: DataFrame, profile: dict, legacy_signal_end: bool) -> DataFrame:
+    """(event, range of folds) with role and final disposition: ``lo``, ``hi``, ``role``, ``disposition``."""
+    spanned = _spans(labelled_events(events, profile, legacy_signal_end), profile)
+    d = salted_join(spanned, _crossing_folds(spanned), ["range_regime_id"], "left")
+    hits = "filter(crossing, f -> s.role IS NOT NULL AND f BETWEEN s.lo AND s.hi)"
+    borders = f"concat(array(s.lo - 1), {hits}, array(s.hi + 1))"
+    pieces = f"transform(slice({borders}, 1, size({borders}) - 1), (b, i) -> named_struct('lo', b + 1, 'hi', {borders}[i + 1] - 1, 'role', s.role, 'disposition', s.disposition))"
+    cut = f"transform({hits}, f -> named_struct('lo', f, 'hi', f, 'role', s.role, 'disposition', 'cross_role_regime_excluded'))"
+    divided = f"filter(flatten(transform(spans, s -> concat({pieces}, {cut}))), s -> s.lo <= s.hi)"
+    return d.withColumn("spans", F.expr(f"if(crossing IS NULL, spans, {divided})")).select(*[c for c in spanned.columns if c != "spans"], F.inline("spans"))
+
+
+def _per_fold(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("__fold", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
 
 
 def event_dispositions(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
     """Every (fold, event) with its role or the reason it has none."""
-    d = _with_crossing(_placed(events, FOLD_PROFILES[profile_name], legacy_signal_end))
-    return d.withColumn("disposition", F.expr("coalesce(reason, if(crosses, 'cross_role_regime_excluded', NULL), concat(role, '_assigned'))")).drop("reason", "crosses")
+    p = FOLD_PROFILES[profile_name]
+    d = _per_fold(_disposed(events, p, legacy_signal_end))
+    own = [c for c in d.columns if c not in ("train_start_ms", "__first", "__n", "__fold", "role", "disposition")]
+    return d.select(*own, *_fold_columns(F.col("__fold"), p), "role", "disposition")
+
+
+def disposition_summary(events: DataFrame, by: list[str], profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
+    """Events per fold, disposition and ``by``, with first and last signal.
+
+    Ranges of folds are counted before they are opened: no (event, fold) pair is made.
+    """
+    p = FOLD_PROFILES[profile_name]
+    t = F.col("signal_time_ms")
+    ranges = _disposed(events, p, legacy_signal_end).groupBy(*by, "train_start_ms", "__first", "disposition", "lo", "hi").agg(
+        F.count(F.lit(1)).alias("n"), F.min(t).alias("first"), F.max(t).alias("last"))
+    return _per_fold(ranges).groupBy(*by, F.format_string("wf_%03d", "__fold").alias("fold_id"), "disposition").agg(
+        F.sum("n").alias("event_count"), F.min("first").alias("first_signal_ms"), F.max("last").alias("last_signal_ms"))
 
 
 def build_splits(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
     """Assigned rows with the bounds of their fold."""
     p = FOLD_PROFILES[profile_name]
-    usable = _placed(events, p, legacy_signal_end, inside_only=True).where("role IS NOT NULL")  # the others never need the regime test
-    return _with_crossing(usable).where("crosses IS NULL").select(
+    d = _per_fold(_disposed(events, p, legacy_signal_end).where("role IS NOT NULL AND disposition <> 'cross_role_regime_excluded'"))
+    return d.select("role", "range_action_event_id", "range_regime_id", "signal_time_ms", "outcome_end_ms", "symbol", *_fold_columns(F.col("__fold"), p)).select(
         "fold_id", "role", "range_action_event_id", "range_regime_id", "signal_time_ms", "outcome_end_ms", "symbol", "train_start_ms", "train_end_ms",
         "validation_start_ms", "validation_end_ms", "test_start_ms", "test_end_ms", F.lit(p["purge_minutes"]).alias("purge_minutes"),
         F.lit(p["embargo_minutes"]).alias("embargo_minutes"), F.lit(profile_name).alias("walk_forward_scope"))
 
 
 def disposition_counts(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
-    """Events per fold and disposition, without a pair for an event that is outside a fold or unusable.
+    """Distinct events per fold and disposition, from ranges of folds.
 
-    Unusable events count alike in every fold; those outside are what the others leave of all events.
+    Where rows of one event differ, the folds of its ranges are united first, so that it counts once.
     """
     p = FOLD_PROFILES[profile_name]
-    inside = _with_crossing(_placed(events, p, legacy_signal_end, inside_only=True)).withColumn(
-        "disposition", F.expr("coalesce(reason, if(crosses, 'cross_role_regime_excluded', NULL), concat(role, '_assigned'))"))
-    labelled = labelled_events(events, p, legacy_signal_end)
-    bounds = [c for c in fold_table(labelled, p).columns if c != "fold"]
-    ids = lambda c: F.count_distinct("range_action_event_id").alias(c)
-    made = inside.groupBy(*bounds, "disposition").agg(ids("event_count"))
-    totals = labelled.agg(ids("every"), F.count_distinct(F.when(~F.col("usable"), F.col("range_action_event_id"))).alias("unusable"))
-    per_fold = with_one_row(fold_table(labelled, p).select(*bounds), totals).join(
-        inside.groupBy("fold_id").agg(ids("inside")), "fold_id", "left").na.fill(0, ["inside"])
-    rest = F.inline(F.array(
-        F.struct(F.lit("incomplete_max_horizon").alias("disposition"), F.col("unusable").alias("event_count")),
-        F.struct(F.lit("outside_fold_window").alias("disposition"), (F.col("every") - F.col("unusable") - F.col("inside")).alias("event_count"))))
-    return made.unionByName(per_fold.select(*bounds, rest)).where("event_count > 0")
+    layout = ["train_start_ms", "__first"]
+    per_event = _disposed(events, p, legacy_signal_end).groupBy("range_action_event_id", *layout, "disposition").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    united = "transform(array_distinct(flatten(transform(spans, s -> sequence(s.lo, s.hi)))), f -> named_struct('lo', f, 'hi', f))"
+    ranges = per_event.where("range_action_event_id IS NOT NULL").select(*layout, "disposition", F.inline(F.expr(f"if(size(spans) = 1, spans, {united})")))
+    ranges = ranges.groupBy(*layout, "disposition", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    d = _per_fold(ranges).groupBy(*layout, "__fold", "disposition").agg(F.sum("n").alias("event_count"))
+    return d.select(*_fold_columns(F.col("__fold"), p), "disposition", "event_count")
 
 
 def reason_summary(counts: DataFrame) -> DataFrame:

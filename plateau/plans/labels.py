@@ -342,8 +342,7 @@ def dispositions(s, d):
 
 query("walk_forward_dispositions", "fold_id symbol disposition event_count:i first_signal_ms:i last_signal_ms:i", """
     SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, symbol, disposition, count(*) AS event_count, min(t) AS first_signal_ms, max(t) AS last_signal_ms FROM disposed GROUP BY 1, 2, 3""")(
-    lambda s, d: dispositions(s, d).groupBy("fold_id", "symbol", "disposition").agg(
-        F.count(F.lit(1)).alias("event_count"), F.min("signal_time_ms").alias("first_signal_ms"), F.max("signal_time_ms").alias("last_signal_ms")))
+    lambda s, d: W.disposition_summary(wf_events(s, d), ["symbol"]))
 query("walk_forward_splits", "fold_id role range_action_event_id range_regime_id signal_time_ms:i outcome_end_ms:i train_end_ms:i validation_start_ms:i test_end_ms:i", """
     SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, role, id AS range_action_event_id, reg AS range_regime_id, t AS signal_time_ms, fin AS outcome_end_ms, tr1 AS train_end_ms, va0 AS validation_start_ms, te1 AS test_end_ms FROM disposed WHERE disposition LIKE '%assigned' AND disposition <> 'unassigned'""")(
     lambda s, d: W.build_splits(wf_events(s, d)))
