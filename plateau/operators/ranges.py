@@ -234,12 +234,13 @@ def trend_rejections(p: dict | None) -> list[tuple[str, Column]]:
     return [("slope", F.col("slope_pct") > g("max_abs_slope_pct_per_window")), ("range_atr", atr)]
 
 
-def touch_rejections() -> list[tuple[str, Column]]:
+def touch_rejections(p: dict | None = None) -> list[tuple[str, Column]]:
+    g = lambda n: _param(p, n, p is None)
     lower, upper = F.col("touches_lower_zone"), F.col("touches_upper_zone")
     return [
-        ("lower_upper_entry", F.col("p_require_lower_upper_entries") & ((lower == 0) | (upper == 0))),
-        ("midline_cross", F.col("midline_crosses") < F.col("p_min_midline_cross_count")),
-        ("touch_count", (lower < F.col("p_min_touches_lower_zone")) | (upper < F.col("p_min_touches_upper_zone"))),
+        ("lower_upper_entry", g("require_lower_upper_entries") & ((lower == 0) | (upper == 0))),
+        ("midline_cross", F.col("midline_crosses") < g("min_midline_cross_count")),
+        ("touch_count", (lower < g("min_touches_lower_zone")) | (upper < g("min_touches_upper_zone"))),
     ]
 
 
@@ -405,47 +406,70 @@ def detect_candidates(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad
     return out.where((F.col("p_min_range_quality_score") == 0) | (F.col("range_quality_score") >= F.col("p_min_range_quality_score"))).drop("p_min_range_quality_score")
 
 
+#: One letter per outcome of a window position under a profile; ``OPEN`` while none is known.
+OUTCOME_LETTERS = {r: chr(ord("a") + i) for i, r in enumerate(("short", *FUNNEL_REASONS, "pass"))}
+OPEN = "-"
+
+
+def _first_letter(pairs: list[tuple[str, Column]], otherwise: Column) -> Column:
+    expr = F
+    for name, cond in pairs:
+        expr = expr.when(F.coalesce(cond, F.lit(False)), F.lit(OUTCOME_LETTERS[name]))
+    return expr.otherwise(otherwise) if pairs else otherwise
+
+
+def early_signature(profiles: list[dict], cfg: dict) -> Column:
+    """One letter a profile: its first reason that needs no bars of the window, else open."""
+    structural = F.col("structural")
+    letter = F.element_at(F.create_map(*[F.lit(x) for pair in OUTCOME_LETTERS.items() for x in pair]), structural)
+    own = F.concat(*[_first_letter(early_rejections(p, cfg), F.lit(OPEN)) for p in profiles])
+    return F.when(structural.isNotNull(), F.repeat(letter, len(profiles))).otherwise(own)
+
+
+def _close_signature(signature: str, profiles: list[dict], pairs, otherwise: str) -> Column:
+    """Replaces every open letter by the profile's first reason of ``pairs(profile)``."""
+    letters = [F.substring(signature, i + 1, 1) for i in range(len(profiles))]
+    return F.concat(*[F.when(x != OPEN, x).otherwise(_first_letter(pairs(p), F.lit(otherwise))) for x, p in zip(letters, profiles)])
+
+
 def rejection_funnel(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad_diagnostic",), cfg: dict | None = None) -> DataFrame:
     """First failing reason per window position, counted per symbol, profile and lookback.
 
-    The reasons and the passes add up to ``total_window_positions``.
+    The reasons and the passes add up to ``total_window_positions``.  A window
+    carries the reasons of all profiles as one signature; signatures are counted,
+    and only their few counts are opened into profiles.  Windows are evaluated
+    once: the written table keeps a signature for each, and its columns only where
+    a profile is still open.
     """
     cfg = {**DETECTION_DEFAULTS, **(cfg or {})}
     profiles = _resolve(profiles)
-    prows = _profile_rows(profiles)
     rows = materialize(prepared_rows(bars, step_ms, max(lookbacks) + 1))  # numbered once; windows and touches both read it
     every = with_geometry(window_stats(rows, lookbacks), cfg).withColumn("structural", F.when(F.col("full"), structural_reason(step_ms)).otherwise("short"))
-    early_ok = any_of([all_of([~F.coalesce(c, F.lit(False)) for _, c in early_rejections(p, cfg)]) for p in profiles])
-    deep = F.coalesce(F.col("structural").isNull() & early_ok, F.lit(False))
-
-    def first_reason(pairs):
-        expr = F.when(F.col("structural").isNotNull(), F.col("structural"))
-        for name, cond in pairs:
-            expr = expr.when(F.coalesce(cond, F.lit(False)), F.lit(name))
-        return expr
+    every = every.withColumn("signature", early_signature(profiles, cfg))
+    group = ["symbol", "lookback_minutes", "signature"]
+    rest = [c for c in every.columns if c not in (*group, "structural", "full")]
+    coded = materialize(every.select(*group, F.when(F.col("signature").contains(OPEN), F.struct(*rest)).alias("w")))
 
-    survivors = materialize(every.where(deep))  # the few windows that need their bars
+    survivors = coded.where("w IS NOT NULL").select(*group, "w.*")  # the few windows that need their bars
     touched = touch_counts_arrow(survivors, rows, lookbacks, cfg)
-    joined = expand(survivors.join(touched, ["symbol", "lookback_minutes", "rn"]), prows)
-    checks = early_rejections(None, cfg) + touch_rejections() + trend_rejections(None)
-    late = quality_score_columns(_candidate_columns(joined.withColumn("reason", first_reason(checks))))
-    low_score = (F.col("p_min_range_quality_score") != 0) & (F.col("range_quality_score") < F.col("p_min_range_quality_score"))
-    late = late.select("symbol", "profile_name", "lookback_minutes",
-                       F.coalesce("reason", F.when(low_score, "quality_score"), F.lit("pass")).alias("reason"))
-    shallow = expand(every.where(~deep), prows).select(
-        "symbol", "profile_name", "lookback_minutes", first_reason(early_rejections(None, cfg)).alias("reason"))
-    n = lambda r: F.count_if(F.col("reason") == r)
-    positions = F.count_if(F.col("reason") != "short")
-    return (
-        late.unionByName(shallow)
-        .groupBy("symbol", "profile_name", "lookback_minutes")
-        .agg(
-            positions.alias("total_window_positions"),
-            # a history shorter than L gives only short rows; what is missing is counted
-            F.when(positions == 0, F.col("lookback_minutes") - n("short")).otherwise(0).cast("long").alias("insufficient_history_rejection_count"),
-            *[n(r).alias(f"{r}_rejection_count") for r in FUNNEL_REASONS],
-            n("pass").alias("raw_candidate_pass_count"),
-        )
+    late = survivors.join(touched, ["symbol", "lookback_minutes", "rn"]).withColumn(
+        "reason", _close_signature("signature", profiles, lambda p: touch_rejections(p) + trend_rejections(p), OPEN))
+    late = quality_score_columns(_candidate_columns(late.withColumns({"profile_name": F.lit(""), "p_min_range_quality_score": F.lit(0.0)})))
+    low_score = lambda p: [("quality_score", F.col("range_quality_score") < p["min_range_quality_score"])] if p["min_range_quality_score"] else []
+    late = late.select("symbol", "lookback_minutes", _close_signature("reason", profiles, low_score, OUTCOME_LETTERS["pass"]).alias("signature"))
+
+    counted = lambda d: d.groupBy(*group).agg(F.count(F.lit(1)).alias("windows"))
+    per_signature = counted(coded.where("w IS NULL")).unionByName(counted(late))
+    opened = expand(per_signature, [{"profile_name": p["name"], "nth": i + 1} for i, p in enumerate(profiles)])
+    opened = opened.withColumn("letter", F.expr("substring(signature, nth, 1)"))
+    n = lambda r: F.sum(F.when(F.col("letter") == OUTCOME_LETTERS[r], F.col("windows")).otherwise(0))
+    positions = F.sum(F.when(F.col("letter") != OUTCOME_LETTERS["short"], F.col("windows")).otherwise(0))
+    return opened.groupBy("symbol", "profile_name", "lookback_minutes").agg(
+        positions.alias("total_window_positions"),
+        # a history shorter than L gives only short rows; what is missing is counted
+        F.when(positions == 0, F.col("lookback_minutes") - n("short")).otherwise(0).cast("long").alias("insufficient_history_rejection_count"),
+        *[n(r).alias(f"{r}_rejection_count") for r in FUNNEL_REASONS],
+        n("pass").alias("raw_candidate_pass_count"),
     )
 
 
