@@ -102,6 +102,7 @@ def grid_activity_summary(outcomes: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 # rule table
 
+# Columns that only complete outcomes may fill, and the diagnostics that every outcome has.
 CLAIMS = (
     "first_exit_side", "first_exit_ambiguous_bool", "time_inside_range_minutes", "inside_range_candle_count", "inside_range_ratio",
     "max_high_above_range_pct", "max_low_below_range_pct", "max_close_distance_from_mid_pct", "future_midline_cross_count", "future_upper_zone_touch_count",
