@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plateau.functions.exprs import floor_div
-from plateau.operators.chunks import sessionize
+from plateau.operators.chunks import salted_join, sessionize
 from plateau.operators.quality import distinct_times
+from plateau.params import MINUTE_MS
 
 CHUNK_BARS = 4096
 
@@ -30,10 +31,38 @@ def missing_bars(bars: DataFrame, windows: DataFrame, step_ms: int) -> DataFrame
     return expected_grid(windows, step_ms).join(distinct_times(bars), ["symbol", "open_time_ms"], "left_anti")
 
 
+def _inside(bars: DataFrame, windows: DataFrame) -> DataFrame:
+    """Bar times inside the window of their symbol, copies included; a hot symbol is spread over the salts."""
+    w = windows.select("symbol", "start_ms", "end_ms")
+    d = salted_join(bars.select("symbol", "open_time_ms"), w, ["symbol"], "inner")
+    return d.where(F.col("open_time_ms").between(F.col("start_ms"), F.col("end_ms"))).select("symbol", "open_time_ms")
+
+
 def in_windows(bars: DataFrame, windows: DataFrame) -> DataFrame:
     """Distinct bar times inside the window of their symbol."""
-    w = windows.select("symbol", "start_ms", "end_ms")
-    return distinct_times(bars).join(w, "symbol").where(F.col("open_time_ms").between(F.col("start_ms"), F.col("end_ms"))).select("symbol", "open_time_ms")
+    return distinct_times(_inside(bars, windows))
+
+
+def time_set_sizes(sides: dict[str, DataFrame], step_ms: int = MINUTE_MS) -> DataFrame:
+    """Per symbol: distinct times of each side and of all sides together (``<side>_times``, ``all_times``).
+
+    A block of 32 768 steps is one bitmap a side; bitmaps fill inside the map tasks,
+    so copies meet there and a shuffled row stands for a whole block.  Times off the
+    step's grid keep a block of their own for every remainder: none is rounded.
+    Rows without a time are left out; a symbol with no other rows has none.
+    """
+    step, t = F.lit(step_ms).cast("long"), F.col("open_time_ms")
+    every = None
+    for name, side in sides.items():
+        one = side.where(t.isNotNull()).select("symbol", t, F.lit(name).alias("side"))
+        every = one if every is None else every.unionByName(one)
+    slot = floor_div(t, step_ms)
+    block = [F.call_function("bitmap_bucket_number", slot).alias("block"), F.pmod(t, step).alias("phase")]
+    bits = lambda c: F.call_function("bitmap_count", F.call_function("bitmap_construct_agg", c))
+    d = every.select("symbol", "side", *block, F.call_function("bitmap_bit_position", slot).alias("bit"))
+    sizes = d.groupBy("symbol", "phase", "block").agg(
+        bits(F.col("bit")).alias("all_times"), *[bits(F.when(F.col("side") == n, F.col("bit"))).alias(f"{n}_times") for n in sides])
+    return sizes.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in ("all_times", *[f"{n}_times" for n in sides])])
 
 
 def islands(times: DataFrame, step_ms: int) -> DataFrame:
@@ -63,12 +92,11 @@ def plan_repairs(missing: DataFrame, step_ms: int, max_rows: int = 1000) -> Data
 
 
 def trade_mark_alignment(trade: DataFrame, mark: DataFrame) -> DataFrame:
-    """Per symbol: shared times, times of one side only, and set equality."""
-    both = distinct_times(trade).withColumn("t", F.lit(1)).join(distinct_times(mark).withColumn("m", F.lit(1)), ["symbol", "open_time_ms"], "full")
-    return both.groupBy("symbol").agg(
-        F.count_if(F.col("t").isNotNull() & F.col("m").isNotNull()).alias("shared"),
-        F.count_if(F.col("m").isNull()).alias("trade_only"), F.count_if(F.col("t").isNull()).alias("mark_only"),
-    ).withColumn("timestamp_sets_equal", (F.col("trade_only") == 0) & (F.col("mark_only") == 0))
+    """Per symbol: shared times, times of one side only, and set equality, from the sizes of three sets."""
+    t, m, both = F.col("trade_times"), F.col("mark_times"), F.col("all_times")
+    return time_set_sizes({"trade": trade, "mark": mark}).select(
+        "symbol", (t + m - both).alias("shared"), (both - m).alias("trade_only"), (both - t).alias("mark_only"),
+        ((both == m) & (both == t)).alias("timestamp_sets_equal"))
 
 
 def funding_observed_range(funding: DataFrame) -> DataFrame:
@@ -81,15 +109,13 @@ def funding_observed_range(funding: DataFrame) -> DataFrame:
 
 def replay_readiness(trade: DataFrame, mark: DataFrame, windows: DataFrame, step_ms: int) -> DataFrame:
     """Complete on both sides with equal time sets inside the window."""
-    t, m = in_windows(trade, windows), in_windows(mark, windows)
-    sides = t.withColumn("t", F.lit(1)).join(m.withColumn("m", F.lit(1)), ["symbol", "open_time_ms"], "full").groupBy("symbol").agg(
-        F.count("t").alias("trade_rows"), F.count("m").alias("mark_rows"), F.count_if(F.col("t").isNull() | F.col("m").isNull()).alias("unshared"))
+    sides = time_set_sizes({"trade": _inside(trade, windows), "mark": _inside(mark, windows)}, step_ms)
     need = floor_div(F.col("end_ms") - F.col("start_ms"), step_ms) + 1
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return windows.join(sides, "symbol", "left").select(
-        "symbol", need.alias("expected_rows"), zero("trade_rows").alias("trade_rows"), zero("mark_rows").alias("mark_rows"),
-        (zero("trade_rows") == need).alias("trade_complete"), (zero("mark_rows") == need).alias("mark_complete"),
-        ((zero("trade_rows") == need) & (zero("mark_rows") == need) & (zero("unshared") == 0)).alias("replay_ready"))
+    size = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    t, m = size("trade_times"), size("mark_times")
+    return windows.join(sides, "symbol", "left").select(  # one row a symbol on both sides
+        "symbol", need.alias("expected_rows"), t.alias("trade_rows"), m.alias("mark_rows"), (t == need).alias("trade_complete"), (m == need).alias("mark_complete"),
+        ((t == need) & (m == need) & (size("all_times") == need)).alias("replay_ready"))
 
 
 def funding_with_mark(funding: DataFrame, mark: DataFrame) -> DataFrame:
