@@ -46,8 +46,8 @@ from plateau.llm import base
 MAGIC = b"PTS1"
 #: Texts in the dictionary's sample, and bytes taken of each.
 DICTIONARY_TEXTS, DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 * 1024
-#: Words kept in a worker's cache; a word takes some 200 bytes.
-CACHE_WORDS = 500_000
+#: Words kept in a worker's cache unless the caller says otherwise; a word takes some 200 bytes.
+CACHE_WORDS = 1_000_000
 #: UTF-8 of U+0308, U+030A, U+030C, U+0331, and of U+0344, which is U+0308 and one more.
 _LOOSE_MARKS = re.compile(rb"\xcc[\x88\x8a\x8c\xb1]|\xcd\x84")
 _LETTERS = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -73,13 +73,19 @@ class Encoder:
         self.by_words = by_words
         self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[bytes, bytes] = {}
+        self.cache_words = CACHE_WORDS
 
     @staticmethod
-    def get(path: str, by_words: bool = True) -> "Encoder":
+    def get(path: str, by_words: bool = True, cache_words: int = CACHE_WORDS) -> "Encoder":
+        """The worker's encoder; a cache above the bound asked for now is emptied."""
         key = f"{path}|{by_words}"
         if key not in _encoders:
             _encoders[key] = Encoder(path, by_words)
-        return _encoders[key]
+        encoder = _encoders[key]
+        encoder.cache_words = cache_words
+        if len(encoder.cache) > cache_words:
+            encoder.cache.clear()
+        return encoder
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.dtype.char, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -120,7 +126,7 @@ class Encoder:
         extra = self._words(list(new))
         for i, words, ids in open_texts:
             out[i] = b"".join([extra[w] if x is None else x for w, x in zip(words, ids, strict=True)])
-        room = CACHE_WORDS - len(self.cache)
+        room = self.cache_words - len(self.cache)
         self.cache.update(extra if len(extra) <= room else list(extra.items())[: max(0, room)])
         return out
 
@@ -144,9 +150,9 @@ def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def _sample_ids(path: str, by_words: bool):
+def _sample_ids(path: str, by_words: bool, cache_words: int):
     def run(batches):
-        enc = Encoder.get(path, by_words)
+        enc = Encoder.get(path, by_words, cache_words)
         for b in batches:
             ids = [x[:DICTIONARY_SAMPLE_BYTES] for x in enc.batch(_texts(b.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
@@ -154,14 +160,14 @@ def _sample_ids(path: str, by_words: bool):
     return run
 
 
-def train_dictionary(docs: DataFrame, path: str, by_words: bool = True) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, by_words: bool = True, cache_words: int = CACHE_WORDS) -> bytes:
     """A zstandard dictionary from at most some DICTIONARY_TEXTS documents, chosen by a hash of their id."""
     total = docs.count()
     if not total:
         return b""
     share = min(1.0, DICTIONARY_TEXTS / total)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select(F.col("text").cast("string").alias("text"))
-    rows = chosen.mapInArrow(_sample_ids(path, by_words), "ids binary").where("length(ids) > 0").limit(2 * DICTIONARY_TEXTS).collect()
+    rows = chosen.mapInArrow(_sample_ids(path, by_words, cache_words), "ids binary").where("length(ids) > 0").limit(2 * DICTIONARY_TEXTS).collect()
     samples = sorted(bytes(r.ids) for r in rows)
     if len(samples) < 16 or sum(map(len, samples)) < 8 * 1024:
         return b""
@@ -237,9 +243,9 @@ class Shard:
         return [self.ids(i) for i in range(lo, hi)]
 
 
-def _write(folder: str, path: str, by_words: bool, end_id: int, dictionary: bytes):
+def _write(folder: str, path: str, by_words: bool, cache_words: int, end_id: int, dictionary: bytes):
     def run(batches):
-        enc = Encoder.get(path, by_words)
+        enc = Encoder.get(path, by_words, cache_words)
         end = np.array([end_id], enc.dtype).tobytes()
         writer = name = first = stream = None
         for b in batches:
@@ -261,22 +267,23 @@ def _write(folder: str, path: str, by_words: bool, end_id: int, dictionary: byte
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, by_words: bool = True, dictionary: bytes | None = None) -> tuple[DataFrame, bytes]:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, by_words: bool = True, dictionary: bytes | None = None,
+                 cache_words: int = CACHE_WORDS) -> tuple[DataFrame, bytes]:
     """Write shards below folder; (manifest in document order with ``start``, dictionary).
 
-    The manifest has one row per shard; its running sum is over shards, not documents.
+    The manifest has one row per shard; its running sum is over shards, not documents.  ``cache_words`` bounds a worker's word cache and changes no id.
     """
     path = tokenizer or default_tokenizer()
     base.make_dir(folder)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if dictionary is None:
-        dictionary = train_dictionary(rows, path, by_words)
+        dictionary = train_dictionary(rows, path, by_words, cache_words)
     fs, at = base.open_fs(f"{folder}/dictionary-{hashlib.sha256(dictionary).hexdigest()[:16]}.zdict")
     with fs.open_output_stream(at) as out:
         out.write(dictionary)
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     placed = rows.withColumn("text_key", key).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text_key")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_key")
-    manifest = base.materialize(placed.mapInArrow(_write(folder, path, by_words, end_id, dictionary), MANIFEST))
+    manifest = base.materialize(placed.mapInArrow(_write(folder, path, by_words, cache_words, end_id, dictionary), MANIFEST))
     order = Window.orderBy(F.col("has_id"), "first_id", "first_text_key").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0).cast("bigint"))), dictionary
 
