@@ -258,6 +258,8 @@ query("join_fees", "outcome_id maker_fee_rate:f taker_fee_rate:f", "SELECT outco
 query("fee_coverage", "scoring_symbol_count:i symbols_with_fee_rates:i symbols_missing_fee_rates:i fee_coverage_rate:f fee_coverage_ok", """
     SELECT count(*) AS scoring_symbol_count, count(*) FILTER (WHERE symbol <> 'view') AS symbols_with_fee_rates, count(*) FILTER (WHERE symbol = 'view') AS symbols_missing_fee_rates, 1 - count(*) FILTER (WHERE symbol = 'view') / count(*)::DOUBLE AS fee_coverage_rate,
     count(*) FILTER (WHERE symbol = 'view') = 0 AS fee_coverage_ok FROM (SELECT DISTINCT symbol FROM outcomes)""")(lambda s, d: S.fee_coverage(outcomes(s, d), fees(s, d).where("symbol <> 'view'")))
+query("symbols_without_fees", "symbol row_count:i", "SELECT symbol, count(*) AS row_count FROM outcomes WHERE symbol IN ('view', 'click') GROUP BY 1")(
+    lambda s, d: S.symbols_without_fees(outcomes(s, d), fees(s, d).where("symbol <> 'view'").withColumn("maker_fee_rate", F.when(F.col("symbol") != "click", F.col("maker_fee_rate")))))
 query("scenario_costs", "range_action_event_id future_horizon_minutes:i grid_cell_number:i scenario net_cycle_return_long_bps_proxy:f net_cycle_return_short_bps_proxy:f fee_break_even_both_bool fee_efficiency_ratio_long:f fee_efficiency_ratio_short:f", """
     SELECT *, net_long AS net_cycle_return_long_bps_proxy, net_short AS net_cycle_return_short_bps_proxy, be_long AND be_short AS fee_break_even_both_bool, eff_long AS fee_efficiency_ratio_long, eff_short AS fee_efficiency_ratio_short FROM cost""")(
     lambda s, d: S.cost_rows(S.join_fees(G.build_grains(outcomes(s, d))["event_horizon_grid"], fees(s, d))))

@@ -309,6 +309,23 @@ def _finger(s, d):
     return a.crossJoin(b).withColumn("same_fingerprint", F.col("fingerprint") == F.col("other"))  # single rows
 
 
+@query("dataset_fingerprint_damage", "damage row_count:i found", """
+    SELECT 'one_value' AS damage, count(*) AS row_count, true AS found FROM bars UNION ALL SELECT 'one_row_less', count(*) - 1, true FROM bars
+    UNION ALL SELECT 'one_row_twice', count(*) + 1, true FROM bars""")
+def _finger_damage(s, d):
+    rows = store_rows(bars(s, d), "trade_kline_1m")
+    last = F.broadcast(rows.agg(F.max(F.struct("symbol", "open_time_ms")).alias("last")))  # one row
+    marked = rows.crossJoin(last).withColumn("hit", F.struct("symbol", "open_time_ms") == F.col("last")).drop("last")
+    damaged = {
+        "one_value": marked.withColumn("symbol", F.when(F.col("hit"), F.concat("symbol", F.lit(" "))).otherwise(F.col("symbol"))).drop("hit"),
+        "one_row_less": marked.where(~F.col("hit")).drop("hit"),
+        "one_row_twice": marked.drop("hit").unionByName(marked.where("hit").drop("hit"))}
+    whole = S.dataset_fingerprint(rows).select(F.col("fingerprint").alias("whole"))
+    parts = [S.dataset_fingerprint(x).select(F.lit(n).alias("damage"), "row_count", "fingerprint") for n, x in damaged.items()]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.crossJoin(whole).select("damage", "row_count", (F.col("fingerprint") != F.col("whole")).alias("found"))  # three rows and one
+
+
 DAY = 24 * HOUR
 CTES["day_bars"] = f"SELECT symbol, ms - ms % {DAY} AS open_time_ms, arg_min(price, (ts, event_id)) AS open, arg_max(price, (ts, event_id)) AS close FROM ticks GROUP BY 1, 2"
 
