@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plateau.functions.exprs import any_of, finite, sha_id
-from plateau.operators.chunks import exact_quantiles
+from plateau.operators.chunks import exact_quantiles, with_one_row
 from plateau.params import EVENT_SEMANTICS, GRID_SEMANTICS, LEVELS_SERIALIZATION, OUTCOME_SEMANTICS, WINDOW_SEMANTICS
 
 
@@ -76,6 +76,77 @@ def outcome_distributions(outcomes: DataFrame) -> DataFrame:
     return out
 
 
+#: Columns without which a summary cannot tell whether its rows may be summed up.
+SUMMARY_COLUMNS = (
+    "outcome_semantics_version", "outcome_window_semantics_version", "future_data_complete_bool", "future_outcome_eligible_bool",
+    "actionable_event_semantics_version", "decision_time_source", "causal_provenance_complete_bool", "range_profile_name")
+
+
+def summary_gates(outcomes: DataFrame) -> DataFrame:
+    """(gate, bad_rows) of every condition a summary rests on; missing columns fail at once.
+
+    Row gates count in one pass.  The last gate counts event-horizons with more than one eligibility, from
+    one row per event-horizon that map-side sums make small before the shuffle.
+    """
+    missing = sorted(set(SUMMARY_COLUMNS) - set(outcomes.columns))
+    if missing:
+        raise ValueError("outcome summary lacks columns: " + ",".join(missing))
+    c = F.col
+    complete, ok = c("future_data_complete_bool"), c("future_outcome_eligible_bool")
+    holds = lambda test: F.coalesce(test, F.lit(False))
+    gates = {
+        "semantics_version": ~holds(c("outcome_semantics_version") == OUTCOME_SEMANTICS),
+        "window_version": ~holds(c("outcome_window_semantics_version") == WINDOW_SEMANTICS),
+        "eligibility_is_null": complete.isNull() | ok.isNull(),
+        "completeness_and_eligibility_disagree": holds(complete != ok),
+        "provenance": ~holds((c("actionable_event_semantics_version") == EVENT_SEMANTICS) & (c("decision_time_source") == "event_decision_time")
+                             & c("causal_provenance_complete_bool") & (F.trim("range_profile_name") != "")),
+    }
+    one = outcomes.agg(*[F.count_if(test).alias(n) for n, test in gates.items()])
+    kinds = lambda flag: F.max(F.coalesce(flag.cast("int"), F.lit(2))) != F.min(F.coalesce(flag.cast("int"), F.lit(2)))
+    varying = outcomes.groupBy(*EVENT_HORIZON).agg((kinds(complete) | kinds(ok)).alias("varies")).agg(F.count_if("varies").alias("n"))
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("gate"), c(n).alias("bad_rows")) for n in gates])))
+    return rows.unionByName(varying.select(F.lit("event_horizon_eligibility_varies").alias("gate"), c("n").alias("bad_rows")))
+
+
+def crossing_distribution(outcomes: DataFrame) -> DataFrame:
+    """Least, median and largest number of level crossings of eligible rows, one row."""
+    v = "future_close_level_cross_count"
+    rows = outcomes.where("future_outcome_eligible_bool").select(v)
+    med = exact_quantiles(rows, [], [v], {"median": ("median", 0.5)}).select(F.col(f"{v}_median").alias("grid_crossing_median"))
+    return rows.agg(F.min(v).alias("grid_crossing_min"), F.max(v).alias("grid_crossing_max")).crossJoin(med)  # single rows
+
+
+def funding_symbols(outcomes: DataFrame) -> DataFrame:
+    """(symbol, funding_found_bool, row_count, funding_rows): the symbols with and without funding."""
+    return outcomes.groupBy("symbol").agg(
+        F.bool_or(F.coalesce(F.col("funding_source_status") == "ok", F.lit(False))).alias("funding_found_bool"), F.count(F.lit(1)).alias("row_count"),
+        F.coalesce(F.sum("funding_rows_in_horizon"), F.lit(0)).alias("funding_rows"))
+
+
+def funding_reason(outcomes: DataFrame) -> DataFrame:
+    """Counts of symbols without funding and, where no row has any, why; one row."""
+    rows = outcomes.groupBy("symbol").agg(
+        F.max((F.col("funding_source_status") == "ok").cast("int")).alias("found"), F.sum("funding_rows_in_horizon").alias("n"),
+        F.count_if(F.col("funding_source_status") == "no_overlap").alias("apart"))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    why = F.when(total > 0, "").when(F.sum("apart") > 0, "no overlapping local funding timestamps").otherwise("local funding files missing or unreadable")
+    return rows.agg(F.count_if(F.coalesce("found", F.lit(0)) == 0).alias("funding_missing_symbol_count"), why.alias("funding_zero_reason"))
+
+
+def outcome_summary(outcomes: DataFrame) -> DataFrame:
+    """Totals, crossing distribution and funding state as (metric, value) rows.
+
+    Rows that fail any of :func:`summary_gates` fail the job, so that no figure mixes versions or unproven rows.
+    An empty table gives zero totals and NULL rates.
+    """
+    bad = summary_gates(outcomes).where("bad_rows > 0").agg(F.array_join(F.array_sort(F.collect_list("gate")), ",").alias("__bad"))  # six gates
+    message = F.concat(F.lit("outcome summary: "), F.col("__bad"))
+    one = outcome_totals(outcomes).crossJoin(crossing_distribution(outcomes)).crossJoin(funding_reason(outcomes))  # single rows
+    sound = F.when(F.col("__bad") == "", F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return metric_table(with_one_row(one, bad, sound).drop("__bad"))
+
+
 def sl_probe_summary(outcomes: DataFrame) -> DataFrame:
     """Stop-hit, ambiguity and invalidity rates and the median minutes, per horizon and buffer."""
     key = ["future_horizon_minutes", "sl_atr_buffer"]

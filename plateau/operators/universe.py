@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plateau.functions.exprs import any_of, floor_div, floor_to, num_or
-from plateau.operators.chunks import global_rank, numbered_per_key, with_one_row
+from plateau.functions.exprs import all_of, bad_ohlc_envelope, floor_div, floor_to, num_or
+from plateau.operators.chunks import global_rank, numbered_per_key, salted_join, with_one_row
 from plateau.params import BYTES_PER_ROW, CHECK_UNSPECIFIED, DAY_MS, LIQUIDITY_TIERS, MINUTE_MS, TEST_MARKERS
 
 
@@ -119,49 +119,93 @@ def instrument_audit(instruments: DataFrame) -> DataFrame:
     return a.select("*", ok.alias("universe_audit_ok"))
 
 
+def universe_failures(instruments: DataFrame) -> DataFrame:
+    """(failure, symbol, contract_type, n): every instrument behind a failed universe rule; no rows, no failure.
+
+    A NULL contract type is an unknown one.  ``n`` counts the rows of the symbol that break the rule.
+    """
+    kind, interval = F.col("contract_type"), F.col("funding_interval_minutes")
+    known = F.coalesce(kind.isin("LinearPerpetual", "LinearFutures"), F.lit(False))
+    tests = {"unknown_contract_type": ~known, "replay_candidate_zero_funding_interval": replay_candidate() & (interval == 0),
+             "replay_eligible_non_positive_funding_interval": replay_candidate() & (interval < 0)}
+    one = instruments.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("symbols_unique_bool"), *[F.count_if(c).alias(n) for n, c in tests.items()], F.min("contract_type").alias("contract_type"))
+    rows = [F.when(F.col(n) > int(n == "symbols_unique_bool"), F.struct(F.lit(n).alias("failure"), F.col(n).alias("n"))) for n in ("symbols_unique_bool", *tests)]
+    return one.select("symbol", "contract_type", F.explode(F.array_compact(F.array(*rows))).alias("f")).select("f.failure", "symbol", "contract_type", "f.n")
+
+
+def zero_interval_symbols(instruments: DataFrame) -> DataFrame:
+    """Symbols without a funding interval, and whether each would otherwise be replayed."""
+    return instruments.where(F.col("funding_interval_minutes") == 0).groupBy("symbol", "contract_type").agg(
+        F.bool_or(replay_candidate()).alias("replay_candidate_bool"))
+
+
+def zero_interval_by_contract_type(instruments: DataFrame) -> DataFrame:
+    return instruments.where(F.col("funding_interval_minutes") == 0).groupBy("contract_type").agg(F.count(F.lit(1)).alias("zero_funding_interval_count"))
+
+
+BATCH_CHECKS = (
+    "instrument_contract_ok", "closed_candle_cutoff_ok", "trade_kline_coverage_ok", "mark_kline_coverage_ok", "trade_mark_timestamp_sets_equal_bool",
+    "category_symbol_consistency_ok", "funding_pagination_range_covered_bool", "funding_interval_consistent_bool", "funding_mark_boundary_join_ok",
+    "replay_inputs_ready_bool")
+
+
+def _batch_rows(df: DataFrame, side: str, time_col: str) -> DataFrame:
+    """Rows of one side in the shape that all three share; columns a side lacks take their clean value."""
+    have = lambda c, other: F.col(c) if c in df.columns else other
+    symbol = have("batch_symbol", F.col("symbol"))
+    same = F.coalesce((have("category", F.lit("linear")) == "linear") & (F.col("symbol") == symbol), F.lit(False))
+    flag = lambda c: c.cast("int")
+    trade, mark, fund = (F.lit(int(side == x)) for x in ("trade", "mark", "funding"))
+    return df.select(
+        symbol.alias("symbol"), F.col(time_col).cast("long").alias("t"), trade.alias("trade"), mark.alias("mark"), fund.alias("fund"), flag(~same).alias("foreign"),
+        flag(~F.coalesce(have("closed_bool", F.lit(True)), F.lit(False))).alias("unclosed"),
+        flag(F.coalesce(bad_ohlc_envelope(), F.lit(True)) if side == "trade" else F.lit(False)).alias("unusable"),
+        (F.col("open") if side == "mark" else F.lit(None)).cast("double").alias("mark_open"),
+        (have("mark_price", F.lit(None)) if side == "funding" else F.lit(None)).cast("double").alias("seen_price"))
+
+
 def batch_audit(instruments: DataFrame, trade: DataFrame, mark: DataFrame, funding: DataFrame, windows: DataFrame, last_closed_ms: int, step_ms: int) -> DataFrame:
-    """Input checks of every symbol's trade, mark and funding window, all symbols at once."""
-    from plateau.operators.chunks import previous_row
-    from plateau.operators.coverage import funding_with_mark
+    """The ten input checks of every symbol's window, all symbols at once, with the names of those that fail.
 
-    w = windows.select("symbol", "start_ms", "end_ms")
+    Bars may carry ``category``, ``closed_bool`` and ``batch_symbol`` (the symbol they were delivered under), funding
+    rows ``mark_price`` (the price observed with them).  The three sides meet in one aggregate per (symbol, time); a
+    symbol is then a handful of sums and extremes: times are exactly those of the window when their number and both
+    ends fit and all have one remainder by the step, and funding times keep an interval when they have one remainder by it.
+    """
+    rows = _batch_rows(trade, "trade", "open_time_ms").unionByName(_batch_rows(mark, "mark", "open_time_ms")).unionByName(_batch_rows(funding, "funding", "funding_time_ms"))
+    at = rows.groupBy("symbol", "t").agg(
+        *[F.sum(c).alias(c) for c in ("trade", "mark", "fund", "foreign", "unclosed", "unusable")],
+        *[f(c).alias(f"{c}_{n}") for c in ("mark_open", "seen_price") for n, f in (("lo", F.min), ("hi", F.max))])
+    per = instruments.groupBy("symbol").agg(
+        F.bool_and(eligible_for_replay()).alias("eligible"), F.max("funding_interval_minutes").alias("interval"), F.count(F.lit(1)).alias("listed"))
+    at = salted_join(at, per.select("symbol", "interval"), ["symbol"], "left")
+    width = F.when(F.col("interval") > 0, F.col("interval") * MINUTE_MS)
+    spread = lambda c: F.max(c) - F.min(c)
+    on = lambda side, c: F.when(F.col(side) > 0, c)
+    t = F.col("t")
+    wrong_price = F.coalesce(F.col("seen_price_lo").isNotNull() & ((F.col("seen_price_lo") != F.col("mark_open_lo")) | (F.col("seen_price_hi") != F.col("mark_open_hi"))), F.lit(False))
+    sides = [x for p in ("trade", "mark") for x in (
+        F.sum(p).alias(f"{p}_rows"), F.count_if(F.col(p) > 0).alias(f"{p}_times"), F.min(on(p, t)).alias(f"{p}_first"), F.max(on(p, t)).alias(f"{p}_last"),
+        spread(on(p, F.pmod(t, F.lit(step_ms)))).alias(f"{p}_off"))]
+    d = at.groupBy("symbol").agg(
+        *sides, F.count_if(F.col("trade") != F.col("mark")).alias("unshared"), F.sum("foreign").alias("foreign"), F.sum("unclosed").alias("unclosed"),
+        F.sum("unusable").alias("unusable"), F.count_if(F.col("fund") > 1).alias("fund_again"), spread(on("fund", F.pmod(t, width))).alias("fund_off"),
+        F.count_if((F.col("fund") > 0) & ((F.col("mark") == 0) | wrong_price)).alias("unmarked"))
+    d = windows.select("symbol", "start_ms", "end_ms").join(per, "symbol", "left").join(d, "symbol", "left")
     need = floor_div(F.col("end_ms") - F.col("start_ms"), step_ms) + 1
-    t = F.col("open_time_ms")
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        inside = t.between(F.col("start_ms"), F.col("end_ms"))
-        return df.join(w, "symbol").groupBy("symbol").agg(
-            F.count(F.lit(1)).alias(f"{p}_rows"), F.count_distinct(t).alias(f"{p}_times"), F.count_if(inside).alias(f"{p}_inside"),
-            F.max(t).alias(f"{p}_last"))
-
-    both = (
-        trade.select("symbol", "open_time_ms").distinct().withColumn("t", F.lit(1))
-        .join(mark.select("symbol", "open_time_ms").distinct().withColumn("m", F.lit(1)), ["symbol", "open_time_ms"], "full")
-        .groupBy("symbol").agg(F.count_if(F.col("t").isNull() | F.col("m").isNull()).alias("unshared")))
-    steps = previous_row(funding.select("symbol", "funding_time_ms"), ["symbol"], "funding_time_ms", 4096 * step_ms, ["funding_time_ms"]).join(
-        instruments.select("symbol", "funding_interval_minutes"), "symbol")
-    gap = F.col("funding_time_ms") - F.col("prev_funding_time_ms")
-    width = F.col("funding_interval_minutes") * MINUTE_MS
-    regular = steps.groupBy("symbol").agg(
-        F.count_if(gap == 0).alias("funding_dups"), F.count_if(F.coalesce((width > 0) & (F.try_mod(gap, width) != 0), F.lit(False))).alias("irregular"))
-    joined = funding_with_mark(funding, mark).groupBy("symbol").agg(F.count_if(F.col("mark_price").isNull()).alias("unmarked"))
-    d = w.join(instruments.select("symbol", eligible_for_replay().alias("eligible")), "symbol", "left")
-    for part in (side(trade, "t"), side(mark, "m"), both, regular, joined):
-        d = d.join(part, "symbol", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    cutoff = F.greatest(F.col("end_ms"), F.coalesce("t_last", F.lit(0)), F.coalesce("m_last", F.lit(0))) <= last_closed_ms
-    full = lambda p: (z(f"{p}_rows") == need) & (z(f"{p}_times") == need) & (z(f"{p}_inside") == need)
-    checks = {
-        "instrument_contract_ok": F.coalesce("eligible", F.lit(False)), "closed_candle_cutoff_ok": cutoff,
-        "trade_kline_coverage_ok": full("t"), "mark_kline_coverage_ok": full("m"),
-        "trade_mark_timestamp_sets_equal_bool": F.coalesce(F.col("unshared") == 0, F.lit(True)),
-        "funding_pagination_range_covered_bool": z("funding_dups") == 0, "funding_interval_consistent_bool": z("irregular") == 0,
-        "funding_mark_boundary_join_ok": z("unmarked") == 0,
-    }
-    ok = None
-    for c in checks.values():
-        ok = c if ok is None else ok & c
-    return d.select("symbol", *[c.alias(n) for n, c in checks.items()], ok.alias("batch_audit_ok"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+
+    def exact(p: str) -> Column:
+        c = lambda x: F.col(f"{p}_{x}")
+        return (c("rows") == need) & (c("times") == need) & (c("first") == F.col("start_ms")) & (c("last") == F.col("end_ms")) & (c("off") == 0)
+
+    last = F.greatest("end_ms", "trade_last", "mark_last")  # NULLs are passed over
+    tests = (F.col("eligible") & (F.col("listed") == 1), none("unclosed") & (last <= last_closed_ms), exact("trade"), exact("mark"), none("unshared"), none("foreign"),
+             none("fund_again"), none("fund_off"), none("unmarked"), none("unusable"))
+    checks = {n: F.coalesce(c, F.lit(False)) for n, c in zip(BATCH_CHECKS, tests, strict=True)}
+    return d.select("symbol", *[c.alias(n) for n, c in checks.items()]).select(
+        "*", F.concat_ws(",", *[F.when(~F.col(n), F.lit(n)) for n in checks]).alias("failures"), all_of([F.col(n) for n in checks]).alias("batch_audit_ok"))
 
 
 def closed_cutoff(now_ms: int, step_ms: int) -> int:

@@ -253,6 +253,17 @@ query("instrument_audit", "instrument_count:i zero_funding_interval_count:i line
     count(*) FILTER (WHERE contract_type NOT IN ('LinearPerpetual', 'LinearFutures')) AS unknown_contract_type_count, count(*) = count(DISTINCT symbol) AS symbols_unique_bool FROM instruments)""")(
     lambda s, d: U.instrument_audit(snapshot(s, d)))
 
+_TWICE = "SELECT * FROM instruments UNION ALL SELECT * FROM instruments WHERE max_leverage % 23 = 0"
+query("universe_failures", "failure symbol contract_type n:i", f"""
+    SELECT 'symbols_unique_bool' AS failure, symbol, min(contract_type) AS contract_type, count(*) AS n FROM ({_TWICE}) GROUP BY 2 HAVING count(*) > 1
+    UNION ALL SELECT 'unknown_contract_type', symbol, min(contract_type), count(*) FROM ({_TWICE}) WHERE contract_type IS NULL OR contract_type NOT IN ('LinearPerpetual', 'LinearFutures') GROUP BY 2
+    UNION ALL SELECT 'replay_candidate_zero_funding_interval', symbol, min(contract_type), count(*) FROM ({_TWICE}) WHERE {_REPLAY} AND funding_interval_minutes = 0 GROUP BY 2""")(
+    lambda s, d: U.universe_failures(snapshot(s, d).unionByName(snapshot(s, d).where("max_leverage % 23 = 0"))))
+query("zero_interval_symbols", "symbol contract_type replay_candidate_bool", f"SELECT symbol, contract_type, {_REPLAY} AS replay_candidate_bool FROM instruments WHERE funding_interval_minutes = 0")(
+    lambda s, d: U.zero_interval_symbols(snapshot(s, d)))
+query("zero_interval_by_contract_type", "contract_type zero_funding_interval_count:i", "SELECT contract_type, count(*) AS zero_funding_interval_count FROM instruments WHERE funding_interval_minutes = 0 GROUP BY 1")(
+    lambda s, d: U.zero_interval_by_contract_type(snapshot(s, d)))
+
 _MLO, _MHI = DAY0 + 24 * HOUR, DAY0 + 24 * HOUR * 29
 query("download_manifest", "symbol trading_feasibility_status start_ms:i end_ms:i estimated_kline_rows:i estimated_funding_rows:i estimated_total_rows:i estimated_gb:f9", f"""
     SELECT symbol, 'validated_5usdt_feasible' AS trading_feasibility_status, s AS start_ms, e AS end_ms, (e - s) // 60000 + 1 AS estimated_kline_rows, 90 AS estimated_funding_rows,
@@ -266,23 +277,58 @@ query("blocked_symbols", "symbol trading_feasibility_status", """SELECT symbol,
     WHERE symbol NOT IN (SELECT symbol FROM probes WHERE five_ok)""")(lambda s, d: U.blocked_symbols(universe(s, d), probes(s, d)))
 
 
-@query("batch_audit", "symbol instrument_contract_ok closed_candle_cutoff_ok trade_kline_coverage_ok mark_kline_coverage_ok trade_mark_timestamp_sets_equal_bool "
-       "funding_pagination_range_covered_bool funding_interval_consistent_bool funding_mark_boundary_join_ok batch_audit_ok", """
-    SELECT *, trade_kline_coverage_ok AND mark_kline_coverage_ok AND trade_mark_timestamp_sets_equal_bool AND funding_mark_boundary_join_ok AS batch_audit_ok FROM (
-    SELECT symbol, true AS instrument_contract_ok, true AS closed_candle_cutoff_ok, (SELECT count(*) FROM bars b WHERE b.symbol = m.symbol) = (end_ms - start_ms) // 3600000 + 1 AS trade_kline_coverage_ok,
-    (SELECT count(*) FROM marks b WHERE b.symbol = m.symbol AND open_time_ms BETWEEN start_ms AND end_ms) = (end_ms - start_ms) // 3600000 + 1 AND
-    (SELECT count(*) FROM marks b WHERE b.symbol = m.symbol) = (end_ms - start_ms) // 3600000 + 1 AS mark_kline_coverage_ok,
-    NOT EXISTS (SELECT 1 FROM ((SELECT symbol, open_time_ms FROM bars EXCEPT SELECT symbol, open_time_ms FROM marks) UNION ALL (SELECT symbol, open_time_ms FROM marks EXCEPT SELECT symbol, open_time_ms FROM bars)) x WHERE x.symbol = m.symbol) AS trade_mark_timestamp_sets_equal_bool,
-    true AS funding_pagination_range_covered_bool, true AS funding_interval_consistent_bool,
-    NOT EXISTS (SELECT 1 FROM funding f LEFT JOIN marks k ON k.symbol = f.symbol AND k.open_time_ms = f.funding_time_ms WHERE f.symbol = m.symbol AND k.open IS NULL) AS funding_mark_boundary_join_ok
-    FROM (SELECT symbol, min(open_time_ms) AS start_ms, max(open_time_ms) AS end_ms FROM bars GROUP BY 1) m)""")
+_D = f"t // {DAY}"
+CTES.update({
+    # daily bars of the hourly ones, with damage on some symbols and days
+    "batch_trade": f"""SELECT symbol, t, open, CASE WHEN symbol = 'click' AND {_D} % 9 = 0 THEN low / 2 ELSE high END AS high, low, close, CASE WHEN symbol = 'error' AND {_D} % 7 = 0 THEN 'inverse' ELSE 'linear' END AS category FROM (
+        SELECT symbol, open_time_ms - open_time_ms % {DAY} AS t, arg_min(open, open_time_ms) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time_ms) AS close FROM bars GROUP BY 1, 2)
+        WHERE NOT (symbol = 'signup' AND {_D} % 11 = 0)""",
+    "batch_mark": f"""SELECT symbol, t, open, NOT (symbol = 'purchase' AND {_D} % 13 = 0) AS closed FROM (
+        SELECT symbol, open_time_ms - open_time_ms % {DAY} AS t, arg_min(open, open_time_ms) AS open FROM marks GROUP BY 1, 2)""",
+    "batch_funding": f"""SELECT f.symbol, f.t, k.open + CASE WHEN f.symbol = 'purchase' AND f.t // {DAY} % 6 = 0 THEN 1 ELSE 0 END AS seen FROM (
+        SELECT symbol, funding_time_ms AS t FROM funding WHERE funding_time_ms % {DAY} = 0 UNION ALL SELECT symbol, funding_time_ms FROM funding WHERE funding_time_ms % {DAY} = 0 AND symbol = 'error' AND funding_time_ms // {DAY} % 5 = 0) f
+        LEFT JOIN batch_mark k ON k.symbol = f.symbol AND k.t = f.t""",
+    "batch_windows": f"SELECT symbol, min(open_time_ms) - min(open_time_ms) % {DAY} AS s, max(open_time_ms) - max(open_time_ms) % {DAY} AS e, length(symbol) * 120 AS width, CASE WHEN length(symbol) = 8 THEN 'LinearFutures' ELSE 'LinearPerpetual' END AS kind FROM bars GROUP BY 1",
+})
+_TIMES = lambda table: f"(SELECT list_sort(list(b.t)) FROM {table} b WHERE b.symbol = w.symbol)"
+_CHECKS = {
+    "instrument_contract_ok": "kind = 'LinearPerpetual'",
+    "closed_candle_cutoff_ok": "NOT EXISTS (SELECT 1 FROM batch_mark b WHERE b.symbol = w.symbol AND NOT closed)",
+    "trade_kline_coverage_ok": f"{_TIMES('batch_trade')} = range(s, e + 1, {DAY})",
+    "mark_kline_coverage_ok": f"{_TIMES('batch_mark')} = range(s, e + 1, {DAY})",
+    "trade_mark_timestamp_sets_equal_bool": f"{_TIMES('batch_trade')} = {_TIMES('batch_mark')}",
+    "category_symbol_consistency_ok": "NOT EXISTS (SELECT 1 FROM batch_trade b WHERE b.symbol = w.symbol AND category <> 'linear')",
+    "funding_pagination_range_covered_bool": "(SELECT count(*) = count(DISTINCT t) FROM batch_funding f WHERE f.symbol = w.symbol)",
+    "funding_interval_consistent_bool": "NOT EXISTS (SELECT 1 FROM (SELECT symbol, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS gap FROM batch_funding) g WHERE g.symbol = w.symbol AND gap % (width * 60000) <> 0)",
+    "funding_mark_boundary_join_ok": "NOT EXISTS (SELECT 1 FROM batch_funding f LEFT JOIN batch_mark k ON k.symbol = f.symbol AND k.t = f.t WHERE f.symbol = w.symbol AND (k.open IS NULL OR seen <> k.open))",
+    "replay_inputs_ready_bool": "NOT EXISTS (SELECT 1 FROM batch_trade b WHERE b.symbol = w.symbol AND high < low)",
+}
+
+
+@query("batch_audit", "symbol " + " ".join(_CHECKS) + " failures batch_audit_ok", f"""
+    SELECT *, concat_ws(',', {", ".join(f"CASE WHEN NOT {n} THEN '{n}' END" for n in _CHECKS)}) AS failures, {" AND ".join(_CHECKS)} AS batch_audit_ok FROM (
+    SELECT symbol, {", ".join(f"{sql} AS {n}" for n, sql in _CHECKS.items())} FROM batch_windows w)""")
 def _batch(s, d):
+    """Daily windows, each symbol with a fault of its own; 'view' keeps none."""
     from plateau.plans.market import bars, funding, marks
 
-    w = bars(s, d).groupBy("symbol").agg(F.min("open_time_ms").alias("start_ms"), F.max("open_time_ms").alias("end_ms"))
-    inst = w.select("symbol", F.lit("LinearPerpetual").alias("contract_type"), F.lit("Trading").alias("status"), F.lit("USDT").alias("quote_coin"),
-                    F.lit("USDT").alias("settle_coin"), F.lit(False).alias("is_pre_listing"), F.lit(480).cast("long").alias("funding_interval_minutes"))
-    return U.batch_audit(inst, bars(s, d), marks(s, d), funding(s, d), w, DAY0 + 32 * DAY, HOUR)
+    t = F.col("open_time_ms")
+    nth = lambda c, n: F.floor(c / DAY) % n == 0
+    hit = lambda symbol, n, c=t: (F.col("symbol") == symbol) & nth(c, n)
+    daily = lambda df: df.groupBy("symbol", (t - t % DAY).alias("open_time_ms")).agg(
+        F.min_by("open", t).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", t).alias("close"))
+    trade = daily(bars(s, d)).where(~hit("signup", 11)).withColumn("high", F.when(hit("click", 9), F.col("low") / 2).otherwise(F.col("high"))).withColumn(
+        "category", F.when(hit("error", 7), "inverse").otherwise("linear"))
+    mark = marks(s, d).groupBy("symbol", (t - t % DAY).alias("open_time_ms")).agg(F.min_by("open", t).alias("open")).withColumn("closed_bool", ~hit("purchase", 13))
+    f = F.col("funding_time_ms")
+    paid = funding(s, d).where(f % DAY == 0).select("symbol", "funding_time_ms")
+    paid = paid.unionByName(paid.where(hit("error", 5, f)))
+    paid = paid.join(mark.select("symbol", t.alias("funding_time_ms"), "open"), ["symbol", "funding_time_ms"], "left").select(
+        "symbol", "funding_time_ms", (F.col("open") + F.when(hit("purchase", 6, f), 1).otherwise(0)).alias("mark_price"))
+    w = bars(s, d).groupBy("symbol").agg(F.min(t - t % DAY).alias("start_ms"), F.max(t - t % DAY).alias("end_ms"))
+    inst = w.select("symbol", F.when(F.length("symbol") == 8, "LinearFutures").otherwise("LinearPerpetual").alias("contract_type"), F.lit("Trading").alias("status"),
+                    F.lit("USDT").alias("quote_coin"), F.lit("USDT").alias("settle_coin"), F.lit(False).alias("is_pre_listing"), (F.length("symbol") * 120).cast("long").alias("funding_interval_minutes"))
+    return U.batch_audit(inst, trade, mark, paid, w, DAY0 + 32 * DAY, DAY)
 
 
 @query("parse_validate_results", "symbol l_orderkey:i l_linenumber:i investment_min:f envelope_valid validate_ok feasible_exchange min_investment_feasible_at_5usdt "

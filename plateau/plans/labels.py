@@ -157,6 +157,39 @@ query("outcome_distributions", "distribution value row_count:i", """
     SELECT 'first_exit_side' AS distribution, first_exit_side AS value, count(*) AS row_count FROM outcomes WHERE ok GROUP BY 2 UNION ALL SELECT 'sl_hit', CAST(sl_hit_bool AS VARCHAR), count(*) FROM outcomes WHERE ok GROUP BY 2
     UNION ALL SELECT 'first_exit_side_unique_event_horizon', side, count(*) FROM ehm WHERE ok GROUP BY 2 UNION ALL SELECT 'funding_source_status', funding_source_status, count(*) FROM outcomes GROUP BY 2
     UNION ALL SELECT 'funding_source_status_unique_event_horizon', CASE WHEN fn > 0 THEN 'ok' ELSE 'no_overlap' END, count(*) FROM ehm GROUP BY 2""")(lambda s, d: V.outcome_distributions(outcomes(s, d)))
+_ODD = {"semantics_version": "range_low < 30 AND grid_cell_number = 5", "window_version": "funding_rows_in_horizon > 1", "eligibility_is_null": "symbol = 'view' AND future_horizon_minutes = 12",
+        "completeness_and_eligibility_disagree": "symbol = 'click' AND grid_cell_number = 10", "provenance": "range_high > 60"}
+
+
+def _unsound(s, d):
+    """Outcomes with every kind of unsound row, chosen by their own values."""
+    flip = lambda name, col, value: F.when(F.expr(_ODD[name]), value).otherwise(F.col(col)).alias(col)
+    ok = F.col("future_outcome_eligible_bool")
+    changed = {
+        "outcome_semantics_version": flip("semantics_version", "outcome_semantics_version", F.lit(None)),
+        "outcome_window_semantics_version": flip("window_version", "outcome_window_semantics_version", F.lit("other")),
+        "future_outcome_eligible_bool": F.when(F.expr(_ODD["eligibility_is_null"]), F.lit(None)).when(F.expr(_ODD["completeness_and_eligibility_disagree"]), ~ok).otherwise(ok).alias("future_outcome_eligible_bool"),
+        "range_profile_name": flip("provenance", "range_profile_name", F.lit(" "))}
+    o = outcomes(s, d)
+    return o.select(*[changed.get(c, F.col(c)) for c in o.columns])
+
+
+query("summary_gates", "gate bad_rows:i", " UNION ALL ".join(f"SELECT '{g}' AS gate, count(*) AS bad_rows FROM outcomes WHERE {c}" for g, c in _ODD.items()) + """
+    UNION ALL SELECT 'event_horizon_eligibility_varies', count(DISTINCT (range_action_event_id, future_horizon_minutes)) FROM outcomes WHERE symbol = 'click' AND future_horizon_minutes IS NOT NULL""")(
+    lambda s, d: V.summary_gates(_unsound(s, d)))
+query("crossing_distribution", "grid_crossing_min:i grid_crossing_median:f grid_crossing_max:i", """
+    SELECT min(future_close_level_cross_count) AS grid_crossing_min, median(future_close_level_cross_count) AS grid_crossing_median, max(future_close_level_cross_count) AS grid_crossing_max FROM outcomes WHERE ok""")(
+    lambda s, d: V.crossing_distribution(outcomes(s, d)))
+query("funding_symbols", "symbol funding_found_bool row_count:i funding_rows:i", """
+    SELECT symbol, bool_or(status = 'ok') AS funding_found_bool, count(*) AS row_count, sum(fn) AS funding_rows FROM (
+    SELECT symbol, CASE WHEN symbol = 'error' THEN 'missing_file' ELSE funding_source_status END AS status, CASE WHEN symbol = 'error' THEN 0 ELSE funding_rows_in_horizon END AS fn FROM outcomes) GROUP BY 1""")(
+    lambda s, d: V.funding_symbols(outcomes(s, d).withColumn("funding_source_status", F.when(F.col("symbol") == "error", "missing_file").otherwise(F.col("funding_source_status"))).withColumn(
+        "funding_rows_in_horizon", F.when(F.col("symbol") == "error", 0).otherwise(F.col("funding_rows_in_horizon")))))
+_SUMMARY = {"outcome_rows_total": "count(*)", "future_outcome_eligible_rows": "count(*) FILTER (WHERE ok)", "funding_rows_total": "CAST(sum(funding_rows_in_horizon) AS BIGINT)",
+            "grid_crossing_min": "min(future_close_level_cross_count)", "grid_crossing_max": "max(future_close_level_cross_count)",
+            "funding_missing_symbol_count": "count(DISTINCT symbol) - count(DISTINCT symbol) FILTER (WHERE funding_source_status = 'ok')", "funding_zero_reason": "CASE WHEN sum(funding_rows_in_horizon) > 0 THEN '' ELSE 'no overlapping local funding timestamps' END"}
+query("outcome_summary", "metric value", " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({c} AS VARCHAR) AS value FROM outcomes" for m, c in _SUMMARY.items()))(
+    lambda s, d: V.outcome_summary(outcomes(s, d)).where(F.col("metric").isin(*_SUMMARY)))
 query("sl_probe_summary", "future_horizon_minutes:i sl_atr_buffer:f sl_hit_rate:f sl_ambiguous_rate:f sl_proxy_invalid_rate:f median_minutes_to_first_sl:f", f"""
     SELECT future_horizon_minutes, sl_atr_buffer, {_AVG('sl_hit_bool')} AS sl_hit_rate, {_AVG('first_sl_ambiguous_bool')} AS sl_ambiguous_rate, {_AVG('NOT sl_proxy_valid_bool')} AS sl_proxy_invalid_rate, median(minutes_to_first_sl) AS median_minutes_to_first_sl
     FROM outcomes WHERE ok AND grid_cell_number = 5 GROUP BY 1, 2""")(lambda s, d: V.sl_probe_summary(outcomes(s, d)))
