@@ -156,11 +156,12 @@ def _batch_rows(df: DataFrame, side: str, time_col: str) -> DataFrame:
     symbol = have("batch_symbol", F.col("symbol"))
     same = F.coalesce((have("category", F.lit("linear")) == "linear") & (F.col("symbol") == symbol), F.lit(False))
     flag = lambda c: c.cast("int")
+    usable = all_of([F.col(c).isNotNull() for c in ("open", "high", "low", "close")]) & ~bad_ohlc_envelope()
     trade, mark, fund = (F.lit(int(side == x)) for x in ("trade", "mark", "funding"))
     return df.select(
         symbol.alias("symbol"), F.col(time_col).cast("long").alias("t"), trade.alias("trade"), mark.alias("mark"), fund.alias("fund"), flag(~same).alias("foreign"),
         flag(~F.coalesce(have("closed_bool", F.lit(True)), F.lit(False))).alias("unclosed"),
-        flag(F.coalesce(bad_ohlc_envelope(), F.lit(True)) if side == "trade" else F.lit(False)).alias("unusable"),
+        flag(~F.coalesce(usable, F.lit(False)) if side == "trade" else F.lit(False)).alias("unusable"),
         (F.col("open") if side == "mark" else F.lit(None)).cast("double").alias("mark_open"),
         (have("mark_price", F.lit(None)) if side == "funding" else F.lit(None)).cast("double").alias("seen_price"))
 
@@ -172,6 +173,7 @@ def batch_audit(instruments: DataFrame, trade: DataFrame, mark: DataFrame, fundi
     rows ``mark_price`` (the price observed with them).  The three sides meet in one aggregate per (symbol, time); a
     symbol is then a handful of sums and extremes: times are exactly those of the window when their number and both
     ends fit and all have one remainder by the step, and funding times keep an interval when they have one remainder by it.
+    A symbol listed twice fails its contract and is held to its largest interval; a bar without one of its prices is unusable.
     """
     rows = _batch_rows(trade, "trade", "open_time_ms").unionByName(_batch_rows(mark, "mark", "open_time_ms")).unionByName(_batch_rows(funding, "funding", "funding_time_ms"))
     at = rows.groupBy("symbol", "t").agg(

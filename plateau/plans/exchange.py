@@ -284,7 +284,8 @@ CTES.update({
         SELECT symbol, open_time_ms - open_time_ms % {DAY} AS t, arg_min(open, open_time_ms) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time_ms) AS close FROM bars GROUP BY 1, 2)
         WHERE NOT (symbol = 'signup' AND {_D} % 11 = 0)""",
     "batch_mark": f"""SELECT symbol, t, open, NOT (symbol = 'purchase' AND {_D} % 13 = 0) AS closed FROM (
-        SELECT symbol, open_time_ms - open_time_ms % {DAY} AS t, arg_min(open, open_time_ms) AS open FROM marks GROUP BY 1, 2)""",
+        SELECT symbol, open_time_ms - open_time_ms % {DAY} AS t, arg_min(open, open_time_ms) AS open FROM (
+        SELECT symbol, open_time_ms, open FROM marks WHERE symbol <> 'view' UNION ALL SELECT symbol, open_time_ms, open FROM bars WHERE symbol = 'view') GROUP BY 1, 2)""",
     "batch_funding": f"""SELECT f.symbol, f.t, k.open + CASE WHEN f.symbol = 'purchase' AND f.t // {DAY} % 6 = 0 THEN 1 ELSE 0 END AS seen FROM (
         SELECT symbol, funding_time_ms AS t FROM funding WHERE funding_time_ms % {DAY} = 0 UNION ALL SELECT symbol, funding_time_ms FROM funding WHERE funding_time_ms % {DAY} = 0 AND symbol = 'error' AND funding_time_ms // {DAY} % 5 = 0) f
         LEFT JOIN batch_mark k ON k.symbol = f.symbol AND k.t = f.t""",
@@ -319,7 +320,8 @@ def _batch(s, d):
         F.min_by("open", t).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", t).alias("close"))
     trade = daily(bars(s, d)).where(~hit("signup", 11)).withColumn("high", F.when(hit("click", 9), F.col("low") / 2).otherwise(F.col("high"))).withColumn(
         "category", F.when(hit("error", 7), "inverse").otherwise("linear"))
-    mark = marks(s, d).groupBy("symbol", (t - t % DAY).alias("open_time_ms")).agg(F.min_by("open", t).alias("open")).withColumn("closed_bool", ~hit("purchase", 13))
+    side = lambda df, test: df.where(test).select("symbol", "open_time_ms", "open")
+    mark = side(marks(s, d), "symbol <> 'view'").unionByName(side(bars(s, d), "symbol = 'view'")).groupBy("symbol", (t - t % DAY).alias("open_time_ms")).agg(F.min_by("open", t).alias("open")).withColumn("closed_bool", ~hit("purchase", 13))
     f = F.col("funding_time_ms")
     paid = funding(s, d).where(f % DAY == 0).select("symbol", "funding_time_ms")
     paid = paid.unionByName(paid.where(hit("error", 5, f)))

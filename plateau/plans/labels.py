@@ -14,7 +14,9 @@ from plateau.params import COST_SCENARIOS, FOLD_PROFILES, OUTCOME_SEMANTICS, WEI
 from plateau.plans.market import HOUR, bars, funding, marks, tick_bars
 from plateau.plans.registry import CTES, query, stage
 from plateau.plans.research import actions
+from plateau.session import new_path
 from plateau.sources import bars as B
+from plateau.sources import costs as C
 
 HORIZONS, GRIDS, BUFFERS = (4, 12, 24), (5, 10), (0.0, 0.5)
 
@@ -157,8 +159,8 @@ query("outcome_distributions", "distribution value row_count:i", """
     SELECT 'first_exit_side' AS distribution, first_exit_side AS value, count(*) AS row_count FROM outcomes WHERE ok GROUP BY 2 UNION ALL SELECT 'sl_hit', CAST(sl_hit_bool AS VARCHAR), count(*) FROM outcomes WHERE ok GROUP BY 2
     UNION ALL SELECT 'first_exit_side_unique_event_horizon', side, count(*) FROM ehm WHERE ok GROUP BY 2 UNION ALL SELECT 'funding_source_status', funding_source_status, count(*) FROM outcomes GROUP BY 2
     UNION ALL SELECT 'funding_source_status_unique_event_horizon', CASE WHEN fn > 0 THEN 'ok' ELSE 'no_overlap' END, count(*) FROM ehm GROUP BY 2""")(lambda s, d: V.outcome_distributions(outcomes(s, d)))
-_ODD = {"semantics_version": "range_low < 30 AND grid_cell_number = 5", "window_version": "funding_rows_in_horizon > 1", "eligibility_is_null": "symbol = 'view' AND future_horizon_minutes = 12",
-        "completeness_and_eligibility_disagree": "symbol = 'click' AND grid_cell_number = 10", "provenance": "range_high > 60"}
+_ODD = {"semantics_version": "range_low < 1002 AND grid_cell_number = 5", "window_version": "funding_rows_in_horizon > 1", "eligibility_is_null": "symbol = 'view' AND future_horizon_minutes = 12",
+        "completeness_and_eligibility_disagree": "symbol = 'click' AND grid_cell_number = 10", "provenance": "range_high > 1200"}
 
 
 def _unsound(s, d):
@@ -296,6 +298,16 @@ query("symbols_without_fees", "symbol row_count:i", "SELECT symbol, count(*) AS
 query("scenario_costs", "range_action_event_id future_horizon_minutes:i grid_cell_number:i scenario net_cycle_return_long_bps_proxy:f net_cycle_return_short_bps_proxy:f fee_break_even_both_bool fee_efficiency_ratio_long:f fee_efficiency_ratio_short:f", """
     SELECT *, net_long AS net_cycle_return_long_bps_proxy, net_short AS net_cycle_return_short_bps_proxy, be_long AND be_short AS fee_break_even_both_bool, eff_long AS fee_efficiency_ratio_long, eff_short AS fee_efficiency_ratio_short FROM cost""")(
     lambda s, d: S.cost_rows(S.join_fees(G.build_grains(outcomes(s, d))["event_horizon_grid"], fees(s, d))))
+
+
+@query("scenario_costs_from_file", "scenario range_action_event_id future_horizon_minutes:i grid_cell_number:i net_cycle_return_long_bps_proxy:f fee_break_even_both_bool", """
+    SELECT *, net_long AS net_cycle_return_long_bps_proxy, be_long AND be_short AS fee_break_even_both_bool FROM cost""")
+def _costs_from_file(s, d):
+    path = new_path(s, "costs")
+    s.createDataFrame([(line,) for line in C.setting_text(fee_snapshot_id="fee_1")], "value string").coalesce(1).write.text(path)
+    return S.cost_rows(S.join_fees(G.build_grains(outcomes(s, d))["event_horizon_grid"], fees(s, d)), C.load_cost_scenarios(s, path).scenarios)
+
+
 query("ex_post_components", "outcome_id ex_post_data_complete_score:f ex_post_ambiguity_penalty:f ex_post_range_survival_minutes:f ex_post_range_survival_ratio:f ex_post_exit_risk_score:f ex_post_sl_risk_score:f ex_post_capital_lock_minutes_proxy:f "
       "ex_post_capital_turnover_score:f ex_post_data_quality_score:f ex_post_score_eligible_bool ex_post_score_incomplete_reason", """
     SELECT outcome_id, complete_score AS ex_post_data_complete_score, amb AS ex_post_ambiguity_penalty, survival AS ex_post_range_survival_minutes, survival_ratio AS ex_post_range_survival_ratio, exit_risk AS ex_post_exit_risk_score,

@@ -349,5 +349,29 @@ def _gate(s, d):
     return E.density_gate(rows, {**E.GATE_TARGETS, "symbols": 1})
 
 
+# one profile per lookback and quarter of the day; targets low enough that hourly bars miss and meet each of them
+GATE = {"compression": 1.5, "p50": 1.0, "p90": 1.0, "p99": 2.0, "symbols": 4}
+_PROFILE = "concat('lookback_', best_lookback_minutes, '_quarter_', (decision_time_ms // 21600000) % 4)"
+
+
+@query("profile_density_gate", "profile_name raw_candidate_rows_written:i actionable_event_rows_written:i raw_to_actionable_compression_ratio:f actionable_events_per_symbol_day_p50:f actionable_events_per_symbol_day_p90:f "
+       "actionable_events_per_symbol_day_p99:f symbols_with_actionable_events:i duplicate_action_event_id_count:i blockers acceptance_density_status recommended_profile", f"""
+    WITH profiled AS (SELECT * REPLACE ({_PROFILE} AS profile_name) FROM actions UNION ALL SELECT * REPLACE ({_PROFILE} AS profile_name) FROM actions WHERE raw_candidates_in_regime % 7 = 3),
+    per AS (SELECT profile_name, symbol, decision_time_ms // 86400000 AS day, count(*) AS per_day FROM profiled GROUP BY 1, 2, 3),
+    judged AS (SELECT *, concat_ws(',', CASE WHEN ratio < 1.5 THEN 'compression<1.5' END, CASE WHEN p50 > 1 THEN 'p50>1.0' END, CASE WHEN p90 > 1 THEN 'p90>1.0' END, CASE WHEN p99 > 2 THEN 'p99>2.0' END,
+        CASE WHEN sy < 4 THEN 'symbols_with_actionable_events<4' END, CASE WHEN again > 0 THEN 'duplicate_action_event_id_count!=0' END) AS blockers FROM (
+        SELECT profile_name, sum(raw_candidates_in_regime) AS raw, count(*) AS n, sum(raw_candidates_in_regime) / count(*)::DOUBLE AS ratio, count(DISTINCT symbol) AS sy, count(*) - count(DISTINCT range_action_event_id) AS again FROM profiled GROUP BY 1)
+        JOIN (SELECT profile_name, {_NEAR(0.5, 'per_day')} AS p50, {_NEAR(0.9, 'per_day')} AS p90, {_NEAR(0.99, 'per_day')} AS p99 FROM per GROUP BY 1) USING (profile_name))
+    SELECT profile_name, raw AS raw_candidate_rows_written, n AS actionable_event_rows_written, ratio AS raw_to_actionable_compression_ratio, p50 AS actionable_events_per_symbol_day_p50, p90 AS actionable_events_per_symbol_day_p90,
+    p99 AS actionable_events_per_symbol_day_p99, sy AS symbols_with_actionable_events, again AS duplicate_action_event_id_count, blockers, CASE WHEN blockers = '' THEN 'pass' ELSE 'fail' END AS acceptance_density_status,
+    (SELECT arg_min(profile_name, (n, profile_name)) FROM judged WHERE blockers = '') AS recommended_profile FROM judged""")
+def _profile_gate(s, d):
+    """The number of events stands for the run time."""
+    a = actions(s, d)
+    a = a.unionByName(a.where("raw_candidates_in_regime % 7 = 3")).withColumn("profile_name", F.concat(
+        F.lit("lookback_"), F.col("best_lookback_minutes").cast("string"), F.lit("_quarter_"), (F.floor(F.col("signal_time_ms") / 21_600_000) % 4).cast("string")))
+    return E.density_gate(E.profile_density(a).withColumn("runtime_seconds", F.col("actionable_event_rows_written").cast("double")), GATE)
+
+
 query("first_days_of_events", "range_action_event_id", "SELECT * FROM actions WHERE decision_time_ms < (SELECT min(decision_time_ms) FROM actions) + 5 * 86400000")(
     lambda s, d: U.first_days(actions(s, d), 5))
