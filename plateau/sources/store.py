@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,25 +181,83 @@ def latest_per_key(df: DataFrame, keys: list[str], newest: list[str]) -> DataFra
     return best.select(*[F.col(c) if c in keys else F.col("__row").getField(c).alias(c) for c in df.columns])
 
 
+#: At most so many partition folders are named one by one; beyond, the store is listed whole.
+MAX_PATHS = 10_000
+_PARTS = ["symbol", "year", "month"]
+_LEDGER = "_partitions"
+
+
+def _found(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame | None:
+    """The Parquet files below the paths, or None where a path does not exist or holds none."""
+    reader = spark.read.option("mergeSchema", "true")
+    try:
+        return (reader.option("basePath", base) if base else reader).parquet(*paths)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _typed(found: DataFrame, like: DataFrame, paths: list[str], root: str) -> DataFrame:
+    """The same files with the partition columns as ``like`` types them, not as folder names look ('007' stays text)."""
+    kinds = {f.name: f.dataType for f in like.schema if f.name in _PARTS}
+    schema = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType), True) for f in found.schema])
+    return found.sparkSession.read.schema(schema).option("basePath", root).parquet(*paths)
+
+
+def _ledger_rows(ledger: DataFrame, like: DataFrame) -> DataFrame:
+    return ledger.select(*[F.col(c).cast(like.schema[c].dataType).alias(c) for c in _PARTS]).distinct()
+
+
+def touched_rows(root: str, touched: DataFrame) -> DataFrame | None:
+    """The stored rows of the touched partitions; None for a store without any.
+
+    The ledger names the partitions that may exist, so that only folders of touched ones are opened.  Where it cannot
+    (no ledger, names that folders escape, more than ``MAX_PATHS`` folders, a write that broke off after its ledger
+    entry) the store is listed and its partitions are pruned by a join.
+    """
+    spark = touched.sparkSession
+    ledger = _found(spark, f"{root}/{_LEDGER}")
+    unnamed = touched.where(F.col("symbol").isNull() | F.col("year").isNull() | F.col("month").isNull())
+    if ledger is not None and unnamed.isEmpty():
+        rows = touched.join(_ledger_rows(ledger, touched), _PARTS, "left_semi").limit(MAX_PATHS + 1).collect()
+        if not rows:
+            return None
+        if len(rows) <= MAX_PATHS and all(re.fullmatch(r"[A-Za-z0-9_.-]+", r["symbol"]) for r in rows):
+            paths = [f"{root}/" + "/".join(f"{c}={r[c]}" for c in _PARTS) for r in rows]
+            found = _found(spark, *paths, base=root)
+            if found is not None:
+                return _typed(found, touched, paths, root)
+    found = _found(spark, root)
+    if found is None:
+        return None
+    same = [F.col(f"__t_{c}").eqNullSafe(F.col(c)) for c in _PARTS]
+    return _typed(found, touched, [root], root).join(touched.select(*[F.col(c).alias(f"__t_{c}") for c in _PARTS]), same, "left_semi")
+
+
 def upsert_partitions(new: DataFrame, root: str, keys: list[str], newest: list[str], time_col: str = "open_time_ms") -> None:
-    """Merge new rows into ``symbol/year/month`` partitions, rewriting only those it touches.
+    """Merge new rows into ``symbol/year/month`` partitions, opening and rewriting only those it touches.
 
-    The merged rows are staged before the overwrite, as they are read from the
-    very partitions that get replaced.
+    The merged rows are staged before the overwrite, as they are read from the very partitions that get replaced.  The
+    ledger of partitions is appended between the two: a run that breaks off leaves at most an entry without a folder, which
+    the next one sees.  A store without a ledger gets one that lists all its partitions first.  Rows are rebalanced by
+    partition, so that files follow from bytes: small partitions share a task, a large one is cut into several files.
     """
     spark = prepare(new.sparkSession)
-    parts = ["symbol", "year", "month"]
     incoming = partition_columns(new, time_col)
-    touched = incoming.select(*parts).distinct()
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    merged = incoming
-    if fs.exists(jvm_path):
-        old = spark.read.option("mergeSchema", "true").parquet(root).join(touched, parts, "left_semi")
-        merged = incoming.unionByName(old, allowMissingColumns=True)
+    touched = materialize(incoming.select(*_PARTS).distinct())
+    old = touched_rows(root, touched)
+    merged = incoming if old is None else incoming.unionByName(old, allowMissingColumns=True)
     staged = materialize(latest_per_key(merged, keys, newest))
-    (staged.repartition(*parts, F.pmod(F.xxhash64(*keys), F.lit(8))).sortWithinPartitions(*parts, *[k for k in keys if k not in parts])
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(root))
+    known = _found(spark, f"{root}/{_LEDGER}")
+    if known is None:
+        before = _found(spark, root)
+        fresh = touched if before is None else touched.unionByName(_typed(before, touched, [root], root).select(*_PARTS)).distinct()
+    else:
+        fresh = touched.join(_ledger_rows(known, touched), _PARTS, "left_anti")
+    fresh.coalesce(1).write.mode("append").parquet(f"{root}/{_LEDGER}")
+    (staged.hint("rebalance", *[F.col(c) for c in _PARTS]).sortWithinPartitions(*_PARTS, *[k for k in keys if k not in _PARTS])
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(root))
 
 
 CANDIDATE_IDS = ("range_action_event_id", "range_event_id", "range_regime_id", "candidate_id")
