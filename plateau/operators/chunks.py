@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plateau.functions.exprs import floor_to, floor_div
+from plateau.session import materialize
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
@@ -206,17 +207,18 @@ def average_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> D
 def global_rank(df: DataFrame, value: str, tie: list[str], out: str, descending: bool = True) -> DataFrame:
     """Ordinal rank 1..n over the whole table without sorting it in one task.
 
-    Only the per-bin row counts are ordered globally; rows are ordered in bins.
+    Rows are dealt by ranges of (value, tie), written once so that all later steps see the same deal, and numbered inside
+    their part after the rows of the parts before.  Rows of one value spread by their tie; only rows equal in both stay
+    together, so ``tie`` should tell rows apart.  NULLs come last.
     """
     v = F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")) if descending else F.lit(float("inf")))
-    d = df.withColumn("__v", -v if descending else v)
-    finite_v = F.when(F.abs("__v") < float("inf"), F.col("__v"))
-    d = d.withColumn("__bin", F.coalesce(_value_bin(finite_v), F.lit(2**62)))
-    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    base = d.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n")).select(
-        "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__bin").orderBy("__v", *tie)
-    return d.join(base, "__bin").withColumn(out, (F.col("__base") + F.row_number().over(inside)).cast("long")).drop("__bin", "__v", "__base")
+    order = ["__v", *tie]
+    dealt = materialize(df.withColumn("__v", -v if descending else v).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    base = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__part").orderBy(*order)
+    return dealt.join(base, "__part").withColumn(out, (F.col("__base") + F.row_number().over(inside)).cast("long")).drop("__part", "__v", "__base")
 
 
 def numbered_per_key(df: DataFrame, keys: list[str], order: list, limit: int, out: str = "position") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plateau.functions.exprs import floor_to
 from plateau.operators.chunks import number_rows, previous_row
 
 POLICIES = {"open_high_low_close": ("open", "high", "low", "close"), "open_low_high_close": ("open", "low", "high", "close")}
@@ -43,13 +44,23 @@ def event_schedule(bars: DataFrame, funding_with_mark: DataFrame, step_ms: int,
 
 
 def candle_sequence_checks(bars: DataFrame, entries: DataFrame, step_ms: int) -> DataFrame:
-    """Per symbol: duplicates, breaks and start of the sequence that should begin at entry_time_ms."""
-    prev = previous_row(bars.select("symbol", "open_time_ms"), ["symbol"], "open_time_ms", 4096 * step_ms, ["open_time_ms"])
-    gap = F.col("open_time_ms") - F.col("prev_open_time_ms")
+    """Per symbol: duplicates, breaks and start of the sequence that should begin at entry_time_ms.
+
+    Copies of a time collapse first, then the times of a step collapse to (number, first, last): two times inside one
+    step are a break by themselves, so only the neighbours of a step are left to compare, at most 4 096 rows a chunk
+    whatever the number of ticks.  Bars without a time count as candles and as nothing else.
+    """
+    t = F.col("open_time_ms")
+    times = bars.groupBy("symbol", "open_time_ms").agg(F.count(F.lit(1)).alias("n"))
+    steps = times.groupBy("symbol", floor_to(t, step_ms).alias("step")).agg(
+        F.sum("n").alias("rows"), F.count(t).alias("times"), F.min(t).alias("first"), F.max(t).alias("last"))
+    prev = previous_row(steps.where("step IS NOT NULL"), ["symbol"], "step", 4096 * step_ms, ["step", "last"])
+    apart = F.coalesce(F.col("first") - F.col("prev_last") != step_ms, F.lit(False)).cast("int")
     per = prev.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("candles"), F.min("open_time_ms").alias("first_ms"), F.count_if(gap == 0).alias("duplicate_count"),
-        F.count_if((gap != step_ms) & (gap != 0)).alias("break_count"))
-    d = entries.join(per, "symbol", "left")
-    ok = (F.col("first_ms") == F.col("entry_time_ms")) & (F.col("duplicate_count") == 0) & (F.col("break_count") == 0)
-    return d.select("symbol", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("candles", "duplicate_count", "break_count")],
-                    F.coalesce(F.col("first_ms") == F.col("entry_time_ms"), F.lit(False)).alias("starts_at_entry"), F.coalesce(ok, F.lit(False)).alias("sequence_ok"))
+        F.min("first").alias("first_ms"), F.sum(F.col("rows") - F.col("times")).alias("duplicate_count"), F.sum(F.col("times") - 1 + apart).alias("break_count"))
+    candles = steps.groupBy("symbol").agg(F.sum("rows").alias("candles"))
+    d = entries.join(candles, "symbol", "left").join(per, "symbol", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    starts = F.coalesce(F.col("first_ms") == F.col("entry_time_ms"), F.lit(False))
+    return d.select("symbol", *[none(c).alias(c) for c in ("candles", "duplicate_count", "break_count")], starts.alias("starts_at_entry"),
+                    (starts & (none("duplicate_count") == 0) & (none("break_count") == 0)).alias("sequence_ok"))
