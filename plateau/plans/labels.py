@@ -215,6 +215,35 @@ query("outcome_semantic_audit", "rule violations:i example_key", f"""
 query("outcome_semantic_audit_clean", "violated_rules:i", "SELECT 0 AS violated_rules")(
     lambda s, d: V.outcome_semantic_audit(outcomes(s, d), HOUR).agg(F.count_if(F.col("violations") > 0).alias("violated_rules")))
 
+# every rule gets rows of its own: (rule, column, damaged value, rows by the hour of their decision, eligible rows only)
+_FAULTS = (
+    ("sl_hit_bool inconsistent", "sl_hit_bool", "NOT sl_hit_bool", (5, 0), True),
+    ("stayed-in-range label inconsistent", "label_stayed_in_range_until_horizon", "NOT label_stayed_in_range_until_horizon", (5, 1), True),
+    ("good-chop label inconsistent", "label_good_chop_proxy", "NOT label_good_chop_proxy", (5, 2), True),
+    ("breakout-risk label inconsistent", "label_high_breakout_risk_proxy", "NOT label_high_breakout_risk_proxy", (5, 3), True),
+    ("funding diagnostics invalid", "funding_rows_in_horizon", "-1L", (7, 0), False),
+    ("symbol provenance invalid", "symbol", "' '", (7, 1), False),
+    ("outcome_match_key does not match its material", "outcome_match_key", "concat('x', outcome_match_key)", (7, 2), False),
+    ("fee proxy populated", "grid_step_fee_multiple_proxy", "1.0D", (7, 3), False),
+    ("zero-volume diagnostics exceed available rows", "future_zero_volume_count", "future_rows_available + 1", (7, 4), False),
+    ("causal timestamps invalid", "signal_time_ms", "signal_time_ms + 1", (7, 5), False),
+    ("interval ratio, pct or bps mismatch", "grid_interval_bps", "grid_interval_bps * 2", (7, 6), False),
+)
+
+
+def _many_faults(s, d):
+    o = outcomes(s, d)
+    changed = {c: F.expr(f"if((decision_time_ms div {HOUR}) % {m} = {r}{' AND future_outcome_eligible_bool' if only else ''}, {v}, {c})").alias(c) for _, c, v, (m, r), only in _FAULTS}
+    return o.select(*[changed.get(c, F.col(c)) for c in o.columns])
+
+
+query("outcome_semantic_audit_many_faults", "rule violations:i example_key", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, count(*) AS violations, min(outcome_id) AS example_key FROM outcomes WHERE decision_time_ms // {HOUR} % {m} = {r}{' AND ok' if only else ''}" for rule, _, _, (m, r), only in _FAULTS) + ") WHERE violations > 0")(
+    lambda s, d: V.outcome_semantic_audit(_many_faults(s, d), HOUR).where("violations > 0"))
+_CUT = "future_horizon_minutes = 4 AND symbol < 'p'"
+query("grid_levels_audit_damage", "grid_cell_number:i row_count:i geometry_violations:i", f"SELECT grid_cell_number, count(*) AS row_count, count(*) FILTER (WHERE {_CUT}) AS geometry_violations FROM outcomes GROUP BY 1")(
+    lambda s, d: V.grid_levels_audit(outcomes(s, d).withColumn("geometric_grid_levels_json", F.when(F.expr(_CUT), F.regexp_replace("geometric_grid_levels_json", r",[^,]*\]$", "]")).otherwise(F.col("geometric_grid_levels_json")))))
+
 # --- grains ------------------------------------------------------------------------
 query("normalize_category", "row_count:i category", "SELECT count(*) AS row_count, 'linear' AS category FROM events")(
     lambda s, d: G.require_category(B.event_rows(s, d).withColumn("category", F.when(F.col("user_id") % 2 == 0, " Linear ").otherwise("LINEAR"))).groupBy("category").agg(F.count(F.lit(1)).alias("row_count")))
@@ -243,6 +272,10 @@ query("completeness_totals", "event_horizon_rows:i expected_event_horizon_grid_r
 query("source_audit", "rows_loaded:i null_key_rows:i unique_outcome_id_count:i duplicate_outcome_id_count:i source_audit_ok", """
     SELECT count(*) AS rows_loaded, 0 AS null_key_rows, count(DISTINCT outcome_id) AS unique_outcome_id_count, count(*) - count(DISTINCT outcome_id) AS duplicate_outcome_id_count, true AS source_audit_ok FROM outcomes""")(
     lambda s, d: G.source_audit(outcomes(s, d)))
+query("source_audit_damage", "rows_loaded:i null_key_rows:i unique_outcome_id_count:i duplicate_outcome_id_count:i source_audit_ok", f"""
+    SELECT count(*) AS rows_loaded, count(*) FILTER (WHERE {_CUT}) AS null_key_rows, count(DISTINCT outcome_id) AS unique_outcome_id_count, count(*) - count(DISTINCT outcome_id) AS duplicate_outcome_id_count, false AS source_audit_ok
+    FROM (SELECT * FROM outcomes UNION ALL SELECT * FROM outcomes WHERE future_horizon_minutes = 12)""")(
+    lambda s, d: G.source_audit(outcomes(s, d).unionByName(outcomes(s, d).where("future_horizon_minutes = 12")).withColumn("range_action_event_id", F.when(~F.expr(_CUT), F.col("range_action_event_id")))))
 query("grain_contract_audit", "grain row_count:i duplicate_count:i invariance_violations:i null_pattern_violations:i null_required_rows:i foreign_category_rows:i forbidden_column_count:i grain_contract_ok", """
     SELECT grain, row_count, 0 AS duplicate_count, 0 AS invariance_violations, 0 AS null_pattern_violations, 0 AS null_required_rows, 0 AS foreign_category_rows, 0 AS forbidden_column_count, true AS grain_contract_ok FROM (
     SELECT 'event_horizon' AS grain, count(*) AS row_count FROM eh UNION ALL SELECT 'event_horizon_sl', 2 * count(*) FROM eh UNION ALL SELECT 'event_horizon_grid', 2 * count(*) FROM eh UNION ALL SELECT 'expanded_scoring_input', 4 * count(*) FROM eh)""")(
@@ -330,6 +363,13 @@ query("score_distribution", "component count:i null_count:i mean:f std:f p05:f p
 query("score_semantics_audit", "rows_total:i score_eligible_rows:i score_ineligible_rows:i eligible_null_canonical_score_count:i ineligible_non_null_canonical_score_count:i non_finite_score_count:i out_of_bounds_score_count:i score_eligible_rate:f scoring_semantics_audit_ok", """
     SELECT count(*) AS rows_total, count(*) FILTER (WHERE eligible) AS score_eligible_rows, count(*) FILTER (WHERE NOT eligible) AS score_ineligible_rows, 0 AS eligible_null_canonical_score_count, 0 AS ineligible_non_null_canonical_score_count,
     0 AS non_finite_score_count, 0 AS out_of_bounds_score_count, count(*) FILTER (WHERE eligible) / count(*)::DOUBLE AS score_eligible_rate, true AS scoring_semantics_audit_ok FROM comp""")(lambda s, d: S.semantics_audit(scored(s, d)))
+_FIRST = S.canonical_scores()[0]
+query("score_semantics_audit_damage", "rows_total:i eligible_null_canonical_score_count:i ineligible_non_null_canonical_score_count:i non_finite_score_count:i out_of_bounds_score_count:i scoring_semantics_audit_ok", """
+    SELECT count(*) AS rows_total, count(*) FILTER (WHERE eligible AND k = 4) AS eligible_null_canonical_score_count, count(*) FILTER (WHERE NOT eligible AND k <> 4) AS ineligible_non_null_canonical_score_count,
+    count(*) FILTER (WHERE NOT eligible AND k = 24) AS non_finite_score_count, count(*) FILTER (WHERE k = 24) + count(*) FILTER (WHERE NOT eligible AND k = 12) AS out_of_bounds_score_count, false AS scoring_semantics_audit_ok
+    FROM (SELECT eligible, future_horizon_minutes AS k FROM comp)""")(
+    lambda s, d: S.semantics_audit(scored(s, d).withColumn(_FIRST, F.expr(
+        f"CASE WHEN ex_post_score_eligible_bool THEN CASE future_horizon_minutes WHEN 4 THEN NULL WHEN 24 THEN 1.5D ELSE {_FIRST} END WHEN future_horizon_minutes = 12 THEN -0.5D WHEN future_horizon_minutes = 24 THEN double('NaN') END"))))
 query("ineligible_reasons", "ex_post_score_incomplete_reason row_count:i", """SELECT CASE WHEN NOT ok THEN 'incomplete_future_evidence' ELSE 'missing_or_incomplete_sl_evidence' END AS ex_post_score_incomplete_reason, count(*) AS row_count FROM comp WHERE NOT eligible GROUP BY 1""")(
     lambda s, d: S.ineligible_reasons(scored(s, d)))
 query("symbol_score_summary", "symbol row_count_total:i score_eligible_rows:i score_ineligible_rows:i mean_score_eligible_only:f", """
