@@ -189,7 +189,7 @@ query("funding_symbols", "symbol funding_found_bool row_count:i funding_rows:i",
         "funding_rows_in_horizon", F.when(F.col("symbol") == "error", 0).otherwise(F.col("funding_rows_in_horizon")))))
 _SUMMARY = {"outcome_rows_total": "count(*)", "future_outcome_eligible_rows": "count(*) FILTER (WHERE ok)", "funding_rows_total": "CAST(sum(funding_rows_in_horizon) AS BIGINT)",
             "grid_crossing_min": "min(future_close_level_cross_count)", "grid_crossing_max": "max(future_close_level_cross_count)",
-            "funding_missing_symbol_count": "count(DISTINCT symbol) - count(DISTINCT symbol) FILTER (WHERE funding_source_status = 'ok')", "funding_zero_reason": "CASE WHEN sum(funding_rows_in_horizon) > 0 THEN '' ELSE 'no overlapping local funding timestamps' END"}
+            "funding_missing_symbol_count": "count(DISTINCT symbol) - count(DISTINCT symbol) FILTER (WHERE funding_source_status = 'ok')", "funding_zero_reason": "CASE WHEN sum(funding_rows_in_horizon) > 0 THEN '' WHEN count(*) FILTER (WHERE funding_source_status = 'no_overlap') > 0 THEN 'no overlapping local funding timestamps' ELSE 'local funding files missing or unreadable' END"}
 query("outcome_summary", "metric value", " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({c} AS VARCHAR) AS value FROM outcomes" for m, c in _SUMMARY.items()))(
     lambda s, d: V.outcome_summary(outcomes(s, d)).where(F.col("metric").isin(*_SUMMARY)))
 query("sl_probe_summary", "future_horizon_minutes:i sl_atr_buffer:f sl_hit_rate:f sl_ambiguous_rate:f sl_proxy_invalid_rate:f median_minutes_to_first_sl:f", f"""
@@ -273,8 +273,8 @@ query("source_audit", "rows_loaded:i null_key_rows:i unique_outcome_id_count:i d
     SELECT count(*) AS rows_loaded, 0 AS null_key_rows, count(DISTINCT outcome_id) AS unique_outcome_id_count, count(*) - count(DISTINCT outcome_id) AS duplicate_outcome_id_count, true AS source_audit_ok FROM outcomes""")(
     lambda s, d: G.source_audit(outcomes(s, d)))
 query("source_audit_damage", "rows_loaded:i null_key_rows:i unique_outcome_id_count:i duplicate_outcome_id_count:i source_audit_ok", f"""
-    SELECT count(*) AS rows_loaded, count(*) FILTER (WHERE {_CUT}) AS null_key_rows, count(DISTINCT outcome_id) AS unique_outcome_id_count, count(*) - count(DISTINCT outcome_id) AS duplicate_outcome_id_count, false AS source_audit_ok
-    FROM (SELECT * FROM outcomes UNION ALL SELECT * FROM outcomes WHERE future_horizon_minutes = 12)""")(
+    SELECT count(*) AS rows_loaded, count(*) FILTER (WHERE {_CUT}) AS null_key_rows, count(DISTINCT outcome_id) AS unique_outcome_id_count, count(*) - count(DISTINCT outcome_id) AS duplicate_outcome_id_count,
+    count(*) FILTER (WHERE {_CUT}) = 0 AND count(*) > 0 AS source_audit_ok FROM (SELECT * FROM outcomes UNION ALL SELECT * FROM outcomes WHERE future_horizon_minutes = 12)""")(
     lambda s, d: G.source_audit(outcomes(s, d).unionByName(outcomes(s, d).where("future_horizon_minutes = 12")).withColumn("range_action_event_id", F.when(~F.expr(_CUT), F.col("range_action_event_id")))))
 query("grain_contract_audit", "grain row_count:i duplicate_count:i invariance_violations:i null_pattern_violations:i null_required_rows:i foreign_category_rows:i forbidden_column_count:i grain_contract_ok", """
     SELECT grain, row_count, 0 AS duplicate_count, 0 AS invariance_violations, 0 AS null_pattern_violations, 0 AS null_required_rows, 0 AS foreign_category_rows, 0 AS forbidden_column_count, true AS grain_contract_ok FROM (
@@ -366,7 +366,8 @@ query("score_semantics_audit", "rows_total:i score_eligible_rows:i score_ineligi
 _FIRST = S.canonical_scores()[0]
 query("score_semantics_audit_damage", "rows_total:i eligible_null_canonical_score_count:i ineligible_non_null_canonical_score_count:i non_finite_score_count:i out_of_bounds_score_count:i scoring_semantics_audit_ok", """
     SELECT count(*) AS rows_total, count(*) FILTER (WHERE eligible AND k = 4) AS eligible_null_canonical_score_count, count(*) FILTER (WHERE NOT eligible AND k <> 4) AS ineligible_non_null_canonical_score_count,
-    count(*) FILTER (WHERE NOT eligible AND k = 24) AS non_finite_score_count, count(*) FILTER (WHERE k = 24) + count(*) FILTER (WHERE NOT eligible AND k = 12) AS out_of_bounds_score_count, false AS scoring_semantics_audit_ok
+    count(*) FILTER (WHERE NOT eligible AND k = 24) AS non_finite_score_count, count(*) FILTER (WHERE k = 24) + count(*) FILTER (WHERE NOT eligible AND k = 12) AS out_of_bounds_score_count,
+    count(*) FILTER (WHERE CASE WHEN eligible THEN k IN (4, 24) ELSE k <> 4 END) = 0 AS scoring_semantics_audit_ok
     FROM (SELECT eligible, future_horizon_minutes AS k FROM comp)""")(
     lambda s, d: S.semantics_audit(scored(s, d).withColumn(_FIRST, F.expr(
         f"CASE WHEN ex_post_score_eligible_bool THEN CASE future_horizon_minutes WHEN 4 THEN NULL WHEN 24 THEN 1.5D ELSE {_FIRST} END WHEN future_horizon_minutes = 12 THEN -0.5D WHEN future_horizon_minutes = 24 THEN double('NaN') END"))))
