@@ -31,6 +31,11 @@ CTES.update({
     "manifest": f"SELECT DISTINCT symbol, {FIRST}::BIGINT AS start_ms, {LAST}::BIGINT AS end_ms FROM ticks",
     "tick_bars": f"SELECT symbol, ms - ms % {HOUR} AS open_time_ms, price AS open, price AS high, price AS low, price AS close, 1.0::DOUBLE AS volume FROM ticks",
 })
+_floored = lambda x, n: f"{x} - ({x} % {n} + {n}) % {n}"
+#: the same tables by the rule of the queries: a time belongs to the unit it lies in, also before 1970; epoch_ms rounds to the nearest millisecond instead
+FLOORED = {"ticks": CTES["ticks"].replace("epoch_ms(ts)", f"({_floored('epoch_us(ts)', 1000)}) // 1000")} | {
+    n: CTES[n].replace(f"ms - ms % {u}", _floored("ms", u)).replace(f"(ms + {HOUR // 2}) - (ms + {HOUR // 2}) % {u}", _floored(f"(ms + {HOUR // 2})", u))
+    for n, u in (("bars", HOUR), ("marks", HOUR), ("funding", 28_800_000), ("tick_bars", HOUR))}
 
 
 @stage("bars")
@@ -89,7 +94,7 @@ _GAPS = f"""SELECT symbol, prev + {HOUR} AS start_ms, t - {HOUR} AS end_ms, (t -
     UNION ALL SELECT symbol, max(open_time_ms) + {HOUR}, {LAST}, ({LAST} - max(open_time_ms)) // {HOUR}, 'end_boundary' FROM bars GROUP BY 1 HAVING max(open_time_ms) < {LAST}"""
 CTES["gaps"] = _GAPS
 query("detect_gaps", GAP, "SELECT * FROM gaps")(lambda s, d: Q.detect_gaps(bars(s, d), HOUR, FIRST, LAST))
-query("detect_duplicates", "symbol open_time_ms:i len:i", "SELECT symbol, open_time_ms, count(*) AS len FROM tick_bars GROUP BY 1, 2 HAVING count(*) > 1")(
+query("detect_duplicates", "symbol open_time_ms:i len:i", "SELECT symbol, open_time_ms, count(*) AS len FROM tick_bars GROUP BY 1, 2 HAVING count(*) > 1", instead=FLOORED)(
     lambda s, d: Q.detect_duplicates(tick_bars(s, d)))
 
 _ENVELOPE = "high < low OR high < open OR high < close OR low > open OR low > close"

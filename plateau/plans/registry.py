@@ -61,28 +61,29 @@ def _sql_fields(spec: str) -> str:
     return ", ".join(out)
 
 
-def _needed(sql: str) -> list[str]:
+def _needed(sql: str, ctes: dict[str, str]) -> list[str]:
     """CTEs the text mentions, with theirs, in definition order."""
     todo, seen = [sql], set()
     while todo:
         words = set(re.findall(r"[a-z_0-9]+", todo.pop()))
-        for name in CTES:
+        for name in ctes:
             if name in words and name not in seen:
                 seen.add(name)
-                todo.append(CTES[name])
-    return [n for n in CTES if n in seen]
+                todo.append(ctes[name])
+    return [n for n in ctes if n in seen]
 
 
-def with_ctes(sql: str) -> str:
-    names = _needed(sql)
-    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" if names else "") + sql
+def with_ctes(sql: str, instead: dict[str, str] | None = None) -> str:
+    ctes = CTES | (instead or {})
+    names = _needed(sql, ctes)
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({ctes[n]})" for n in names) + "\n" if names else "") + sql
 
 
-def query(name: str, spec: str, sql: str | None):
-    """Register a query and, where SQL can say the same on whole tables, its oracle."""
+def query(name: str, spec: str, sql: str | None, instead: dict[str, str] | None = None):
+    """Register a query and, where SQL can say the same on whole tables, its oracle; ``instead`` holds CTEs that read otherwise there."""
     def wrap(fn):
         QUERIES[name] = lambda spark, sf: shape(fn(prepare(spark), sf), spec)
         if sql is not None:
-            ORACLES[name] = with_ctes(f"SELECT {_sql_fields(spec)} FROM ({sql}) AS answer")
+            ORACLES[name] = with_ctes(f"SELECT {_sql_fields(spec)} FROM ({sql}) AS answer", instead)
         return fn
     return wrap
