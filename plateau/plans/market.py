@@ -122,7 +122,7 @@ def _shift(df):
 
 query("bad_ohlc_range", ODD, f"SELECT * FROM ({_SHIFTED}) WHERE high < low OR least(open, high, low, close) <= 0")(
     lambda s, d: _shift(odd_bars(s, d)).where(X.bad_ohlc_range()))
-query("bad_ohlc_outcome", ODD, f"SELECT * FROM ({_SHIFTED}) WHERE {_ENVELOPE} OR least(open, high, low, close) <= 0")(
+query("bad_ohlc_outcome", ODD, f"SELECT * FROM ({_SHIFTED}) WHERE {_ENVELOPE} OR least(open, high, low, close) <= 0", instead=FLOORED)(
     lambda s, d: _shift(odd_bars(s, d)).where(X.bad_ohlc_outcome()))
 
 query("quality_report", "gap_count:i duplicate_count:i bad_ohlc_count:i", f"""

@@ -7,6 +7,7 @@ from oracle_check import compare
 
 FLOORED = (
     "detect_duplicates",
+    "bad_ohlc_outcome",
 )
 
 
