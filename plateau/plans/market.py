@@ -120,7 +120,7 @@ def _shift(df):
     return df.select("symbol", "open_time_ms", *[(F.col(c) - 1050).alias(c) for c in ("open", "high", "low", "close")])
 
 
-query("bad_ohlc_range", ODD, f"SELECT * FROM ({_SHIFTED}) WHERE high < low OR least(open, high, low, close) <= 0")(
+query("bad_ohlc_range", ODD, f"SELECT * FROM ({_SHIFTED}) WHERE high < low OR least(open, high, low, close) <= 0", instead=FLOORED)(
     lambda s, d: _shift(odd_bars(s, d)).where(X.bad_ohlc_range()))
 query("bad_ohlc_outcome", ODD, f"SELECT * FROM ({_SHIFTED}) WHERE {_ENVELOPE} OR least(open, high, low, close) <= 0", instead=FLOORED)(
     lambda s, d: _shift(odd_bars(s, d)).where(X.bad_ohlc_outcome()))

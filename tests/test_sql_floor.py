@@ -8,6 +8,7 @@ from oracle_check import compare
 FLOORED = (
     "detect_duplicates",
     "bad_ohlc_outcome",
+    "bad_ohlc_range",
 )
 
 
