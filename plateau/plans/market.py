@@ -378,7 +378,7 @@ def _page_folder(s, d):
     return folder
 
 
-query("candles_from_page_files", PAGE_BAR, "SELECT *, 'linear' AS category, 'kline' AS source FROM bars")(
+query("candles_from_page_files", PAGE_BAR, "SELECT *, 'linear' AS category, 'kline' AS source FROM bars", instead=FLOORED)(
     lambda s, d: G.candles_from_pages(PF.read_pages(s, _page_folder(s, d)).where("endpoint = 'kline'"))[0])
 
 

@@ -9,6 +9,7 @@ FLOORED = (
     "detect_duplicates",
     "bad_ohlc_outcome",
     "bad_ohlc_range",
+    "candles_from_page_files",
 )
 
 
