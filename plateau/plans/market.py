@@ -382,7 +382,7 @@ query("candles_from_page_files", PAGE_BAR, "SELECT *, 'linear' AS category, 'kli
     lambda s, d: G.candles_from_pages(PF.read_pages(s, _page_folder(s, d)).where("endpoint = 'kline'"))[0])
 
 
-@query("candles_from_page_stream", PAGE_BAR, "SELECT *, 'linear' AS category, 'kline' AS source FROM bars")
+@query("candles_from_page_stream", PAGE_BAR, "SELECT *, 'linear' AS category, 'kline' AS source FROM bars", instead=FLOORED)
 def _page_stream(s, d):
     out = new_path(s, "page-stream")
     rows = G.candles_from_pages(PF.stream_pages(s, _page_folder(s, d)))[0]

@@ -10,6 +10,7 @@ FLOORED = (
     "bad_ohlc_outcome",
     "bad_ohlc_range",
     "candles_from_page_files",
+    "candles_from_page_stream",
 )
 
 
