@@ -11,6 +11,7 @@ FLOORED = (
     "bad_ohlc_range",
     "candles_from_page_files",
     "candles_from_page_stream",
+    "candles_from_pages",
 )
 
 
