@@ -416,7 +416,7 @@ query("event_schedule", "symbol sequence:i time_ms:i kind candle_index:i price:f
     SELECT p.symbol, p.open_time_ms AS time_ms, 'price' AS kind, 1 AS k, node, price, NULL::DOUBLE AS funding_rate, b.candle_index FROM path_nodes p JOIN indexed b USING (symbol, open_time_ms)
     UNION ALL SELECT f.symbol, f.funding_time_ms, 'funding', 0, 0, m.open, f.funding_rate, b.candle_index FROM funding f JOIN indexed b ON b.symbol = f.symbol AND b.open_time_ms = f.funding_time_ms
     LEFT JOIN marks m ON m.symbol = f.symbol AND m.open_time_ms = f.funding_time_ms)""".replace(
-        "indexed", "(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms) - 1 AS candle_index FROM bars)"))(
+        "indexed", "(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms) - 1 AS candle_index FROM bars)"), instead=FLOORED)(
     lambda s, d: P.event_schedule(bars(s, d), C.funding_with_mark(funding(s, d), marks(s, d)), HOUR))
 query("candle_sequence_checks", "symbol candles:i duplicate_count:i break_count:i starts_at_entry sequence_ok", f"""
     SELECT symbol, count(*) AS candles, count(*) FILTER (WHERE g = 0) AS duplicate_count, count(*) FILTER (WHERE g <> 0 AND g <> {HOUR}) AS break_count, min(t) = {DAY0} AS starts_at_entry,

@@ -12,6 +12,7 @@ FLOORED = (
     "candles_from_page_files",
     "candles_from_page_stream",
     "candles_from_pages",
+    "event_schedule",
 )
 
 
