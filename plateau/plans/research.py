@@ -12,7 +12,7 @@ from plateau.operators import universe as U
 from plateau.operators.chunks import number_rows
 from plateau.params import DAY_MS, EVENT_SEMANTICS, PROFILES
 from plateau.params import LOOKBACKS as PUBLISHED_LOOKBACKS
-from plateau.plans.market import DAY0, HOUR, bars
+from plateau.plans.market import DAY0, FLOORED, HOUR, bars
 from plateau.plans.registry import CTES, query, stage
 from plateau.sources import bars as B
 
@@ -99,7 +99,7 @@ query("atr", "symbol open_time_ms:i atr_14:f atr_60:f", "SELECT DISTINCT symbol,
 query("rolling_extremes", WKEY + " range_high:f range_low:f", "SELECT * FROM x_win")(lambda s, d: windows(s, d))
 query("rolling_counts", WKEY + " dup_steps:i irregular_steps:i bad_count:i zero_count:i", "SELECT * FROM x_win")(lambda s, d: windows(s, d))
 query("contiguous_windows", WKEY + " structural", "SELECT * FROM x_geo")(lambda s, d: windows(s, d))
-query("height_position_slope", WKEY + " range_height_pct:f position:f slope_pct:f range_mid:f", "SELECT * FROM x_geo")(lambda s, d: windows(s, d))
+query("height_position_slope", WKEY + " range_height_pct:f position:f slope_pct:f range_mid:f", "SELECT * FROM x_geo", instead=FLOORED)(lambda s, d: windows(s, d))
 query("return_stats", WKEY + " mean_abs_return:f9 return_std:f9 volume_sum:f turnover_sum:f", "SELECT * FROM x_win")(lambda s, d: windows(s, d))
 
 

@@ -13,6 +13,7 @@ FLOORED = (
     "candles_from_page_stream",
     "candles_from_pages",
     "event_schedule",
+    "height_position_slope",
 )
 
 
