@@ -68,7 +68,7 @@ def tick_bars(spark, sf):
 BAR = "symbol open_time_ms:i open:f high:f low:f close:f volume:f turnover:f"
 GAP = "symbol start_ms:i end_ms:i missing_minutes:i gap_type"
 
-query("hourly_bars", BAR, "SELECT * FROM bars")(lambda s, d: B.bars(s, d, HOUR))
+query("hourly_bars", BAR, "SELECT * FROM bars", instead=FLOORED)(lambda s, d: B.bars(s, d, HOUR))
 
 query("scan_candles", BAR, f"SELECT * FROM bars WHERE symbol IN ('click', 'view') AND open_time_ms BETWEEN {DAY0 + 48 * HOUR} AND {DAY0 + 400 * HOUR}")(
     lambda s, d: S.scan_candles(S.partition_columns(bars(s, d), "open_time_ms"), ["click", "view"], DAY0 + 48 * HOUR, DAY0 + 400 * HOUR))

@@ -14,6 +14,7 @@ FLOORED = (
     "candles_from_pages",
     "event_schedule",
     "height_position_slope",
+    "hourly_bars",
 )
 
 
