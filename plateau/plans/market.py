@@ -74,7 +74,7 @@ query("scan_candles", BAR, f"SELECT * FROM bars WHERE symbol IN ('click', 'view'
     lambda s, d: S.scan_candles(S.partition_columns(bars(s, d), "open_time_ms"), ["click", "view"], DAY0 + 48 * HOUR, DAY0 + 400 * HOUR))
 
 
-@query("load_canonical_frames", BAR, "SELECT * FROM bars")
+@query("load_canonical_frames", BAR, "SELECT * FROM bars", instead=FLOORED)
 def _load(s, d):
     """Overlapping reads: the same rows twice, collapsed again."""
     b = bars(s, d)

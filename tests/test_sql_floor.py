@@ -15,6 +15,7 @@ FLOORED = (
     "event_schedule",
     "height_position_slope",
     "hourly_bars",
+    "load_canonical_frames",
 )
 
 
