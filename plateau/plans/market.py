@@ -365,7 +365,7 @@ PAGE_BAR = "symbol category open_time_ms:i open:f high:f low:f close:f volume:f
 query("candles_from_pages", PAGE_BAR, "SELECT *, 'linear' AS category, 'kline' AS source FROM bars", instead=FLOORED)(
     lambda s, d: G.candles_from_pages(_candle_pages(s, d, ("open", "high", "low", "close", "volume", "turnover")))[0])
 query("mark_candles_from_pages", PAGE_BAR, """SELECT symbol, open_time_ms, open, high, low, close, NULL AS volume, NULL AS turnover, 'linear' AS category,
-    'mark-price-kline' AS source FROM bars""")(lambda s, d: G.mark_candles_from_pages(_candle_pages(s, d, ("open", "high", "low", "close")))[0])
+    'mark-price-kline' AS source FROM bars""", instead=FLOORED)(lambda s, d: G.mark_candles_from_pages(_candle_pages(s, d, ("open", "high", "low", "close")))[0])
 query("candle_page_rejects", "symbol reject_reason row_count:i", "SELECT symbol, 'row_length_invalid' AS reject_reason, count(*) AS row_count FROM bars GROUP BY 1")(
     lambda s, d: G.candles_from_pages(_candle_pages(s, d, ("open", "high", "low", "close")))[1].groupBy("symbol", "reject_reason").agg(F.count(F.lit(1)).alias("row_count")))
 

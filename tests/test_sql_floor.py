@@ -16,6 +16,7 @@ FLOORED = (
     "height_position_slope",
     "hourly_bars",
     "load_canonical_frames",
+    "mark_candles_from_pages",
 )
 
 
