@@ -17,6 +17,7 @@ FLOORED = (
     "hourly_bars",
     "load_canonical_frames",
     "mark_candles_from_pages",
+    "minimal_path",
 )
 
 
