@@ -406,7 +406,7 @@ _prices = "list_transform(%s, lambda x: x.p)"
 CTES["path_nodes"] = f"""SELECT symbol, open_time_ms, generate_subscripts(p, 1) - 1 AS node, unnest(p) AS price FROM (SELECT symbol, open_time_ms, {_prices % _OHLC} AS p FROM bars)"""
 query("minimal_path", "symbol open_time_ms:i node:i price:f", "SELECT * FROM path_nodes", instead=FLOORED)(lambda s, d: P.minimal_path(bars(s, d)))
 query("minimal_path_low_first", "symbol open_time_ms:i node:i price:f", f"""SELECT symbol, open_time_ms, generate_subscripts(p, 1) - 1 AS node, unnest(p) AS price
-    FROM (SELECT symbol, open_time_ms, {_prices % _OLHC} AS p FROM bars)""")(lambda s, d: P.minimal_path(bars(s, d), "open_low_high_close"))
+    FROM (SELECT symbol, open_time_ms, {_prices % _OLHC} AS p FROM bars)""", instead=FLOORED)(lambda s, d: P.minimal_path(bars(s, d), "open_low_high_close"))
 query("paths_distinct", "symbol open_time_ms:i", f"SELECT symbol, open_time_ms FROM bars WHERE {_prices % _OHLC} <> {_prices % _OLHC}")(
     lambda s, d: bars(s, d).where(P.paths_distinct()))
 query("ambiguous_candle_count", "symbol candles:i ambiguous_candles:i", f"""SELECT symbol, count(*) AS candles,

@@ -18,6 +18,7 @@ FLOORED = (
     "load_canonical_frames",
     "mark_candles_from_pages",
     "minimal_path",
+    "minimal_path_low_first",
 )
 
 
