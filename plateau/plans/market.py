@@ -427,7 +427,7 @@ query("candle_sequence_checks", "symbol candles:i duplicate_count:i break_count:
 
 # --- small set operations and latest-row rules ----------------------------------
 query("relaxed_union", "symbol time_ms:i open:f funding_rate:f9", """SELECT symbol, open_time_ms AS time_ms, open, NULL::DOUBLE AS funding_rate FROM bars
-    UNION ALL SELECT symbol, funding_time_ms, NULL, funding_rate FROM funding""")(
+    UNION ALL SELECT symbol, funding_time_ms, NULL, funding_rate FROM funding""", instead=FLOORED)(
     lambda s, d: S.relaxed_union([bars(s, d).select("symbol", F.col("open_time_ms").alias("time_ms"), "open"),
                                   funding(s, d).select("symbol", F.col("funding_time_ms").alias("time_ms"), "funding_rate")]))
 query("symbol_difference", "symbol", "SELECT DISTINCT p_brand AS symbol FROM part EXCEPT SELECT DISTINCT o_orderpriority FROM orders")(

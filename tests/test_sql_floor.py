@@ -19,6 +19,7 @@ FLOORED = (
     "mark_candles_from_pages",
     "minimal_path",
     "minimal_path_low_first",
+    "relaxed_union",
 )
 
 
