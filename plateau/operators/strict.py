@@ -47,17 +47,24 @@ SELECTOR_FLAGS = ("strict_parser_applied", "envelope_valid", "result_schema_vali
 BUDGET_FLAGS = ("target_init_margin_inside_validate_range", "min_investment_feasible_at_5usdt", "feasible_user_5usdt_rule")
 
 
+def _members(value: Column) -> Column:
+    """Fields of an object by name, each as written; NULL where the value is absent or no object."""
+    return F.try_variant_get(value, "$", "map<string, variant>")
+
+
 def _part(path: str) -> Column:
-    return F.try_variant_get("__v", f"$.{path}", "variant")
+    """A field of the response, or of its result (``result.<name>``), from the fields read once."""
+    inner = path.removeprefix("result.")
+    return F.try_element_at("__result" if inner != path else "__root", F.lit(inner))
 
 
-def _kind(path: str) -> Column:
-    """Type of a field as written: BIGINT, STRING, OBJECT<...>; NULL where the field is absent."""
-    return F.schema_of_variant(_part(path))
+def _text_of(value: Column) -> Column:
+    """The text of a field that is written as text: of all that a response can hold only text has bytes."""
+    return F.try_variant_get(value, "$", "binary").cast("string")
 
 
 def _text(path: str) -> Column:
-    return F.when(_kind(path) == "STRING", F.try_variant_get("__v", f"$.{path}", "string"))
+    return _text_of(_part(path))
 
 
 def _number(text: Column) -> Column:
@@ -72,15 +79,23 @@ def _sure(c: Column) -> Column:
 
 
 def _absent_or(path: str, ok: Column) -> Column:
-    return _kind(path).isNull() | _sure(ok)
+    return _part(path).isNull() | _sure(ok)
 
 
 def _range_valid(name: str, domain: str) -> Column:
-    low, high = (F.col(c) for c in RANGES[name][:2])
-    aliases = [f"result.{name}_from", f"result.{name}_to", f'result["{name}.from"]', f'result["{name}.to"]']
+    """Exactly the texts ``from`` and ``to``, in order and in the domain."""
+    low, high = RANGES[name][:2]
+    whole = (F.size(f"__range_{name}") == 2) & F.col(f"__text_{low}").isNotNull() & F.col(f"__text_{high}").isNotNull()
+    low, high = F.col(low), F.col(high)
     in_domain = {"positive": (low > 0) & (high > 0), "nonnegative": (low >= 0) & (high >= 0),
                  "positive_int": (low > 0) & (low == F.floor(low)) & (high == F.floor(high))}[domain]
-    return _sure((_kind(f"result.{name}") == "OBJECT<from: STRING, to: STRING>") & (low <= high) & in_domain & all_of([_kind(a).isNull() for a in aliases]))
+    return _sure(whole & (low <= high) & in_domain)
+
+
+def _no_alias() -> Column:
+    """No end of a range stands beside the ranges, as ``name_from`` or ``name.from``."""
+    names = [F.lit(f"{n}{sep}{end}") for n in RANGES for sep in "_." for end in ("from", "to")]
+    return ~F.arrays_overlap(F.map_keys("__result"), F.array(*names))
 
 
 def parse_strict(responses: DataFrame, body: str = "body") -> DataFrame:
@@ -89,18 +104,23 @@ def parse_strict(responses: DataFrame, body: str = "body") -> DataFrame:
     Optional columns: http_status_code (200 where present), error_reason_code (a request that failed).
     """
     has = lambda c, k: F.col(c).cast(k) if c in responses.columns else F.lit(None).cast(k)
-    texts = {c: _text(f"result.{name}.{end}") for name, (low, high, _) in RANGES.items() for c, end in ((low, "from"), (high, "to"))}
+    texts = {c: _text_of(F.try_element_at(f"__range_{name}", F.lit(end))) for name, (low, high, _) in RANGES.items() for c, end in ((low, "from"), (high, "to"))}
     texts |= {c: _text(f"result.{c}") for c in ("long_liq_price", "short_liq_price")}
     texts |= {f"__{n}": F.col(n).cast("string") for n in MEMBERSHIP}
-    d = responses.withColumn("__v", F.try_parse_json(F.col(body))).withColumns({f"__text_{c}": v for c, v in texts.items()})
-    d = d.withColumns({c: _number(F.col(f"__text_{c}")) for c in texts}).drop(*[f"__text_{c}" for c in texts])
-    int_at = lambda p, v: _sure((_kind(p) == "BIGINT") & (F.try_variant_get("__v", f"$.{p}", "bigint") == v))
+    # every object is opened once; a path from the root for each of some hundred questions costs a multiple
+    d = responses.withColumn("__root", _members(F.try_parse_json(F.col(body)))).withColumn("__result", _members(_part("result")))
+    d = d.withColumns({f"__range_{n}": _members(_part(f"result.{n}")) for n in RANGES}).withColumns({f"__text_{c}": v for c, v in texts.items()})
+    d = d.withColumns({c: _number(F.col(f"__text_{c}")) for c in texts})
+    whole = ("retCode", "status_code", "result.status_code")  # numbers that must be written as whole ones; the type of a value is costly to ask for
+    d = d.withColumns({f"__int_{p.replace('.', '_')}": F.when(F.schema_of_variant(_part(p)) == "BIGINT", F.try_variant_get(_part(p), "$", "bigint")) for p in whole})
+    whole_at = lambda p: F.col(f"__int_{p.replace('.', '_')}")
+    int_at = lambda p, v: _sure(whole_at(p) == v)
     envelope = all_of([
-        _sure(_kind_of_root().startswith("OBJECT")), int_at("retCode", 0), _absent_or("status_code", int_at("status_code", 200)),
-        _absent_or("retMsg", _kind("retMsg") == "STRING"), _absent_or("debug_msg", _kind("debug_msg") == "STRING"),
+        F.col("__root").isNotNull(), int_at("retCode", 0), _absent_or("status_code", int_at("status_code", 200)),
+        _absent_or("retMsg", _text("retMsg").isNotNull()), _absent_or("debug_msg", _text("debug_msg").isNotNull()),
         F.coalesce(has("http_status_code", "long") == 200, F.lit(True)), has("error_reason_code", "string").isNull()])
-    schema = all_of([_sure(_kind("result").startswith("OBJECT")), _sure(_kind("result.status_code") == "BIGINT"), _sure(_kind("result.check_code") == "STRING"),
-                     _sure(_kind("result.debug_msg") == "STRING"), *[_range_valid(n, r[2]) for n, r in RANGES.items()]])
+    schema = all_of([F.col("__result").isNotNull(), _sure(_no_alias()), whole_at("result.status_code").isNotNull(), _text("result.check_code").isNotNull(),
+                     _text("result.debug_msg").isNotNull(), *[_range_valid(n, r[2]) for n, r in RANGES.items()]])
     check = all_of([int_at("result.status_code", 200), _sure(_text("result.check_code") == CHECK_UNSPECIFIED), _sure(_text("result.debug_msg") == ""),
                     _absent_or("debug_msg", _text("debug_msg") == "")])
     d = d.withColumns({"envelope_valid": envelope, "result_schema_valid": schema, "__check": check})
@@ -121,16 +141,12 @@ def parse_strict(responses: DataFrame, body: str = "body") -> DataFrame:
     budget = feasible & F.col("target_init_margin_inside_validate_range")
     return d.withColumns({
         "native_grid_validate_result_contract": F.lit(CONTRACT), "strict_parser_applied": F.lit(True),
-        "status_code": F.when(_kind("result.status_code") == "BIGINT", F.try_variant_get("__v", "$.result.status_code", "bigint")),
+        "status_code": whole_at("result.status_code"),
         "check_code": F.when(_text("result.check_code").isin(CHECK_UNSPECIFIED, ""), _text("result.check_code")).when(_text("result.check_code").isNotNull(), "***REDACTED***"),
         "schema_or_param_rejected": ~F.col("result_schema_valid") | (F.col("envelope_valid") & ~F.col("__check")),
         "feasible_exchange": feasible, "min_investment_feasible_at_5usdt": budget, "feasible_user_5usdt_rule": budget,
         "error_reason_code": has("error_reason_code", "string"), "blocker_reason": blocker,
-    }).drop("__v", "__check", body, *[f"__{n}" for n in MEMBERSHIP])
-
-
-def _kind_of_root() -> Column:
-    return F.schema_of_variant("__v")
+    }).drop("__root", "__result", "__check", body, *[f"__int_{p.replace('.', '_')}" for p in whole], *[f"__range_{n}" for n in RANGES], *[f"__text_{c}" for c in texts], *[f"__{n}" for n in MEMBERSHIP])
 
 
 def select_strict(df: DataFrame, require_5usdt: bool = True) -> DataFrame:

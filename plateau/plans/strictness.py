@@ -18,7 +18,9 @@ FAULTS = (
 def _responses(s, d):
     px, q, line = F.col("l_extendedprice"), F.col("l_quantity").cast("int"), F.col("l_linenumber")
     fault = F.element_at(F.array(*[F.lit(f or "none") for f in FAULTS]), (F.col("l_orderkey") % len(FAULTS) + 1).cast("int"))
-    li = B.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", fault.alias("fault"), q.alias("cell_number_requested"), line.alias("leverage_requested"), F.lit(6.5).alias("init_margin_requested"),
+    # reading is dear for its bytes and a file comes in a few splits: rows are dealt to all tasks while they are narrow
+    rows = B.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "l_orderkey", "l_linenumber")
+    li = rows.select("l_orderkey", "l_linenumber", fault.alias("fault"), q.alias("cell_number_requested"), line.alias("leverage_requested"), F.lit(6.5).alias("init_margin_requested"),
                                           F.round(px * 0.9, 4).alias("min_price"), F.round(px * 1.1, 4).alias("max_price"), F.round(px * 0.8, 4).alias("stop_loss_price"), (px % 13).alias("inv"))
     is_ = lambda f: F.col("fault") == f
     rng = lambda low, high: F.concat(F.lit('{"from":"'), low, F.lit('","to":"'), high, F.lit('"}'))
