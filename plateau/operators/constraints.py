@@ -13,6 +13,7 @@ from plateau.operators.universe import check_passed
 from plateau.params import (
     CANDIDATE_KEY, CHECK_UNSPECIFIED, CONFIG_GRID_FAST, CONFIG_GRID_FULL, INVESTMENT_THRESHOLDS, LEVERAGE_LADDER, SWEEP_PROFILES,
 )
+from plateau.session import dealt
 
 PRICE = "decimal(24,10)"
 
@@ -54,11 +55,18 @@ def candidate_configs(symbols: DataFrame, stage: str = "fast") -> DataFrame:
     ``symbols`` needs symbol, lastPrice and tickSize.
     """
     grid = {"fast": CONFIG_GRID_FAST, "full": CONFIG_GRID_FULL}[stage]
-    rows = [
-        _config(w, c, lev, m, s)
-        for w in grid["width"] for c in grid["cells"] for lev in grid["leverage"] for m in grid["margin"] for s in grid["sl"]
-    ]
-    return _priced(expand(symbols.select("symbol", "lastPrice", "tickSize"), rows, _MULT))
+    # prices follow from width and stop alone: they are rounded once a pair, not once a configuration
+    last, tick = F.col("lastPrice").cast(PRICE), F.col("tickSize").cast(PRICE)
+    price = lambda rounded, m: rounded((last * F.lit(m).cast("decimal(12,8)")).cast(PRICE), tick).cast(PRICE)
+    widths = []
+    for w in grid["width"]:
+        low, high = _config(w, 1, 1, "1", "1")["m_low"], _config(w, 1, 1, "1", "1")["m_high"]
+        stops = F.array(*[F.struct(F.lit(float(Decimal(s))).alias("stop_loss_mult"), price(round_down_to_tick, _config(w, 1, 1, "1", s)["m_stop"]).alias("stop_loss_price")) for s in grid["sl"]])
+        widths.append(F.struct(F.lit(float(Decimal(w))).alias("range_width_pct"), price(round_down_to_tick, low).alias("min_price"), price(round_up_to_tick, high).alias("max_price"), stops.alias("__stops")))
+    rest = [{"cell_number_requested": c, "leverage_requested": lev, "init_margin_requested": float(Decimal(m))} for c in grid["cells"] for lev in grid["leverage"] for m in grid["margin"]]
+    d = dealt(symbols.select("symbol", "lastPrice", "tickSize"), "symbol").select("*", F.inline(F.array(*widths)))
+    return expand(d, rest).select("*", F.inline("__stops")).select(
+        "symbol", "lastPrice", "tickSize", "range_width_pct", "cell_number_requested", "leverage_requested", "init_margin_requested", "stop_loss_mult", "min_price", "max_price", "stop_loss_price")
 
 
 def min_sweep_configs(symbols: DataFrame) -> DataFrame:
