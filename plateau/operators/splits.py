@@ -196,6 +196,45 @@ def fold_summary(events: DataFrame, profile_name: str = "long_history", legacy_s
     return d.select("*", delta.alias("coverage_reconciliation_delta"), ((delta == 0) & (F.col("unassigned_count") == 0)).alias("coverage_reconciliation_ok"))
 
 
+def split_ranges(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
+    """The rows of :func:`build_splits` as ranges of folds (``lo``, ``hi``), before any (fold, event) pair is made."""
+    return _disposed(events, FOLD_PROFILES[profile_name], legacy_signal_end).where("role IS NOT NULL AND disposition <> 'cross_role_regime_excluded'")
+
+
+def window_ranges(events: DataFrame, profile_name: str = "long_history", legacy_signal_end: bool = False) -> DataFrame:
+    """Ranges of folds in whose parts a signal lies, whatever became of the event there."""
+    p = FOLD_PROFILES[profile_name]
+    ms = _lengths(p)
+    labelled = labelled_events(events, p, legacy_signal_end)
+    d = with_one_row(labelled, _layout(labelled, p)).where("__n > 0 AND signal_time_ms IS NOT NULL")
+    t = F.col("signal_time_ms") - F.col("__first")
+    after = lambda border: floor_div(t - F.lit(border).cast("long"), ms["step"])  # noqa: E731  last fold whose border is at or before t
+    top, zero = F.col("__n") - 1, F.lit(0).cast("long")
+    span = lambda role, lo, hi: F.struct(F.greatest(lo, zero).alias("lo"), F.least(hi, top).alias("hi"), F.lit(role).alias("role"))
+    spans = F.array(
+        F.when(F.col("signal_time_ms") >= F.col("train_start_ms"), span("train", after(0) + 1, top)), span("validation", after(ms["validation_end"]) + 1, after(ms["purge"])),
+        span("test", after(ms["test_end"]) + 1, after(ms["test_start"])))
+    return d.withColumn("spans", F.filter(spans, lambda s: s["lo"] <= s["hi"])).select(*d.columns, F.inline("spans"))
+
+
+def roles_of_ranges(ranges: DataFrame, key: str = "range_regime_id") -> DataFrame:
+    """:func:`regime_roles` of ranges of folds: an id sends its distinct ranges, and only folds with several roles are opened."""
+    held = ranges.groupBy(key, "role", "lo", "hi").agg(F.lit(1).alias("__one")).groupBy(key).agg(F.collect_list(F.struct("role", "lo", "hi")).alias("held"))
+    # two roles never meet in training alone
+    later = "array_distinct(flatten(transform(filter(held, s -> s.role <> 'train'), s -> sequence(s.lo, s.hi))))"
+    roles = "array_sort(array_distinct(transform(filter(held, s -> s.lo <= f AND f <= s.hi), s -> s.role)))"
+    several = held.where("size(array_distinct(held.role)) > 1").select(key, F.expr(f"inline(transform({later}, f -> named_struct('fold', f, 'roles', {roles})))"))
+    return several.where("size(roles) > 1").select(F.format_string("wf_%03d", "fold").alias("fold_id"), key, F.array_join("roles", ",").alias("roles"))
+
+
+def leakage_audit_of_ranges(ranges: DataFrame, profile_name: str = "long_history", minimum_gap: int = 2880) -> DataFrame:
+    """:func:`leakage_audit` of ranges of folds: latest ends are taken per range before folds are opened."""
+    p = FOLD_PROFILES[profile_name]
+    ends = _per_fold(ranges.groupBy("train_start_ms", "__first", "role", "lo", "hi").agg(F.max("outcome_end_ms").alias("outcome_end_ms")))
+    rows = ends.select("role", "outcome_end_ms", *_fold_columns(F.col("__fold"), p), F.lit(p["purge_minutes"]).alias("purge_minutes"), F.lit(p["embargo_minutes"]).alias("embargo_minutes"))
+    return _audit(rows, lambda key: roles_of_ranges(ranges, key), minimum_gap)
+
+
 def regime_roles(splits: DataFrame, key: str = "range_regime_id") -> DataFrame:
     """Ids that appear in more than one role of a fold."""
     return splits.groupBy("fold_id", key).agg(F.array_sort(F.collect_set("role")).alias("__roles")).where(F.size("__roles") > 1).select(
@@ -204,8 +243,12 @@ def regime_roles(splits: DataFrame, key: str = "range_regime_id") -> DataFrame:
 
 def leakage_audit(splits: DataFrame, minimum_gap: int = 2880) -> DataFrame:
     """(fold, type, count) of every violation; empty when the folds are sound."""
+    return _audit(splits, lambda key: regime_roles(splits, key), minimum_gap)
+
+
+def _audit(splits: DataFrame, roles_by, minimum_gap: int) -> DataFrame:
     def overlaps(key: str, name: str) -> DataFrame:
-        return regime_roles(splits, key).groupBy("fold_id").agg(F.count(F.lit(1)).alias("violation_count")).select(
+        return roles_by(key).groupBy("fold_id").agg(F.count(F.lit(1)).alias("violation_count")).select(
             "fold_id", F.lit(name).alias("violation_type"), "violation_count")
 
     end = lambda role: F.max(F.when(F.col("role") == role, F.col("outcome_end_ms")))

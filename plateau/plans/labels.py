@@ -423,11 +423,6 @@ def wf_events(s, d):
         (t + F.lit(60000 + _PG).cast("long")).alias("outcome_end_exclusive_ms"))
 
 
-@stage("dispositions")
-def dispositions(s, d):
-    return W.event_dispositions(wf_events(s, d), "long_history")
-
-
 query("walk_forward_dispositions", "fold_id symbol disposition event_count:i first_signal_ms:i last_signal_ms:i", """
     SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, symbol, disposition, count(*) AS event_count, min(t) AS first_signal_ms, max(t) AS last_signal_ms FROM disposed GROUP BY 1, 2, 3""")(
     lambda s, d: W.disposition_summary(wf_events(s, d), ["symbol"]))
@@ -441,16 +436,15 @@ query("fold_summary", "fold_id source_event_count:i " + " ".join(f"{r}_count:i"
     SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, count(*) AS source_event_count, {_CNT}, 0 AS coverage_reconciliation_delta, true AS coverage_reconciliation_ok FROM disposed GROUP BY 1""")(lambda s, d: W.fold_summary(wf_events(s, d), "long_history"))
 query("regime_roles", "fold_id range_regime_id roles", """SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, reg AS range_regime_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM placed WHERE role IS NOT NULL
     GROUP BY 1, 2 HAVING count(DISTINCT role) > 1""")(
-    lambda s, d: W.regime_roles(dispositions(s, d).withColumn("role", F.when(F.col("signal_time_ms").between(F.col("train_start_ms"), F.col("train_end_ms") - 1), "train").when(
-        F.col("signal_time_ms").between(F.col("validation_start_ms"), F.col("validation_end_ms") - 1), "validation").when(F.col("signal_time_ms").between(F.col("test_start_ms"), F.col("test_end_ms") - 1), "test"))))
-query("leakage_audit_clean", "violation_count:i", "SELECT 0 AS violation_count")(lambda s, d: W.leakage_audit(W.build_splits(wf_events(s, d))).agg(F.count(F.lit(1)).alias("violation_count")))
+    lambda s, d: W.roles_of_ranges(W.window_ranges(wf_events(s, d))))
+query("leakage_audit_clean", "violation_count:i", "SELECT 0 AS violation_count")(lambda s, d: W.leakage_audit_of_ranges(W.split_ranges(wf_events(s, d))).agg(F.count(F.lit(1)).alias("violation_count")))
 # ends moved by twelve days: train and validation ends now reach the next role
 _LATE = 12 * DAY
 query("leakage_audit", "fold_id violation_type violation_count:i", f"""
     SELECT 'wf_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, violation_type, 1 AS violation_count FROM (
     SELECT k, unnest(list_filter([CASE WHEN max(fin + {_LATE}) FILTER (WHERE role = 'train') >= any_value(va0) THEN 'train_outcome_crosses_validation' END, CASE WHEN max(fin + {_LATE}) FILTER (WHERE role = 'validation') >= any_value(te0) THEN 'validation_outcome_crosses_test' END,
     CASE WHEN max(fin + {_LATE}) FILTER (WHERE role = 'test') > any_value(te1) THEN 'test_outcome_crosses_test_end' END], lambda x: x IS NOT NULL)) AS violation_type FROM disposed WHERE disposition IN ('train_assigned', 'validation_assigned', 'test_assigned') GROUP BY k)""")(
-    lambda s, d: W.leakage_audit(W.build_splits(wf_events(s, d)).withColumn("outcome_end_ms", F.col("outcome_end_ms") + _LATE)))
+    lambda s, d: W.leakage_audit_of_ranges(W.split_ranges(wf_events(s, d)).withColumn("outcome_end_ms", F.col("outcome_end_ms") + _LATE)))
 
 # --- comparing and repairing runs --------------------------------------------------------
 

@@ -99,3 +99,24 @@ def test_no_fold_without_room(spark):
         assert W.event_dispositions(events, "prototype_90d").count() == 0
         assert W.build_splits(events, "prototype_90d").count() == 0
         assert W.disposition_counts(events, "prototype_90d").count() == 0
+
+
+def test_audits_of_ranges_equal_audits_of_rows(spark):
+    """Also for an event without a time; no (fold, event) row reaches the audit of ranges."""
+    from pyspark.sql import functions as F
+
+    from plateau.operators import splits as W
+    from plateau.plans.labels import _LATE, wf_events
+
+    ev = wf_events(spark, "/root/testdata/sf0.001")
+    ev = ev.withColumn("signal_time_ms", F.when(F.col("range_action_event_id") != "7", F.col("signal_time_ms")))
+    rows, ranges = W.build_splits(ev), W.split_ranges(ev)
+    assert ranges.count() < rows.count() / 4
+    late = lambda d: d.withColumn("outcome_end_ms", F.col("outcome_end_ms") + _LATE)
+    got = lambda d: sorted(map(tuple, d.collect()))
+    assert got(W.leakage_audit_of_ranges(late(ranges))) == got(W.leakage_audit(late(rows))) != []
+    t = F.col("signal_time_ms")
+    inside = lambda part: t.between(F.col(f"{part}_start_ms"), F.col(f"{part}_end_ms") - 1)
+    placed = W.event_dispositions(ev).withColumn("role", F.when(inside("train"), "train").when(inside("validation"), "validation").when(inside("test"), "test"))
+    for key in ("range_regime_id", "symbol"):
+        assert got(W.roles_of_ranges(W.window_ranges(ev), key)) == got(W.regime_roles(placed, key)) != []
