@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plateau.functions.exprs import all_of, expand
+from plateau.functions.exprs import all_of, expand, sql_literal
 from plateau.operators.chunks import exact_quantiles, numbered_per_key
 from plateau.operators.universe import check_passed
 from plateau.params import (
@@ -76,18 +76,31 @@ def min_sweep_configs(symbols: DataFrame) -> DataFrame:
     """
     ladder = F.array(*[F.lit(x) for x in LEVERAGE_LADDER])
     top = F.coalesce(F.array_max(F.filter(ladder, lambda x: x <= F.coalesce(F.col("maxLeverage").try_cast("double"), F.lit(1.0)))), F.lit(LEVERAGE_LADDER[0]))
-    rows = []
-    for i, (name, width, cells, lev, sl) in enumerate(SWEEP_PROFILES):
-        rows.append({"profile_order": i, "profile_name": name, "lev": 0 if lev == "high" else lev, **_config(width, cells, 1, "100", sl)})
-    for j, lev in enumerate(LEVERAGE_LADDER):
-        rows.append({"profile_order": len(SWEEP_PROFILES) + j, "profile_name": f"ladder_lev_{lev}", "lev": lev, **_config("0.05", 2, 1, "100", "0.95")})
-    d = expand(symbols.select("symbol", "lastPrice", "tickSize", top.alias("top_leverage")), rows, _MULT)
-    ladder_row = F.col("profile_name").startswith("ladder_lev_")
-    d = d.where(~ladder_row | (F.col("lev") <= F.col("top_leverage")))
-    d = d.withColumn("leverage_requested", F.when(F.col("lev") == 0, F.col("top_leverage")).otherwise(F.col("lev"))).drop("lev", "top_leverage")
-    same = ["symbol", "range_width_pct", "cell_number_requested", "leverage_requested", "stop_loss_mult"]
-    once = numbered_per_key(d, same, ["profile_order"], 1).drop("position")
-    return _priced(once)
+    # of several rows of a symbol the first by leverage and price counts; at most one a ladder step is left, so repeats are told from constants
+    once = symbols.groupBy("symbol", top.alias("top_leverage")).agg(F.min(F.struct("lastPrice", "tickSize")).alias("__price"))
+    tops = dealt(once, "symbol").groupBy("symbol").agg(F.collect_list(F.struct("top_leverage", "__price")).alias("__tops"))
+    d = tops.select("symbol", F.col("__tops.top_leverage").alias("__held"), F.inline("__tops")).select("symbol", "__held", "top_leverage", "__price.*")
+    per_top = {t: _sweep_rows(t) for t in LEVERAGE_LADDER}
+    cases = []
+    for t, rows in per_top.items():
+        structs = []
+        for key, row in rows.items():
+            first = [u for u, other in per_top.items() if u != t and key in other and (other[key]["profile_order"], u) < (row["profile_order"], t)]
+            fields = ", ".join(f"'{k}', {sql_literal(v, _MULT.get(k))}" for k, v in row.items())
+            structs.append(f"named_struct({fields}, '__first', CAST(array({', '.join(map(str, first))}) AS array<int>))")
+        cases.append(f"WHEN {t} THEN array({', '.join(structs)})")
+    d = d.selectExpr("*", f"inline(CASE top_leverage {' '.join(cases)} END)").where(~F.arrays_overlap("__held", "__first"))
+    return _priced(d.drop("__held", "__first", "top_leverage"))
+
+
+def _sweep_rows(top: int) -> dict:
+    """Configurations of a symbol with this highest ladder step, the first of each by profile order."""
+    rows = [(name, width, cells, top if lev == "high" else lev, sl) for name, width, cells, lev, sl in SWEEP_PROFILES]
+    ladder = [(len(SWEEP_PROFILES) + j, (f"ladder_lev_{lev}", "0.05", 2, lev, "0.95")) for j, lev in enumerate(LEVERAGE_LADDER) if lev <= top]
+    out: dict = {}
+    for i, (name, width, cells, lev, sl) in [*enumerate(rows), *ladder]:
+        out.setdefault((width, cells, lev, sl), {"profile_order": i, "profile_name": name, **_config(width, cells, lev, "100", sl)})
+    return out
 
 
 # --------------------------------------------------------------------------
