@@ -1,9 +1,10 @@
 """Sliding-window range detection.
 
 All windows are row frames.  Rows are numbered per symbol, cut into blocks with a
-halo, and every statistic of every lookback comes from one sort per block:
-extremes and float sums by doubling (a window of L rows is a union of windows of
-power-of-two length), counts by differences of running integer sums.
+halo, and every statistic of every lookback comes from one sort per block, in
+array operations over its rows: extremes and float sums by doubling (a window of
+L rows is a union of windows of power-of-two length), counts by differences of
+running integer sums.
 """
 
 from __future__ import annotations
@@ -48,24 +49,6 @@ def true_range(high: Column, low: Column, prev_close: Column) -> Column:
     return F.when(valid, F.when(usable, wide).otherwise(span))
 
 
-def _parts(n: int) -> list[tuple[int, int]]:
-    """(level, offset) pairs whose power-of-two windows tile the last ``n`` rows."""
-    out, offset = [], 0
-    for level in range(n.bit_length()):
-        if n >> level & 1:
-            out.append((level, offset))
-            offset += 1 << level
-    return out
-
-
-OVER_BLOCK = "OVER (PARTITION BY symbol, blk ORDER BY rn)"
-OVER_BLOCK_RUN = "OVER (PARTITION BY symbol, blk ORDER BY rn ROWS UNBOUNDED PRECEDING)"
-
-
-def _back(name: str, rows: int) -> str:
-    return name if rows == 0 else f"lag({name}, {rows}) {OVER_BLOCK}"
-
-
 def prepared_rows(bars: DataFrame, step_ms: int, reach: int, chunk_bars: int = 4096) -> DataFrame:
     """Numbered, cleaned bars in halo blocks that allow frames of ``reach`` rows."""
     reach = max(reach, ATR_LONG) + 1
@@ -95,89 +78,82 @@ def prepared_rows(bars: DataFrame, step_ms: int, reach: int, chunk_bars: int = 4
     )
 
 
+WINDOW_FIELDS = ("lookback_minutes int, range_high double, range_low double, first_ts long, first_close double, dup_steps long, irregular_steps long, "
+                 "bad_count long, zero_count long, mean_abs_return double, volume_sum double, turnover_sum double, return_std double")
+
+
+def _stats_of_block(lookbacks: tuple[int, ...]):
+    """Arrow table of one halo block -> one row per core row and lookback; a few array operations a lookback."""
+    import numpy as np
+    import pyarrow as pa
+
+    from plateau.operators.spans import Frames
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("rn").combine_chunks()
+        frames, core = Frames(block.num_rows), np.flatnonzero(block["core"].to_numpy())
+        longs = {c: block[c].to_numpy() for c in ("is_dup", "is_irregular", "is_bad", "is_zero")}
+
+        def doubles(c):
+            return block[c].fill_null(0.0).to_numpy(), block[c].is_null().to_numpy()
+
+        high, low, tr, ret, vol, turn = (doubles(c) for c in ("high", "low", "tr", "ret", "vol", "turn"))
+        size = (np.abs(ret[0]), ret[1])
+
+        def column(values, missing=None):
+            return pa.array(values[core], mask=None if missing is None else missing[core])
+
+        def mean(key, pair, n):
+            total, missing = frames.total(key, *pair, n)
+            return total / n, missing
+
+        def earlier(c, rows):
+            """The column ``rows`` rows before every core row."""
+            at = core - rows
+            return block[c].take(pa.array(at, mask=at < 0))
+
+        atr = {}
+        for name, n in (("atr_14", ATR_SHORT), ("atr_60", ATR_LONG)):
+            value, missing = mean("tr", tr, n)
+            atr[name] = column(value, missing | ~np.isfinite(value))
+        same = block.select(["symbol", "rn", "open_time_ms", "close"]).take(core)
+        for name, values in atr.items():
+            same = same.append_column(name, values)
+        out = []
+        for n in lookbacks:
+            none = np.zeros(frames.rows)
+            out.append(pa.Table.from_arrays([
+                *same.columns, pa.array(np.full(len(core), n, np.int32)),
+                column(*frames.extreme("high", *high, n, True)), column(*frames.extreme("low", *low, n, False)),
+                earlier("open_time_ms", n - 1), earlier("close", n - 1),
+                column(frames.count(longs["is_dup"], n - 1)), column(frames.count(longs["is_irregular"], n - 1)),
+                column(frames.count(longs["is_bad"], n)), column(frames.count(longs["is_zero"], n)),
+                column(*mean("size", size, n - 1)) if n > 1 else column(none),
+                column(*frames.total("vol", *vol, n)), column(*frames.total("turn", *turn, n)),
+                column(*frames.deviation("ret", *ret, n - 1)) if n > 1 else column(none),
+            ], names=[*same.column_names, *[f.split()[0] for f in WINDOW_FIELDS.split(", ")]]))
+        return pa.concat_tables(out)
+
+    return run
+
+
 def window_stats(rows: DataFrame, lookbacks) -> DataFrame:
     """One row per (bar, lookback) with every touch-independent window statistic.
 
-    Column ``full`` is false where fewer than L rows exist before the bar.
+    Column ``full`` is false where fewer than L rows exist before the bar.  A block is
+    sorted once and read once (:class:`plateau.operators.spans.Frames`); window
+    operators would read its rows again for every lag of every lookback.
     """
     lookbacks = check_lookbacks(lookbacks)
-    top = max(lookbacks).bit_length() - 1
-    ret_top = max(max(lookbacks) - 1, 1).bit_length() - 1
-    levels = {"hi": top, "lo": top, "vol": top, "turn": top, "absret": ret_top, "mean": ret_top, "m2": ret_top,
-              "tr": ATR_LONG.bit_length() - 1}
-    counters = ("is_bad", "is_zero", "is_dup", "is_irregular")
-    d = rows.selectExpr(
-        "symbol", "blk", "core", "rn", "open_time_ms", "close",
-        *[f"sum({c}) {OVER_BLOCK_RUN} AS run_{c}" for c in counters],
-        "high AS hi_0", "low AS lo_0", "tr AS tr_0", "abs(ret) AS absret_0", "ret AS mean_0",
-        "if(ret IS NULL, NULL, 0D) AS m2_0", "vol AS vol_0", "turn AS turn_0",
-    )
-    for k in range(max(levels.values())):
-        half = 1 << k
-        doubled = {
-            "hi": f"greatest(hi_{k}, {_back(f'hi_{k}', half)})",
-            "lo": f"least(lo_{k}, {_back(f'lo_{k}', half)})",
-            "mean": f"(mean_{k} + {_back(f'mean_{k}', half)}) / 2D",
-            "m2": f"m2_{k} + {_back(f'm2_{k}', half)} + pow(mean_{k} - {_back(f'mean_{k}', half)}, 2D) * {half / 2}D",
-            **{c: f"{c}_{k} + {_back(f'{c}_{k}', half)}" for c in ("tr", "absret", "vol", "turn")},
-        }
-        d = d.selectExpr("*", *[f"{e} AS {c}_{k + 1}" for c, e in doubled.items() if k < levels[c]])
-
-    def total(name: str, n: int) -> str:
-        return "(" + " + ".join(_back(f"{name}_{lv}", off) for lv, off in _parts(n)) + ")"
-
-    def extreme(name: str, n: int, pick: str) -> str:
-        lv = n.bit_length() - 1
-        rest = n - (1 << lv)
-        return f"{name}_{lv}" if rest == 0 else f"{pick}({name}_{lv}, {_back(f'{name}_{lv}', rest)})"
-
-    def count(name: str, rows_back: int) -> str:
-        return f"run_{name} - coalesce({_back(f'run_{name}', rows_back)}, 0L)" if rows_back else "0L"
-
-    wide = ["symbol", "core", "rn", "open_time_ms", "close",
-            f"{total('tr', ATR_SHORT)} / {ATR_SHORT} AS atr_14", f"{total('tr', ATR_LONG)} / {ATR_LONG} AS atr_60"]
-    structs = []
-    for n in lookbacks:
-        wide += [f"{e} AS {name}__{n}" for name, e in {
-            "range_high": extreme("hi", n, "greatest"), "range_low": extreme("lo", n, "least"),
-            "first_ts": _back("open_time_ms", n - 1), "first_close": _back("close", n - 1),
-            "dup_steps": count("is_dup", n - 1), "irregular_steps": count("is_irregular", n - 1),
-            "bad_count": count("is_bad", n), "zero_count": count("is_zero", n),
-            "mean_abs_return": f"{total('absret', n - 1)} / {n - 1}" if n > 1 else "0D",
-            "volume_sum": total("vol", n), "turnover_sum": total("turn", n),
-        }.items()]
-        fields = ("range_high", "range_low", "first_ts", "first_close", "dup_steps", "irregular_steps", "bad_count",
-                  "zero_count", "mean_abs_return", "volume_sum", "turnover_sum")
-        wide += [f"{_back(f'{c}_{lv}', off)} AS {c}__{n}_{i}" for i, (lv, off) in enumerate(_parts(n - 1)) for c in ("mean", "m2")]
-        spread = _merged_m2(n)
-        structs.append(f"named_struct('lookback_minutes', {n}, " + ", ".join(f"'{f}', {f}__{n}" for f in fields)
-                       + f", 'return_std', {f'sqrt(({spread}) / {n - 1})' if n > 1 else '0D'})")
+    doubles = [F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "tr", "ret", "vol", "turn")]
+    schema = "symbol string, rn long, open_time_ms long, close double, atr_14 double, atr_60 double, " + WINDOW_FIELDS
     return (
-        d.selectExpr(*wide).where("core")
-        .selectExpr(
-            "symbol", "rn", "open_time_ms", "close",
-            *[f"if(abs({a}) < double('infinity'), {a}, NULL) AS {a}" for a in ("atr_14", "atr_60")],
-            f"inline(array({', '.join(structs)}))",
-        )
+        rows.select("symbol", "blk", "core", "rn", "open_time_ms", *doubles, "is_bad", "is_zero", "is_dup", "is_irregular")
+        .groupBy("symbol", "blk").applyInArrow(_stats_of_block(lookbacks), schema)
         .withColumn("full", F.col("rn") >= F.col("lookback_minutes") - 1)
     )
 
 
-def _merged_m2(n: int) -> str:
-    """Squared deviations of n-1 returns from the moments of their parts.
-
-    M2 of the union = sum of the parts' M2 + sum of size * (mean - grand mean)^2,
-    which stays exact when all returns are equal.
-    """
-    parts = [(1 << lv, f"mean__{n}_{i}", f"m2__{n}_{i}") for i, (lv, _) in enumerate(_parts(n - 1))]
-    if len(parts) <= 1:
-        return parts[0][2] if parts else "0D"
-    base = parts[-1][1]
-    shift = " + ".join(f"{size}D * ({mean} - {base})" for size, mean, _ in parts)
-    grand = f"({base} + ({shift}) / {n - 1}D)"
-    return " + ".join(f"{m2} + {size}D * pow({mean} - {grand}, 2D)" for size, mean, m2 in parts)
-
-
 def structural_reason(step_ms: int) -> Column:
     """Span, duplicate and irregular-step tests in the counting order."""
     span = F.col("open_time_ms") - F.col("first_ts")
@@ -406,64 +382,67 @@ def detect_candidates(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad
     return out.where((F.col("p_min_range_quality_score") == 0) | (F.col("range_quality_score") >= F.col("p_min_range_quality_score"))).drop("p_min_range_quality_score")
 
 
-#: One letter per outcome of a window position under a profile; ``OPEN`` while none is known.
-OUTCOME_LETTERS = {r: chr(ord("a") + i) for i, r in enumerate(("short", *FUNNEL_REASONS, "pass"))}
-OPEN = "-"
+#: Outcomes of a window position under a profile; counted by their place here.
+OUTCOMES = ("short", *FUNNEL_REASONS, "pass")
 
 
-def _first_letter(pairs: list[tuple[str, Column]], otherwise: Column) -> Column:
+def _first_outcome(pairs: list[tuple[str, Column]], otherwise: str | None = None) -> Column:
     expr = F
     for name, cond in pairs:
-        expr = expr.when(F.coalesce(cond, F.lit(False)), F.lit(OUTCOME_LETTERS[name]))
-    return expr.otherwise(otherwise) if pairs else otherwise
+        expr = expr.when(F.coalesce(cond, F.lit(False)), F.lit(OUTCOMES.index(name)))
+    return expr.otherwise(F.lit(OUTCOMES.index(otherwise))) if otherwise else expr
 
 
-def early_signature(profiles: list[dict], cfg: dict) -> Column:
-    """One letter a profile: its first reason that needs no bars of the window, else open."""
-    structural = F.col("structural")
-    letter = F.element_at(F.create_map(*[F.lit(x) for pair in OUTCOME_LETTERS.items() for x in pair]), structural)
-    own = F.concat(*[_first_letter(early_rejections(p, cfg), F.lit(OPEN)) for p in profiles])
-    return F.when(structural.isNotNull(), F.repeat(letter, len(profiles))).otherwise(own)
+def loosest(profiles: list[dict]) -> dict:
+    """Window-only thresholds that every window meets which meets those of any profile."""
+    pick = {"max_zero_volume_window_pct": max, "range_height_pct_min": min, "range_height_pct_max": max, "require_current_middle_zone": all,
+            "max_abs_slope_pct_per_window": max, "range_height_atr_min": min, "range_height_atr_max": max, "min_path_length_over_range": min}
+    return {k: f([p[k] for p in profiles]) for k, f in pick.items()}
 
 
-def _close_signature(signature: str, profiles: list[dict], pairs, otherwise: str) -> Column:
-    """Replaces every open letter by the profile's first reason of ``pairs(profile)``."""
-    letters = [F.substring(signature, i + 1, 1) for i in range(len(profiles))]
-    return F.concat(*[F.when(x != OPEN, x).otherwise(_first_letter(pairs(p), F.lit(otherwise))) for x, p in zip(letters, profiles)])
+def _none_holds(pairs: list[tuple[str, Column]]) -> Column:
+    return all_of([~F.coalesce(c, F.lit(False)) for _, c in pairs])
 
 
 def rejection_funnel(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad_diagnostic",), cfg: dict | None = None) -> DataFrame:
     """First failing reason per window position, counted per symbol, profile and lookback.
 
-    The reasons and the passes add up to ``total_window_positions``.  A window
-    carries the reasons of all profiles as one signature; signatures are counted,
-    and only their few counts are opened into profiles.  Windows are evaluated
-    once: the written table keeps a signature for each, and its columns only where
-    a profile is still open.
+    The reasons and the passes add up to ``total_window_positions``.  Windows are
+    evaluated once and written; the loosest thresholds tell which of them need
+    their bars.  A structural reason holds for all profiles and is counted before
+    the profiles are opened; every other window is judged once a profile, with the
+    thresholds as columns, so that the tests stand in the plan once however many
+    profiles there are.
     """
     cfg = {**DETECTION_DEFAULTS, **(cfg or {})}
     profiles = _resolve(profiles)
     rows = materialize(prepared_rows(bars, step_ms, max(lookbacks) + 1))  # numbered once; windows and touches both read it
     every = with_geometry(window_stats(rows, lookbacks), cfg).withColumn("structural", F.when(F.col("full"), structural_reason(step_ms)).otherwise("short"))
-    every = every.withColumn("signature", early_signature(profiles, cfg))
-    group = ["symbol", "lookback_minutes", "signature"]
-    rest = [c for c in every.columns if c not in (*group, "structural", "full")]
-    coded = materialize(every.select(*group, F.when(F.col("signature").contains(OPEN), F.struct(*rest)).alias("w")))
+    key = ["symbol", "lookback_minutes"]
+    early = ["zero_count", "range_height_abs", "range_height_pct", "position"]
+    is_open = F.col("structural").isNull() & _none_holds(early_rejections(loosest(profiles), cfg))
+    coded = materialize(every.select(*key, "structural", *early, F.when(is_open, F.struct("rn", "slope_pct", "range_height_atr_14")).alias("w")))
 
-    survivors = coded.where("w IS NOT NULL").select(*group, "w.*")  # the few windows that need their bars
+    survivors = coded.where("w IS NOT NULL").select(*key, *early, "w.*")  # the few windows that need their bars
     touched = touch_counts_arrow(survivors, rows, lookbacks, cfg)
-    late = survivors.join(touched, ["symbol", "lookback_minutes", "rn"]).withColumn(
-        "reason", _close_signature("signature", profiles, lambda p: touch_rejections(p) + trend_rejections(p), OPEN))
-    late = quality_score_columns(_candidate_columns(late.withColumns({"profile_name": F.lit(""), "p_min_range_quality_score": F.lit(0.0)})))
-    low_score = lambda p: [("quality_score", F.col("range_quality_score") < p["min_range_quality_score"])] if p["min_range_quality_score"] else []
-    late = late.select("symbol", "lookback_minutes", _close_signature("reason", profiles, low_score, OUTCOME_LETTERS["pass"]).alias("signature"))
-
-    counted = lambda d: d.groupBy(*group).agg(F.count(F.lit(1)).alias("windows"))
-    per_signature = counted(coded.where("w IS NULL")).unionByName(counted(late))
-    opened = expand(per_signature, [{"profile_name": p["name"], "nth": i + 1} for i, p in enumerate(profiles)])
-    opened = opened.withColumn("letter", F.expr("substring(signature, nth, 1)"))
-    n = lambda r: F.sum(F.when(F.col("letter") == OUTCOME_LETTERS[r], F.col("windows")).otherwise(0))
-    positions = F.sum(F.when(F.col("letter") != OUTCOME_LETTERS["short"], F.col("windows")).otherwise(0))
+    since = lambda side: (F.col("rn") - F.col(f"last_{side}_rn")).alias(f"time_since_last_{side}_touch_minutes")
+    late = quality_score_columns(survivors.join(touched, [*key, "rn"]).select(
+        *key, *early, "slope_pct", "range_height_atr_14", "touches_lower_zone", "touches_upper_zone", "midline_crosses",
+        since("lower"), since("upper"), F.col("zero_count").alias("zero_volume_candles_in_window")))
+    low_score = (F.col("p_min_range_quality_score") != 0) & (F.col("range_quality_score") < F.col("p_min_range_quality_score"))
+
+    numbered = [{"nth": i + 1, **{k: v for k, v in row.items() if k != "profile_name"}} for i, row in enumerate(_profile_rows(profiles))]
+    counted = lambda d, *more: d.groupBy(*key, *more, "outcome").agg(F.count(F.lit(1)).alias("windows"))
+    tests = early_rejections(None, cfg)
+    number = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(OUTCOMES) for x in (r, i)]), F.col("structural"))
+    whole = expand(counted(coded.where("structural IS NOT NULL").withColumn("outcome", number)), [{"nth": r["nth"]} for r in numbered])
+    shut = expand(coded.where("structural IS NULL AND w IS NULL").select(*key, *early), numbered).withColumn("outcome", _first_outcome(tests))
+    judged = expand(late, numbered).withColumn(
+        "outcome", _first_outcome(tests + touch_rejections() + trend_rejections(None) + [("quality_score", low_score)], "pass"))
+    opened = whole.unionByName(counted(shut, "nth")).unionByName(counted(judged, "nth"))
+    opened = opened.withColumn("profile_name", F.element_at(F.array(*[F.lit(p["name"]) for p in profiles]), F.col("nth")))
+    n = lambda r: F.sum(F.when(F.col("outcome") == OUTCOMES.index(r), F.col("windows")).otherwise(0))
+    positions = F.sum(F.when(F.col("outcome") != OUTCOMES.index("short"), F.col("windows")).otherwise(0))
     return opened.groupBy("symbol", "profile_name", "lookback_minutes").agg(
         positions.alias("total_window_positions"),
         # a history shorter than L gives only short rows; what is missing is counted

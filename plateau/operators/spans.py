@@ -38,6 +38,85 @@ class Extremes:
         return np.where(at > floor, at, end)
 
 
+def _shifted(values: np.ndarray, rows: int, fill) -> np.ndarray:
+    """Every value moved ``rows`` rows down."""
+    rows = min(rows, len(values))
+    return np.concatenate([np.full(rows, fill, values.dtype), values[: len(values) - rows]]) if rows else values
+
+
+def tiles(n: int) -> list[tuple[int, int]]:
+    """(level, offset) pairs whose power-of-two windows tile the last ``n`` rows."""
+    out, offset = [], 0
+    for level in range(n.bit_length()):
+        if n >> level & 1:
+            out.append((level, offset))
+            offset += 1 << level
+    return out
+
+
+class Frames:
+    """Statistics of the last rows up to every row of one block, by doubling: a window is a union of power-of-two windows.
+
+    ``(values, missing)`` pairs stand for nullable columns.  A missing value takes no part in an extreme and makes a sum
+    missing; a window that reaches before the block is missing too.  NaN is above every number, as Spark orders it.
+    """
+
+    def __init__(self, rows: int):
+        self.rows, self.levels = rows, {}
+
+    def _level(self, key, k: int, first, double):
+        """Level ``k`` of a column: its windows of 2**k rows, built from those of half the length."""
+        tables = self.levels.setdefault(key, [])
+        if not tables:
+            tables.append(first())
+        while len(tables) <= k:
+            tables.append(double(tables[-1], 1 << (len(tables) - 1)))
+        return tables[k]
+
+    def count(self, values: np.ndarray, n: int) -> np.ndarray:
+        """Sum of integers over the last ``n`` rows, those of the block where fewer."""
+        run = np.cumsum(values)
+        return run - _shifted(run, n, 0) if n else np.zeros(self.rows, np.int64)
+
+    def missing(self, missing: np.ndarray, n: int) -> np.ndarray:
+        """Where the last ``n`` rows hold a missing value or reach before the block."""
+        return (self.count(missing.astype(np.int64), n) > 0) | (np.arange(self.rows) < n - 1)
+
+    def extreme(self, key: str, values: np.ndarray, missing: np.ndarray, n: int, greatest: bool) -> tuple[np.ndarray, np.ndarray]:
+        pick, fill = (np.maximum, -np.inf) if greatest else (np.fmin, np.nan)
+        k = n.bit_length() - 1
+        table = self._level(key, k, lambda: np.where(missing, fill, values), lambda t, half: pick(t, _shifted(t, half, fill)))
+        rest = n - (1 << k)
+        return pick(table, _shifted(table, rest, fill)) if rest else table, self.count((~missing).astype(np.int64), n) == 0
+
+    def total(self, key: str, values: np.ndarray, missing: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        out = None
+        for level, offset in tiles(n):
+            part = _shifted(self._level(key, level, lambda: np.where(missing, 0.0, values), lambda t, half: t + _shifted(t, half, 0.0)), offset, 0.0)
+            out = part if out is None else out + part
+        return out, self.missing(missing, n)
+
+    def deviation(self, key: str, values: np.ndarray, missing: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Population deviation of the last ``n`` values from means and squared deviations of the parts, which stays exact when all are equal.
+
+        M2 of a union = sum of the parts' M2 + sum of size * (mean - grand mean)^2.
+        """
+        def double(t, half):
+            (mean, m2), (before, m2_before) = t, (_shifted(x, half, 0.0) for x in t)
+            return (mean + before) / 2.0, m2 + m2_before + (mean - before) ** 2 * (half / 2)
+
+        parts = []
+        for level, offset in tiles(n):
+            pair = self._level(key, level, lambda: (np.where(missing, 0.0, values), np.zeros(self.rows)), double)
+            parts.append((float(1 << level), *(_shifted(x, offset, 0.0) for x in pair)))
+        spread = parts[0][2]
+        if len(parts) > 1:
+            base = parts[-1][1]
+            grand = base + sum(size * (mean - base) for size, mean, _ in parts) / n
+            spread = sum(m2 + size * (mean - grand) ** 2 for size, mean, m2 in parts)
+        return np.sqrt(spread / n), self.missing(missing, n)
+
+
 class RankCounts:
     """Wavelet matrix over value ranks: how many rows of a span lie below an edge."""
 
