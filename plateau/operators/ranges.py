@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plateau.functions.exprs import (
-    all_of, any_of, bad_ohlc_range, clip, expand, finite, finite_or_null, floor_div, iso_utc,
+    all_of, bad_ohlc_range, clip, expand, finite, finite_or_null, floor_div, iso_utc,
 )
 from plateau.operators.chunks import number_rows, with_halo
 from plateau.operators.spans import Touches
@@ -220,6 +220,17 @@ def touch_rejections(p: dict | None = None) -> list[tuple[str, Column]]:
     ]
 
 
+def loosest(profiles: list[dict]) -> dict:
+    """Window-only thresholds that every window meets which meets those of any profile."""
+    pick = {"max_zero_volume_window_pct": max, "range_height_pct_min": min, "range_height_pct_max": max, "require_current_middle_zone": all,
+            "max_abs_slope_pct_per_window": max, "range_height_atr_min": min, "range_height_atr_max": max, "min_path_length_over_range": min}
+    return {k: f([p[k] for p in profiles]) for k, f in pick.items()}
+
+
+def _none_holds(pairs: list[tuple[str, Column]]) -> Column:
+    return all_of([~F.coalesce(c, F.lit(False)) for _, c in pairs])
+
+
 def touch_counts(windows: DataFrame, rows: DataFrame, lookbacks) -> DataFrame:
     """Zone touches, last touches and midline crosses of the given windows.
 
@@ -372,12 +383,12 @@ def detect_candidates(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad
     profiles = _resolve(profiles)
     rows = materialize(prepared_rows(bars, step_ms, max(lookbacks) + 1))  # numbered once; windows and touches both read it
     windows = with_geometry(window_stats(rows, lookbacks).where("full"), cfg).where(structural_reason(step_ms).isNull())
-    passes = [all_of([~F.coalesce(c, F.lit(False)) for _, c in early_rejections(p, cfg) + trend_rejections(p)]) for p in profiles]
-    windows = materialize(windows.where(any_of(passes)))  # read by the touch join and by the result
+    outer = loosest(profiles)  # one copy of the tests; each profile's own follow below
+    windows = materialize(windows.where(_none_holds(early_rejections(outer, cfg) + trend_rejections(outer))))  # read by the touch join and by the result
     touched = touch_counts(windows, rows, lookbacks) if core == "join" else touch_counts_arrow(windows, rows, lookbacks, cfg)
     scored = windows.join(touched, ["symbol", "lookback_minutes", "rn"])
     checks = early_rejections(None, cfg) + touch_rejections() + trend_rejections(None)
-    kept = expand(scored, _profile_rows(profiles)).where(all_of([~F.coalesce(c, F.lit(False)) for _, c in checks]))
+    kept = expand(scored, _profile_rows(profiles)).where(_none_holds(checks))
     out = quality_score_columns(_candidate_columns(kept))
     return out.where((F.col("p_min_range_quality_score") == 0) | (F.col("range_quality_score") >= F.col("p_min_range_quality_score"))).drop("p_min_range_quality_score")
 
@@ -393,17 +404,6 @@ def _first_outcome(pairs: list[tuple[str, Column]], otherwise: str | None = None
     return expr.otherwise(F.lit(OUTCOMES.index(otherwise))) if otherwise else expr
 
 
-def loosest(profiles: list[dict]) -> dict:
-    """Window-only thresholds that every window meets which meets those of any profile."""
-    pick = {"max_zero_volume_window_pct": max, "range_height_pct_min": min, "range_height_pct_max": max, "require_current_middle_zone": all,
-            "max_abs_slope_pct_per_window": max, "range_height_atr_min": min, "range_height_atr_max": max, "min_path_length_over_range": min}
-    return {k: f([p[k] for p in profiles]) for k, f in pick.items()}
-
-
-def _none_holds(pairs: list[tuple[str, Column]]) -> Column:
-    return all_of([~F.coalesce(c, F.lit(False)) for _, c in pairs])
-
-
 def rejection_funnel(bars: DataFrame, step_ms: int, lookbacks, profiles=("broad_diagnostic",), cfg: dict | None = None) -> DataFrame:
     """First failing reason per window position, counted per symbol, profile and lookback.
 

@@ -76,3 +76,12 @@ def test_funnel_of_many_profiles_states_its_tests_once(spark, monkeypatch):
     assert [r for r in every if r.profile_name == "strict_actionable_v2"] == of(("strict_actionable_v2",))
     for r in every:
         assert r.total_window_positions == 41 - r.lookback_minutes == sum(r[f"{x}_rejection_count"] for x in R.FUNNEL_REASONS) + r.raw_candidate_pass_count
+
+
+def test_detection_of_many_profiles_states_its_window_tests_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(R, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or materialize(df))
+    of = lambda names: sorted((r.candidate_id, r.range_quality_score) for r in R.detect_candidates(_bars(spark, 90), STEP, (5, 30), names).collect())
+    single = [x for name in PROFILES for x in of((name,))]
+    assert sorted(single) == of(tuple(PROFILES)) and single
+    assert plans[-1].count("coalesce(") == plans[1].count("coalesce(")
