@@ -29,6 +29,7 @@ A very long text is one frame; an Arrow batch is bounded in bytes.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import uuid
@@ -69,6 +70,7 @@ class Encoder:
     def __init__(self, path: str, by_words: bool = True):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of the library's own cost more CPU for the same ids
         self.model = Tokenizer.from_file(path)
         self.by_words = by_words
         self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
