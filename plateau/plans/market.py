@@ -58,10 +58,10 @@ def manifest(spark, sf):
         "symbol", F.lit(FIRST).cast("long").alias("start_ms"), F.lit(LAST).cast("long").alias("end_ms"))
 
 
-def tick_bars(spark, sf):
+def tick_bars(spark, sf, clock=B.epoch_ms):
     """One flat bar per tick: hours with several ticks hold duplicate times."""
     p = F.col("price")
-    return B.event_rows(spark, sf).select(
+    return B.event_rows(spark, sf, clock).select(
         "symbol", X.floor_to(F.col("ms"), HOUR).alias("open_time_ms"), *[p.alias(c) for c in ("open", "high", "low", "close")], F.lit(1.0).alias("volume"))
 
 
@@ -272,7 +272,7 @@ def _read_dataset(s, d):
 
 query("store_key_audit", "symbol open_time_ms:i row_count:i variant_count:i conflict", """
     SELECT symbol, open_time_ms, count(*) AS row_count, count(DISTINCT open) AS variant_count, count(DISTINCT open) > 1 AS conflict FROM tick_bars GROUP BY 1, 2 HAVING count(*) > 1""")(
-    lambda s, d: S.key_audit(tick_bars(s, d), ["symbol", "open_time_ms"]))
+    lambda s, d: S.key_audit(tick_bars(s, d, B.nearest_ms), ["symbol", "open_time_ms"]))
 
 
 @query("view_row_counts", "view_name row_count:i", """SELECT 'trade_kline_1m' AS view_name, count(*) AS row_count FROM bars UNION ALL SELECT 'mark_kline_1m', count(*) FROM marks
