@@ -43,6 +43,11 @@ def bars(spark, sf):
     return B.bars(spark, sf, HOUR)
 
 
+@stage("bars_nearest_ms")
+def bars_nearest_ms(spark, sf):
+    return B.bars(spark, sf, HOUR, B.nearest_ms)
+
+
 @stage("marks")
 def marks(spark, sf):
     return B.mark_bars(spark, sf, HOUR)

@@ -9,6 +9,7 @@ from plateau.sources import bars as B
 NEAREST = (
     "store_key_audit",
     "streaming_closed_bars",
+    "upsert_partitions",
 )
 
 
