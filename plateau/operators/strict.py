@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plateau.functions.exprs import all_of
+from plateau.functions.exprs import all_of, finite_or_null
 from plateau.params import CHECK_UNSPECIFIED
 
 # --- fixed values: the result contract ---------------------------------------
@@ -98,15 +98,13 @@ def _no_alias() -> Column:
     return ~F.arrays_overlap(F.map_keys("__result"), F.array(*names))
 
 
-def parse_strict(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Flags, ranges and the first blocker of each response; the requested values stand beside it.
+def read_responses(responses: DataFrame, body: str = "body") -> DataFrame:
+    """What the text of each response says by itself: ranges, prices, codes, and whether envelope, result and check are as contracted.
 
-    Optional columns: http_status_code (200 where present), error_reason_code (a request that failed).
+    Nothing here depends on what was requested, so responses of one text need to be read only once (``judge``).
     """
-    has = lambda c, k: F.col(c).cast(k) if c in responses.columns else F.lit(None).cast(k)
     texts = {c: _text_of(F.try_element_at(f"__range_{name}", F.lit(end))) for name, (low, high, _) in RANGES.items() for c, end in ((low, "from"), (high, "to"))}
     texts |= {c: _text(f"result.{c}") for c in ("long_liq_price", "short_liq_price")}
-    texts |= {f"__{n}": F.col(n).cast("string") for n in MEMBERSHIP}
     # every object is opened once; a path from the root for each of some hundred questions costs a multiple
     d = responses.withColumn("__root", _members(F.try_parse_json(F.col(body)))).withColumn("__result", _members(_part("result")))
     d = d.withColumns({f"__range_{n}": _members(_part(f"result.{n}")) for n in RANGES}).withColumns({f"__text_{c}": v for c, v in texts.items()})
@@ -117,14 +115,33 @@ def parse_strict(responses: DataFrame, body: str = "body") -> DataFrame:
     int_at = lambda p, v: _sure(whole_at(p) == v)
     envelope = all_of([
         F.col("__root").isNotNull(), int_at("retCode", 0), _absent_or("status_code", int_at("status_code", 200)),
-        _absent_or("retMsg", _text("retMsg").isNotNull()), _absent_or("debug_msg", _text("debug_msg").isNotNull()),
-        F.coalesce(has("http_status_code", "long") == 200, F.lit(True)), has("error_reason_code", "string").isNull()])
+        _absent_or("retMsg", _text("retMsg").isNotNull()), _absent_or("debug_msg", _text("debug_msg").isNotNull())])
     schema = all_of([F.col("__result").isNotNull(), _sure(_no_alias()), whole_at("result.status_code").isNotNull(), _text("result.check_code").isNotNull(),
                      _text("result.debug_msg").isNotNull(), *[_range_valid(n, r[2]) for n, r in RANGES.items()]])
     check = all_of([int_at("result.status_code", 200), _sure(_text("result.check_code") == CHECK_UNSPECIFIED), _sure(_text("result.debug_msg") == ""),
                     _absent_or("debug_msg", _text("debug_msg") == "")])
-    d = d.withColumns({"envelope_valid": envelope, "result_schema_valid": schema, "__check": check})
-    d = d.withColumn("validate_ok", F.col("envelope_valid") & F.col("result_schema_valid") & F.col("__check"))
+    return d.withColumns({
+        "text_envelope_valid": envelope, "result_schema_valid": schema, "check_passed": check, "status_code": whole_at("result.status_code"),
+        "check_code": F.when(_text("result.check_code").isin(CHECK_UNSPECIFIED, ""), _text("result.check_code")).when(_text("result.check_code").isNotNull(), "***REDACTED***"),
+    }).drop("__root", "__result", body, *[f"__int_{p.replace('.', '_')}" for p in whole], *[f"__range_{n}" for n in RANGES], *[f"__text_{c}" for c in texts])
+
+
+def _requested(df: DataFrame, name: str) -> Column:
+    """A requested value as a finite number; a column of numbers needs no text in between."""
+    c = F.col(name)
+    return finite_or_null(c.cast("double")) if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint", "double") else _number(c.cast("string"))
+
+
+def judge(read: DataFrame) -> DataFrame:
+    """Flags and the first blocker of each response that was read; the requested values stand beside it.
+
+    Optional columns: http_status_code (200 where present), error_reason_code (a request that failed).
+    """
+    has = lambda c, k: F.col(c).cast(k) if c in read.columns else F.lit(None).cast(k)
+    d = read.withColumns({f"__{n}": _requested(read, n) for n in MEMBERSHIP})
+    envelope = F.col("text_envelope_valid") & F.coalesce(has("http_status_code", "long") == 200, F.lit(True)) & has("error_reason_code", "string").isNull()
+    d = d.withColumn("envelope_valid", envelope)
+    d = d.withColumn("validate_ok", F.col("envelope_valid") & F.col("result_schema_valid") & F.col("check_passed"))
     value = lambda n: F.col(f"__{n}")
     coherent = _sure(all_of([value(n).isNotNull() for n in MEMBERSHIP]) & (value("cell_number_requested") == F.floor(value("cell_number_requested")))
                      & (value("stop_loss_price") < value("min_price")) & (value("min_price") < value("max_price")))
@@ -135,18 +152,31 @@ def parse_strict(responses: DataFrame, body: str = "body") -> DataFrame:
     d = d.withColumns({"requested_values_inside_validate_ranges": every, "target_init_margin_inside_validate_range": target})
     blocker = (
         F.when(~F.col("envelope_valid"), "response_envelope_invalid").when(~F.col("result_schema_valid"), "native_result_schema_invalid")
-        .when(~F.col("__check"), "native_check_rejected").when(~every, "requested_values_outside_validate_ranges").when(~target, "min_investment_gt_5usdt")
+        .when(~F.col("check_passed"), "native_check_rejected").when(~every, "requested_values_outside_validate_ranges").when(~target, "min_investment_gt_5usdt")
     )
     feasible = F.col("validate_ok") & F.col("requested_values_inside_validate_ranges")
     budget = feasible & F.col("target_init_margin_inside_validate_range")
     return d.withColumns({
         "native_grid_validate_result_contract": F.lit(CONTRACT), "strict_parser_applied": F.lit(True),
-        "status_code": whole_at("result.status_code"),
-        "check_code": F.when(_text("result.check_code").isin(CHECK_UNSPECIFIED, ""), _text("result.check_code")).when(_text("result.check_code").isNotNull(), "***REDACTED***"),
-        "schema_or_param_rejected": ~F.col("result_schema_valid") | (F.col("envelope_valid") & ~F.col("__check")),
+        "schema_or_param_rejected": ~F.col("result_schema_valid") | (F.col("envelope_valid") & ~F.col("check_passed")),
         "feasible_exchange": feasible, "min_investment_feasible_at_5usdt": budget, "feasible_user_5usdt_rule": budget,
         "error_reason_code": has("error_reason_code", "string"), "blocker_reason": blocker,
-    }).drop("__root", "__result", "__check", body, *[f"__int_{p.replace('.', '_')}" for p in whole], *[f"__range_{n}" for n in RANGES], *[f"__text_{c}" for c in texts], *[f"__{n}" for n in MEMBERSHIP])
+    }).drop("text_envelope_valid", "check_passed", *[f"__{n}" for n in MEMBERSHIP])
+
+
+def parse_strict(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Flags, ranges and the first blocker of each response; see ``judge`` for the columns beside it."""
+    return judge(read_responses(responses, body))
+
+
+def judge_repeated(requests: DataFrame, texts: DataFrame, said: list[str]) -> DataFrame:
+    """The same where texts repeat: ``texts`` holds each different response, read once, under the columns ``said`` that tell it apart.
+
+    NULL is a value of ``said``; every request must have its text.
+    """
+    once = texts.select(*[F.col(c).alias(f"__said_{c}") for c in said], *[c for c in texts.columns if c not in said])
+    same = all_of([F.col(c).eqNullSafe(F.col(f"__said_{c}")) for c in said])
+    return judge(requests.join(once, same).drop(*[f"__said_{c}" for c in said]))
 
 
 def select_strict(df: DataFrame, require_5usdt: bool = True) -> DataFrame:

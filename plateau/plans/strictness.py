@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plateau.operators import strict as K
 from plateau.plans.registry import CTES, query, stage
+from plateau.session import dealt
 from plateau.sources import bars as B
 
 #: What is wrong with a response, by its order key modulo the number of faults; None is a sound one.
@@ -15,18 +16,28 @@ FAULTS = (
 )
 
 
-def _responses(s, d):
+#: what a response is made of: its fault, and the low end of the investment as it is written
+SAID = ["fault", "investment_text"]
+
+
+def _requests(s, d):
+    """What was requested, one row a line item, and what its response says."""
     px, q, line = F.col("l_extendedprice"), F.col("l_quantity").cast("int"), F.col("l_linenumber")
     fault = F.element_at(F.array(*[F.lit(f or "none") for f in FAULTS]), (F.col("l_orderkey") % len(FAULTS) + 1).cast("int"))
-    # reading is dear for its bytes and a file comes in a few splits: rows are dealt to all tasks while they are narrow
-    rows = B.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "l_orderkey", "l_linenumber")
-    li = rows.select("l_orderkey", "l_linenumber", fault.alias("fault"), q.alias("cell_number_requested"), line.alias("leverage_requested"), F.lit(6.5).alias("init_margin_requested"),
-                                          F.round(px * 0.9, 4).alias("min_price"), F.round(px * 1.1, 4).alias("max_price"), F.round(px * 0.8, 4).alias("stop_loss_price"), (px % 13).alias("inv"))
+    rows = B.table(s, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", fault.alias("fault"), q.alias("cell_number_requested"), line.alias("leverage_requested"), F.lit(6.5).alias("init_margin_requested"),
+        F.round(px * 0.9, 4).alias("min_price"), F.round(px * 1.1, 4).alias("max_price"), F.round(px * 0.8, 4).alias("stop_loss_price"), F.round(px % 13, 2).cast("string").alias("investment_text"))
+    return rows.withColumns({"http_status_code": F.when(F.col("fault") == "http_status", 503).otherwise(200), "error_reason_code": F.when(F.col("fault") == "error", "api_error")})
+
+
+def _responses(s, d):
+    """Each fault with each investment once, however many rows have them; reading is dear for its bytes, so they are dealt to all tasks while they are narrow."""
+    li = dealt(_requests(s, d).select(*SAID).distinct(), *SAID)
     is_ = lambda f: F.col("fault") == f
     rng = lambda low, high: F.concat(F.lit('{"from":"'), low, F.lit('","to":"'), high, F.lit('"}'))
     t = lambda x: F.lit(str(x))
     fields = {
-        "investment": F.when(is_("extra_key"), F.lit('{"from":"1","to":"9","x":"1"}')).when(is_("low_over_high"), rng(t(9), t(1))).otherwise(rng(F.round("inv", 2).cast("string"), t(1000))),
+        "investment": F.when(is_("extra_key"), F.lit('{"from":"1","to":"9","x":"1"}')).when(is_("low_over_high"), rng(t(9), t(1))).otherwise(rng(F.col("investment_text"), t(1000))),
         "cell_number": F.when(is_("half_cell"), rng(t("2.5"), t(45))).otherwise(rng(t(2), t(45))),
         "leverage": F.when(is_("leverage_number"), F.lit('{"from":1,"to":"5"}')).otherwise(rng(t(1), t("5e0"))),
         "min_price": F.when(is_("negative_price"), rng(t(-1), t(1e9))).otherwise(rng(t(1), t(1e9))), "max_price": rng(t(1), t("1E9")), "entry_price": rng(t(".5"), t("7.")),
@@ -41,12 +52,22 @@ def _responses(s, d):
         F.when(is_("ret_msg_number"), ',"retMsg":1').otherwise(',"retMsg":"OK"'), F.when(is_("outer_debug"), ',"debug_msg":"schema error"').otherwise(""),
         F.when(is_("no_result"), "").otherwise(F.concat(F.lit(',"result":'), result)), F.lit("}"))
     body = F.when(is_("not_json"), F.lit("{oops")).when(is_("array_root"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
-    return li.select("*", body.alias("body"), F.when(is_("http_status"), 503).otherwise(200).alias("http_status_code"), F.when(is_("error"), "api_error").alias("error_reason_code"))
+    return li.select(*SAID, body.alias("body"))
+
+
+@stage("strict_texts")
+def texts(s, d):
+    return K.read_responses(_responses(s, d))
+
+
+KEPT = ["l_orderkey", "l_linenumber", *K.SELECTOR_FLAGS, *K.BUDGET_FLAGS, "native_grid_validate_result_contract", "status_code", "check_code", "schema_or_param_rejected",
+        "investment_min", "long_liq_price", "blocker_reason", "error_reason_code"]
 
 
 @stage("strict_parsed")
 def parsed(s, d):
-    return K.parse_strict(_responses(s, d))
+    """The columns that the queries read; written, as a filter on flags would work out each of them anew where it stands in another."""
+    return K.judge_repeated(_requests(s, d), texts(s, d), SAID).select(*KEPT)
 
 
 _FAULT = "CASE l_orderkey % {n} {cases} END".format(n=len(FAULTS), cases=" ".join(f"WHEN {i} THEN '{f or 'none'}'" for i, f in enumerate(FAULTS)))
