@@ -47,24 +47,22 @@ SELECTOR_FLAGS = ("strict_parser_applied", "envelope_valid", "result_schema_vali
 BUDGET_FLAGS = ("target_init_margin_inside_validate_range", "min_investment_feasible_at_5usdt", "feasible_user_5usdt_rule")
 
 
-def _members(value: Column) -> Column:
-    """Fields of an object by name, each as written; NULL where the value is absent or no object."""
-    return F.try_variant_get(value, "$", "map<string, variant>")
+#: the fields of a response that are asked for: text as bytes, since of all that a response can hold only text has them; what must be told from an absent field as it is written
+_ALIASES = [f"{n}{sep}{end}" for n in RANGES for sep in "_." for end in ("from", "to")]
+_RESULT = "struct<" + ", ".join([*[f"`{n}`: map<string, binary>" for n in RANGES], "status_code: variant", *[f"{n}: binary" for n in ("check_code", "debug_msg", "long_liq_price", "short_liq_price")],
+                                 *[f"`{n}`: variant" for n in _ALIASES]]) + ">"
+_ROOT = f"struct<retCode: variant, status_code: variant, retMsg: variant, debug_msg: variant, result: {_RESULT}>"
 
 
 def _part(path: str) -> Column:
-    """A field of the response, or of its result (``result.<name>``), from the fields read once."""
+    """A field of the response, or of its result (``result.<name>``)."""
     inner = path.removeprefix("result.")
-    return F.try_element_at("__result" if inner != path else "__root", F.lit(inner))
-
-
-def _text_of(value: Column) -> Column:
-    """The text of a field that is written as text: of all that a response can hold only text has bytes."""
-    return F.try_variant_get(value, "$", "binary").cast("string")
+    return F.col("__root").getField("result").getField(inner) if inner != path else F.col("__root").getField(path)
 
 
 def _text(path: str) -> Column:
-    return _text_of(_part(path))
+    """The text of a field that is written as text."""
+    return (_part(path) if path.startswith("result.") else F.try_variant_get(_part(path), "$", "binary")).cast("string")
 
 
 def _number(text: Column) -> Column:
@@ -84,9 +82,8 @@ def _absent_or(path: str, ok: Column) -> Column:
 
 def _range_valid(name: str, domain: str) -> Column:
     """Exactly the texts ``from`` and ``to``, in order and in the domain."""
-    low, high = RANGES[name][:2]
-    whole = (F.size(f"__range_{name}") == 2) & F.col(f"__text_{low}").isNotNull() & F.col(f"__text_{high}").isNotNull()
-    low, high = F.col(low), F.col(high)
+    low, high = (F.col(c) for c in RANGES[name][:2])  # numbers of texts
+    whole = F.size(_part(f"result.{name}")) == 2
     in_domain = {"positive": (low > 0) & (high > 0), "nonnegative": (low >= 0) & (high >= 0),
                  "positive_int": (low > 0) & (low == F.floor(low)) & (high == F.floor(high))}[domain]
     return _sure(whole & (low <= high) & in_domain)
@@ -94,8 +91,7 @@ def _range_valid(name: str, domain: str) -> Column:
 
 def _no_alias() -> Column:
     """No end of a range stands beside the ranges, as ``name_from`` or ``name.from``."""
-    names = [F.lit(f"{n}{sep}{end}") for n in RANGES for sep in "_." for end in ("from", "to")]
-    return ~F.arrays_overlap(F.map_keys("__result"), F.array(*names))
+    return all_of([_part(f"result.{n}").isNull() for n in _ALIASES])
 
 
 def read_responses(responses: DataFrame, body: str = "body") -> DataFrame:
@@ -103,11 +99,10 @@ def read_responses(responses: DataFrame, body: str = "body") -> DataFrame:
 
     Nothing here depends on what was requested, so responses of one text need to be read only once (``judge``).
     """
-    texts = {c: _text_of(F.try_element_at(f"__range_{name}", F.lit(end))) for name, (low, high, _) in RANGES.items() for c, end in ((low, "from"), (high, "to"))}
+    texts = {c: F.try_element_at(_part(f"result.{name}"), F.lit(end)).cast("string") for name, (low, high, _) in RANGES.items() for c, end in ((low, "from"), (high, "to"))}
     texts |= {c: _text(f"result.{c}") for c in ("long_liq_price", "short_liq_price")}
-    # every object is opened once; a path from the root for each of some hundred questions costs a multiple
-    d = responses.withColumn("__root", _members(F.try_parse_json(F.col(body)))).withColumn("__result", _members(_part("result")))
-    d = d.withColumns({f"__range_{n}": _members(_part(f"result.{n}")) for n in RANGES}).withColumns({f"__text_{c}": v for c, v in texts.items()})
+    # the response is opened once, whole; a path from the root for each of some hundred questions costs a multiple
+    d = responses.withColumn("__root", F.try_variant_get(F.try_parse_json(F.col(body)), "$", _ROOT)).withColumns({f"__text_{c}": v for c, v in texts.items()})
     d = d.withColumns({c: _number(F.col(f"__text_{c}")) for c in texts})
     whole = ("retCode", "status_code", "result.status_code")  # numbers that must be written as whole ones; the type of a value is costly to ask for
     d = d.withColumns({f"__int_{p.replace('.', '_')}": F.when(F.schema_of_variant(_part(p)) == "BIGINT", F.try_variant_get(_part(p), "$", "bigint")) for p in whole})
@@ -116,14 +111,14 @@ def read_responses(responses: DataFrame, body: str = "body") -> DataFrame:
     envelope = all_of([
         F.col("__root").isNotNull(), int_at("retCode", 0), _absent_or("status_code", int_at("status_code", 200)),
         _absent_or("retMsg", _text("retMsg").isNotNull()), _absent_or("debug_msg", _text("debug_msg").isNotNull())])
-    schema = all_of([F.col("__result").isNotNull(), _sure(_no_alias()), whole_at("result.status_code").isNotNull(), _text("result.check_code").isNotNull(),
+    schema = all_of([F.col("__root").getField("result").isNotNull(), _no_alias(), whole_at("result.status_code").isNotNull(), _text("result.check_code").isNotNull(),
                      _text("result.debug_msg").isNotNull(), *[_range_valid(n, r[2]) for n, r in RANGES.items()]])
     check = all_of([int_at("result.status_code", 200), _sure(_text("result.check_code") == CHECK_UNSPECIFIED), _sure(_text("result.debug_msg") == ""),
                     _absent_or("debug_msg", _text("debug_msg") == "")])
     return d.withColumns({
         "text_envelope_valid": envelope, "result_schema_valid": schema, "check_passed": check, "status_code": whole_at("result.status_code"),
         "check_code": F.when(_text("result.check_code").isin(CHECK_UNSPECIFIED, ""), _text("result.check_code")).when(_text("result.check_code").isNotNull(), "***REDACTED***"),
-    }).drop("__root", "__result", body, *[f"__int_{p.replace('.', '_')}" for p in whole], *[f"__range_{n}" for n in RANGES], *[f"__text_{c}" for c in texts])
+    }).drop("__root", body, *[f"__int_{p.replace('.', '_')}" for p in whole], *[f"__text_{c}" for c in texts])
 
 
 def _requested(df: DataFrame, name: str) -> Column:
