@@ -32,7 +32,7 @@ def _requests(s, d):
 
 def _responses(s, d):
     """Each fault with each investment once, however many rows have them; reading is dear for its bytes, so they are dealt to all tasks while they are narrow."""
-    li = dealt(_requests(s, d).select(*SAID).distinct(), *SAID)
+    li = dealt(_requests(s, d).select(*SAID).distinct(), *SAID[::-1])  # dealt by the keys in the order of distinct, no deal is made and small parts become one task
     is_ = lambda f: F.col("fault") == f
     rng = lambda low, high: F.concat(F.lit('{"from":"'), low, F.lit('","to":"'), high, F.lit('"}'))
     t = lambda x: F.lit(str(x))

@@ -23,6 +23,10 @@ def test_texts_to_read_do_not_grow_with_copies(spark, copies):
     assert strictness._responses(spark, copies).count() == strictness._responses(spark, SF).count()
 
 
+def test_texts_are_dealt_after_copies_are_dropped(spark):
+    assert "REPARTITION_BY_NUM" in strictness._responses(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["strict_validate_results", "strict_selected", "strict_selected_any_budget", "strict_blockers"])
 def test_copies_match_sql(spark, copies, name):
     _, _, problem = compare(spark, name, copies)
